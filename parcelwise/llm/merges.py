@@ -5,10 +5,14 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+from parcelwise.llm import ragged
 from parcelwise.llm.ragged import offsets_of
 
 NEVER = np.int64(1) << 40
@@ -189,3 +193,29 @@ def merge_file(path: str) -> tuple[PairTable, np.ndarray, np.ndarray, dict[str,
     inner = np.array([vocab[x] for x in byte_names()], np.int32)
     final = np.array([vocab[x + suffix] for x in byte_names()], np.int32)
     return table, inner, final, {t["content"]: t["id"] for t in spec["added_tokens"]}
+
+
+def byte_level_ids(column: pa.Array, table: PairTable, byte_ids: np.ndarray, specials: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a string column and the row offsets into them; a special string in a text becomes its own id."""
+    found = [s for s in specials if pc.any(pc.match_substring(column, s)).as_py()]
+    if found:
+        cut = re.compile("(" + "|".join(map(re.escape, found)) + ")")
+        parts = [cut.split(t or "") for t in column.to_pylist()]
+        row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        flat = [x for p in parts for x in p]
+        mark = np.array([specials.get(x, -1) for x in flat])
+        ids, at = byte_level_ids(pa.array(["" if m >= 0 else x for x, m in zip(flat, mark, strict=True)], pa.string()), table, byte_ids, {})
+        ids = np.insert(ids, at[:-1][mark >= 0], mark[mark >= 0])
+        lengths = np.diff(at) + (mark >= 0)
+        return ids, offsets_of(np.bincount(row, weights=lengths, minlength=len(parts)).astype(np.int64))
+    data, offsets = ragged.utf8(column)
+    if not len(data):
+        return np.zeros(0, np.int32), np.zeros(len(column) + 1, np.int64)
+    text = ragged.Codes(data, offsets)
+    starts = text.byte(np.flatnonzero(ragged.byte_level_starts(text)))
+    lengths = np.diff(np.append(starts, len(data)))
+    sample, which = ragged.distinct(data, starts, lengths)
+    symbols, sizes = merge_ragged(byte_ids[ragged.take(data, starts[sample], lengths[sample])], lengths[sample], table)
+    ids = ragged.take(symbols, offsets_of(sizes)[which], sizes[which])
+    ends = offsets_of(sizes[which])
+    return ids, ends[np.searchsorted(starts, offsets)]

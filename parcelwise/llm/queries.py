@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwise.llm import bpe
+from parcelwise.llm import bpe, chat, nearest, packing, token_counts, url_filters
 from parcelwise.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,9 +18,30 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), path), path)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(chat.format_turns(turns.unionByName(chat.trial(spark))))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe}
+    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op4_url_filters, op5_nearest, op7_chat, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filters": url_filters.oracle(), "op7_chat": chat.ORACLE}

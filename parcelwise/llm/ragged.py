@@ -201,3 +201,14 @@ def distinct(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple
         which = np.fromiter((seen.setdefault(raw[s : s + n], len(seen)) for s, n in zip(starts, lengths, strict=True)), np.int64, len(starts))
         _, sample = np.unique(which, return_index=True)
     return sample, which
+
+
+def rows_of(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The row in which each position lies."""
+    return np.searchsorted(offsets, starts, "right") - 1
+
+
+def binaries(raw: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column from its joined bytes and the row offsets."""
+    raw = np.ascontiguousarray(raw).view(np.uint8) if len(raw) else np.zeros(0, np.uint8)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
