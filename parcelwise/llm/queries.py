@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwise.llm import bpe, chat, nearest, packing, token_counts, url_filters
+from parcelwise.llm import bpe, chat, nearest, packing, quality, token_counts, url_filters
 from parcelwise.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,9 +39,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op4_url_filters, op5_nearest, op7_chat, op8_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op4_url_filters, op5_nearest, op7_chat, op8_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": url_filters.oracle(), "op7_chat": chat.ORACLE}
+    return {"op4_url_filters": url_filters.oracle(), "op7_chat": chat.ORACLE, "op10_quality": quality.oracle()}
