@@ -6,7 +6,7 @@ length from the longest down, single lengths, pairs and triples of lengths that
 fill the gap exactly are taken from index sums, as often as pieces of them are
 left.  What stays over is packed by best fit.  The plan is a few thousand
 patterns with counts; each piece then finds its place by its rank among the
-pieces of its length, which is counted in groups of a few thousand pieces, so
+pieces of its length, which is counted in groups of some hundred pieces, so
 no length, however common, meets in one task.
 
 Defined results: a null or empty text is one piece that holds the end id alone;
@@ -33,7 +33,7 @@ from parcelwise.llm.merges import byte_level_ids, merge_file
 from parcelwise.session import stored
 
 #: Pieces of one length whose ranks are counted in one group.
-GROUP_ROWS = 2000
+GROUP_ROWS = 500
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwise.llm import bpe, chat, nearest, packing, quality, token_counts, url_filters
+from parcelwise.llm import bpe, chat, language, neardup, nearest, packing, quality, token_counts, toxicity, url_filters
 from parcelwise.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -30,6 +34,10 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digest(chat.format_turns(turns.unionByName(chat.trial(spark))))
@@ -39,12 +47,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op4_url_filters, op5_nearest, op7_chat, op8_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_neardup, op4_url_filters, op5_nearest, op6_toxicity, op7_chat, op8_packing, op9_language, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
