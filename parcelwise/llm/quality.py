@@ -53,6 +53,11 @@ RULES = (
 )
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
 
@@ -74,7 +79,6 @@ def repeated_words(words: Column, width: int = 3) -> Column:
     """
     n = F.size(words)
     starts = F.sequence(F.lit(0), n - width)
-    bind = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
     top = lambda x: F.shiftright(x, 24)
     place = lambda x: x.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
     window = lambda i: F.slice(words, i + 1, F.lit(width))
@@ -103,15 +107,12 @@ def repeated_words(words: Column, width: int = 3) -> Column:
     return F.when(n <= width, F.lit(0)).when(n > 1 << 24, covered(exact())).otherwise(found).cast("bigint")
 
 
-def split_texts(docs: DataFrame) -> DataFrame:
-    """Adds the words and the lines of each text, under names of their own."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"_quality_words": words_of(text), "_quality_lines": lines_of(text)})
+def measured(use: Callable[[Counts], Column]) -> Column:
+    """An expression over the counts of the column `text`, which is split into words and lines once."""
+    return bind(F.coalesce(F.col("text"), F.lit("")), lambda t: bind(F.struct(t.alias("text"), words_of(t).alias("words"), lines_of(t).alias("lines")), lambda row: use(counts(row["text"], row["words"], row["lines"]))))
 
 
-def counts() -> Counts:
-    """Every count of a row of `split_texts`."""
-    text, words, lines = F.coalesce(F.col("text"), F.lit("")), F.col("_quality_words"), F.col("_quality_lines")
+def counts(text: Column, words: Column, lines: Column) -> Counts:
     found = {
         "n_words": F.size(words),
         "word_chars": F.length(F.array_join(words, "")),
@@ -123,14 +124,17 @@ def counts() -> Counts:
     return {name: count.cast("bigint") for name, count in found.items()}
 
 
+NAMES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
 def cascade_order(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejection per cost, both measured on a sample of the documents."""
     picked = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).limit(sample_rows)
-    sample = split_texts(stored(picked))
+    sample = stored(picked)
     worth = []
     for rule in rules:
         began = time.perf_counter()
-        total, failed = sample.agg(F.count("*"), F.count_if(rule.fails(counts()))).first()
+        total, failed = sample.agg(F.count("*"), F.count_if(measured(rule.fails))).first()
         cost = time.perf_counter() - began
         worth.append((failed / total / cost if total else 0.0))
     return [rules[k] for k in sorted(range(len(rules)), key=lambda k: -worth[k])]
@@ -147,15 +151,15 @@ def first_failure(rules: Sequence[Rule], found: Counts) -> Column:
 def keep(docs: DataFrame, rules: Sequence[Rule] = (*BASE, *RULES), sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that no rule rejects, with their own columns."""
     ordered = cascade_order(docs, rules, sample_rows)
-    return split_texts(docs).filter(first_failure(ordered, counts()).isNull()).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.filter(measured(lambda found: first_failure(ordered, found)).isNull())
 
 
 def judge(docs: DataFrame, base: Sequence[Rule] = BASE, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, every count, base_failed, and kept (what the base rules and the cascade leave)."""
     ordered = cascade_order(docs, rules, sample_rows)
-    names = list(counts())
-    rows = split_texts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).select("doc_id", *(c.alias(n) for n, c in counts().items()))
-    found = {n: F.col(n) for n in names}
+    measure = measured(lambda found: F.struct(*(found[n].alias(n) for n in NAMES)))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), measure.alias("counts")).select("doc_id", "counts.*")
+    found = {n: F.col(n) for n in NAMES}
     failed = base[0].fails(found)
     for rule in base[1:]:
         failed = failed | rule.fails(found)
