@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from parcelwise.plans import attribute_queries
+
+MODULES = (attribute_queries,)
+
 FLAGSHIP = "indicator_values"
 
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in MODULES for name, query in module.queries().items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.oracle_sql().items()}
