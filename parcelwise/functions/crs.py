@@ -66,15 +66,19 @@ def from_utm(x: Column, y: Column, epsg: Column) -> Column:
     for j, b in enumerate(_BETA, 1):
         north = north - F.lit(b) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         east = east - F.lit(b) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    target = F.sin(north) / F.cosh(east)
-    tau = target / F.sqrt(1 - target * target)
-    phi = tau
-    for _ in range(4):  # tau' -> tau by fixed-point steps of the conformal latitude
+    # from the conformal latitude to the latitude: Newton's steps, each on a value that is bound once
+    def newton(tau: Column, phi: Column) -> Column:
         sigma = F.sinh(F.lit(_E) * F.atanh(F.lit(_E) * phi / F.sqrt(1 + phi * phi)))
         now = phi * F.sqrt(1 + sigma * sigma) - sigma * F.sqrt(1 + phi * phi)
-        step = (tau - now) / F.sqrt(1 + now * now) * (1 + F.lit(1 - _E**2) * phi * phi) / (F.lit(1 - _E**2) * F.sqrt(1 + phi * phi))
-        phi = phi + step
-    return F.struct((_centre(epsg) + F.degrees(F.atan2(F.sinh(east), F.cos(north)))).alias("x"), F.degrees(F.atan(phi)).alias("y"))
+        return phi + (tau - now) / F.sqrt(1 + now * now) * (1 + F.lit(1 - _E**2) * phi * phi) / (F.lit(1 - _E**2) * F.sqrt(1 + phi * phi))
+
+    def degrees(p: Column) -> Column:
+        target = F.sin(p["north"]) / F.cosh(p["east"])
+        tau = lambda t: F.aggregate(F.sequence(F.lit(1), F.lit(4)), t, lambda phi, _: newton(t, phi))
+        phi = F.get(F.transform(F.array(target / F.sqrt(1 - target * target)), tau), F.lit(0))
+        return F.struct((_centre(epsg) + F.degrees(F.atan2(F.sinh(p["east"]), F.cos(p["north"])))).alias("x"), F.degrees(F.atan(phi)).alias("y"))
+
+    return F.get(F.transform(F.array(F.struct(north.alias("north"), east.alias("east"))), degrees), F.lit(0))
 
 
 def from_mercator(x: Column, y: Column) -> Column:
