@@ -1,10 +1,14 @@
 """Byte-level BPE: encoding and decoding whole text columns.
 
 Each task cuts its texts into the pattern's matches and brings equal matches of
-a block together (`ragged`).  The merges themselves are Spark higher-order
-functions: a fold over the byte array of each distinct word, looking pairs up in
-a constant rank map.  The ids then flow back to the texts of the block, in the
-same task: the whole job is narrow, without a shuffle.
+a block together (`ragged`).  The distinct words' byte arrays are then folded by
+ranked merges with a constant rank map, and the ids flow back to the texts of
+the block, in the same task: the whole job is narrow, without a shuffle.
+
+The fold has two forms with the same ids.  `fold=True` is one of Spark's
+higher-order functions; it takes some 60 microseconds a word, which is more than
+the budget of the registered query allows (figures in the README), so that by
+default all words of a block are merged at once by `merges.merge_ragged`.
 
 The rank map lists, for every pair of ids whose joined bytes are a piece of the
 vocabulary, that piece's id, which is also its rank.  The pairs lie in one array
@@ -32,12 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm import ragged
-from parcelwise.llm.merges import rank_file
+from parcelwise.llm.merges import byte_level_ids, rank_file
 
 #: Text that is brought together at once; a block's distinct words are one row of Spark.
 BLOCK_BYTES = 8 << 20
 #: No pair: above every id.
-NONE = 1 << 30
+NONE = 1 << 20
 
 _BLOCK = "words array<array<int>>, rows array<struct<doc_id: bigint, word: binary>>, base array<int>, owner array<int>, merged array<int>"
 _ENCODED = "doc_id bigint, ids binary"
@@ -83,52 +87,63 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.field("doc_id"), column], names=["doc_id", "ids"])
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _fold(word: Column) -> Column:
     """The ids of one word (the ids of its bytes), folded by merging the leftmost pair of lowest rank.
 
-    The state holds the ids and the rank of the pair that each begins; a merge
-    renews the ranks at its two sides only.  A word of n bytes takes at most
-    n - 1 steps; those after its last merge leave the state as it is.
+    The state has one number for each piece: the rank of the pair that it begins
+    with the next piece, where the piece starts, and its id, from the high bits
+    down.  So the smallest number names the pair to merge, and a merge renews
+    the ranks at its two sides only.  A word of n bytes takes at most n - 1
+    steps; those after its last merge leave the state as it is.
     """
 
-    def pair(left: Column, right: Column) -> Column:
+    def rank(left: Column, right: Column) -> Column:
         slot = F.get("base", left) + right
         return F.when(F.get("owner", slot) == left, F.get("merged", slot)).otherwise(F.lit(NONE))
 
-    none = F.array(F.lit(NONE))
-    size = F.size(word)
+    def packed(rank: Column, rest: Column) -> Column:
+        return F.shiftleft(rank.cast("bigint"), 40).bitwiseOR(rest)
+
+    rest = lambda x: x.bitwiseAND(F.lit((1 << 40) - 1))
+    piece = lambda x: x.bitwiseAND(F.lit(0xFFFF)).cast("int")
 
-    def begin(ids: Column) -> Column:
-        pairs = F.transform(ids, lambda x, i: F.when(i + 1 < F.size(ids), pair(x, F.get(ids, i + 1))).otherwise(F.lit(NONE)))
-        return F.struct(ids.alias("ids"), pairs.alias("ranks"))
+    def merge(state: Column, low: Column, at: Column) -> Column:
+        """Piece `at` (from 1) and the next become one, whose id is the rank in `low`."""
+        merged = F.shiftright(low, 40).cast("int")
+        before, after = F.get(state, at - 2), F.get(state, at + 1)
+        head = F.when(at > 1, F.concat(F.slice(state, F.lit(1), at - 2), F.array(packed(rank(piece(before), merged), rest(before))))).otherwise(F.array().cast("array<bigint>"))
+        own = packed(F.when(after.isNull(), F.lit(NONE)).otherwise(rank(merged, piece(after))), rest(low).bitwiseAND(F.lit(~0xFFFF)).bitwiseOR(merged.cast("bigint")))
+        return F.concat(head, F.array(own), F.slice(state, at + 2, F.size(state)))
 
-    def at(state: Column, low: Column) -> Column:
-        """The state after the merge at the place (from 1) of the lowest rank."""
-        ids, pairs = state["ids"], state["ranks"]
-        where = F.array_position(pairs, low).cast("int")
+    def step(state: Column, _: Column) -> Column:
+        return _bind(F.array_min(state), lambda low: F.when(low >= NONE << 40, state).otherwise(_bind(F.array_position(state, low).cast("int"), lambda at: merge(state, low, at))))
 
-        def merge(i: Column) -> Column:
-            left = F.when(i > 1, F.array(pair(F.get(ids, i - 2), low))).otherwise(F.array().cast("array<int>"))
-            right = F.when(i + 1 < F.size(ids), F.array(pair(low, F.get(ids, i + 1)))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(ids, F.lit(1), i - 1), F.array(low), F.slice(ids, i + 2, F.size(ids))).alias("ids"),
-                F.concat(F.slice(pairs, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(pairs, i + 2, F.size(ids))).alias("ranks"),
-            )
+    size = F.size(word)
+    start = F.transform(word, lambda x, i: packed(F.when(i + 1 < size, rank(x, F.get(word, i + 1))).otherwise(F.lit(NONE)), F.shiftleft(i.cast("bigint"), 16).bitwiseOR(x.cast("bigint"))))
+    return F.when(size > 1, F.aggregate(F.sequence(F.lit(2), size), start, step, lambda s: F.transform(s, piece))).otherwise(word)
 
-        return F.get(F.transform(F.array(where), merge), F.lit(0))
 
-    def step(state: Column, _: Column) -> Column:
-        return F.get(F.transform(F.array(F.array_min(state["ranks"])), lambda low: F.when(low == NONE, state).otherwise(at(state, low))), F.lit(0))
+def encode(docs: DataFrame, path: str, fold: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """`doc_id`, `text` -> `doc_id`, `ids` (binary: little-endian unsigned 32-bit ids), by the rank file at `path`.
 
-    start = F.get(F.transform(F.array(word), begin), F.lit(0))
-    return F.when(size > 1, F.aggregate(F.sequence(F.lit(2), size), start, step, lambda s: s["ids"])).otherwise(word)
+    `fold` merges by Spark's higher-order functions instead of numpy; the ids are the same.
+    """
+    columns = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
+    if not fold:
+        return columns.mapInArrow(partial(_encode, path=path), _ENCODED)
+    split = columns.mapInArrow(partial(_split, path=path, limit=block_bytes), _BLOCK)
+    return split.select("rows", F.transform("words", _fold).alias("ids")).mapInArrow(_join, _ENCODED)
 
 
-def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """`doc_id`, `text` -> `doc_id`, `ids` (binary: little-endian unsigned 32-bit ids), by the rank file at `path`."""
-    split = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(partial(_split, path=path, limit=block_bytes), _BLOCK)
-    encoded = split.select("rows", F.transform("words", _fold).alias("ids"))
-    return encoded.mapInArrow(_join, _ENCODED)
+def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    _, table, byte_ids = rank_file(path)
+    for batch in ragged.blocks(batches, "text"):
+        ids, at = byte_level_ids(batch.column("text"), table, byte_ids, {})
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ragged.binaries(ids.astype("<u4"), at * 4)], names=["doc_id", "ids"])
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
