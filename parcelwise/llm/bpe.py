@@ -169,8 +169,16 @@ def _digests(ids: bytes, raw: bytes) -> dict:
     return {"n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(raw).hexdigest()}
 
 
-def digest(encoded: DataFrame, path: str) -> DataFrame:
-    """Per row of `encode`: doc_id, n_tokens, and the SHA-256 of the ids and of the bytes decoded from them."""
+def _digested(batches: Iterator[pa.RecordBatch], path: str, encoded: bool) -> Iterator[pa.RecordBatch]:
     kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
-    out = encoded.mapInArrow(partial(_decoded, path=path, more=_digests, kinds=kinds), _ENCODED + ", n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    return out.drop("ids")
+    for batch in _decoded(batches if encoded else _encode(batches, path), path, _digests, kinds):
+        yield batch.select(["doc_id", *kinds])
+
+
+def digest(docs: DataFrame, path: str, fold: bool = False) -> DataFrame:
+    """Encodes and decodes `doc_id`, `text`: doc_id, n_tokens, and the SHA-256 of the ids and of the bytes decoded from them.
+
+    The ids are hashed where they are made, so that a task needs one Python worker.
+    """
+    rows = encode(docs, path, fold=True) if fold else docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
+    return rows.mapInArrow(partial(_digested, path=path, encoded=fold), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -17,8 +17,9 @@ members of other classes are then compared with a document chosen by a hash, a
 few times over, which joins nearly all that belong together; at last, in
 buckets that still hold several classes, all pairs of documents of different
 classes are compared.  So no link between classes is lost to the stars, and
-pairs inside a class, which would change nothing, are not expanded.  Pairs whose
-sizes rule similarity out are never compared.
+pairs inside a class, which would change nothing, are not expanded.  Pairs that
+cannot be similar are not compared: a sketch has a bit for every shingle, and
+each bit that one text has and the other lacks is a shingle they don't share.
 
 48 bands of 8 registers miss a pair of similarity 0.8 with probability 1.5e-4,
 one of 0.85 with 2e-7.  Long bands keep texts that share but a passage apart.
@@ -47,6 +48,9 @@ SIMILAR = 0.8
 BANDS, ROWS = 48, 8
 #: Rounds of comparisons with one document of a bucket after the first.
 ROUNDS = 2
+#: 64-bit words of a sketch, and of the bits that mark wanted ids (1 MB in all, whatever their number).
+SKETCH = 8
+MARKS = 256
 REGISTERS = BANDS * ROWS
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -125,8 +129,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = band_keys(signatures(row, element, weight, batch.num_rows))
         some = np.bincount(row, minlength=batch.num_rows) > 0
         lists = pa.ListArray.from_arrays(pa.array(ragged.offsets_of(some * BANDS).astype(np.int32)), pa.array(keys[some].ravel()))
+        sketch = np.zeros((batch.num_rows, SKETCH), np.uint64)
+        bit = ragged.mix(element)
+        np.bitwise_or.at(sketch, (row, (bit % np.uint64(SKETCH)).astype(np.int64)), np.uint64(1) << (bit >> np.uint64(58)))
+        sketches = pa.FixedSizeListArray.from_arrays(pa.array(sketch.view(np.int64).ravel()), SKETCH).cast(pa.list_(pa.int64()))
         size = pa.array(np.bincount(row, weights=weight, minlength=batch.num_rows).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), size, lists], names=["doc_id", "copy", "size", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), size, sketches, lists], names=["doc_id", "copy", "size", "sketch", "bands"])
 
 
 def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -150,10 +158,26 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         yield batch.select(["a", "b"]).filter(near)
 
 
+def _marked(ids: DataFrame) -> DataFrame:
+    """(mark, bits): MARKS bitmaps of 4 kB with a bit for the hash of each id."""
+    place = F.pmod(F.xxhash64("id"), F.lit(MARKS * 32768))
+    return ids.groupBy(F.floor(place / 32768).cast("int").alias("mark")).agg(F.bitmap_construct_agg(place % 32768).alias("bits"))
+
+
+def _wanted(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the ids.  The bitmaps, whose size is fixed, keep most others out of the shuffle; the join decides."""
+    place = F.pmod(F.xxhash64("id"), F.lit(MARKS * 32768))
+    rows = texts.withColumn("mark", F.floor(place / 32768).cast("int")).join(F.broadcast(_marked(ids)), "mark")
+    bit = (place % 32768).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    some = rows.filter(F.getbit(byte, bit % 8) == 1)
+    return some.select("id", "text").join(ids, "id", "left_semi")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
     """Those pairs (a, b) of ids whose texts (id, text) are similar; rows of a text that stands in many pairs are spread by Spark's skew join."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    known = stored(texts.join(wanted, "id", "left_semi").select("id", "text"))
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    known = stored(_wanted(texts, ids))
     left, right = known.select(F.col("id").alias("a"), F.col("text").alias("left")), known.select(F.col("id").alias("b"), F.col("text").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(partial(_verify, least=least), "a bigint, b bigint")
 
@@ -177,40 +201,46 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _comparable(one: str, two: str) -> Column:
-    """Whether the sizes of two multisets leave room for the similarity."""
-    return F.least(one, two) >= SIMILAR * F.greatest(one, two)
+    """Whether sizes and sketches (structs of both) leave room for the similarity.
+
+    With d bits that only one of the two has, at least d of the n units of both
+    are not shared: the similarity is (n - d) / (n + d) at most.
+    """
+    a, b = F.col(one), F.col(two)
+    only = sum((F.bit_count(F.get(x["sketch"], F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y["sketch"], F.lit(i))))) for x, y in ((a, b), (b, a)) for i in range(SKETCH)), F.lit(0))
+    total = a["size"] + b["size"]
+    return (F.least(a["size"], b["size"]) >= SIMILAR * F.greatest(a["size"], b["size"])) & (total - only >= SIMILAR * (total + only))
 
 
-def _mixed(bucket: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members (band, id, size, label) of buckets with more than one class, and each bucket's largest class, `main`."""
-    named = bucket.join(labels, "id", "left").select("band", "id", "size", F.coalesce("label", "id").alias("label"))
+def _mixed(bucket: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The members (band, id, node, label) of buckets with more than one class, and each bucket's largest class, `main`."""
+    named = bucket.join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
     classes = named.groupBy("band", "label").agg(F.count("*").alias("n"))
     main = classes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("n")).filter("n > 1").select("band", F.col("top.label").alias("main"))
-    return stored(named.join(main, "band"))
+    return stored(named.join(main, "band").join(nodes, "id"))
 
 
 def links(bands: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (id, size, bands) and (id, text): the verified links (a, b) and the classes (id, label) they make."""
-    member = stored(bands.select("id", "size", F.explode("bands").alias("band")))
-    first = F.min(F.struct("id", "size")).alias("first")
-    shared = member.groupBy("band").agg(first, F.max("id").alias("last")).filter("first.id < last").select("band", "first")
-    joined = stored(member.join(shared, "band"))
-    bucket = joined.select("band", "id", "size")
-    star = joined.filter((F.col("id") != F.col("first.id")) & _comparable("size", "first.size"))
-    compared = stored(star.select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct())
+    """From (id, size, sketch, bands) and (id, text): the verified links (a, b) and the classes (id, label) they make."""
+    nodes = bands.select("id", F.struct("size", "sketch").alias("node"))
+    member = stored(bands.select("id", F.explode("bands").alias("band")))
+    shared = member.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("band", "first")
+    bucket = stored(member.join(shared, "band"))
+    star = bucket.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    both = star.join(nodes.withColumnsRenamed({"id": "a", "node": "left"}), "a").join(nodes.withColumnsRenamed({"id": "b", "node": "right"}), "b")
+    compared = stored(both.filter(_comparable("left", "right")).select("a", "b"))
     found = stored(verified(compared, texts))
     labels = components(found)
     for k in range(ROUNDS + 1):
-        mixed = _mixed(bucket, labels)
+        mixed = _mixed(bucket, labels, nodes)
         if k < ROUNDS:
-            chosen = mixed.filter("label = main").groupBy("band").agg(F.min(F.struct(F.xxhash64("id", "band", F.lit(k)).alias("place"), "id", "size", "label")).alias("one")).select("band", "one.*").drop("place")
+            chosen = mixed.filter("label = main").groupBy("band").agg(F.min_by(F.struct("id", "node", "label"), F.xxhash64("id", "band", F.lit(k))).alias("one")).select("band", "one.*")
         else:
             chosen = mixed.drop("main")
-        other = chosen.select("band", F.col("id").alias("to"), F.col("size").alias("to_size"), F.col("label").alias("to_label"))
+        other = chosen.select("band", F.col("id").alias("to"), F.col("node").alias("to_node"), F.col("label").alias("to_label"))
         # a member of the main class is never on this side: it meets the others as their partner
-        pairs = mixed.filter("label <> main").join(other, "band").filter((F.col("label") != F.col("to_label")) & _comparable("size", "to_size"))
-        new = pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
-        new = stored(new)
+        rows = mixed.filter("label <> main").alias("x").join(other.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("label") != F.col("to_label")) & _comparable("node", "to_node"))
+        new = stored(rows.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct().join(compared, ["a", "b"], "left_anti"))
         more = stored(verified(new, texts))
         if more.limit(1).count():
             found = found.unionByName(more)
@@ -222,9 +252,9 @@ def links(bands: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """`doc_id`, `text` -> one row per document: doc_id, class_id, n_links (of its text to other texts), kept (one of each class)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = stored(rows.withColumn("copy", F.unhex(F.md5("text"))).mapInArrow(_sign, "doc_id bigint, copy binary, size bigint, bands array<bigint>"))
-    first = stored(signed.groupBy("copy").agg(F.min(F.struct("doc_id", "size", "bands")).alias("x")).select("copy", F.col("x.doc_id").alias("id"), "x.size", "x.bands"))
-    found, labels = links(first.select("id", "size", "bands"), rows.select(F.col("doc_id").alias("id"), "text"))
+    signed = stored(rows.withColumn("copy", F.unhex(F.md5("text"))).mapInArrow(_sign, "doc_id bigint, copy binary, size bigint, sketch array<bigint>, bands array<bigint>"))
+    first = stored(signed.groupBy("copy").agg(F.min(F.struct("doc_id", "size", "sketch", "bands")).alias("x")).select("copy", F.col("x.doc_id").alias("id"), "x.size", "x.sketch", "x.bands"))
+    found, labels = links(first.select("id", "size", "sketch", "bands"), rows.select(F.col("doc_id").alias("id"), "text"))
     degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     classes = first.select("copy", "id").join(labels.join(degree, "id"), "id", "left").select("copy", F.coalesce("label", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named = signed.select("doc_id", "copy").join(classes, "copy")

@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return bpe.digest(table(spark, sf_dir, "documents"), path)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once inside a task.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
