@@ -176,7 +176,7 @@ def _wanted(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
     """Those pairs (a, b) of ids whose texts (id, text) are similar; rows of a text that stands in many pairs are spread by Spark's skew join."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    ids = stored(pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct())
     known = stored(_wanted(texts, ids))
     left, right = known.select(F.col("id").alias("a"), F.col("text").alias("left")), known.select(F.col("id").alias("b"), F.col("text").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(partial(_verify, least=least), "a bigint, b bigint")
@@ -255,7 +255,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stored(rows.withColumn("copy", F.unhex(F.md5("text"))).mapInArrow(_sign, "doc_id bigint, copy binary, size bigint, sketch array<bigint>, bands array<bigint>"))
     first = stored(signed.groupBy("copy").agg(F.min(F.struct("doc_id", "size", "sketch", "bands")).alias("x")).select("copy", F.col("x.doc_id").alias("id"), "x.size", "x.sketch", "x.bands"))
     found, labels = links(first.select("id", "size", "sketch", "bands"), rows.select(F.col("doc_id").alias("id"), "text"))
-    degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    sides = [found.groupBy(F.col(c).alias("id")).agg(F.count("*").alias("n")) for c in ("a", "b")]
+    degree = sides[0].union(sides[1]).groupBy("id").agg(F.sum("n").alias("n_links"))
     classes = first.select("copy", "id").join(labels.join(degree, "id"), "id", "left").select("copy", F.coalesce("label", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named = signed.select("doc_id", "copy").join(classes, "copy")
     return named.select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
