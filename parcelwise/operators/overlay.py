@@ -98,24 +98,29 @@ def split_edges(rows: DataFrame, cuts: DataFrame, keys: list[str], id_: str) ->
     return out.filter("x1 <> x2 or y1 <> y2")
 
 
-def covered(points: DataFrame, edges: DataFrame, keys: list[str], on_edge: bool = False) -> DataFrame:
-    """(keys, point_id) of points (x, y) inside some polygon of their group, by the parity of edges to their right.
+def containing(points: DataFrame, edges: DataFrame, keys: list[str], on_edge: bool = False) -> DataFrame:
+    """(keys, point_id, polygon): the polygons of its group in which a point (x, y) lies, by the parity of edges to its right.
 
     Points and edges meet by strips of y, so that a ray needs no cells to its right.
     """
     strip = lambda y: F.floor(y / CELL)
     e = edges.withColumn("strip", F.explode(F.sequence(strip(F.least("y1", "y2")), strip(F.greatest("y1", "y2"))))).select(*keys, "strip", F.col("feature_id").alias("polygon"), "x1", "y1", "x2", "y2")
     p = points.withColumn("strip", strip(F.col("y"))).select(*keys, "strip", "point_id", "x", "y")
-    spans = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
-    right = F.col("x") < F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    hit = F.when(spans & right, 1).otherwise(0)
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    spans = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
+    hit = spans & (F.col("x") < F.col("x1") + (F.col("y") - F.col("y1")) * dx / dy)
+    met = p.join(e, [*keys, "strip"])
+    if not on_edge:
+        return met.filter(hit).groupBy(*keys, "point_id", "polygon").agg(F.count("*").alias("n")).filter("n % 2 = 1").drop("n")
     place = ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / (dx * dx + dy * dy)
     touching = (F.abs(cross(dx, dy, F.col("x") - F.col("x1"), F.col("y") - F.col("y1"))) <= SNAP * F.hypot(dx, dy)) & place.between(-EPS, 1 + EPS)
-    reach = spans & right | (touching if on_edge else F.lit(False))
-    sums = p.join(e, [*keys, "strip"]).filter(reach).groupBy(*keys, "point_id", "polygon").agg(F.sum(hit).alias("n"), F.max(touching.cast("int")).alias("touches"))
-    inside = F.col("n") % 2 == 1
-    return sums.filter(inside | (F.col("touches") == 1) if on_edge else inside).select(*keys, "point_id").distinct()
+    sums = met.filter(hit | touching).groupBy(*keys, "point_id", "polygon").agg(F.count_if(hit).alias("n"), F.count_if(touching).alias("touches"))
+    return sums.filter("n % 2 = 1 or touches > 0").drop("n", "touches")
+
+
+def covered(points: DataFrame, edges: DataFrame, keys: list[str], on_edge: bool = False) -> DataFrame:
+    """(keys, point_id) of the points that lie in some polygon of their group."""
+    return containing(points, edges, keys, on_edge).select(*keys, "point_id").distinct()
 
 
 def union_edges(polygons: DataFrame, keys: list[str]) -> DataFrame:
@@ -192,20 +197,10 @@ def segment_distance2(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.when((d1 * d2 < 0) & (d3 * d4 < 0), F.lit(0.0)).otherwise(ends)
 
 
-def _parity(points: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, point_id, polygon) of points strictly inside each polygon, by strips of y."""
-    strip = lambda y: F.floor(y / CELL)
-    e = edges.withColumn("strip", F.explode(F.sequence(strip(F.least("y1", "y2")), strip(F.greatest("y1", "y2"))))).select(*keys, "strip", F.col("feature_id").alias("polygon"), "x1", "y1", "x2", "y2")
-    p = points.withColumn("strip", strip(F.col("y")))
-    spans = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
-    right = F.col("x") < F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    return p.join(e, [*keys, "strip"]).filter(spans & right).groupBy(*keys, "point_id", "polygon").agg(F.count("*").alias("n")).filter("n % 2 = 1").drop("n")
-
-
 def _first_inside(of: DataFrame, polygons: DataFrame, keys: list[str]) -> DataFrame:
     """Features with their first vertex inside a polygon: candidates whose boundaries needn't meet."""
     first = of.groupBy(*keys, F.col("feature_id").alias("point_id")).agg(F.min(F.struct("part", "ring", "seq", "x1", "y1")).alias("f")).select(*keys, "point_id", F.col("f.x1").alias("x"), F.col("f.y1").alias("y"))
-    return _parity(first, polygons, keys)
+    return containing(first, polygons, keys)
 
 
 def _spots(held: DataFrame, hold: DataFrame, keys: list[str]) -> DataFrame:
@@ -219,8 +214,8 @@ def _spots(held: DataFrame, hold: DataFrame, keys: list[str]) -> DataFrame:
     nx, ny = -(F.col("y2") - F.col("y1")) / size * step, (F.col("x2") - F.col("x1")) / size * step
     both = F.explode(F.array(F.struct(((F.col("x1") + F.col("x2")) / 2 + nx).alias("x"), ((F.col("y1") + F.col("y2")) / 2 + ny).alias("y")), F.struct(((F.col("x1") + F.col("x2")) / 2 - nx).alias("x"), ((F.col("y1") + F.col("y2")) / 2 - ny).alias("y"))))
     spots = parts.withColumn("s", both).select(*keys, F.struct("feature_id", "x1", "y1", "x2", "y2", "s.x", "s.y").alias("point_id"), F.col("s.x").alias("x"), F.col("s.y").alias("y"))
-    own = _parity(spots, held, keys).filter("point_id.feature_id = polygon").drop("polygon")
-    in_hold = _parity(spots.join(own, [*keys, "point_id"]), hold, keys)
+    own = containing(spots, held, keys).filter("point_id.feature_id = polygon").drop("polygon")
+    in_hold = containing(spots.join(own, [*keys, "point_id"]), hold, keys)
     total = own.groupBy(*keys, F.col("point_id.feature_id").alias("inner")).agg(F.count("*").alias("total"))
     got = in_hold.groupBy(*keys, F.col("point_id.feature_id").alias("inner"), F.col("polygon").alias("outer")).agg(F.count("*").alias("got"))
     return got.join(total, [*keys, "inner"]).filter("got = total").drop("got", "total")
@@ -238,4 +233,4 @@ def largest_gap(positions: DataFrame, keys: list[str]) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("position")
     rows = positions.withColumn("gap", F.col("position") - F.lag("position").over(order))
     ends = rows.groupBy(*keys).agg(F.max("gap").alias("inner"), F.min("position").alias("low"), F.max("position").alias("high"), F.first("ring_length").alias("ring_length"))
-    return ends.select(*keys, F.greatest(F.col("inner"), F.col("ring_length") - F.col("high") + F.col("low")).alias("gap"))
+    return ends.select(*keys, F.greatest(F.coalesce("inner", F.lit(0.0)), F.col("ring_length") - F.col("high") + F.col("low")).alias("gap"))

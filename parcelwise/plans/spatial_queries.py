@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwise.functions import geometry
-from parcelwise.operators import blocks, overlay, territory
+from parcelwise.operators import blocks, boundary, overlay, territory
 from parcelwise.plans.derived import PARCELS_SQL, parcels
 from parcelwise.session import table
 
@@ -131,12 +131,14 @@ def select_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.attribute_filter(rows, {"land_use": "misto", "macroarea": "lote"}).select("project_id", "feature_id")
 
 
-@query("""with e as (select user_id as project_id, event_id % 997 + (event_id % 10) / 10.0 as position from events), g as (select project_id, position, position - lag(position) over (partition by project_id order by position) as gap from e)
-select project_id, round(greatest(max(gap), 1000 - max(position) + min(position)), 6) as gap from g group by project_id""")
+@query("""select c_custkey as project_id, case when c_custkey % 3 = 0 then 400.0 else greatest(300 - 2 * (10 + c_custkey % 50), 100 + 2 * (10 + c_custkey % 50)) end::double as value from customer""")
 def boundary_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("project_id"), F.lit(1000.0).alias("ring_length"), (k % 997 + k % 10 / 10.0).alias("position"))
-    return overlay.largest_gap(rows, ["project_id"]).withColumn("gap", F.round("gap", 6))
+    """A square of 100 m for each customer, and in two of three a road across it."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("project_id"), (10 + k % 50).cast("double").alias("x"))
+    square = rows.select("project_id", F.lit(0).alias("feature_id"), geometry.box(F.lit(0), F.lit(0), F.lit(100), F.lit(100)).alias("geom"))
+    road = rows.filter("project_id % 3 <> 0").select("project_id", F.lit(1).alias("feature_id"), geometry.line(geometry.point(F.col("x"), F.lit(-5)), geometry.point(F.col("x"), F.lit(105))).alias("geom"))
+    return boundary.max_boundary_gap(square, road).withColumn("value", F.round("value", 6))
 
 
 def queries() -> dict:
