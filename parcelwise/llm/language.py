@@ -45,7 +45,7 @@ UNSEEN_LETTERS = 1000
 SHARPNESS = 12.0
 
 #: Cross-entropy (nats a letter) above the mean that is never rejected.
-LEAST_EXCESS = 0.5
+LEAST_EXCESS = 1.5
 
 BEGIN, END = 2, 3
 
