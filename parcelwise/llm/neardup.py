@@ -26,7 +26,7 @@ one of 0.85 with 2e-7.  Long bands keep texts that share but a passage apart.
 
 Defined results: null counts as an empty text; a text without a word resembles
 its exact copies alone, one of fewer than five words has one shingle of them
-all; rows of one doc_id are one document; a class is named by its smallest
+all; rows of one doc_id, null included, are one document; a class is named by its smallest
 doc_id; other columns play no part; an empty table gives no rows.
 """
 
@@ -53,6 +53,9 @@ SKETCH = 8
 MARKS = 256
 REGISTERS = BANDS * ROWS
 
+#: Stands for a null doc_id while classes are made.
+NO_ID = -(1 << 63)
+
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -251,7 +254,8 @@ def links(bands: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """`doc_id`, `text` -> one row per document: doc_id, class_id, n_links (of its text to other texts), kept (one of each class)."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    doc_id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+    rows = docs.select(doc_id.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = stored(rows.withColumn("copy", F.unhex(F.md5("text"))).mapInArrow(_sign, "doc_id bigint, copy binary, size bigint, sketch array<bigint>, bands array<bigint>"))
     first = stored(signed.groupBy("copy").agg(F.min(F.struct("doc_id", "size", "sketch", "bands")).alias("x")).select("copy", F.col("x.doc_id").alias("id"), "x.size", "x.sketch", "x.bands"))
     found, labels = links(first.select("id", "size", "sketch", "bands"), rows.select(F.col("doc_id").alias("id"), "text"))
@@ -259,10 +263,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     degree = sides[0].union(sides[1]).groupBy("id").agg(F.sum("n").alias("n_links"))
     classes = first.select("copy", "id").join(labels.join(degree, "id"), "id", "left").select("copy", F.coalesce("label", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named = signed.select("doc_id", "copy").join(classes, "copy")
-    return named.select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    shown = [F.nullif(c, F.lit(NO_ID)).alias(c) for c in ("doc_id", "class_id")]
+    return named.select(*shown, "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stay, one of each class, with their own columns."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"]).select(*(F.col(f"`{c}`") for c in docs.columns))

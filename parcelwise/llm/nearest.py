@@ -18,7 +18,7 @@ Equal vectors: of each input batch, the k + 1 smallest ids of a vector are kept
 table costs k + 1 rows a batch.
 
 Defined results: a vector that is null, of no dimension, zero, or with a null or
-non-finite component takes no part, nor does one of another dimension than the
+non-finite component, or without an id, takes no part, nor does one of another dimension than the
 table's most common; fewer candidates than k give fewer rows; ties go to the
 smaller vec_id; other columns play no part; an empty table gives no rows.
 """

@@ -231,6 +231,16 @@ def test_quality(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in found.items() if r["kept"])
 
 
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, "one two three four five six", None), (3, "one two three four five six", "en"), (3, "one two three four five six", "en"), (None, None, None), (5, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = sorted((r["doc_id"] or -1, r["class_id"] or -1, r["kept"]) for r in neardup.near_duplicates(docs).collect())
+    assert found == [(-1, -1, True), (-1, -1, True), (3, -1, False), (3, -1, False), (5, -1, False)]
+    assert bpe.digest(docs, RANKS).count() == token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 5
+    assert packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).count() == 5
+    assert language.identify(docs).count() == quality.judge(docs).count() == 5
+
+
 def test_empty_tables(spark):
     docs = documents(spark, ["x"]).limit(0)
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
