@@ -42,6 +42,10 @@ def block_stats(features: DataFrame) -> DataFrame:
     return rows.withColumn("compactness", compactness(F.col("area"), F.col("length")))
 
 
+def _turn(a: np.ndarray, b: np.ndarray) -> float:
+    return a[0] * b[1] - a[1] * b[0]
+
+
 def _hull(points: np.ndarray) -> np.ndarray:
     points = np.unique(points, axis=0)
     if len(points) < 3:
@@ -50,7 +54,7 @@ def _hull(points: np.ndarray) -> np.ndarray:
     for rows in (points, points[::-1]):
         chain: list[np.ndarray] = []
         for p in rows:
-            while len(chain) > 1 and np.cross(chain[-1] - chain[-2], p - chain[-2]) <= 0:
+            while len(chain) > 1 and _turn(chain[-1] - chain[-2], p - chain[-2]) <= 0:
                 chain.pop()
             chain.append(p)
         half += chain[:-1]

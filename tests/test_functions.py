@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from parcelwise.functions import crs, geometry, text
-from parcelwise.operators import blocks, mapping, overlay
+from parcelwise.operators import blocks, mapping, metric, overlay
 from parcelwise.sources import layers
 
 
@@ -41,17 +41,16 @@ def test_area_text(spark, raw, area):
 
 def test_golden_square(spark, tmp_path):
     """A square of 100 m in UTM zone 22S, through a GeoJSON file, measures as it should."""
-    corners = [(500000, 7000000), (500100, 7000000), (500100, 7000100), (500000, 7000100), (500000, 7000000)]
+    corners = [(500000.0, 7000000.0), (500100.0, 7000000.0), (500100.0, 7000100.0), (500000.0, 7000100.0), (500000.0, 7000000.0)]
     back = spark.createDataFrame(corners, "x double, y double").select(crs.from_utm(F.col("x"), F.col("y"), F.lit(32722)).alias("p")).collect()
     ring = [[r["p"]["x"], r["p"]["y"]] for r in back]
     feature = {"type": "Feature", "id": "perimeter-1", "geometry": {"type": "Polygon", "coordinates": [ring]}, "properties": {"% MÃ\x8dNIMO": "1", "a": 0.10}}
     (tmp_path / "layer.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [feature]}))
     rows = layers.read_geojson(spark, str(tmp_path / "layer.geojson"))
     assert "% MÍNIMO" in rows.first()["source"]
-    box = geometry.bounds(F.col("geom"))
-    rows = rows.withColumn("epsg", crs.select_epsg(box["x0"], box["y0"], box["x1"], box["y1"]))
-    rows = rows.withColumn("geom", geometry.map_points(F.col("geom"), lambda x, y: crs.to_utm(x, y, F.col("epsg"))))
-    found = blocks.perimeter(rows.withColumn("project_id", F.lit(1)).withColumn("feature_id", F.col("external_id"))).first()
+    rows, failed = metric.to_metres(rows.withColumn("project_id", F.lit(1)).withColumn("feature_id", F.col("external_id")))
+    found = blocks.perimeter(rows).first()
+    assert failed.count() == 0
     assert rows.first()["epsg"] == 32722
     assert found["area"] == pytest.approx(10000, abs=0.01)
     assert found["length"] == pytest.approx(400, abs=0.01)
@@ -63,7 +62,7 @@ def test_golden_square(spark, tmp_path):
 def test_union_of_rectangles(spark, boxes):
     cells = {(i, j) for x, y, w, h in boxes for i in range(x, x + w) for j in range(y, y + h)}
     border = sum((i + a, j + b) not in cells for i, j in cells for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)))
-    rows = spark.createDataFrame([(1, k, *b) for k, b in enumerate(boxes)], "project_id int, feature_id int, x double, y double, w double, h double")
+    rows = spark.createDataFrame([(1, k, *map(float, b)) for k, b in enumerate(boxes)], "project_id int, feature_id int, x double, y double, w double, h double")
     rows = rows.withColumn("geom", geometry.box(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")))
     found = overlay.dissolved(rows, ["project_id"]).first()
     assert (found["area"], found["length"]) == pytest.approx((len(cells), border))
