@@ -26,8 +26,11 @@ one of 0.85 with 2e-7.  Long bands keep texts that share but a passage apart.
 
 Defined results: null counts as an empty text; a text without a word resembles
 its exact copies alone, one of fewer than five words has one shingle of them
-all; rows of one doc_id, null included, are one document; a class is named by its smallest
-doc_id; other columns play no part; an empty table gives no rows.
+all; a document is its text, whatever its doc_id: rows that share a doc_id, null
+included, are not joined by it; a class is named by its smallest doc_id, null
+before all others, and as classes can share that name, told apart by class_key;
+exactly one row of each class is kept, one with the class's name; other columns
+play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,9 +56,6 @@ SKETCH = 8
 MARKS = 256
 REGISTERS = BANDS * ROWS
 
-#: Stands for a null doc_id while classes are made.
-NO_ID = -(1 << 63)
-
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -137,7 +137,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.bitwise_or.at(sketch, (row, (bit % np.uint64(SKETCH)).astype(np.int64)), np.uint64(1) << (bit >> np.uint64(58)))
         sketches = pa.FixedSizeListArray.from_arrays(pa.array(sketch.view(np.int64).ravel()), SKETCH).cast(pa.list_(pa.int64()))
         size = pa.array(np.bincount(row, weights=weight, minlength=batch.num_rows).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), size, sketches, lists], names=["doc_id", "copy", "size", "sketch", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), batch.column("row"), size, sketches, lists], names=["doc_id", "copy", "row", "size", "sketch", "bands"])
 
 
 def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -161,26 +161,36 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         yield batch.select(["a", "b"]).filter(near)
 
 
+def _copy() -> Column:
+    """The digest that stands for a text."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
+def _place() -> Column:
+    """The bit of a text's first row among MARKS bitmaps."""
+    return F.pmod(F.xxhash64("doc_id", "copy"), F.lit(MARKS * 32768))
+
+
 def _marked(ids: DataFrame) -> DataFrame:
-    """(mark, bits): MARKS bitmaps of 4 kB with a bit for the hash of each id."""
-    place = F.pmod(F.xxhash64("id"), F.lit(MARKS * 32768))
+    """(mark, bits): MARKS bitmaps of 4 kB with a bit for the hash of each id's (doc_id, copy)."""
+    place = _place()
     return ids.groupBy(F.floor(place / 32768).cast("int").alias("mark")).agg(F.bitmap_construct_agg(place % 32768).alias("bits"))
 
 
 def _wanted(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of the ids.  The bitmaps, whose size is fixed, keep most others out of the shuffle; the join decides."""
-    place = F.pmod(F.xxhash64("id"), F.lit(MARKS * 32768))
+    """(id, text) of ids (id, doc_id, copy), one row each.  The bitmaps, whose size is fixed, keep most others out of the shuffle; the join decides."""
+    place = _place()
     rows = texts.withColumn("mark", F.floor(place / 32768).cast("int")).join(F.broadcast(_marked(ids)), "mark")
     bit = (place % 32768).cast("int")
     byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    some = rows.filter(F.getbit(byte, bit % 8) == 1)
-    return some.select("id", "text").join(ids, "id", "left_semi")
+    some = rows.filter(F.getbit(byte, bit % 8) == 1).groupBy("copy").agg(F.first("text").alias("text"))
+    return some.join(ids, "copy").select("id", "text")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Those pairs (a, b) of ids whose texts (id, text) are similar; rows of a text that stands in many pairs are spread by Spark's skew join."""
-    ids = stored(pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct())
-    known = stored(_wanted(texts, ids))
+def verified(pairs: DataFrame, names: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Those pairs (a, b) of ids, named (id, doc_id, copy), whose texts (doc_id, copy, text) are similar; rows of a text that stands in many pairs are spread by Spark's skew join."""
+    asked = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct()
+    known = stored(_wanted(texts, stored(names.join(asked, "id", "left_semi"))))
     left, right = known.select(F.col("id").alias("a"), F.col("text").alias("left")), known.select(F.col("id").alias("b"), F.col("text").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(partial(_verify, least=least), "a bigint, b bigint")
 
@@ -224,7 +234,8 @@ def _mixed(bucket: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def links(bands: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (id, size, sketch, bands) and (id, text): the verified links (a, b) and the classes (id, label) they make."""
+    """From (id, doc_id, copy, size, sketch, bands) and (doc_id, copy, text): the verified links (a, b) and the classes (id, label) they make."""
+    names = bands.select("id", "doc_id", "copy")
     nodes = bands.select("id", F.struct("size", "sketch").alias("node"))
     member = stored(bands.select("id", F.explode("bands").alias("band")))
     shared = member.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("band", "first")
@@ -232,7 +243,7 @@ def links(bands: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     star = bucket.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     both = star.join(nodes.withColumnsRenamed({"id": "a", "node": "left"}), "a").join(nodes.withColumnsRenamed({"id": "b", "node": "right"}), "b")
     compared = stored(both.filter(_comparable("left", "right")).select("a", "b"))
-    found = stored(verified(compared, texts))
+    found = stored(verified(compared, names, texts))
     labels = components(found)
     for k in range(ROUNDS + 1):
         mixed = _mixed(bucket, labels, nodes)
@@ -244,7 +255,7 @@ def links(bands: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         # a member of the main class is never on this side: it meets the others as their partner
         rows = mixed.filter("label <> main").alias("x").join(other.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("label") != F.col("to_label")) & _comparable("node", "to_node"))
         new = stored(rows.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct().join(compared, ["a", "b"], "left_anti"))
-        more = stored(verified(new, texts))
+        more = stored(verified(new, names, texts))
         if more.limit(1).count():
             found = found.unionByName(more)
             labels = components(found)
@@ -252,22 +263,33 @@ def links(bands: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """`doc_id`, `text` -> one row per document: doc_id, class_id, n_links (of its text to other texts), kept (one of each class)."""
-    doc_id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    rows = docs.select(doc_id.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = stored(rows.withColumn("copy", F.unhex(F.md5("text"))).mapInArrow(_sign, "doc_id bigint, copy binary, size bigint, sketch array<bigint>, bands array<bigint>"))
-    first = stored(signed.groupBy("copy").agg(F.min(F.struct("doc_id", "size", "sketch", "bands")).alias("x")).select("copy", F.col("x.doc_id").alias("id"), "x.size", "x.sketch", "x.bands"))
-    found, labels = links(first.select("id", "size", "sketch", "bands"), rows.select(F.col("doc_id").alias("id"), "text"))
+def _classes(docs: DataFrame) -> DataFrame:
+    """A row for each of `docs`: doc_id, copy, n_links, main (doc_id, copy of the row that its class keeps), kept."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _copy().alias("copy"), F.coalesce("text", F.lit("")).alias("text"))
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    signed = stored(numbered.mapInArrow(_sign, "doc_id bigint, copy binary, row bigint, size bigint, sketch array<bigint>, bands array<bigint>"))
+    # the nodes are the distinct texts, numbered as they are stored; doc_id comes back in the names of the classes
+    first = signed.groupBy("copy").agg(F.min(F.struct("doc_id", "row", "size", "sketch", "bands")).alias("x")).select("copy", "x.*")
+    first = stored(first.withColumn("id", F.monotonically_increasing_id()))
+    found, labels = links(first.select("id", "doc_id", "copy", "size", "sketch", "bands"), rows)
     sides = [found.groupBy(F.col(c).alias("id")).agg(F.count("*").alias("n")) for c in ("a", "b")]
     degree = sides[0].union(sides[1]).groupBy("id").agg(F.sum("n").alias("n_links"))
-    classes = first.select("copy", "id").join(labels.join(degree, "id"), "id", "left").select("copy", F.coalesce("label", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    named = signed.select("doc_id", "copy").join(classes, "copy")
-    shown = [F.nullif(c, F.lit(NO_ID)).alias(c) for c in ("doc_id", "class_id")]
-    return named.select(*shown, "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    one = first.select("id", "copy", F.struct("doc_id", "copy", "row").alias("own"))
+    top = labels.join(one, "id").groupBy("label").agg(F.min("own").alias("main"))
+    linked = labels.join(top, "label").join(degree, "id").select("id", "main", "n_links")
+    classes = one.join(linked, "id", "left").select("copy", F.coalesce("main", "own").alias("main"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return signed.select("doc_id", "copy", "row").join(classes, "copy").withColumn("kept", F.col("row") == F.col("main.row"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """`doc_id`, `text` -> one row per row: doc_id, class_id, n_links (of its text to other texts), kept (one of each class), class_key (the digest of the kept text)."""
+    return _classes(docs).select("doc_id", F.col("main.doc_id").alias("class_id"), "n_links", "kept", F.lower(F.hex("main.copy")).alias("class_key"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stay, one of each class, with their own columns."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = _classes(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("copy").alias("kept_copy"))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("kept_id")) & (F.col("own_copy") == F.col("kept_copy"))
+    # a text is in one class only, so what is left twice are rows of one doc_id and text
+    stay = docs.withColumn("own_copy", _copy()).join(kept, same, "left_semi").dropDuplicates(["own_copy"])
+    return stay.select(*(F.col(f"`{c}`") for c in docs.columns))

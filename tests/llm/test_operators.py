@@ -241,6 +241,27 @@ def test_null_ids_and_repeated_rows(spark):
     assert language.identify(docs).count() == quality.judge(docs).count() == 5
 
 
+def test_texts_under_one_id_are_not_joined(spark):
+    draw = random.Random(7)
+    texts = [" ".join(f"w{draw.randint(0, 900)}" for _ in range(60)) for _ in range(12)]
+    near = [t + " end" for t in texts]
+    # by fours under null, under 7, and under ids of their own; near copies under others; two rows of one id and text
+    ids = [None] * 4 + [7] * 4 + [20, 21, 22, 23]
+    rows = [*zip(ids, texts), *((40 + i, t) for i, t in enumerate(near)), (None, texts[0]), (7, texts[5])]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id bigint, text string, lang string").repartition(3)
+    found = neardup.near_duplicates(docs).collect()
+    assert len(found) == len(rows) and sum(r["kept"] for r in found) == 12
+    groups = {}
+    for r in found:
+        groups.setdefault(r["class_key"], []).append((r["doc_id"], r["class_id"]))
+    want = [[i, 40 + k] + ([i] if k in (0, 5) else []) for k, i in enumerate(ids)]
+    order = lambda x: sorted(x, key=repr)
+    assert order(order(d for d, _ in g) for g in groups.values()) == order(order(w) for w in want)
+    assert all(c == (None if None in (d for d, _ in g) else min(d for d, _ in g)) for g in groups.values() for _, c in g)
+    kept = neardup.one_of_each(docs)
+    assert kept.columns == docs.columns and order((r["doc_id"], r["text"]) for r in kept.collect()) == order(zip(ids, texts))
+
+
 def test_empty_tables(spark):
     docs = documents(spark, ["x"]).limit(0)
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
