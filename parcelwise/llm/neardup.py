@@ -233,8 +233,11 @@ def _mixed(bucket: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(named.join(main, "band").join(nodes, "id"))
 
 
-def links(bands: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (id, doc_id, copy, size, sketch, bands) and (doc_id, copy, text): the verified links (a, b) and the classes (id, label) they make."""
+def linked(bands: DataFrame, texts: DataFrame) -> DataFrame:
+    """From (id, doc_id, copy, size, sketch, bands) and (doc_id, copy, text): the classes (id, label) that the verified links make.
+
+    The links found are those that make the classes; pairs inside a class are not compared, so they are no count of near copies.
+    """
     names = bands.select("id", "doc_id", "copy")
     nodes = bands.select("id", F.struct("size", "sketch").alias("node"))
     member = stored(bands.select("id", F.explode("bands").alias("band")))
@@ -260,30 +263,28 @@ def links(bands: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
             found = found.unionByName(more)
             labels = components(found)
         compared = compared.unionByName(new)
-    return found, labels
+    return labels
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """A row for each of `docs`: doc_id, copy, n_links, main (doc_id, copy of the row that its class keeps), kept."""
+    """A row for each of `docs`: doc_id, copy, main (doc_id, copy of the row that its class keeps), kept."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _copy().alias("copy"), F.coalesce("text", F.lit("")).alias("text"))
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     signed = stored(numbered.mapInArrow(_sign, "doc_id bigint, copy binary, row bigint, size bigint, sketch array<bigint>, bands array<bigint>"))
     # the nodes are the distinct texts, numbered as they are stored; doc_id comes back in the names of the classes
     first = signed.groupBy("copy").agg(F.min(F.struct("doc_id", "row", "size", "sketch", "bands")).alias("x")).select("copy", "x.*")
     first = stored(first.withColumn("id", F.monotonically_increasing_id()))
-    found, labels = links(first.select("id", "doc_id", "copy", "size", "sketch", "bands"), rows)
-    sides = [found.groupBy(F.col(c).alias("id")).agg(F.count("*").alias("n")) for c in ("a", "b")]
-    degree = sides[0].union(sides[1]).groupBy("id").agg(F.sum("n").alias("n_links"))
+    labels = linked(first.select("id", "doc_id", "copy", "size", "sketch", "bands"), rows)
     one = first.select("id", "copy", F.struct("doc_id", "copy", "row").alias("own"))
     top = labels.join(one, "id").groupBy("label").agg(F.min("own").alias("main"))
-    linked = labels.join(top, "label").join(degree, "id").select("id", "main", "n_links")
-    classes = one.join(linked, "id", "left").select("copy", F.coalesce("main", "own").alias("main"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = labels.join(top, "label").select("id", "main")
+    classes = one.join(named, "id", "left").select("copy", F.coalesce("main", "own").alias("main"))
     return signed.select("doc_id", "copy", "row").join(classes, "copy").withColumn("kept", F.col("row") == F.col("main.row"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """`doc_id`, `text` -> one row per row: doc_id, class_id, n_links (of its text to other texts), kept (one of each class), class_key (the digest of the kept text)."""
-    return _classes(docs).select("doc_id", F.col("main.doc_id").alias("class_id"), "n_links", "kept", F.lower(F.hex("main.copy")).alias("class_key"))
+    """`doc_id`, `text` -> one row per row: doc_id, class_id, kept (one of each class), class_key (the digest of the kept text)."""
+    return _classes(docs).select("doc_id", F.col("main.doc_id").alias("class_id"), "kept", F.lower(F.hex("main.copy")).alias("class_key"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
