@@ -9,17 +9,21 @@ a point counts only if its cell lies below the weight.  Two signatures agree in
 a register with the probability of the weighted Jaccard similarity.  All points
 up to the time at which a text's registers are full are drawn by whole arrays.
 
-Steps: exact copies meet by a digest of the text, and one of them stands for
-all.  Bands of registers give candidates; each member of a band's bucket is
-compared with the bucket's smallest document, by the overlap of the multisets
-themselves.  Links make classes.  In buckets that hold more than one class the
-members of other classes are then compared with a document chosen by a hash, a
-few times over, which joins nearly all that belong together; at last, in
-buckets that still hold several classes, all pairs of documents of different
-classes are compared.  So no link between classes is lost to the stars, and
-pairs inside a class, which would change nothing, are not expanded.  Pairs that
-cannot be similar are not compared: a sketch has a bit for every shingle, and
-each bit that one text has and the other lacks is a shingle they don't share.
+Steps, each of at most one comparison a document but the last:
+
+1. Exact copies meet by a digest of the text, and one of them stands for all.
+2. Bands of registers give buckets.  A document is compared with one other: of
+   the smallest documents of its buckets, the one it shares most buckets with.
+3. Links make classes.  In buckets that hold several classes, a document outside
+   the largest is compared with one of that class, again the one met most often.
+4. The documents of buckets that still hold several classes are joined exactly:
+   similar ones must share a shingle among the first few of each, the rarest
+   first, and near enough to the front (prefix and position filter).  So no link
+   between classes of a bucket is lost, and a group of many texts that are
+   alike but not similar makes few pairs.
+
+A comparison is the overlap of the multisets themselves.  The text that many
+are compared with is sent once to each slice of at most SLICE of them.
 
 48 bands of 8 registers miss a pair of similarity 0.8 with probability 1.5e-4,
 one of 0.85 with 2e-7.  Long bands keep texts that share but a passage apart.
@@ -44,23 +48,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm import ragged
-from parcelwise.session import stored
+from parcelwise.session import released, stored
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 48, 8
-#: Rounds of comparisons with one document of a bucket after the first.
-ROUNDS = 2
-#: 64-bit words of a sketch, and of the bits that mark wanted ids (1 MB in all, whatever their number).
-SKETCH = 8
-MARKS = 256
 REGISTERS = BANDS * ROWS
+#: Texts that are compared with one text in one group.
+SLICE = 1000
+#: Bytes of text that are signed or compared at once.
+BLOCK = 1 << 20
+#: Points that are drawn at once.
+POINTS = 1 << 14
+#: Counters of shingles (8 MB in all, whatever their number); they only order the shingles.
+COUNTERS = 1 << 20
+#: Bitmaps of 4 kB that mark wanted ids (1 MB in all, whatever their number).
+MARKS = 256
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The multisets of a column of texts: (row, shingle hash, weight), by row."""
+    """The multisets of a column of texts: (row, shingle hash, weight), in no order."""
     text = ragged.Codes(*ragged.utf8(column))
     begin, end = ragged.runs(text, ragged.ascii_space_classes()[text.codes], ragged.LETTER)
     row = ragged.rows_of(begin, text.rows)
@@ -76,10 +85,12 @@ def shingles(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     for k in range(size):
         inside = at + k < ends
         value = ragged.mix(value * _GOLD + np.where(inside, words[np.minimum(at + k, max(len(words) - 1, 0))] if len(words) else np.uint64(0), np.uint64(0)))
-    _, sample, weight = np.unique(ragged.mix(value + owner.astype(np.uint64) * _GOLD), return_index=True, return_counts=True)
-    order = np.argsort(sample, kind="stable")
-    sample, weight = sample[order], weight[order]
-    return owner[sample], value[sample], weight
+    keyed = ragged.mix(value + owner.astype(np.uint64) * _GOLD)
+    order = np.argsort(keyed)
+    keyed = keyed[order]
+    head = np.flatnonzero(np.concatenate([np.ones(min(1, len(keyed)), bool), keyed[1:] != keyed[:-1]]))
+    sample = order[head]
+    return owner[sample], value[sample], np.diff(np.append(head, len(keyed)))
 
 
 def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n_rows: int, registers: int = REGISTERS) -> np.ndarray:
@@ -99,21 +110,33 @@ def _throw(out: np.ndarray, row: np.ndarray, element: np.ndarray, weight: np.nda
     """All points up to each row's horizon, into the registers."""
     registers = out.shape[1]
     level = 0
+    low32 = np.uint64(0xFFFFFFFF)
     while use.any():
         low, length = (0, 1) if level == 0 else (1 << (level - 1), 1 << (level - 1))
         use = use & (weight > low)
         own, most = row[use], weight[use] - low
-        state = ragged.mix(element[use] + ragged.mix(np.array([level + 1], np.uint64)))
-        time = np.zeros(len(own))
-        while len(own):
-            state = ragged.mix(state + _GOLD)
-            time = time - np.log1p(-(state >> np.uint64(11)).astype(float) * 2.0**-53) / (length * registers)
-            near = time <= horizon[own]
-            own, most, state, time = own[near], most[near], state[near], time[near]
-            where = ragged.mix(state ^ np.uint64(0x5851F42D4C957F2D))
-            cell = 0 if length == 1 else ((where >> np.uint64(32)).astype(np.int64) * length) >> 32
-            hit = np.broadcast_to(cell < most, own.shape)
-            np.minimum.at(out.ravel(), own[hit] * registers + (where[hit] & np.uint64(0xFFFFFFFF)).astype(np.int64) % registers, time[hit])
+        first, last = own * registers, horizon[own] * (length * registers)
+        base = ragged.mix(element[use] + ragged.mix(np.array([level + 1], np.uint64)))
+        time, drawn = np.zeros(len(own)), 0
+        while len(time):
+            # a point at a time for each of many shingles, many for each of few
+            some = min(512, max(1, POINTS // len(time)))
+            state = ragged.mix(base[:, None] + np.arange(drawn + 1, drawn + some + 1, dtype=np.uint64) * _GOLD)
+            gaps = -np.log(((state >> np.uint64(11)) + np.uint64(1)).astype(float) * 2.0**-53)
+            gaps[:, 0] += time
+            times = np.cumsum(gaps, axis=1)
+            near = times <= last[:, None]
+            where = ragged.mix(state[near] ^ np.uint64(0x5851F42D4C957F2D))
+            of = np.repeat(np.arange(len(time)), near.sum(axis=1)) if some > 1 else np.flatnonzero(near[:, 0])
+            register = first[of] + (((where & low32) * np.uint64(registers)) >> np.uint64(32)).astype(np.int64)
+            at = times[near] / (length * registers)
+            if length > 1:
+                hit = (((where >> np.uint64(32)) * np.uint64(length)) >> np.uint64(32)).astype(np.int64) < most[of]
+                register, at = register[hit], at[hit]
+            np.minimum.at(out.ravel(), register, at)
+            on = near[:, -1]
+            first, last, most, base, time = first[on], last[on], most[on], base[on], times[on, -1]
+            drawn += some
         level += 1
 
 
@@ -127,38 +150,57 @@ def band_keys(times: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in ragged.blocks(batches, "text", 3 << 20):
+    for batch in ragged.blocks(batches, "text", BLOCK):
         row, element, weight = shingles(batch.column("text"))
         keys = band_keys(signatures(row, element, weight, batch.num_rows))
         some = np.bincount(row, minlength=batch.num_rows) > 0
         lists = pa.ListArray.from_arrays(pa.array(ragged.offsets_of(some * BANDS).astype(np.int32)), pa.array(keys[some].ravel()))
-        sketch = np.zeros((batch.num_rows, SKETCH), np.uint64)
-        bit = ragged.mix(element)
-        np.bitwise_or.at(sketch, (row, (bit % np.uint64(SKETCH)).astype(np.int64)), np.uint64(1) << (bit >> np.uint64(58)))
-        sketches = pa.FixedSizeListArray.from_arrays(pa.array(sketch.view(np.int64).ravel()), SKETCH).cast(pa.list_(pa.int64()))
-        size = pa.array(np.bincount(row, weights=weight, minlength=batch.num_rows).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), batch.column("row"), size, sketches, lists], names=["doc_id", "copy", "row", "size", "sketch", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), batch.column("row"), lists], names=["doc_id", "copy", "row", "bands"])
 
 
 def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
     """The weighted Jaccard similarity of the shingles of each pair of texts."""
-    keys, weights, rows = [], [], []
-    for column in (left, right):
-        row, element, weight = shingles(column)
-        keys.append(ragged.mix(element + row.astype(np.uint64) * _GOLD))
-        weights.append(weight)
-        rows.append(row)
-    _, here, there = np.intersect1d(keys[0], keys[1], assume_unique=True, return_indices=True)
-    n = len(left)
-    both = np.bincount(rows[0][here], weights=np.minimum(weights[0][here], weights[1][there]), minlength=n)
-    total = np.bincount(rows[0], weights=weights[0], minlength=n) + np.bincount(rows[1], weights=weights[1], minlength=n)
+    (own, a, n), (to, b, m) = shingles(left), shingles(right)
+    return _overlap(own, a, n, to, b, m, len(left))
+
+
+def _overlap(own: np.ndarray, a: np.ndarray, n: np.ndarray, to: np.ndarray, b: np.ndarray, m: np.ndarray, rows: int) -> np.ndarray:
+    """The similarity of the multisets (row, element, weight) of either side, row by row."""
+    _, here, there = np.intersect1d(ragged.mix(a + own.astype(np.uint64) * _GOLD), ragged.mix(b + to.astype(np.uint64) * _GOLD), assume_unique=True, return_indices=True)
+    both = np.bincount(own[here], weights=np.minimum(n[here], m[there]), minlength=rows)
+    total = np.bincount(own, weights=n, minlength=rows) + np.bincount(to, weights=m, minlength=rows)
     return both / np.maximum(total - both, 1)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    for batch in ragged.blocks(batches, "left", 2 << 20):
-        near = pa.array(similarity(batch.column("left"), batch.column("right")) >= least)
-        yield batch.select(["a", "b"]).filter(near)
+    """Rows (a, b, text) sorted by a, each a's own text (b null) first -> the similar (a, b)."""
+    centre = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for batch in ragged.blocks(batches, "text", BLOCK):
+        row, element, weight = shingles(batch.column("text"))
+        order = np.argsort(row, kind="stable")
+        row, element, weight = row[order], element[order], weight[order]
+        cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        heads = np.flatnonzero(batch.column("b").is_null().to_numpy(zero_copy_only=False))
+        near = np.zeros(batch.num_rows, bool)
+        for start, stop in zip([-1, *heads], [*heads, batch.num_rows], strict=True):
+            if start >= 0:
+                own = slice(cuts[start], cuts[start + 1])
+                centre = (element[own], weight[own])
+            inner = slice(cuts[start + 1], cuts[stop])
+            near[start + 1 : stop] = _near(centre, row[inner] - start - 1, element[inner], weight[inner], stop - start - 1) >= least
+        yield batch.select(["a", "b"]).filter(pa.array(near))
+
+
+def _near(centre: tuple[np.ndarray, np.ndarray], row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+    """The similarity of one multiset with each of some others."""
+    names, units = centre
+    order = np.argsort(names)
+    names, units = names[order], units[order]
+    at = np.minimum(np.searchsorted(names, element), max(0, len(names) - 1))
+    shared = np.where(names[at] == element, np.minimum(weight, units[at]), 0) if len(names) else np.zeros(len(element), np.int64)
+    both = np.bincount(row, weights=shared, minlength=rows)
+    total = np.bincount(row, weights=weight, minlength=rows) + units.sum()
+    return both / np.maximum(total - both, 1)
 
 
 def _copy() -> Column:
@@ -187,12 +229,20 @@ def _wanted(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return some.join(ids, "copy").select("id", "text")
 
 
-def verified(pairs: DataFrame, names: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Those pairs (a, b) of ids, named (id, doc_id, copy), whose texts (doc_id, copy, text) are similar; rows of a text that stands in many pairs are spread by Spark's skew join."""
-    asked = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct()
-    known = stored(_wanted(texts, stored(names.join(asked, "id", "left_semi"))))
-    left, right = known.select(F.col("id").alias("a"), F.col("text").alias("left")), known.select(F.col("id").alias("b"), F.col("text").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(partial(_verify, least=least), "a bigint, b bigint")
+def verified(pairs: DataFrame, known: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Those pairs (a, b) of ids whose texts (known: id, text) are similar.
+
+    The text of `a` is sent once to each slice of its partners, and stays in the
+    task while these pass; so a text with many partners is neither copied for
+    each nor compared in one task.
+    """
+    slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("n"))
+    member = pairs.join(slices, "a").select("a", F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("slice"), "b")
+    centre = slices.select("a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slice"), F.lit(None).cast("bigint").alias("b"))
+    asked = member.unionByName(centre).withColumn("id", F.coalesce("b", "a"))
+    rows = asked.join(known, "id").select("a", "slice", "b", "text")
+    sorted_ = rows.repartition("a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
+    return sorted_.select("a", "b", "text").mapInArrow(partial(_verify, least=least), "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -208,73 +258,127 @@ def components(links: DataFrame) -> DataFrame:
         nearer = labels.join(near, "id").select("id", F.least("label", "near").alias("to"), F.col("label").alias("old"))
         jump = labels.select(F.col("id").alias("to"), F.col("label").alias("next"))
         found = stored(nearer.join(jump, "to").select("id", F.least("to", "next").alias("label"), "old"))
-        labels = found.select("id", "label")
+        released(labels)
+        labels = found
         if not found.filter("label <> old").limit(1).count():
-            return labels
+            released(both)
+            return found.select("id", "label")
 
 
-def _comparable(one: str, two: str) -> Column:
-    """Whether sizes and sketches (structs of both) leave room for the similarity.
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes (id, label) after more links (a, b): what is joined are the classes, not their members."""
+    for side in ("a", "b"):
+        links = links.join(labels.select(F.col("id").alias(side), F.col("label").alias("to")), side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+    found = components(links.filter("a <> b").distinct())
+    moved = labels.join(found.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    return stored(moved.unionByName(found.join(labels, "id", "left_anti").select("id", "label")))
 
-    With d bits that only one of the two has, at least d of the n units of both
-    are not shared: the similarity is (n - d) / (n + d) at most.
-    """
-    a, b = F.col(one), F.col(two)
-    only = sum((F.bit_count(F.get(x["sketch"], F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y["sketch"], F.lit(i))))) for x, y in ((a, b), (b, a)) for i in range(SKETCH)), F.lit(0))
-    total = a["size"] + b["size"]
-    return (F.least(a["size"], b["size"]) >= SIMILAR * F.greatest(a["size"], b["size"])) & (total - only >= SIMILAR * (total + only))
+
+def _most_met(met: DataFrame) -> DataFrame:
+    """(a, b) once for each bucket that offers it -> one pair for each b: the a offered most often, the smaller of two."""
+    times = met.groupBy("a", "b").agg(F.count("*").alias("n"))
+    return times.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
 
 
-def _mixed(bucket: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The members (band, id, node, label) of buckets with more than one class, and each bucket's largest class, `main`."""
+def _mixed(bucket: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members (band, id, label) of buckets with more than one class, and each bucket's largest class, `main`."""
     named = bucket.join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
     classes = named.groupBy("band", "label").agg(F.count("*").alias("n"))
     main = classes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("n")).filter("n > 1").select("band", F.col("top.label").alias("main"))
-    return stored(named.join(main, "band").join(nodes, "id"))
+    return stored(named.join(main, "band"))
+
+
+def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of each counter's shingles among the texts of a task."""
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in ragged.blocks(batches, "text", BLOCK):
+        _, element, _ = shingles(batch.column("text"))
+        total += np.bincount((element % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    at = np.flatnonzero(total)
+    for k in range(0, len(at), 1 << 16):
+        part = at[k : k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["counter", "n"])
 
 
-def linked(bands: DataFrame, texts: DataFrame) -> DataFrame:
-    """From (id, doc_id, copy, size, sketch, bands) and (doc_id, copy, text): the classes (id, label) that the verified links make.
+def _prefixes(batches: Iterator[pa.RecordBatch], counters, least: float) -> Iterator[pa.RecordBatch]:
+    """(id, label, text) -> (id, label, size, place, shingle): the first shingles of each text, rarest first, and the units before each.
 
-    The links found are those that make the classes; pairs inside a class are not compared, so they are no count of near copies.
+    Two multisets of n and m units that are similar share `least` times the
+    larger one at least; so a text's first n - least * n + 1 units hold one of those.
     """
-    names = bands.select("id", "doc_id", "copy")
-    nodes = bands.select("id", F.struct("size", "sketch").alias("node"))
-    member = stored(bands.select("id", F.explode("bands").alias("band")))
+    common = counters.value
+    for batch in ragged.blocks(batches, "text", BLOCK):
+        row, element, weight = shingles(batch.column("text"))
+        order = np.lexsort((element, common[(element % np.uint64(COUNTERS)).astype(np.int64)], row))
+        row, element, weight = row[order], element[order], weight[order]
+        size = np.bincount(row, weights=weight, minlength=batch.num_rows).astype(np.int64)
+        before = np.cumsum(weight) - weight
+        first = np.searchsorted(row, np.arange(batch.num_rows))
+        place = before - before[first[row]] if len(row) else before
+        use = place <= size[row] - np.ceil(least * size[row] - 1e-9)
+        row = row[use]
+        columns = [batch.column(c).take(pa.array(row)) for c in ("id", "label")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(size[row]), pa.array(place[use]), pa.array(element[use].view(np.int64))], names=["id", "label", "size", "place", "shingle"])
+
+
+def rare_pairs(texts: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Of (id, label, text), the pairs (a, b) of different labels that may be similar: none that is gets lost.
+
+    A pair must share a shingle among the first of both, and after the first
+    that they share each must have as many units left as the overlap needs.
+    The order of the shingles only has to be the same for all; counters of fixed
+    number make it nearly that of rarity.  Of each shingle's documents, those
+    outside its most frequent label meet the others; those inside don't meet.
+    """
+    spark = texts.sparkSession
+    counted = texts.select("text").mapInArrow(_counters, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(COUNTERS, np.int64)
+    common[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
+    counters = spark.sparkContext.broadcast(common)
+    first = stored(texts.select("id", "label", "text").mapInArrow(partial(_prefixes, counters=counters, least=least), "id bigint, label bigint, size bigint, place bigint, shingle bigint"))
+    labels = first.groupBy("shingle", "label").agg(F.count("*").alias("n"))
+    main = labels.groupBy("shingle").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("n")).filter("n > 1").select("shingle", F.col("top.label").alias("main"))
+    rows = stored(first.join(main, "shingle"))
+    released(first)
+    x, y = rows.filter("label <> main").alias("x"), rows.alias("y")
+    col = lambda name: (F.col(f"x.{name}"), F.col(f"y.{name}"))
+    (n, m), (i, j) = col("size"), col("place")
+    need = F.ceil(F.lit(least / (1 + least)) * (n + m) - F.lit(1e-9))
+    alike = (F.least(n, m) >= F.lit(least) * F.greatest(n, m)) & (F.least(n - i, m - j) >= need)
+    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & once & alike)
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def linked(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """From (id, doc_id, copy, bands) and (doc_id, copy, text): the classes (id, label) that the similar pairs make."""
+    member = nodes.select("id", F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("band", "first")
     bucket = stored(member.join(shared, "band"))
-    star = bucket.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    both = star.join(nodes.withColumnsRenamed({"id": "a", "node": "left"}), "a").join(nodes.withColumnsRenamed({"id": "b", "node": "right"}), "b")
-    compared = stored(both.filter(_comparable("left", "right")).select("a", "b"))
-    found = stored(verified(compared, names, texts))
-    labels = components(found)
-    for k in range(ROUNDS + 1):
-        mixed = _mixed(bucket, labels, nodes)
-        if k < ROUNDS:
-            chosen = mixed.filter("label = main").groupBy("band").agg(F.min_by(F.struct("id", "node", "label"), F.xxhash64("id", "band", F.lit(k))).alias("one")).select("band", "one.*")
-        else:
-            chosen = mixed.drop("main")
-        other = chosen.select("band", F.col("id").alias("to"), F.col("node").alias("to_node"), F.col("label").alias("to_label"))
-        # a member of the main class is never on this side: it meets the others as their partner
-        rows = mixed.filter("label <> main").alias("x").join(other.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("label") != F.col("to_label")) & _comparable("node", "to_node"))
-        new = stored(rows.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct().join(compared, ["a", "b"], "left_anti"))
-        more = stored(verified(new, names, texts))
-        if more.limit(1).count():
-            found = found.unionByName(more)
-            labels = components(found)
-        compared = compared.unionByName(new)
-    return labels
+    asked = stored(nodes.select("id", "doc_id", "copy").join(bucket.select("id").distinct(), "id", "left_semi"))
+    known = stored(_wanted(texts, asked))
+    star = stored(_most_met(bucket.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))))
+    labels = components(stored(verified(star, known)))
+    mixed = _mixed(bucket, labels)
+    one = mixed.filter("label = main").groupBy("band").agg(F.min_by("id", F.xxhash64("id", "band")).alias("a"))
+    met = mixed.filter("label <> main").join(one, "band").select("a", F.col("id").alias("b"))
+    labels = merged(labels, stored(verified(stored(_most_met(met.join(star, ["a", "b"], "left_anti"))), known)))
+    released(mixed)
+    mixed = _mixed(bucket, labels)
+    rest = mixed.select("id", "label").distinct()
+    pairs = stored(rare_pairs(stored(known.join(rest, "id"))))
+    return merged(labels, stored(verified(pairs, known)))
 
 
 def _classes(docs: DataFrame) -> DataFrame:
     """A row for each of `docs`: doc_id, copy, main (doc_id, copy of the row that its class keeps), kept."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _copy().alias("copy"), F.coalesce("text", F.lit("")).alias("text"))
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    signed = stored(numbered.mapInArrow(_sign, "doc_id bigint, copy binary, row bigint, size bigint, sketch array<bigint>, bands array<bigint>"))
+    signed = stored(numbered.mapInArrow(_sign, "doc_id bigint, copy binary, row bigint, bands array<bigint>"))
     # the nodes are the distinct texts, numbered as they are stored; doc_id comes back in the names of the classes
-    first = signed.groupBy("copy").agg(F.min(F.struct("doc_id", "row", "size", "sketch", "bands")).alias("x")).select("copy", "x.*")
+    first = signed.groupBy("copy").agg(F.min(F.struct("doc_id", "row", "bands")).alias("x")).select("copy", "x.*")
     first = stored(first.withColumn("id", F.monotonically_increasing_id()))
-    labels = linked(first.select("id", "doc_id", "copy", "size", "sketch", "bands"), rows)
+    labels = linked(first.select("id", "doc_id", "copy", "bands"), rows)
     one = first.select("id", "copy", F.struct("doc_id", "copy", "row").alias("own"))
     top = labels.join(one, "id").groupBy("label").agg(F.min("own").alias("main"))
     named = labels.join(top, "label").select("id", "main")
@@ -288,9 +392,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one of each class, with their own columns."""
-    kept = _classes(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("copy").alias("kept_copy"))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("kept_id")) & (F.col("own_copy") == F.col("kept_copy"))
+    """The documents that stay, one of each class, with their own columns.
+
+    Rows that share doc_id and text and differ elsewhere: the one with the
+    smallest hash of its columns stays.
+    """
+    kept = _classes(docs).filter("kept").select(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "copy").alias("of"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.struct(F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("")).alias("id"), _copy().alias("copy")).alias("of"))
+    plain = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     # a text is in one class only, so what is left twice are rows of one doc_id and text
-    stay = docs.withColumn("own_copy", _copy()).join(kept, same, "left_semi").dropDuplicates(["own_copy"])
-    return stay.select(*(F.col(f"`{c}`") for c in docs.columns))
+    stay = whole.join(kept, "of", "left_semi").groupBy("of").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+    return stay.select(*(F.col(f"row.`{c}`") for c in docs.columns))
