@@ -12,8 +12,9 @@ up to the time at which a text's registers are full are drawn by whole arrays.
 Steps, each of at most one comparison a document but the last:
 
 1. Exact copies meet by a digest of the text, and one of them stands for all.
-2. Bands of registers give buckets.  A document is compared with one other: of
-   the smallest documents of its buckets, the one it shares most buckets with.
+2. Bands of registers give buckets, each with a centre: its document that lies
+   in the fullest buckets.  A document is compared with one of the centres of
+   its buckets, the one it meets most often.
 3. Links make classes.  In buckets that hold several classes, a document outside
    the largest is compared with one of that class, again the one met most often.
 4. The documents of buckets that still hold several classes are joined exactly:
@@ -281,8 +282,8 @@ def _most_met(met: DataFrame) -> DataFrame:
 
 
 def _mixed(bucket: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members (band, id, label) of buckets with more than one class, and each bucket's largest class, `main`."""
-    named = bucket.join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
+    """The members (band, id, fame, label) of buckets with more than one class, and each bucket's largest class, `main`."""
+    named = bucket.join(labels, "id", "left").select("band", "id", "fame", F.coalesce("label", "id").alias("label"))
     classes = named.groupBy("band", "label").agg(F.count("*").alias("n"))
     main = classes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("n")).filter("n > 1").select("band", F.col("top.label").alias("main"))
     return stored(named.join(main, "band"))
@@ -353,14 +354,20 @@ def rare_pairs(texts: DataFrame, least: float = SIMILAR) -> DataFrame:
 def linked(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """From (id, doc_id, copy, bands) and (doc_id, copy, text): the classes (id, label) that the similar pairs make."""
     member = nodes.select("id", F.explode("bands").alias("band"))
-    shared = member.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("band", "first")
-    bucket = stored(member.join(shared, "band"))
+    shared = member.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    met_in = stored(member.join(shared, "band"))
+    # the text that most others resemble, as it lies in the fullest buckets, is the one to compare with
+    fame = met_in.groupBy("id").agg(F.sum("n").alias("fame"))
+    bucket = stored(met_in.select("band", "id").join(fame, "id"))
+    released(met_in)
+    centre = F.max_by("id", F.struct("fame", -F.col("id"))).alias("a")
     asked = stored(nodes.select("id", "doc_id", "copy").join(bucket.select("id").distinct(), "id", "left_semi"))
     known = stored(_wanted(texts, asked))
-    star = stored(_most_met(bucket.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))))
+    first = bucket.groupBy("band").agg(centre)
+    star = stored(_most_met(bucket.join(first, "band").filter("id <> a").select("a", F.col("id").alias("b"))))
     labels = components(stored(verified(star, known)))
     mixed = _mixed(bucket, labels)
-    one = mixed.filter("label = main").groupBy("band").agg(F.min_by("id", F.xxhash64("id", "band")).alias("a"))
+    one = mixed.filter("label = main").groupBy("band").agg(centre)
     met = mixed.filter("label <> main").join(one, "band").select("a", F.col("id").alias("b"))
     labels = merged(labels, stored(verified(stored(_most_met(met.join(star, ["a", "b"], "left_anti"))), known)))
     released(mixed)
