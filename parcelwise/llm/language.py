@@ -7,13 +7,16 @@ weight of the shorter context.  A text gets the language of the lowest
 cross-entropy per letter.
 
 The distinct words of a block are scored once.  Prediction is narrow: no
-shuffle; the model is broadcast, and its size is bounded by the learning sample
-(DOCS_PER_LANGUAGE documents of each of at most MAX_LANGUAGES languages).
+shuffle; the model is broadcast.  It is learned from a sample of every language
+in the table, at most DOCS_PER_LANGUAGE different documents of each, as far as
+they fit BYTES_PER_LANGUAGE (the first whatever its length); so its size is
+bounded for each language, and grows with their number alone.
 
-Rejection is calibrated on a fifth of the sample that the models don't see: a
-text of n letters is rejected if its cross-entropy is above the language's mean
-by more than LEAST_EXCESS and by more than 1.5 times the largest such excess, in
-units of 1/sqrt(n).
+Rejection is calibrated on a fifth of the sample that the models don't see.  Of
+its texts the largest excess of the cross-entropy over the language's mean is
+taken twice: as it is, and in units of 1/sqrt(letters), as short texts vary more.
+A text is rejected if its own excess is above MARGIN times the sum of the two,
+the second for its number of letters.
 
 Defined results: a text that is null, empty or without a letter is `und`, with
 score 0, and rejected; so is every text if no row is left to learn from; ties go
@@ -32,11 +35,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from parcelwise.llm import ragged
 
 DOCS_PER_LANGUAGE = 1000
-MAX_LANGUAGES = 128
+BYTES_PER_LANGUAGE = 8 << 20
 ORDER = 4
 DISCOUNT = 0.75
 #: Letters that a language may have besides those seen.
@@ -44,8 +48,8 @@ UNSEEN_LETTERS = 1000
 #: Sharpness of the score: cross-entropy differences (nats a letter) to odds.
 SHARPNESS = 12.0
 
-#: Cross-entropy (nats a letter) above the mean that is never rejected.
-LEAST_EXCESS = 1.5
+#: How far beyond the calibration texts a text must lie to be rejected.
+MARGIN = 1.5
 
 BEGIN, END = 2, 3
 
@@ -111,6 +115,7 @@ class Model:
     contexts: list[tuple[np.ndarray, np.ndarray]]
     uniform: np.ndarray
     mean: np.ndarray
+    spread: np.ndarray
     excess: np.ndarray
 
     def costs(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -186,36 +191,40 @@ def learn(texts: dict[str, list[str]]) -> Model | None:
     found = [_language_counts(known) for known, _ in split.values()]
     each = lambda part, n: [f[part][n] for f in found]
     size = len(split)
-    model = Model(list(split), [_joined(each(0, n), 0.0) for n in range(ORDER)], [_joined(each(1, n), 1.0) for n in range(ORDER)], np.full(size, 1 / UNSEEN_LETTERS), np.zeros(size), np.zeros(size))
+    model = Model(list(split), [_joined(each(0, n), 0.0) for n in range(ORDER)], [_joined(each(1, n), 1.0) for n in range(ORDER)], np.full(size, 1 / UNSEEN_LETTERS), np.zeros(size), np.full(size, np.inf), np.full(size, np.inf))
     for j, (_, kept) in enumerate(split.values()):
         cost, n = model.score(kept)
         cost, n = cost[n > 0, j], n[n > 0]
         if len(n):
             model.mean[j] = np.average(cost, weights=n)
-            model.excess[j] = 1.5 * max(1.0, ((cost - model.mean[j]) * np.sqrt(n)).max())
-        else:
-            model.excess[j] = np.inf
+            over = np.maximum(cost - model.mean[j], 0)
+            model.spread[j], model.excess[j] = over.max(), (over * np.sqrt(n)).max()
     return model
 
 
-def sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> dict[str, list[str]]:
-    """Of each language, about `per_language` documents, in the order of a hash of their ids."""
+def sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, most_bytes: int = BYTES_PER_LANGUAGE) -> dict[str, list[str]]:
+    """Of each language, up to `per_language` different documents of up to `most_bytes` together, in the order of a hash of id and text."""
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    share = F.lit(None).cast("double")
-    for row in sizes:
-        share = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, per_language / row["n"]))).otherwise(share)
-    place = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = known.withColumn("place", place).filter(F.col("place") < share).orderBy("place").limit(2 * per_language * max(1, len(sizes))).select("lang", "text").toArrow()
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 62))
+    # about twice as many as are wanted leave the scan; equal rows have one place and become one
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.count("*"))
+    shares = known.groupBy("lang").agg(F.floor(share * float(1 << 62)).cast("bigint").alias("share"))
+    some = known.withColumn("place", place).join(shares, "lang").filter(F.col("place") <= F.col("share"))
+    rows = some.groupBy("lang", "place").agg(F.first("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("place")
+    first = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
+    size = F.octet_length("text")
+    kept = first.withColumn("before", F.sum(size).over(order) - size).filter((F.col("before") + size <= most_bytes) | (F.col("rank") == 1))
+    found = kept.orderBy("lang", "place").select("lang", "text").toArrow()
     out: dict[str, list[str]] = {}
-    for lang, text in zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist(), strict=True):
+    for lang, text in zip(found.column("lang").to_pylist(), found.column("text").to_pylist(), strict=True):
         out.setdefault(lang, []).append(text)
     return out
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     found: Model | None = model.value
-    for batch in ragged.blocks(batches, "text", 3 << 20):
+    for batch in ragged.blocks(batches, "text", 1 << 20):
         n = batch.num_rows
         lang, score, cost_out, out = ["und"] * n, np.zeros(n), np.full(n, np.nan), np.ones(n, bool)
         if found is not None:
@@ -226,7 +235,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
             some = letters > 0
             lang = [found.languages[b] if s else "und" for b, s in zip(best, some, strict=True)]
             score = np.where(some, 1 / odds, 0.0)
-            out = ~some | (low > found.mean[best] + np.maximum(LEAST_EXCESS, found.excess[best] / np.sqrt(np.maximum(letters, 1))))
+            out = ~some | (low > found.mean[best] + MARGIN * (found.spread[best] + found.excess[best] / np.sqrt(np.maximum(letters, 1))))
             cost_out = np.where(some, low, np.nan)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang), pa.array(score), pa.array(cost_out), pa.array(out)], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 

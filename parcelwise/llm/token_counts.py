@@ -4,6 +4,8 @@ A block's pre-tokens are held as ragged numpy arrays; in each round every
 sequence applies its lowest-rank pair, all at the same time, and the symbols
 that survive the last round are counted.  Equal pre-tokens of a block are merged
 once.  The job is narrow: no shuffle, and a task holds one block at a time.
+A pre-token of over 96 symbols, which would need as many rounds, is merged by a
+heap of its pairs instead, with the same symbols as result.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows
 give repeated results; other columns play no part; an empty table gives no rows.
@@ -28,9 +30,13 @@ from parcelwise.llm.merges import merge_file, merge_ragged
 _COUNTS = "doc_id bigint, n_bytes bigint, n_tokens bigint"
 
 
+#: Lower case of a sigma by itself, and of capitals that are newer than Python's tables (fixed values).
+LOWER = str.maketrans({"Σ": "σ", "\ua7cb": "\u0264", "\ua7dc": "\u019b"})
+
+
 def normalized(text: str) -> str:
     """Canonical composition, then the lower case of each character by itself."""
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    return unicodedata.normalize("NFC", text).translate(LOWER).lower()
 
 
 def word_starts(text: ragged.Codes) -> tuple[np.ndarray, np.ndarray]:
