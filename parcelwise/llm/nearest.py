@@ -4,10 +4,11 @@ Vectors are projected to a few dimensions by 2-stable (Gaussian) directions, so
 that the squared projected distance of a pair at distance d is d² times a
 chi-square variable.  Projected space is cut into cells by a kd-tree that is fit
 on a bounded sample; every row goes into a cell, and each cell into blocks of
-bounded size.  In a block a kd-tree orders its leaves by projected distance from
-the query; the leaves' vectors are verified by their true distance until, with
-the kth distance found so far, the chi-square test says that a nearer neighbour
-is unlikely to be left.
+bounded size.  In a block the points come in the order of their projected
+distance from the query: a kd-tree opens its leaves by the distance of their
+boxes, and a point's turn is when no unopened leaf can hold a nearer one.  Each
+point is verified by its true distance, until with the kth distance found so far
+the chi-square test says that a nearer neighbour is unlikely to be left.
 
 The search has two rounds.  A query first looks into the blocks of its own cell;
 with the kth distance found there, the same test names the other cells that may
@@ -44,6 +45,8 @@ SAMPLE_ROWS = 20_000
 #: Rows of a block: one task's kd-tree.
 BLOCK_ROWS = 8192
 LEAF_ROWS = 32
+#: Queries that meet a block at once.
+QUERY_ROWS = 2048
 
 
 def directions(dim: int, low: int, seed: int = 7) -> np.ndarray:
@@ -183,42 +186,66 @@ def _assign(frames: Iterator[pd.DataFrame], cells: Cells) -> Iterator[pd.DataFra
         yield frame.assign(cell=cells.home(_matrix(frame["vector"], len(cells.matrix)) @ cells.matrix))
 
 
-FOUND = "query_id bigint, vec_id bigint, distance double"
+FOUND = "query_id bigint, vec_id bigint, distance double, verified bigint"
+#: Points that are verified between two tests.
+STEP = 32
 
 
 def _search(frame: pd.DataFrame, cells: Cells, k: int, bound: float) -> pd.DataFrame:
-    """The k nearest of each query in one block; `reach` is the kth squared distance known before, if any."""
+    """The k nearest of each query in one block; `reach` is the kth squared distance known before, if any.
+
+    `verified` is the number of points whose true distance was taken, on a query's first row.
+    """
     dim = len(cells.matrix)
     is_query = frame["reach"].notna().to_numpy()
     queries, rows = frame[is_query], frame[~is_query]
-    if not len(queries) or not len(rows):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
-    vectors, ids = _matrix(rows["vector"], dim), rows["vec_id"].to_numpy()
-    tree = Tree.build(vectors @ cells.matrix, LEAF_ROWS)
-    vectors, ids = vectors[tree.order], ids[tree.order]
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for query, reach, raw in zip(queries["vec_id"], queries["reach"], queries["vector"], strict=True):
-        target = np.frombuffer(raw, float)
-        far = tree.distances(target @ cells.matrix)
-        near_ids, near = np.zeros(0, np.int64), np.zeros(0)
-        at, step, leaves = 0, 8, np.argsort(far, kind="stable")
-        while at < len(leaves):
-            if far[leaves[at]] > bound * reach:
-                break
-            picked = leaves[at : at + step]
-            picked = picked[far[picked] <= bound * reach]
-            found = np.concatenate([np.arange(tree.begin[x], tree.begin[x + 1]) for x in picked])
-            found = found[ids[found] != query]
-            gap = vectors[found] - target
-            near, near_ids = np.concatenate([near, (gap * gap).sum(axis=1)]), np.concatenate([near_ids, ids[found]])
+    out: list[tuple[np.ndarray, ...]] = []
+    if len(queries) and len(rows):
+        vectors, ids = _matrix(rows["vector"], dim), rows["vec_id"].to_numpy()
+        points = vectors @ cells.matrix
+        tree = Tree.build(points, LEAF_ROWS)
+        vectors, points, ids = vectors[tree.order], points[tree.order], ids[tree.order]
+        for query, reach, raw in zip(queries["vec_id"], queries["reach"], queries["vector"], strict=True):
+            target = np.frombuffer(raw, float)
+            near_ids, near, n = _nearest(target, target @ cells.matrix, query, reach, vectors, points, ids, tree, k, bound)
+            out.append((np.full(len(near), query), near_ids, near, np.where(np.arange(len(near)) == 0, n, 0)))
+    columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, float, np.int64)]
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "distance", "verified"), columns, strict=True)))
+
+
+def _nearest(target: np.ndarray, low: np.ndarray, query: int, reach: float, vectors: np.ndarray, points: np.ndarray, ids: np.ndarray, tree: Tree, k: int, bound: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """One query's incremental search: (ids, squared distances, points verified)."""
+    far = tree.distances(low)
+    leaves = np.argsort(far, kind="stable")
+    far = np.append(far[leaves], np.inf)
+    near_ids, near, verified, opened = np.zeros(0, np.int64), np.zeros(0), 0, 0
+    waiting, gaps = np.zeros(0, np.int64), np.zeros(0)
+    while True:
+        # a projected point beyond `edge` may come after one of a leaf that is still closed
+        more = leaves[opened : opened + 8][far[opened : opened + 8][: len(leaves) - opened] <= bound * reach]
+        opened += len(more)
+        edge = far[opened] if len(more) else np.inf
+        fresh = np.concatenate([np.arange(tree.begin[x], tree.begin[x + 1]) for x in more]) if len(more) else np.zeros(0, np.int64)
+        fresh = fresh[ids[fresh] != query]
+        gap = points[fresh] - low
+        waiting, gaps = np.concatenate([waiting, fresh]), np.concatenate([gaps, (gap * gap).sum(axis=1)])
+        order = np.argsort(gaps, kind="stable")
+        waiting, gaps = waiting[order], gaps[order]
+        turn = int(np.searchsorted(gaps, edge, "right"))
+        at = 0
+        while at < turn and gaps[at] <= bound * reach:
+            stop = min(at + STEP, int(np.searchsorted(gaps[:turn], bound * reach, "right")))
+            gap = vectors[waiting[at:stop]] - target
+            near, near_ids = np.concatenate([near, (gap * gap).sum(axis=1)]), np.concatenate([near_ids, ids[waiting[at:stop]]])
             best = np.lexsort((near_ids, near))[:k]
             near, near_ids = near[best], near_ids[best]
+            verified += stop - at
+            at = stop
             if len(near) == k:
                 reach = min(reach, near[-1])
-            at += step
-        out.append((np.full(len(near), query), near_ids, near))
-    columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-    return pd.DataFrame(dict(zip(("query_id", "vec_id", "distance"), columns, strict=True)))
+        if not len(more) or at < turn:
+            return near_ids, near, verified
+        waiting, gaps = waiting[at:], gaps[at:]
 
 
 def _visits(frames: Iterator[pd.DataFrame], cells: Cells, bound: float) -> Iterator[pd.DataFrame]:
@@ -236,23 +263,24 @@ def top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", order).filter(F.col("rank") <= k)
 
 
-def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, low: int = 8, certainty: float = 0.98, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """`vec_id`, `embedding` -> query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by `every`.
+def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, low: int = 32, certainty: float = 0.92, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """`vec_id`, `embedding` -> query_id, rank, vec_id, score, verified: the k nearest found of each row whose id is divisible by `every`.
 
     `low` (even) projected dimensions; a search stops once a nearer neighbour
     would, with probability `certainty`, have shown up in projected space by then.
+    `verified` is the number of vectors whose distance from the query was taken.
     """
     spark = vectors.sparkSession
     columns = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     dims = columns.filter("size(embedding) > 0").groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     if not dims:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double, verified bigint")
     dim = dims[0]["dim"]
     clean = stored(columns.mapInArrow(partial(_clean, dim=dim, k=k, every=every), "vec_id bigint, vector binary, candidate boolean, query boolean"))
     total = clean.count()
     sample = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vector").toPandas()
     if not total:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double, verified bigint")
     cells = Cells.fit(_matrix(sample["vector"], dim), directions(dim, low), max(1, min(len(sample) // 16, round(total / block_rows))))
     placed = stored(clean.mapInPandas(partial(_assign, cells=cells), "vec_id bigint, vector binary, candidate boolean, query boolean, cell bigint"))
     # blocks of a cell, so that a cell with many rows is many tasks
@@ -261,13 +289,20 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, low: int = 8,
     bound = chi_square_bound(certainty, low)
 
     def search(asked: DataFrame) -> DataFrame:
-        each = asked.join(F.broadcast(n_blocks), "cell").select("vec_id", "vector", "cell", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "reach")
-        return rows.unionByName(each).groupBy("cell", "block").applyInPandas(lambda frame: _search(frame, cells, k, bound), FOUND)
+        # slices of a cell's queries, so that a block meets a bounded number of them at once
+        n_slices = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("n_slices"))
+        sliced = F.explode(F.sequence(F.lit(0), F.col("n_slices") - 1)).alias("slice")
+        given = rows.join(F.broadcast(n_slices), "cell").select("vec_id", "vector", "cell", "block", sliced, "reach")
+        own = F.pmod(F.xxhash64("vec_id", F.lit("slice")), F.col("n_slices")).cast("int").alias("slice")
+        each = asked.join(F.broadcast(n_blocks), "cell").join(F.broadcast(n_slices), "cell").select("vec_id", "vector", "cell", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), own, "reach")
+        return given.unionByName(each).groupBy("cell", "block", "slice").applyInPandas(lambda frame: _search(frame, cells, k, bound), FOUND)
 
     queries = placed.filter("query").select("vec_id", "vector", "cell")
-    home = stored(top(search(queries.withColumn("reach", F.lit(float("inf")))), k))
-    reach = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("reach"))
+    home = stored(search(queries.withColumn("reach", F.lit(float("inf")))))
+    reach = top(home, k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("reach"))
     asked = queries.join(reach.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
-    more = asked.mapInPandas(partial(_visits, cells=cells, bound=bound), "vec_id bigint, vector binary, cell bigint, reach double")
-    both = home.select("query_id", "vec_id", "distance").unionByName(search(more))
-    return top(both, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.sqrt("distance").alias("score"))
+    more = stored(asked.mapInPandas(partial(_visits, cells=cells, bound=bound), "vec_id bigint, vector binary, cell bigint, reach double"))
+    both = stored(home.unionByName(search(more)))
+    effort = both.groupBy("query_id").agg(F.sum("verified").alias("verified"))
+    found = top(both.drop("verified"), k).join(effort, "query_id")
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.sqrt("distance").alias("score"), "verified")

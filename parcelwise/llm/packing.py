@@ -2,12 +2,13 @@
 
 Only the number of pieces of each length matters to the packing, so the plan is
 made from that histogram (at most `size` rows, whatever the corpus): for each
-length from the longest down, single lengths, pairs and triples of lengths that
-fill the gap exactly are taken from index sums, as often as pieces of them are
-left.  What stays over is packed by best fit.  The plan is a few thousand
-patterns with counts; each piece then finds its place by its rank among the
-pieces of its length, which is counted in groups of some hundred pieces, so
-no length, however common, meets in one task.
+length from the longest down, a single length, or a pair or triple found by its
+sum in an index, fills the gap exactly, as often as pieces of them are left.
+What stays over is packed by best fit.  The plan is a few thousand patterns with
+counts; each piece then finds its place by its rank among the pieces of its
+length, which is counted in groups of some hundred pieces that have nothing in
+common, so no length and no row, however common, meets in one task.  A piece of
+full length is a sequence by itself.
 
 Defined results: a null or empty text is one piece that holds the end id alone;
 repeated rows are each packed; other columns play no part; an empty table gives
@@ -81,42 +82,60 @@ class Bins:
         return pattern, min(count, most)
 
 
-def complements(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three lengths still available that fill `gap` exactly, the longest first."""
-    if left[gap]:
-        return (gap,)
-    long = np.arange(gap - 1, (gap - 1) // 2, -1)
-    pair = long[(left[long] > 0) & (left[gap - long] > (long * 2 == gap))]
-    if len(pair):
-        return int(pair[0]), gap - int(pair[0])
-    for a in np.flatnonzero(left[:gap])[::-1]:
-        a, rest = int(a), gap - int(a)
-        if a * 3 < gap:
-            break
-        b = np.arange(min(a, rest - 1), (rest - 1) // 2, -1)
-        c = rest - b
-        need_b, need_c = 1 + (b == a), 1 + (c == b) + (c == a)
-        good = b[(left[b] >= need_b) & (left[c] >= need_c) & (c > 0)]
-        if len(good):
-            return a, int(good[0]), rest - int(good[0])
-    return None
+class Sums:
+    """An index of the sums of two lengths that occur, and what is left of each length.
+
+    A gap is filled by one length, by a pair found under its sum, or by a triple:
+    a length and the pair found under the rest.
+    """
+
+    def __init__(self, counts: dict[int, int], size: int):
+        self.left = np.zeros(size + 1, np.int64)
+        for length, n in counts.items():
+            self.left[length] = n
+        lengths = np.flatnonzero(self.left)
+        # sum -> the longer lengths of its pairs, ascending, as the longest is tried first; and how many of them have not run out
+        self.pairs = {int(t): a[self.left[t - a] > 0].astype(np.int32) for t in range(2, size) if len(a := lengths[(2 * lengths >= t) & (lengths < t)])}
+        self.end = {t: len(a) for t, a in self.pairs.items()}
+
+    def enough(self, pattern: tuple[int, ...]) -> bool:
+        return all(self.left[x] >= pattern.count(x) for x in pattern)
+
+    def pair(self, total: int, first: int = 0) -> tuple[int, int] | None:
+        """A pair of that sum, beside one of length `first`; pairs that have run out leave the index."""
+        if total not in self.pairs:
+            return None
+        longer, end = self.pairs[total], self.end[total]
+        of = lambda k: (int(longer[k]), total - int(longer[k]))
+        while end and not self.enough(of(end - 1)):
+            end -= 1
+        self.end[total] = end
+        return next((of(k) for k in range(end - 1, -1, -1) if self.enough((first, *of(k)) if first else of(k))), None)
+
+    def fill(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three lengths still available that fill `gap` exactly."""
+        if self.left[gap]:
+            return (gap,)
+        if pair := self.pair(gap):
+            return pair
+        for a in np.flatnonzero(self.left[:gap])[::-1]:
+            if pair := self.pair(gap - int(a), int(a)):
+                return (int(a), *pair)
+        return None
 
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths and how many sequences follow each; together they use `counts` up."""
-    left = np.zeros(size + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
     bins = Bins()
+    if full := counts.get(size, 0):
+        bins.put((size,), full, 0)
+    sums = Sums({length: n for length, n in counts.items() if length < size}, size)
+    left = sums.left
     rest: dict[int, int] = {}
-    for length in range(size, 0, -1):
+    for length in range(size - 1, 0, -1):
         while left[length]:
-            if length == size:
-                bins.put((length,), int(left[length]), 0)
-                left[length] = 0
-                break
             left[length] -= 1
-            others = complements(left, size - length)
+            others = sums.fill(size - length)
             left[length] += 1
             if others is None:
                 rest[length] = int(left[length])
@@ -173,19 +192,24 @@ def _place(frames: Iterator[pd.DataFrame], where: dict[int, tuple[np.ndarray, np
 
 
 def pack_pieces(found: DataFrame, size: int) -> DataFrame:
-    """Adds sequence_id and offset to stored pieces (`doc_id, piece, start, length, ids_crc32`)."""
+    """Adds sequence_id and offset to stored pieces (`doc_id, piece, start, length, ids_crc32, row`; `row` is any number of a row's own)."""
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    names = ("doc_id", "piece", "start", "length", "ids_crc32")
+    # a full piece is a sequence by itself: it needs no rank, only a number that no pattern has
+    full = found.filter(F.col("length") == size).select(*names, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    part = found.filter(F.col("length") < size)
     # groups of the pieces of a length, each counted alone; the groups before it give its first rank
     groups = F.greatest(F.lit(1), F.ceil(F.count("*") / GROUP_ROWS)).cast("int")
-    shares = found.groupBy("length").agg(groups.alias("n_groups"))
-    keyed = found.join(F.broadcast(shares), "length").withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("n_groups")).cast("int")).drop("n_groups")
+    shares = part.groupBy("length").agg(groups.alias("n_groups"))
+    keyed = part.join(F.broadcast(shares), "length").withColumn("group", F.pmod(F.xxhash64("row"), F.col("n_groups")).cast("int")).drop("n_groups")
     sizes = keyed.groupBy("length", "group").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = sizes.select("length", "group", before.alias("before"))
-    inner = F.row_number().over(Window.partitionBy("length", "group").orderBy("doc_id", "piece", "start", "ids_crc32"))
+    inner = F.row_number().over(Window.partitionBy("length", "group").orderBy("row"))
     ranked = keyed.withColumn("inner", inner).join(base, ["length", "group"])
-    rows = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("inner") - 1).alias("rank"))
-    return rows.mapInPandas(partial(_place, where=places(plan(counts, size))), _PIECES + ", sequence_id bigint, offset bigint")
+    rows = ranked.select(*names, (F.col("before") + F.col("inner") - 1).alias("rank"))
+    where = places(plan({length: n for length, n in counts.items() if length < size}, size))
+    return rows.mapInPandas(partial(_place, where=where), _PIECES + ", sequence_id bigint, offset bigint").unionByName(full)
 
 
 def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> DataFrame:
@@ -195,4 +219,4 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> DataF
     piece, or if there are more than `size`, pieces of `size` of which the first
     may be shorter.
     """
-    return pack_pieces(stored(pieces(docs, path, size, end_id)), size)
+    return pack_pieces(stored(pieces(docs, path, size, end_id).withColumn("row", F.monotonically_increasing_id())), size)

@@ -1,8 +1,10 @@
 """URL filters: host and path rules first, then a weighted vocabulary of terms.
 
-An Aho-Corasick automaton finds all terms in one pass over the lower-cased URL.
-A hit counts if no ASCII letter or digit stands beside it.  One strict term, or
-several distinct soft terms, block the page.
+An Aho-Corasick automaton finds all terms in one pass over the URL, whose percent
+signs are decoded and whose A-Z are lower-cased.  A hit counts if no ASCII letter
+or digit stands beside it.  A strict term weighs as much as SOFT_LIMIT soft ones;
+distinct terms of that weight together block the page.  The vocabulary is an
+argument: a table of terms and their classes becomes one by `vocabulary`.
 
 Defined results: a URL that is null or has no `://` has an empty host and path,
 fits no rule, and is judged by its terms (null: allowed); repeated rows are each
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import cache, partial
+from urllib.parse import unquote
 
 import ahocorasick
 import pyarrow as pa
@@ -25,11 +28,20 @@ Rules = Sequence[tuple[str, str]]
 RULES: Rules = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
 #: Terms of which one blocks.
-STRICT = ("casino", "escort", "gambling", "jackpot", "malware", "phishing", "porn", "spam", "viagra", "warez", "xxx")
+STRICT = (
+    "blackjack camgirl camgirls casino casinos cialis deepfake escort escorts fentanyl gambling hentai jackpot keygen malware milf nsfw onlyfans "
+    "phishing porn porno pornhub ransomware roulette sexcam slots spam sportsbook torrents trojan viagra warez xnxx xvideos xxx"
+).split()
 #: Terms of which SOFT_LIMIT distinct ones block.
-SOFT = ("adult", "bet", "bonus", "cheap", "clickbait", "crack", "dating", "free", "loan", "pills", "poker", "promo", "torrent", "win")
+SOFT = (
+    "adult affiliate ads bet bets betting bingo bonus cheap clickbait clickhere coupon coupons crack cracked dating discount download earn "
+    "escrow forex free freebie giveaway hookup hot loan loans lottery miracle nude nulled payday pills poker promo proxy replica rich "
+    "sex sexy singles streaming tracker torrent vape voucher weightloss win winner"
+).split()
 SOFT_LIMIT = 2
 
+#: A-Z to a-z.
+LOWER = str.maketrans(dict(zip("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", strict=True)))
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
@@ -43,8 +55,17 @@ def _automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Au
     return automaton
 
 
+def vocabulary(terms: DataFrame, most: int = 100_000) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(strict, soft) from a table (term, class); it is sent to every task, so one of over `most` terms is refused."""
+    rows = terms.select(ascii_lower(F.col("term")).alias("term"), "class").filter("term <> ''").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms")
+    return tuple(tuple(sorted(r["term"] for r in rows if r["class"] == kind)) for kind in ("strict", "soft"))
+
+
 def term_hits(url: str, automaton: ahocorasick.Automaton) -> tuple[int, int]:
-    """How many distinct strict and soft terms a lower-cased URL holds as words."""
+    """How many distinct strict and soft terms a URL holds as words."""
+    url = unquote(url).translate(LOWER) if "%" in url else url
     hits = set()
     for end, (size, term, weight) in automaton.iter(url):
         if (end < size or url[end - size] not in _WORD) and (end + 1 == len(url) or url[end + 1] not in _WORD):
@@ -104,7 +125,7 @@ def oracle(rules: Rules = RULES, strict: Sequence[str] = STRICT, soft: Sequence[
     upper = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
     return f"""
 with a as (select page_id, coalesce(url, '') as u from pages),
-b as (select page_id, translate(u, {upper}) as lowered, case when instr(u, '://') > 0 then substr(u, instr(u, '://') + 3) else '' end as rest from a),
+b as (select page_id, translate(url_decode(u), {upper}) as lowered, case when instr(u, '://') > 0 then substr(u, instr(u, '://') + 3) else '' end as rest from a),
 c as (select page_id, lowered, translate(regexp_extract(rest, '^[^/?#]*'), {upper}) as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from b),
 d as (select page_id, host, path, {fits} as rule, ({" + ".join(map(said, strict))}) as n_strict, ({" + ".join(map(said, soft))}) as n_soft from c)
 select page_id, host, path, rule, case {verdicts} when n_strict > 0 or n_soft >= {soft_limit} then 'block' else 'allow' end as verdict, n_strict::int as n_strict, n_soft::int as n_soft
