@@ -209,7 +209,8 @@ def sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, most_bytes: i
     # about twice as many as are wanted leave the scan; equal rows have one place and become one
     share = F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.count("*"))
     shares = known.groupBy("lang").agg(F.floor(share * float(1 << 62)).cast("bigint").alias("share"))
-    some = known.withColumn("place", place).join(shares, "lang").filter(F.col("place") <= F.col("share"))
+    # a row for each language, far less than the model that is broadcast too; so no text is shuffled by its language
+    some = known.withColumn("place", place).join(F.broadcast(shares), "lang").filter(F.col("place") <= F.col("share"))
     rows = some.groupBy("lang", "place").agg(F.first("text").alias("text"))
     order = Window.partitionBy("lang").orderBy("place")
     first = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
