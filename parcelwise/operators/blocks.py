@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,11 +28,11 @@ def perimeter(features: DataFrame) -> DataFrame:
 
 def skipped(features: DataFrame) -> DataFrame:
     """Perimeter features that aren't valid polygons: a warning each."""
-    return features.filter(geometry.area(F.col("geom")).isNull()).select("project_id", "feature_id", F.lit("perimeter_feature_skipped").alias("code"))
+    return features.filter(~overlay.usable(features)).select("project_id", "feature_id", F.lit("perimeter_feature_skipped").alias("code"))
 
 
 def _lots(features: DataFrame) -> DataFrame:
-    return features.filter((F.col("macroarea") == territory.LOT) & F.col("quadra_id").isNotNull() & geometry.area(F.col("geom")).isNotNull())
+    return features.filter((F.col("macroarea") == territory.LOT) & F.col("quadra_id").isNotNull() & overlay.usable(features))
 
 
 def block_stats(features: DataFrame) -> DataFrame:
@@ -42,41 +43,42 @@ def block_stats(features: DataFrame) -> DataFrame:
     return rows.withColumn("compactness", compactness(F.col("area"), F.col("length")))
 
 
-def _turn(a: np.ndarray, b: np.ndarray) -> float:
-    return a[0] * b[1] - a[1] * b[0]
+Points = list[tuple[float, float]]
 
 
-def _hull(points: np.ndarray) -> np.ndarray:
-    points = np.unique(points, axis=0)
+def hull(points: Points) -> Points:
+    """The corners of the convex hull, counter-clockwise from the leftmost."""
+    points = sorted(set(points))
     if len(points) < 3:
         return points
-    half = []
+    out: Points = []
     for rows in (points, points[::-1]):
-        chain: list[np.ndarray] = []
+        chain: Points = []
         for p in rows:
-            while len(chain) > 1 and _turn(chain[-1] - chain[-2], p - chain[-2]) <= 0:
+            while len(chain) > 1:
+                (ax, ay), (bx, by) = chain[-2], chain[-1]
+                if (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax) > 0:
+                    break
                 chain.pop()
             chain.append(p)
-        half += chain[:-1]
-    return np.array(half)
+        out += chain[:-1]
+    return out
 
 
-def smallest_rectangle(points: np.ndarray) -> tuple[float, float, float]:
+def smallest_rectangle(points: np.ndarray | Points) -> tuple[float, float, float]:
     """(long, short, degrees of the long edge from the north, 0 to 90) of the rectangle of least area around the points."""
-    hull = _hull(points)
-    best = None
-    for edge in np.roll(hull, -1, axis=0) - hull:
-        size = np.hypot(*edge)
-        if size == 0:
-            continue
-        u = edge / size
-        along, over = hull @ u, hull @ np.array([-u[1], u[0]])
-        a, b = np.ptp(along), np.ptp(over)
-        if best is None or a * b < best[0] - 1e-9 * max(best[0], 1):
-            best = (a * b, a, b, u)
-    if best is None:
+    corners = np.array(hull([(float(x), float(y)) for x, y in points]))
+    edges = np.roll(corners, -1, axis=0) - corners
+    size = np.hypot(edges[:, 0], edges[:, 1])
+    units = edges[size > 0] / size[size > 0][:, None]
+    if not len(units):
         return 0.0, 0.0, 0.0
-    _, a, b, u = best
+    along, over = np.ptp(corners @ units.T, axis=0), np.ptp(corners @ np.stack([-units[:, 1], units[:, 0]]), axis=0)
+    best, least = 0, along[0] * over[0]
+    for k, area in enumerate((along * over).tolist()):
+        if area < least - 1e-9 * max(least, 1):
+            best, least = k, area
+    a, b, u = float(along[best]), float(over[best]), units[best]
     axis = u if a > b + 1e-9 else np.array([-u[1], u[0]])
     if abs(a - b) <= 1e-9 * max(a, b):  # a square: the edge nearer to east and west
         axis = u if abs(u[0]) >= abs(u[1]) else axis
@@ -84,19 +86,45 @@ def smallest_rectangle(points: np.ndarray) -> tuple[float, float, float]:
     return max(a, b), min(a, b), min(turn, 180 - turn)
 
 
-def _rectangle(frame: pd.DataFrame) -> pd.DataFrame:
-    points = np.concatenate([frame[["x1", "y1"]].to_numpy(), frame[["x2", "y2"]].to_numpy()])
-    long, short, turn = smallest_rectangle(points)
-    return pd.DataFrame({"project_id": frame["project_id"].iloc[:1], "quadra_id": frame["quadra_id"].iloc[:1], "long_side": long, "short_side": short, "orientation": turn})
+_HULL = "project_id bigint, quadra_id string, xs array<double>, ys array<double>"
+
+
+def _hulls(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The hull of each block's points among a batch."""
+    for frame in frames:
+        rows = []
+        for (project, quadra), x, y in zip(*_by_block(frame), strict=True):
+            corners = hull(list(zip(x.tolist(), y.tolist(), strict=True)))
+            rows.append((project, quadra, [p[0] for p in corners], [p[1] for p in corners]))
+        yield pd.DataFrame(rows, columns=["project_id", "quadra_id", "xs", "ys"])
+
+
+def _by_block(frame: pd.DataFrame) -> tuple[list[tuple[int, str]], list[np.ndarray], list[np.ndarray]]:
+    codes, names = pd.factorize(pd.MultiIndex.from_frame(frame[["project_id", "quadra_id"]]))
+    order = np.argsort(codes, kind="stable")
+    cuts = np.flatnonzero(np.diff(codes[order])) + 1
+    if not len(order):
+        return [], [], []
+    return list(names), *(np.split(frame[c].to_numpy()[order], cuts) for c in ("x", "y"))
+
+
+def _rectangles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        found = [smallest_rectangle(list(zip(x, y, strict=True))) for x, y in zip(frame["xs"], frame["ys"], strict=True)]
+        sides = pd.DataFrame(found, columns=["long_side", "short_side", "orientation"], index=frame.index, dtype=float)
+        yield pd.concat([frame[["project_id", "quadra_id"]], sides], axis=1)
 
 
 def block_rectangles(features: DataFrame) -> DataFrame:
     """The smallest rotated rectangle of each block: long_side, short_side, orientation and the score of its face.
 
-    A group is one block's lots, whose vertices are all that is sent to it.
+    A hull of hulls is the hull: each batch sends only its blocks' corners, and
+    batches of many blocks are measured at once.
     """
-    edges = overlay.segments(_lots(features), ["project_id", "quadra_id"]).select("project_id", "quadra_id", "x1", "y1", "x2", "y2")
-    found = edges.groupBy("project_id", "quadra_id").applyInPandas(_rectangle, "project_id bigint, quadra_id string, long_side double, short_side double, orientation double")
+    corners = overlay.segments(_lots(features), ["project_id", "quadra_id"]).select("project_id", "quadra_id", F.col("x1").alias("x"), F.col("y1").alias("y"))
+    partial_ = corners.mapInPandas(_hulls, _HULL)
+    whole = partial_.groupBy("project_id", "quadra_id").agg(F.flatten(F.collect_list("xs")).alias("xs"), F.flatten(F.collect_list("ys")).alias("ys"))
+    found = whole.mapInPandas(_rectangles, "project_id bigint, quadra_id string, long_side double, short_side double, orientation double")
     side = F.col("long_side")
     score = F.when(side <= GOOD, 1.0).when(side >= BAD, WORST).otherwise(1 - (side - GOOD) / (BAD - GOOD) * (1 - WORST))
     return found.withColumn("face_score", score).withColumn("out_of_compliance", side > BAD)

@@ -2,7 +2,7 @@
 
 Nothing here builds a geometry object: all is equi-joins on (group, cell) and
 sums.  A segment lies in the cells of its bounding box; long segments are first
-cut, so that the number of its cells is bounded.
+cut, so that their cells are those along the line and not those of its box.
 """
 
 from __future__ import annotations
@@ -67,20 +67,28 @@ def side(prefix: str) -> dict[str, Column]:
     return {k: F.col(f"{prefix}_{k}") for k in ("x1", "y1", "x2", "y2")}
 
 
+def _placed(rows: DataFrame, keys: list[str], id_: str, prefix: str, reach: float) -> DataFrame:
+    """Segments by the cells of their pieces, with the first cell (lx, ly) of the piece."""
+    kept = [F.col(c).alias(f"{prefix}_{c}") for c in (id_, "feature_id", "x1", "y1", "x2", "y2")]
+    pieces = cut_long(rows.select(*keys, *kept, "x1", "y1", "x2", "y2"))
+    low = {f"{prefix}_l{c}": F.floor((F.least(f"{c}1", f"{c}2") - reach) / CELL) for c in "xy"}
+    return with_cells(pieces.withColumns(low), reach).drop("x1", "y1", "x2", "y2", "piece")
+
+
 def neighbours(rows: DataFrame, other: DataFrame, keys: list[str], id_: str, reach: float = 0.0) -> DataFrame:
-    """Pairs of segments of one group whose boxes meet: columns a_* of `rows` and b_* of `other`; every pair once."""
-    a = with_cells(rows, reach).select(*keys, "cx", "cy", *(F.col(c).alias(f"a_{c}") for c in (id_, "feature_id", "x1", "y1", "x2", "y2")))
-    b = with_cells(other).select(*keys, "cx", "cy", *(F.col(c).alias(f"b_{c}") for c in (id_, "feature_id", "x1", "y1", "x2", "y2")))
+    """Pairs of segments of one group whose boxes meet: columns a_* of `rows` and b_* of `other`.
+
+    A pair comes once; one of long segments once for each pair of their pieces that meet.
+    """
+    a, b = _placed(rows, keys, id_, "a", reach), _placed(other, keys, id_, "b", 0.0)
     low = lambda p, c: F.least(f"{p}_{c}1", f"{p}_{c}2")
     high = lambda p, c: F.greatest(f"{p}_{c}1", f"{p}_{c}2")
     near = F.lit(True)
     for c in ("x", "y"):
         near = near & (low("a", c) <= high("b", c) + reach + SNAP) & (low("b", c) <= high("a", c) + reach + SNAP)
-    # of the cells that both share, the first makes the pair
-    mine = F.lit(True)
-    for c, cell in (("x", "cx"), ("y", "cy")):
-        mine = mine & (F.col(cell) == F.greatest(F.floor((low("a", c) - reach) / CELL), F.floor(low("b", c) / CELL)))
-    return a.join(b, [*keys, "cx", "cy"]).filter(near & mine).drop("cx", "cy")
+    # of the cells that both pieces share, the first makes the pair
+    mine = (F.col("cx") == F.greatest("a_lx", "b_lx")) & (F.col("cy") == F.greatest("a_ly", "b_ly"))
+    return a.join(b, [*keys, "cx", "cy"]).filter(near & mine).drop("cx", "cy", "a_lx", "a_ly", "b_lx", "b_ly")
 
 
 def split_edges(rows: DataFrame, cuts: DataFrame, keys: list[str], id_: str) -> DataFrame:
@@ -123,13 +131,19 @@ def covered(points: DataFrame, edges: DataFrame, keys: list[str], on_edge: bool
     return containing(points, edges, keys, on_edge).select(*keys, "point_id").distinct()
 
 
+def usable(polygons: DataFrame) -> Column:
+    """Polygons with an area, and if they have been audited (`is_valid`), only valid ones."""
+    area = geometry.area(F.col("geom")).isNotNull()
+    return area & F.col("is_valid") if "is_valid" in polygons.columns else area
+
+
 def union_edges(polygons: DataFrame, keys: list[str]) -> DataFrame:
     """The boundary of the union of each group's polygons: edges with the interior on their left.
 
     Edges are split where they meet those of other polygons of the group; a
     sub-edge is on the boundary if exactly one of its sides is covered.
     """
-    rows = segments(polygons.filter(geometry.area(F.col("geom")).isNotNull()), keys)
+    rows = segments(polygons.filter(usable(polygons)), keys)
     rows = rows.withColumn("sid", F.xxhash64("feature_id", "part", "ring", "seq"))
     pairs = neighbours(rows, rows, keys, "sid").filter("a_feature_id <> b_feature_id")
     cuts = pairs.select(*keys, F.col("a_sid").alias("sid"), cut_places(side("a"), side("b")).alias("places")).filter(F.size("places") > 0)
@@ -162,24 +176,64 @@ def dissolved(features: DataFrame, keys: list[str]) -> DataFrame:
     return union_measures(union_edges(rows, keys), keys)
 
 
+def _spans(features: DataFrame) -> DataFrame:
+    """Features that cover an area: by their geom_type, or where there is none by their area."""
+    return features.filter(F.col("geom_type").isin("Polygon", "MultiPolygon") if "geom_type" in features.columns else geometry.area(F.col("geom")).isNotNull())
+
+
+def _dots(features: DataFrame, keys: list[str]) -> DataFrame:
+    """Points of point features as segments of almost no length."""
+    rows = features.select(*keys, "feature_id", F.explode("geom").alias("r")).filter("size(r.pts) = 1")
+    x, y = F.get("r.pts", F.lit(0))["x"], F.get("r.pts", F.lit(0))["y"]
+    return rows.select(*keys, "feature_id", F.col("r.part").alias("part"), F.col("r.ring").alias("ring"), F.lit(0).alias("seq"), x.alias("x1"), y.alias("y1"), (x + 1e-9).alias("x2"), y.alias("y2"))
+
+
 def related(targets: DataFrame, sources: DataFrame, keys: list[str], relation: str, distance: float = 0.0) -> DataFrame:
     """Target features (keys, feature_id) that stand in a relation to some source of their group.
 
     `intersects`, `contains` (the target contains a source), `within`, `dwithin`.
+    Features with a geom_type may be polygons, lines or points, others are polygons.
     """
-    t, s = segments(targets, keys), segments(sources, keys)
     reach = distance if relation == "dwithin" else 0.0
-    t, s = (x.withColumn("sid", F.xxhash64("feature_id", "part", "ring", "seq")) for x in (t, s))
-    pairs = neighbours(t, s, keys, "sid", reach)
-    ids = [F.col("a_feature_id").alias("feature_id"), F.col("b_feature_id").alias("source_id")]
-    near = pairs.filter(segment_distance2(side("a"), side("b")) <= reach * reach + SNAP * SNAP).select(*keys, *ids).distinct()
-    inner = _first_inside(s, t, keys).select(*keys, F.col("polygon").alias("feature_id"), F.col("point_id").alias("source_id"))
-    outer = _first_inside(t, s, keys).select(*keys, F.col("point_id").alias("feature_id"), F.col("polygon").alias("source_id"))
+    mixed = lambda x: "geom_type" in x.columns
+    t, s = ((segments(x, keys).unionByName(_dots(x, keys)) if mixed(x) else segments(x, keys)).withColumn("sid", F.xxhash64("feature_id", "part", "ring", "seq")) for x in (targets, sources))
+    tp, sp = (segments(_spans(x), keys).withColumn("sid", F.xxhash64("feature_id", "part", "ring", "seq")) for x in (targets, sources))
     if relation in ("intersects", "dwithin"):
-        return near.union(inner).union(outer).select(*keys, "feature_id").distinct()
-    # containing: every part of the inner one's boundary lies in the outer one, none properly outside
-    hold, held = (t, s) if relation == "contains" else (s, t)
-    return _spots(held, hold, keys).select(*keys, F.col("outer" if relation == "contains" else "inner").alias("feature_id")).distinct()
+        pairs = neighbours(t, s, keys, "sid", reach)
+        near = pairs.filter(segment_distance2(side("a"), side("b")) <= reach * reach + SNAP * SNAP).select(*keys, F.col("a_feature_id").alias("feature_id"))
+        inner = _first_inside(s, tp, keys).select(*keys, F.col("polygon").alias("feature_id"))
+        outer = _first_inside(t, sp, keys).select(*keys, F.col("point_id").alias("feature_id"))
+        return near.union(inner).union(outer).distinct()
+    # containing: every part of the inner one lies in the outer one, none properly outside
+    hold, held, thin = (tp, sp, s) if relation == "contains" else (sp, tp, t)
+    name = "outer" if relation == "contains" else "inner"
+    spots = _spots(held, hold, keys).select(*keys, F.col(name).alias("feature_id"))
+    if not mixed(sources if relation == "contains" else targets):
+        return spots.distinct()
+    flat = thin.join(held.select(*keys, "feature_id").distinct(), [*keys, "feature_id"], "left_anti")
+    return spots.union(_flat_spots(flat, hold, keys).select(*keys, F.col(name).alias("feature_id"))).distinct()
+
+
+def _flat_spots(held: DataFrame, hold: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, outer, inner): polygons `hold` that contain lines or points: the middles of all their pieces lie in or on it, one properly inside."""
+    cuts = neighbours(held, hold, keys, "sid").select(*keys, F.col("a_sid").alias("sid"), cut_places(side("a"), side("b")).alias("places")).filter(F.size("places") > 0)
+    dots = held.filter(F.abs(F.col("x2") - F.col("x1")) + F.abs(F.col("y2") - F.col("y1")) <= 2e-9)
+    lines = split_edges(held.filter(F.abs(F.col("x2") - F.col("x1")) + F.abs(F.col("y2") - F.col("y1")) > 2e-9), cuts, keys, "sid")
+    middle = lambda a, b: (F.col(a) + F.col(b)) / 2
+    both = [x.select(*keys, "feature_id", middle("x1", "x2").alias("x"), middle("y1", "y2").alias("y")) for x in (lines, dots)]
+    spots = both[0].union(both[1]).select(*keys, F.struct("feature_id", "x", "y").alias("point_id"), "x", "y").distinct()
+    total = spots.groupBy(*keys, F.col("point_id.feature_id").alias("inner")).agg(F.count("*").alias("total"))
+    touched = containing(spots, hold, keys, on_edge=True).groupBy(*keys, F.col("point_id.feature_id").alias("inner"), F.col("polygon").alias("outer")).agg(F.count("*").alias("got"))
+    proper = containing(spots, hold, keys).select(*keys, F.col("point_id.feature_id").alias("inner"), F.col("polygon").alias("outer")).distinct()
+    return touched.join(total, [*keys, "inner"]).filter("got = total").join(proper, [*keys, "inner", "outer"], "left_semi").select(*keys, "outer", "inner")
+
+
+def properly_cross(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Whether two segments cross in the inside of both."""
+    dx, dy, ex, ey = a["x2"] - a["x1"], a["y2"] - a["y1"], b["x2"] - b["x1"], b["y2"] - b["y1"]
+    d1, d2 = cross(dx, dy, b["x1"] - a["x1"], b["y1"] - a["y1"]), cross(dx, dy, b["x2"] - a["x1"], b["y2"] - a["y1"])
+    d3, d4 = cross(ex, ey, a["x1"] - b["x1"], a["y1"] - b["y1"]), cross(ex, ey, a["x2"] - b["x1"], a["y2"] - b["y1"])
+    return (d1 * d2 < 0) & (d3 * d4 < 0)
 
 
 def segment_distance2(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -191,10 +245,7 @@ def segment_distance2(a: dict[str, Column], b: dict[str, Column]) -> Column:
         return F.pow(s["x1"] + t * dx - x, 2) + F.pow(s["y1"] + t * dy - y, 2)
 
     ends = F.least(to(a["x1"], a["y1"], b), to(a["x2"], a["y2"], b), to(b["x1"], b["y1"], a), to(b["x2"], b["y2"], a))
-    dx, dy, ex, ey = a["x2"] - a["x1"], a["y2"] - a["y1"], b["x2"] - b["x1"], b["y2"] - b["y1"]
-    d1, d2 = cross(dx, dy, b["x1"] - a["x1"], b["y1"] - a["y1"]), cross(dx, dy, b["x2"] - a["x1"], b["y2"] - a["y1"])
-    d3, d4 = cross(ex, ey, a["x1"] - b["x1"], a["y1"] - b["y1"]), cross(ex, ey, a["x2"] - b["x1"], a["y2"] - b["y1"])
-    return F.when((d1 * d2 < 0) & (d3 * d4 < 0), F.lit(0.0)).otherwise(ends)
+    return F.when(properly_cross(a, b), F.lit(0.0)).otherwise(ends)
 
 
 def _first_inside(of: DataFrame, polygons: DataFrame, keys: list[str]) -> DataFrame:

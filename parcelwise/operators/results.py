@@ -30,9 +30,10 @@ def latest_results(runs: DataFrame, values: DataFrame) -> DataFrame:
     return values.join(latest_run(runs).select("run_id", "project_id"), "run_id")
 
 
-def run_results(runs: DataFrame, values: DataFrame, project_id: int, run_id: int) -> DataFrame:
-    """The results of one run, if it is the project's."""
-    return values.join(runs.filter((F.col("project_id") == project_id) & (F.col("run_id") == run_id)).select("run_id"), "run_id", "left_semi")
+def run_results(runs: DataFrame, values: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The results of the wanted runs (project_id, run_id), of each only if it is that project's."""
+    own = runs.select("project_id", "run_id").join(wanted.select("project_id", "run_id").distinct(), ["project_id", "run_id"])
+    return values.join(own.select("run_id"), "run_id", "left_semi")
 
 
 def warning_count(warnings: DataFrame) -> DataFrame:

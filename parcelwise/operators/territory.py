@@ -83,8 +83,8 @@ def land_use_percent(features: DataFrame) -> DataFrame:
 
 def predominant_use(features: DataFrame) -> DataFrame:
     """The use with the largest area; null on a tie, or where no lot has a use."""
-    best = _uses(features).groupBy("project_id").agg(F.max("value").alias("most"))
-    leaders = _uses(features).join(best, "project_id").filter("value = most").groupBy("project_id").agg(F.count("*").alias("n"), F.min("key").alias("key"))
+    most = F.max("value").over(Window.partitionBy("project_id"))
+    leaders = _uses(features).withColumn("most", most).filter("value = most").groupBy("project_id").agg(F.count("*").alias("n"), F.min("key").alias("key"))
     every = features.select("project_id").distinct().join(leaders, "project_id", "left")
     return _long(every, "land_use.predominant_use", F.lit(None), None, F.when(F.col("n") == 1, F.col("key")))
 
@@ -162,7 +162,7 @@ def warnings(features: DataFrame) -> DataFrame:
             F.when(lot & F.col("land_use").isNull(), F.struct(F.lit("lot_without_land_use").alias("code"), F.lit("info").alias("severity"))),
             F.when(lot & F.col("quadra_id").isNull(), F.struct(F.lit("lot_without_quadra").alias("code"), F.lit("info").alias("severity"))),
             F.when(lot & F.col("geometric").isNull(), F.struct(F.lit("invalid_lot_geometry").alias("code"), F.lit("warning").alias("severity"))),
-            F.when(lot & F.col("ca_max").isNull(), F.struct(F.lit("lot_ca_missing").alias("code"), F.lit("info").alias("severity"))),
+            F.when(lot & ~F.coalesce((F.col("ca_max") >= 0) & ~F.isnan(F.col("ca_max").cast("double")), F.lit(False)), F.struct(F.lit("lot_ca_missing").alias("code"), F.lit("info").alias("severity"))),
         )
     )
     return rows.select("project_id", "feature_id", F.explode(found).alias("w")).select("project_id", "w.code", "w.severity", "feature_id")
@@ -186,7 +186,41 @@ INDICATORS = {
 }
 
 
-def errors(features: DataFrame) -> DataFrame:
-    """Projects in which an indicator can't be computed, and why."""
-    sums = features.groupBy("project_id").agg(F.count_if((F.col("macroarea") == LOT) & geometry.area(F.col("geom")).isNotNull()).alias("lots"), F.count_if(F.coalesce(F.col("macroarea"), F.lit("nulo")) != LOT).alias("open"))
-    return sums.select("project_id", F.explode(F.array_compact(F.array(F.when(F.col("lots") == 0, F.lit("no_valid_lot")), F.when(F.col("open") == 0, F.lit("no_open_area"))))).alias("error"))
+def project_warnings(features: DataFrame) -> DataFrame:
+    """(project_id, indicator_code, code): what a project's values leave out, where no single feature is to blame."""
+    rows = measured(features).groupBy("project_id").agg(
+        F.sum(F.when(F.col("parcelavel"), F.col("area"))).alias("parcelable"),
+        F.count_if((F.col("macroarea") == LOT) & F.col("land_use").isin(*NON_RESIDENTIAL) & (F.col("ca_max") >= 0)).alias("non_residential"),
+        F.count_if((F.col("macroarea") == LOT) & F.col("land_use").isin(*NON_RESIDENTIAL)).alias("non_residential_targets"),
+        F.count_if(F.col("macroarea") == "avl").alias("green_targets"),
+    )
+    cases = (
+        (~F.coalesce(F.col("parcelable") > 0, F.lit(False)), "territorial.percent_by_category", "no_parcelavel_area"),
+        (F.col("non_residential") == 0, "density.non_residential_ca", "no_non_residential_lot"),
+        (F.col("non_residential_targets") == 0, "lots.distance_to_non_residential_use", "no_non_residential_target"),
+        (F.col("green_targets") == 0, "lots.distance_to_green_area", "no_green_area_target"),
+    )
+    found = F.array_compact(F.array(*(F.when(when, F.struct(F.lit(code).alias("indicator_code"), F.lit(name).alias("code"))) for when, code, name in cases)))
+    sums = rows.select("project_id", F.explode(found).alias("w")).select("project_id", "w.*")
+    order = Window.partitionBy("project_id")
+    tied = _uses(features).withColumn("most", F.max("value").over(order)).filter("value = most").groupBy("project_id").agg(F.count("*").alias("n")).filter("n > 1")
+    return sums.unionByName(tied.select("project_id", F.lit("land_use.predominant_use").alias("indicator_code"), F.lit("predominant_use_tie").alias("code")))
+
+
+def errors(features: DataFrame, perimeter_area: DataFrame | None = None) -> DataFrame:
+    """(project_id, indicator_code, error): projects in which an indicator can't be computed, and why.
+
+    `perimeter_area` (project_id, value) also finds those without a perimeter of positive area.
+    """
+    valid = (F.col("macroarea") == LOT) & F.col("geometric").isNotNull()
+    open_area = F.coalesce(F.sum(F.when(F.coalesce(F.col("macroarea"), F.lit("nulo")) != LOT, F.col("area"))), F.lit(0.0))
+    sums = measured(features).groupBy("project_id").agg(F.count_if(valid).alias("lots"), open_area.alias("open"))
+    none, no_open = F.col("lots") == 0, ~(F.col("open") > 0)
+    density = ("max_computable_area", "lot_count_with_ca", "ca_coverage", "built_open_ratio")
+    cases = [(none, f"density.{name}", "no_valid_lot") for name in density] + [(~none & no_open, "density.built_open_ratio", "no_open_area")]
+    if perimeter_area is not None:
+        sums = sums.join(perimeter_area.select("project_id", F.col("value").alias("whole")), "project_id", "left")
+        bare = ~F.coalesce(F.col("whole") > 0, F.lit(False))
+        cases += [(bare, f"green_areas.percent_of_project{end}", "no_perimeter_area") for end in ("", "_with_app")]
+    found = F.array_compact(F.array(*(F.when(when, F.struct(F.lit(code).alias("indicator_code"), F.lit(name).alias("error"))) for when, code, name in cases)))
+    return sums.select("project_id", F.explode(found).alias("e")).select("project_id", "e.*")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.operators import territory
 from parcelwise.plans.derived import PARCELS_SQL, parcels
+from parcelwise.session import stored
 
 DIGITS = 6
 
@@ -21,8 +22,9 @@ def _one(spark: SparkSession, sf_dir: str, code: str) -> DataFrame:
 
 
 def indicator_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All indicators of all projects in one long table."""
-    features = parcels(spark, sf_dir)
+    """The indicators that need parcels alone, of all projects in one long table."""
+    # measured once for all indicators, not again for each
+    features = stored(parcels(spark, sf_dir))
     return reduce(DataFrame.unionByName, (f(features) for f in territory.INDICATORS.values())).withColumn("value", F.round("value", DIGITS))
 
 

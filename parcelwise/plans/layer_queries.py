@@ -307,10 +307,10 @@ def duplicate_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.duplicate_layers(table(spark, sf_dir, "events").select(F.col("user_id").alias("version_id"), F.col("event_type").alias("layer_type")))
 
 
-@query("""with p as (select distinct user_id as project_id from events), l as (select distinct user_id as project_id, case event_type when 'view' then 'perimetro' when 'click' then 'territorio' else 'lotes' end as layer_type from events)
+@query("""with p as (select distinct user_id as project_id from events), l as (select distinct user_id as project_id, case when event_type = 'view' and user_id % 3 <> 0 then 'perimetro' when event_type = 'click' and user_id % 4 <> 0 then 'territorio' else 'lotes' end as layer_type from events)
 select project_id, t as layer_type from p, (values ('perimetro'), ('territorio')) as n(t) where (project_id, t) not in (select project_id, layer_type from l)""")
 def missing_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("event_type") == "view", "perimetro").when(F.col("event_type") == "click", "territorio").otherwise("lotes")
+    kind = F.when((F.col("event_type") == "view") & (F.col("user_id") % 3 != 0), "perimetro").when((F.col("event_type") == "click") & (F.col("user_id") % 4 != 0), "territorio").otherwise("lotes")
     has = table(spark, sf_dir, "events").select(F.col("user_id").alias("project_id"), kind.alias("layer_type")).distinct()
     return layers.missing_layers(has.select("project_id").distinct(), has, ["territorio"])
 

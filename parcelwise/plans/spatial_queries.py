@@ -102,16 +102,18 @@ def derive_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("project_id", "feature_id", "parent_feature_id", "relation_method", "lots")
 
 
-def _sources(rows: DataFrame) -> DataFrame:
-    """Boxes that lie in, over and beside the parcels."""
+def _sources(rows: DataFrame, wide: bool) -> DataFrame:
+    """A box for each parcel, in, over or beside it, or around it."""
     k, b = F.col("feature_id"), geometry.bounds(F.col("geom"))
-    x, y = b["x0"] + 1 + k % 3, b["y0"] + k % 4
-    return rows.filter("slot % 5 = 0").select("project_id", "feature_id", geometry.box(x, y, x + 2 + k % 13, y + 1 + k % 19).alias("geom"))
+    x, y = (b["x0"] - k % 3, b["y0"] - k % 2) if wide else (b["x0"] + 1 + k % 3, b["y0"] + k % 4)
+    far = (b["x0"] + 8 + k % 5, b["y0"] + 7 + k % 9) if wide else (x + 2 + k % 13, y + 1 + k % 19)
+    return rows.select("project_id", "feature_id", geometry.box(x, y, *far).alias("geom"))
 
 
 _SELECT = f"""with {PARCELS_SQL}, t as (select project_id, feature_id, x0, y0, x0 + w as x1, y0 + d as y1 from parcels),
-s as (select project_id, x0 + 1 + feature_id % 3 as a0, y0 + feature_id % 4 as b0, x0 + 3 + feature_id % 3 + feature_id % 13 as a1, y0 + 1 + feature_id % 4 + feature_id % 19 as b1 from parcels where slot % 5 = 0)
-select distinct project_id, feature_id from t join s using (project_id) where """
+narrow as (select project_id, x0 + 1 + feature_id % 3 as a0, y0 + feature_id % 4 as b0, x0 + 3 + feature_id % 3 + feature_id % 13 as a1, y0 + 1 + feature_id % 4 + feature_id % 19 as b1 from parcels),
+wide as (select project_id, x0 - feature_id % 3 as a0, y0 - feature_id % 2 as b0, x0 + 8 + feature_id % 5 as a1, y0 + 7 + feature_id % 9 as b1 from parcels)
+select distinct project_id, feature_id from t join """
 _RELATIONS = {
     "intersects": "a0 <= x1 and a1 >= x0 and b0 <= y1 and b1 >= y0",
     "contains": "a0 >= x0 and a1 <= x1 and b0 >= y0 and b1 <= y1",
@@ -122,7 +124,7 @@ _RELATIONS = {
 
 def _select(spark: SparkSession, sf_dir: str, relation: str) -> DataFrame:
     rows = parcels(spark, sf_dir)
-    return overlay.related(rows.select("project_id", "feature_id", "geom"), _sources(rows), ["project_id"], relation, 5.0)
+    return overlay.related(rows.select("project_id", "feature_id", "geom"), _sources(rows, relation == "within"), ["project_id"], relation, 5.0)
 
 
 @query(f"with {PARCELS_SQL} select project_id, feature_id from parcels where land_use = 'misto' and macroarea = 'lote'")
@@ -146,4 +148,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | {f"select_{r}": _SELECT + w for r, w in _RELATIONS.items()} | {"green_share": _green_sql("'avl'"), "green_share_with_app": _green_sql("'avl', 'app'")}
+    return SQL | {f"select_{r}": f"{_SELECT}{'wide' if r == 'within' else 'narrow'} s using (project_id) where {w}" for r, w in _RELATIONS.items()} | {"green_share": _green_sql("'avl'"), "green_share_with_app": _green_sql("'avl', 'app'")}
