@@ -29,7 +29,7 @@ RULES: Rules = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.c
 
 #: Terms of which one blocks.
 STRICT = (
-    "blackjack camgirl camgirls casino casinos cialis deepfake escort escorts fentanyl gambling hentai jackpot keygen malware milf nsfw onlyfans "
+    "blackjack camgirl camgirls casino cialis deepfake escort escorts fentanyl gambling hentai jackpot keygen malware milf nsfw onlyfans "
     "phishing porn porno pornhub ransomware roulette sexcam slots spam sportsbook torrents trojan viagra warez xnxx xvideos xxx"
 ).split()
 #: Terms of which SOFT_LIMIT distinct ones block.
