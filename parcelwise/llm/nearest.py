@@ -216,13 +216,15 @@ def _search(frame: pd.DataFrame, cells: Cells, k: int, bound: float) -> pd.DataF
 def _nearest(target: np.ndarray, low: np.ndarray, query: int, reach: float, vectors: np.ndarray, points: np.ndarray, ids: np.ndarray, tree: Tree, k: int, bound: float) -> tuple[np.ndarray, np.ndarray, int]:
     """One query's incremental search: (ids, squared distances, points verified)."""
     far = tree.distances(low)
+    # projections of equal vectors may differ in the last bits: such are never too far
+    slack = 1e-24 * float(low @ low)
     leaves = np.argsort(far, kind="stable")
     far = np.append(far[leaves], np.inf)
     near_ids, near, verified, opened = np.zeros(0, np.int64), np.zeros(0), 0, 0
     waiting, gaps = np.zeros(0, np.int64), np.zeros(0)
     while True:
         # a projected point beyond `edge` may come after one of a leaf that is still closed
-        more = leaves[opened : opened + 8][far[opened : opened + 8][: len(leaves) - opened] <= bound * reach]
+        more = leaves[opened : opened + 8][far[opened : opened + 8][: len(leaves) - opened] <= bound * reach + slack]
         opened += len(more)
         edge = far[opened] if len(more) else np.inf
         fresh = np.concatenate([np.arange(tree.begin[x], tree.begin[x + 1]) for x in more]) if len(more) else np.zeros(0, np.int64)
@@ -233,8 +235,8 @@ def _nearest(target: np.ndarray, low: np.ndarray, query: int, reach: float, vect
         waiting, gaps = waiting[order], gaps[order]
         turn = int(np.searchsorted(gaps, edge, "right"))
         at = 0
-        while at < turn and gaps[at] <= bound * reach:
-            stop = min(at + STEP, int(np.searchsorted(gaps[:turn], bound * reach, "right")))
+        while at < turn and gaps[at] <= bound * reach + slack:
+            stop = min(at + STEP, int(np.searchsorted(gaps[:turn], bound * reach + slack, "right")))
             gap = vectors[waiting[at:stop]] - target
             near, near_ids = np.concatenate([near, (gap * gap).sum(axis=1)]), np.concatenate([near_ids, ids[waiting[at:stop]]])
             best = np.lexsort((near_ids, near))[:k]
