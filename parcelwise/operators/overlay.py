@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 from parcelwise.functions import geometry
 
 CELL = 32.0
+#: Cells of the point search: LEVELS sizes, each SPREAD times the one before.
+LEVELS, SPREAD = 3, 32
 #: Coordinates closer than this are the same point.
 SNAP = 1e-6
 EPS = 1e-9
@@ -106,24 +108,46 @@ def split_edges(rows: DataFrame, cuts: DataFrame, keys: list[str], id_: str) ->
     return out.filter("x1 <> x2 or y1 <> y2")
 
 
+def _lanes(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """What of a polygon lies in a strip of y: its edges there, and the cells (level, cx) that they span.
+
+    A wide lane takes wide cells, so that it has at most SPREAD + 2 of them, up
+    to a width of CELL * SPREAD ** LEVELS.
+    """
+    strip = lambda y: F.floor(y / CELL)
+    rows = edges.withColumn("strip", F.explode(F.sequence(strip(F.least("y1", "y2")), strip(F.greatest("y1", "y2")))))
+    ends = F.min(F.least("x1", "x2")).alias("low"), F.max(F.greatest("x1", "x2")).alias("high")
+    lanes = rows.groupBy(*keys, "strip", F.col("feature_id").alias("polygon")).agg(*ends, F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+    level, width = F.lit(LEVELS - 1), F.col("high") - F.col("low")
+    for k in reversed(range(LEVELS - 1)):
+        level = F.when(width <= CELL * SPREAD ** (k + 1), k).otherwise(level)
+    lanes = lanes.withColumn("level", level)
+    cell = CELL * F.pow(F.lit(float(SPREAD)), F.col("level"))
+    return lanes.withColumn("cx", F.explode(F.sequence(F.floor((F.col("low") - SNAP) / cell), F.floor((F.col("high") + SNAP) / cell))))
+
+
 def containing(points: DataFrame, edges: DataFrame, keys: list[str], on_edge: bool = False) -> DataFrame:
     """(keys, point_id, polygon): the polygons of its group in which a point (x, y) lies, by the parity of edges to its right.
 
-    Points and edges meet by strips of y, so that a ray needs no cells to its right.
+    A point meets only polygons whose edges, in its strip of y, span its cell of
+    x, and of those only the edges in the strip; each such polygon once.
     """
-    strip = lambda y: F.floor(y / CELL)
-    e = edges.withColumn("strip", F.explode(F.sequence(strip(F.least("y1", "y2")), strip(F.greatest("y1", "y2"))))).select(*keys, "strip", F.col("feature_id").alias("polygon"), "x1", "y1", "x2", "y2")
-    p = points.withColumn("strip", strip(F.col("y"))).select(*keys, "strip", "point_id", "x", "y")
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    spans = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
-    hit = spans & (F.col("x") < F.col("x1") + (F.col("y") - F.col("y1")) * dx / dy)
-    met = p.join(e, [*keys, "strip"])
-    if not on_edge:
-        return met.filter(hit).groupBy(*keys, "point_id", "polygon").agg(F.count("*").alias("n")).filter("n % 2 = 1").drop("n")
-    place = ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / (dx * dx + dy * dy)
-    touching = (F.abs(cross(dx, dy, F.col("x") - F.col("x1"), F.col("y") - F.col("y1"))) <= SNAP * F.hypot(dx, dy)) & place.between(-EPS, 1 + EPS)
-    sums = met.filter(hit | touching).groupBy(*keys, "point_id", "polygon").agg(F.count_if(hit).alias("n"), F.count_if(touching).alias("touches"))
-    return sums.filter("n % 2 = 1 or touches > 0").drop("n", "touches")
+    sizes = F.array(*(F.struct(F.lit(k).alias("level"), F.floor(F.col("x") / (CELL * SPREAD**k)).alias("cx")) for k in range(LEVELS)))
+    spots = points.select(*keys, "point_id", "x", "y", F.floor(F.col("y") / CELL).alias("strip"), F.inline(sizes))
+    met = spots.join(_lanes(edges, keys), [*keys, "strip", "level", "cx"]).filter(F.col("x").between(F.col("low") - SNAP, F.col("high") + SNAP))
+    x, y = F.col("x"), F.col("y")
+
+    def hit(e: Column) -> Column:
+        spans = (e["y1"] > y) != (e["y2"] > y)
+        return spans & (x < e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / F.when(spans, e["y2"] - e["y1"]))
+
+    def touching(e: Column) -> Column:
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        place = ((x - e["x1"]) * dx + (y - e["y1"]) * dy) / (dx * dx + dy * dy)
+        return (F.abs(cross(dx, dy, x - e["x1"], y - e["y1"])) <= SNAP * F.hypot(dx, dy)) & place.between(-EPS, 1 + EPS)
+
+    inside = F.size(F.filter("edges", hit)) % 2 == 1
+    return met.filter(inside | F.exists("edges", touching) if on_edge else inside).select(*keys, "point_id", "polygon")
 
 
 def covered(points: DataFrame, edges: DataFrame, keys: list[str], on_edge: bool = False) -> DataFrame:
@@ -266,7 +290,7 @@ def _spots(held: DataFrame, hold: DataFrame, keys: list[str]) -> DataFrame:
     both = F.explode(F.array(F.struct(((F.col("x1") + F.col("x2")) / 2 + nx).alias("x"), ((F.col("y1") + F.col("y2")) / 2 + ny).alias("y")), F.struct(((F.col("x1") + F.col("x2")) / 2 - nx).alias("x"), ((F.col("y1") + F.col("y2")) / 2 - ny).alias("y"))))
     spots = parts.withColumn("s", both).select(*keys, F.struct("feature_id", "x1", "y1", "x2", "y2", "s.x", "s.y").alias("point_id"), F.col("s.x").alias("x"), F.col("s.y").alias("y"))
     own = containing(spots, held, keys).filter("point_id.feature_id = polygon").drop("polygon")
-    in_hold = containing(spots.join(own, [*keys, "point_id"]), hold, keys)
+    in_hold = containing(spots.join(own, [*keys, "point_id"], "left_semi"), hold, keys)
     total = own.groupBy(*keys, F.col("point_id.feature_id").alias("inner")).agg(F.count("*").alias("total"))
     got = in_hold.groupBy(*keys, F.col("point_id.feature_id").alias("inner"), F.col("polygon").alias("outer")).agg(F.count("*").alias("got"))
     return got.join(total, [*keys, "inner"]).filter("got = total").drop("got", "total")

@@ -93,3 +93,24 @@ def test_catalog(spark, tmp_path):
     catalog.save_results(values, "r1", str(tmp_path / "results"), "EPSG:32722")
     back = {r["indicator_code"]: r for r in spark.read.parquet(str(tmp_path / "results")).collect()}
     assert json.loads(back["land_use.predominant_use"]["value_json"])["label"] == "misto" and back["green_areas.total_area"]["unit"] == "m2" and back["green_areas.total_area"]["run_id"] == "r1"
+
+
+def test_points_in_polygons_of_every_width(spark):
+    """Against a ray in plain Python: narrow, wide and very wide polygons, one with a hole, of two groups."""
+    wide = [[[-50, -20], [90_000, 5], [60_000, 70], [-50, 70], [-50, -20]], [[100, 10], [100, 40], [4_000, 40], [4_000, 10], [100, 10]]]
+    rings = {1: wide, 2: [[[0, 0], [2_000, 0], [1_000, 50], [0, 0]]]} | {k: [[[7 * k, 0], [7 * k + 9, 0], [7 * k + 4, 33], [7 * k, 0]]] for k in range(3, 300)}
+    features = shapes(spark, [(k, "Polygon", r) for k, r in rings.items()])
+    edges = overlay.segments(features.union(features.withColumn("project_id", F.lit(2)).filter("feature_id = 2")), ["project_id"])
+    at = [(p, 1000 * p + k, x, y) for p in (1, 2) for k, (x, y) in enumerate([(0.37 + 41.3 * i, (3.1 * i) % 68) for i in range(60)] + [(70_000.5, 20.25), (-60.5, 1.5), (95_000.5, 6.5)])]
+    points = spark.createDataFrame(at, "project_id bigint, point_id bigint, x double, y double")
+    found = {tuple(r) for r in overlay.containing(points, edges, ["project_id"]).select("project_id", "point_id", "polygon").collect()}
+
+    def inside(x, y, polygon):
+        crossed = 0
+        for ring in polygon:
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False):
+                crossed += (y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1)
+        return crossed % 2 == 1
+
+    assert found == {(p, i, k) for p, i, x, y in at for k, ring in rings.items() if (p == 1 or k == 2) and inside(x, y, ring)}
+    assert {k for _, _, k in found} >= {1, 2} and len(found) > 60
