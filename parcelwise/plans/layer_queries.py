@@ -353,22 +353,27 @@ def _kruger_sql() -> str:
     east = " + ".join(["eta", *(f"{a!r} * cos({2 * j} * xi) * (exp({2 * j} * eta) - exp(-{2 * j} * eta)) / 2" for j, a in enumerate(crs._ALPHA, 1))])
     north = " + ".join(["xi", *(f"{a!r} * sin({2 * j} * xi) * (exp({2 * j} * eta) + exp(-{2 * j} * eta)) / 2" for j, a in enumerate(crs._ALPHA, 1))])
     scale = crs.SCALE * crs._A
-    return f"""with {_LONLAT}, a as (select c_custkey, radians(lat) as phi, radians(lon + 51.0) as lam from c where lon between -54 and -48),
+    return f"""with {_LONLAT}, z as (select *, floor((lon + 180) / 6)::int + 1 as zone from c),
+a as (select c_custkey, 32700 + zone as epsg, radians(lat) as phi, radians(lon - (zone * 6 - 183)) as lam from z),
 t as (select *, atanh(sin(phi)) - {crs._E!r} * atanh({crs._E!r} * sin(phi)) as q from a),
-u as (select *, (exp(q) - exp(-q)) / 2 as t from t), v as (select c_custkey, atan2(t, cos(lam)) as xi, atanh(sin(lam) / sqrt(1 + t * t)) as eta from u)
-select c_custkey, round({scale!r} * ({east}) + 500000, 4) as x, round({scale!r} * ({north}) + 10000000, 4) as y from v"""
+u as (select *, (exp(q) - exp(-q)) / 2 as t from t), v as (select c_custkey, epsg, atan2(t, cos(lam)) as xi, atanh(sin(lam) / sqrt(1 + t * t)) as eta from u)
+select c_custkey, epsg, round({scale!r} * ({east}) + 500000, 4) as x, round({scale!r} * ({north}) + 10000000, 4) as y from v"""
+
+
+def _projected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer in the zone that its own degrees lie in."""
+    rows = _lonlat(spark, sf_dir).withColumn("epsg", crs.utm_epsg(F.col("lon"), F.col("lat")))
+    return rows.withColumn("p", crs.to_utm(F.col("lon"), F.col("lat"), F.col("epsg")))
 
 
 @query(_kruger_sql())
 def utm_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lonlat(spark, sf_dir).filter("lon between -54 and -48").withColumn("p", crs.to_utm(F.col("lon"), F.col("lat"), F.lit(32722)))
-    return rows.select("c_custkey", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
+    return _projected(spark, sf_dir).select("c_custkey", "epsg", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
 
 
-@query(f"with {_LONLAT} select c_custkey, round(lon, 7) as lon, round(lat, 7) as lat from c where lon between -54 and -48")
+@query(f"with {_LONLAT} select c_custkey, round(lon, 7) as lon, round(lat, 7) as lat from c")
 def utm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lonlat(spark, sf_dir).filter("lon between -54 and -48").withColumn("p", crs.to_utm(F.col("lon"), F.col("lat"), F.lit(32722)))
-    back = rows.withColumn("q", crs.from_utm(F.col("p.x"), F.col("p.y"), F.lit(32722)))
+    back = _projected(spark, sf_dir).withColumn("q", crs.from_utm(F.col("p.x"), F.col("p.y"), F.col("epsg")))
     return back.select("c_custkey", F.round("q.x", 7).alias("lon"), F.round("q.y", 7).alias("lat"))
 
 
