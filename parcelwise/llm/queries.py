@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwise.llm import bpe, chat, language, neardup, nearest, packing, quality, token_counts, toxicity, url_filters
+from parcelwise.llm import bpe, chat, conversation_repair, html_text, language, neardup, nearest, packing, quality, token_counts, toxicity, url_filters, whitening
 from parcelwise.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,9 +55,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = (
+    op1_bpe, op2_token_counts, op3_neardup, op4_url_filters, op5_nearest, op6_toxicity, op7_chat, op8_packing, op9_language, op10_quality,
+    op11_html_text, op12_conversation_repair, op13_whitening,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_neardup, op4_url_filters, op5_nearest, op6_toxicity, op7_chat, op8_packing, op9_language, op10_quality)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": url_filters.oracle(), "op7_chat": chat.ORACLE, "op10_quality": quality.oracle()}
+    return {"op4_url_filters": url_filters.oracle(), "op7_chat": chat.ORACLE, "op10_quality": quality.oracle(), "op12_conversation_repair": conversation_repair.ORACLE}
