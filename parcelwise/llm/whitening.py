@@ -14,7 +14,7 @@ Defined results: rows whose vector is null, empty, or holds null or non-finite
 entries take no part, nor do vectors of another length than the most common one
 (of equally common ones the longest); entries beyond +-2^61 after scaling are
 set there; a null vec_id is kept; repeated rows each have their result, but
-count once in the fit; a component without variance is left out, so that fewer
+count once in the fit; a component without variance beyond rounding is left out, so that fewer
 than `components` may come, and none at all from fewer than two distinct
 vectors or an empty table; a deviation beyond a long is null; other columns
 play no part.  A component's sign makes its largest entry positive.
@@ -109,7 +109,8 @@ def matrix_sum(rows: DataFrame, d: int, kernel: Kernel, kind: str) -> np.ndarray
 
 
 def _sums(x: np.ndarray) -> np.ndarray:
-    return np.append(x.sum(0), len(x))[None, :]
+    """The sums of the upper and of the lower 32 bits, apart, so that they stay in longs; and the number of rows."""
+    return np.vstack([np.append((x >> 32).sum(0), 0), np.append((x & 0xFFFFFFFF).sum(0), len(x))])
 
 
 def _scatter(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
@@ -185,9 +186,9 @@ def fit(rows: DataFrame, components: int = COMPONENTS) -> Whitening | None:
         return None
     d = first[0]["d"]
     distinct = stored(rows.select("x").distinct())
-    found = matrix_sum(distinct, d, _sums, "<i8")[0]
-    sums, n = found[:-1], int(found[-1])
-    mean = sums / n
+    upper, lower = matrix_sum(distinct, d, _sums, "<i8").astype(object)
+    sums, n = (upper * 2**32 + lower)[:-1], int(lower[-1])
+    mean = (sums / n).astype(float)
     scatter = matrix_sum(distinct, d, partial(_scatter, mean=mean), "<f8")
     norms, units = one_sided_jacobi(pivoted_cholesky(scatter))
     model = Whitening(n, sums, units[:components], norms[:components] / n, float(np.trace(scatter)) / n)
@@ -203,18 +204,19 @@ def fit(rows: DataFrame, components: int = COMPONENTS) -> Whitening | None:
 
 def deviations(x: np.ndarray, n: int, sums: np.ndarray) -> list[int | None]:
     """The sums over dimensions of (n x - S)^2, exactly; None beyond a long."""
-    rough = ((x * float(n) - sums) ** 2).sum(1)
-    with np.errstate(over="ignore"):
-        exact = ((x * n - sums) ** 2).sum(1)
-    out: list[int | None] = exact.tolist()
-    for i in np.flatnonzero(rough > 2.0**62):
+    near = np.abs(x).max(initial=0) < 2**62 // n and max(map(abs, sums), default=0) < 2**62
+    whole = sums.astype(np.int64) if near else np.zeros(len(sums), np.int64)
+    away = x * n - whole if near else x - whole
+    rough = (away.astype(float) ** 2).sum(1)
+    out: list[int | None] = (away * away).sum(1).tolist()
+    for i in np.flatnonzero(rough > 2.0**62) if near else range(len(x)):
         true = sum((int(v) * n - int(s)) ** 2 for v, s in zip(x[i], sums, strict=True))
         out[i] = true if true < 2**63 else None
     return out
 
 
 def _whitened(batches: Iterator[pa.RecordBatch], model: Whitening) -> Iterator[pa.RecordBatch]:
-    k, mean, projection = len(model.components), model.sums / model.n, model.projection()
+    k, mean, projection = len(model.components), (model.sums / model.n).astype(float), model.projection()
     names = [c.split()[0] for c in RESULT.split(", ")]
     for part, x in _chunks(batches, len(mean)):
         z = (x - mean) @ projection

@@ -280,8 +280,20 @@ def test_whitening_of_few_rows(spark):
     assert whitening.whiten(df.limit(0)).count() == 0
     two = df.union(spark.createDataFrame([(None, [1.5, 0.25], 0, 1, 2, 3)], VECTORS))
     rows = whitening.whiten(two).collect()
-    assert {(r["vec_id"], r["component"], r["n"], r["deviation"], round(r["whitened"], 9), r["explained"]) for r in rows} == {
+    assert {(r["vec_id"], r["component"], r["n"], r["deviation"], round(r["whitened"], 9), round(r["explained"], 9)) for r in rows} == {
         (1, 1, 2, 64**2, -1.0, 1.0), (2, 1, 2, 64**2, -1.0, 1.0), (None, 1, 2, 64**2, 1.0, 1.0),
     }
-    huge = spark.createDataFrame([(1, [3e38], 0, 1, 2, 3), (2, [-3e38], 0, 1, 2, 3), (3, [0.0], 0, 1, 2, 3)], VECTORS)
-    assert {r["deviation"] for r in whitening.whiten(huge).collect()} <= {None, 0, *range(100)}
+    # seven vectors at the limit: the sums are beyond a long, the deviations too
+    huge = spark.createDataFrame([(k, [3e38, float(k)], 0, 1, 2, 3) for k in range(7)] + [(9, [0.0, 3.0], 0, 1, 2, 3)], VECTORS)
+    rows = whitening.whiten(huge).collect()
+    assert {(r["n"], r["deviation"]) for r in rows} == {(8, None)} and len(rows) == 8
+    assert sum(r["whitened"] for r in rows if r["component"] == 1) == pytest.approx(0, abs=1e-6)
+
+
+def test_exact_deviations():
+    x = np.array([[3, 2**40], [-5, -(2**40)], [2**61, 7]])
+    n, sums = 3, np.array([int(v) for v in x.astype(object).sum(0)], object)
+    true = [sum((int(v) * n - int(s)) ** 2 for v, s in zip(row, sums, strict=True)) for row in x]
+    assert whitening.deviations(x, n, sums) == [t if t < 2**63 else None for t in true]
+    x = np.array([[3, 2**28], [-5, -(2**28)]])
+    assert whitening.deviations(x, 2, x.sum(0)) == [8**2 + (2**29) ** 2] * 2
