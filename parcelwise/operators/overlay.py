@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parcelwise.functions import geometry
+from parcelwise.operators import meeting
+from parcelwise.session import released, stored
 
 CELL = 32.0
 #: Cells of the point search: LEVELS sizes, each SPREAD times the one before.
@@ -27,21 +29,6 @@ def segments(features: DataFrame, keys: list[str]) -> DataFrame:
     return rows.filter("x1 <> x2 or y1 <> y2")
 
 
-def with_cells(rows: DataFrame, reach: float = 0.0, cell: float = CELL) -> DataFrame:
-    """A row for each cell (cx, cy) of the bounding box, widened by `reach`."""
-    span = lambda a, b: F.sequence(F.floor((F.least(a, b) - reach) / cell), F.floor((F.greatest(a, b) + reach) / cell))
-    return rows.withColumn("cx", F.explode(span(F.col("x1"), F.col("x2")))).withColumn("cy", F.explode(span(F.col("y1"), F.col("y2"))))
-
-
-def cut_long(rows: DataFrame, most: float = 8 * CELL) -> DataFrame:
-    """Segments cut into pieces of at most `most` per axis; `piece` numbers them."""
-    n = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) / most).cast("int"))
-    rows = rows.withColumn("n", n).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    at = lambda a, b, k: F.when(k == F.col("n"), F.col(b)).otherwise(F.col(a) + (F.col(b) - F.col(a)) * k / F.col("n"))
-    k = F.col("piece")
-    return rows.withColumns({"x1": at("x1", "x2", k), "y1": at("y1", "y2", k), "x2": at("x1", "x2", k + 1), "y2": at("y1", "y2", k + 1)}).drop("n")
-
-
 def cross(ax, ay, bx, by) -> Column:
     return ax * by - ay * bx
 
@@ -69,28 +56,9 @@ def side(prefix: str) -> dict[str, Column]:
     return {k: F.col(f"{prefix}_{k}") for k in ("x1", "y1", "x2", "y2")}
 
 
-def _placed(rows: DataFrame, keys: list[str], id_: str, prefix: str, reach: float) -> DataFrame:
-    """Segments by the cells of their pieces, with the first cell (lx, ly) of the piece."""
-    kept = [F.col(c).alias(f"{prefix}_{c}") for c in (id_, "feature_id", "x1", "y1", "x2", "y2")]
-    pieces = cut_long(rows.select(*keys, *kept, "x1", "y1", "x2", "y2"))
-    low = {f"{prefix}_l{c}": F.floor((F.least(f"{c}1", f"{c}2") - reach) / CELL) for c in "xy"}
-    return with_cells(pieces.withColumns(low), reach).drop("x1", "y1", "x2", "y2", "piece")
-
-
 def neighbours(rows: DataFrame, other: DataFrame, keys: list[str], id_: str, reach: float = 0.0) -> DataFrame:
-    """Pairs of segments of one group whose boxes meet: columns a_* of `rows` and b_* of `other`.
-
-    A pair comes once; one of long segments once for each pair of their pieces that meet.
-    """
-    a, b = _placed(rows, keys, id_, "a", reach), _placed(other, keys, id_, "b", 0.0)
-    low = lambda p, c: F.least(f"{p}_{c}1", f"{p}_{c}2")
-    high = lambda p, c: F.greatest(f"{p}_{c}1", f"{p}_{c}2")
-    near = F.lit(True)
-    for c in ("x", "y"):
-        near = near & (low("a", c) <= high("b", c) + reach + SNAP) & (low("b", c) <= high("a", c) + reach + SNAP)
-    # of the cells that both pieces share, the first makes the pair
-    mine = (F.col("cx") == F.greatest("a_lx", "b_lx")) & (F.col("cy") == F.greatest("a_ly", "b_ly"))
-    return a.join(b, [*keys, "cx", "cy"]).filter(near & mine).drop("cx", "cy", "a_lx", "a_ly", "b_lx", "b_ly")
+    """Pairs of segments of one group whose boxes meet: columns a_* of `rows` and b_* of `other`."""
+    return meeting.segment_pairs(rows, other, keys, id_, reach)
 
 
 def split_edges(rows: DataFrame, cuts: DataFrame, keys: list[str], id_: str) -> DataFrame:
@@ -161,29 +129,80 @@ def usable(polygons: DataFrame) -> Column:
     return area & F.col("is_valid") if "is_valid" in polygons.columns else area
 
 
+def _oriented(polygons: DataFrame, keys: list[str]) -> DataFrame:
+    """Segments of valid polygons with their interior on the left: shells run counter-clockwise, holes clockwise."""
+    ring = F.col("r")
+    rings = polygons.select(*keys, "feature_id", F.explode("geom").alias("r"))
+    turned = (geometry.ring_area(ring["pts"]) < 0) == (ring["ring"] == 0)
+    rows = rings.select(*keys, "feature_id", turned.alias("turned"), F.explode(geometry.edges(F.array(ring))).alias("e")).select(*keys, "feature_id", "turned", "e.*")
+    rows = rows.select(*keys, "feature_id", "part", "ring", "seq", *_reversed(F.col("turned")))
+    return rows.filter("x1 <> x2 or y1 <> y2")
+
+
+def canonical() -> tuple[Column, dict[str, Column]]:
+    """Whether a segment runs against the order of its ends, and its ends in that order."""
+    flip = (F.col("x1") > F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") > F.col("y2")))
+    return flip, {c: F.when(flip, F.col(o)).otherwise(F.col(c)) for c, o in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))}
+
+
+def _reversed(turn: Column) -> list[Column]:
+    return [F.when(turn, F.col(o)).otherwise(F.col(c)).alias(c) for c, o in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))]
+
+
+def _overlapping(polygons: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups in which the boxes of two polygons overlap by more than an edge: where none do, interiors are apart."""
+    boxes = meeting.boxes(polygons, keys)
+    met = meeting.pairs(boxes, boxes, keys).filter("a_feature_id < b_feature_id")
+    over = F.lit(True)
+    for c in "xy":
+        # both boxes are a hair wider than their polygons
+        over = over & (F.least(f"a_b{c}1", f"b_b{c}1") - F.greatest(f"a_b{c}0", f"b_b{c}0") > 4 * SNAP)
+    return met.filter(over).select(*keys).distinct()
+
+
+def _odd_edges(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The boundary of polygons whose interiors are apart: what two of them share runs both ways and cancels."""
+    flip, ends = canonical()
+    net = parts.select(*keys, F.when(flip, -1).otherwise(1).alias("way"), *(v.alias(k) for k, v in ends.items())).groupBy(*keys, *ends).agg(F.sum("way").alias("net"))
+    return net.filter("net <> 0").select(*keys, *_reversed(F.col("net") < 0))
+
+
+def _single_edges(parts: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The boundary of polygons that may overlap: sub-edges of which exactly one side is covered."""
+    _, ends = canonical()
+    distinct = parts.select(*keys, *(v.alias(k) for k, v in ends.items())).distinct().withColumn("edge", F.xxhash64("x1", "y1", "x2", "y2"))
+    points = distinct.withColumn("s", F.explode(beside())).select(*keys, F.struct("edge", "s.side").alias("point_id"), "s.x", "s.y")
+    inside = covered(points, rows, keys).groupBy(*keys, F.col("point_id.edge").alias("edge")).agg(F.count("*").alias("n"), F.max(F.col("point_id.side")).alias("only")).filter("n = 1")
+    return distinct.join(inside, [*keys, "edge"]).select(*keys, *_reversed(F.col("only") == "right"))
+
+
+def beside() -> Column:
+    """array<struct<side, x, y>>: the middle of a segment, moved a little to its left and to its right."""
+    size = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    step = F.least(F.lit(1e-4), size / 4)
+    nx, ny = -(F.col("y2") - F.col("y1")) / size * step, (F.col("x2") - F.col("x1")) / size * step
+    mx, my = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    return F.array(F.struct(F.lit("left").alias("side"), (mx + nx).alias("x"), (my + ny).alias("y")), F.struct(F.lit("right").alias("side"), (mx - nx).alias("x"), (my - ny).alias("y")))
+
+
 def union_edges(polygons: DataFrame, keys: list[str]) -> DataFrame:
     """The boundary of the union of each group's polygons: edges with the interior on their left.
 
-    Edges are split where they meet those of other polygons of the group; a
-    sub-edge is on the boundary if exactly one of its sides is covered.
+    Edges are split where they meet those of other polygons of the group.  In a
+    group whose polygons lie in boxes apart from each other, shared sub-edges
+    cancel; in others a sub-edge is on the boundary if exactly one of its sides
+    is covered.  The edges are stored.
     """
-    rows = segments(polygons.filter(usable(polygons)), keys)
-    rows = rows.withColumn("sid", F.xxhash64("feature_id", "part", "ring", "seq"))
+    good = polygons.filter(usable(polygons))
+    rows = stored(_oriented(good, keys).withColumn("sid", F.xxhash64("feature_id", "part", "ring", "seq")))
     pairs = neighbours(rows, rows, keys, "sid").filter("a_feature_id <> b_feature_id")
     cuts = pairs.select(*keys, F.col("a_sid").alias("sid"), cut_places(side("a"), side("b")).alias("places")).filter(F.size("places") > 0)
     parts = split_edges(rows, cuts, keys, "sid")
-    flip = (F.col("x1") > F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") > F.col("y2")))
-    one = {c: F.when(flip, F.col(o)).otherwise(F.col(c)) for c, o in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))}
-    distinct = parts.select(*keys, *(v.alias(k) for k, v in one.items())).distinct().withColumn("edge", F.xxhash64("x1", "y1", "x2", "y2"))
-    size = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    step = F.least(F.lit(1e-4), size / 4)
-    nx, ny = -(F.col("y2") - F.col("y1")) / size * step, (F.col("x2") - F.col("x1")) / size * step
-    sides = F.explode(F.array(F.struct(F.lit("left").alias("side"), ((F.col("x1") + F.col("x2")) / 2 + nx).alias("x"), ((F.col("y1") + F.col("y2")) / 2 + ny).alias("y")), F.struct(F.lit("right").alias("side"), ((F.col("x1") + F.col("x2")) / 2 - nx).alias("x"), ((F.col("y1") + F.col("y2")) / 2 - ny).alias("y"))))
-    points = distinct.withColumn("s", sides).select(*keys, F.struct("edge", "s.side").alias("point_id"), "s.x", "s.y")
-    inside = covered(points, rows, keys).groupBy(*keys, F.col("point_id.edge").alias("edge")).agg(F.count("*").alias("n"), F.max(F.col("point_id.side")).alias("only")).filter("n = 1")
-    kept = distinct.join(inside, [*keys, "edge"])
-    turn = F.col("only") == "right"
-    return kept.select(*keys, *(F.when(turn, F.col(o)).otherwise(F.col(c)).alias(c) for c, o in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))))
+    over = stored(_overlapping(good, keys))
+    apart = _odd_edges(parts.join(over, keys, "left_anti"), keys)
+    out = stored(apart.unionByName(_single_edges(parts.join(over, keys, "left_semi"), rows.join(over, keys, "left_semi"), keys)))
+    released(rows, over)
+    return out
 
 
 def union_measures(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -200,16 +219,19 @@ def dissolved(features: DataFrame, keys: list[str]) -> DataFrame:
     return union_measures(union_edges(rows, keys), keys)
 
 
-def _spans(features: DataFrame) -> DataFrame:
-    """Features that cover an area: by their geom_type, or where there is none by their area."""
-    return features.filter(F.col("geom_type").isin("Polygon", "MultiPolygon") if "geom_type" in features.columns else geometry.area(F.col("geom")).isNotNull())
+def _spans(features: DataFrame) -> Column:
+    """Whether a feature covers an area: by its geom_type, or where there is none by its area."""
+    return F.col("geom_type").isin("Polygon", "MultiPolygon") if "geom_type" in features.columns else geometry.area(F.col("geom")).isNotNull()
 
 
-def _dots(features: DataFrame, keys: list[str]) -> DataFrame:
-    """Points of point features as segments of almost no length."""
-    rows = features.select(*keys, "feature_id", F.explode("geom").alias("r")).filter("size(r.pts) = 1")
-    x, y = F.get("r.pts", F.lit(0))["x"], F.get("r.pts", F.lit(0))["y"]
-    return rows.select(*keys, "feature_id", F.col("r.part").alias("part"), F.col("r.ring").alias("ring"), F.lit(0).alias("seq"), x.alias("x1"), y.alias("y1"), (x + 1e-9).alias("x2"), y.alias("y2"))
+def _edges_and_dots(features: DataFrame) -> Column:
+    """The edges of a feature, and the points of point features as edges of almost no length."""
+    edges = F.filter(geometry.edges(F.col("geom")), lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
+    if "geom_type" not in features.columns:
+        return edges
+    at = lambda r: F.get(r["pts"], F.lit(0))
+    dot = lambda r: F.struct(r["part"].alias("part"), r["ring"].alias("ring"), F.lit(0).alias("seq"), at(r)["x"].alias("x1"), at(r)["y"].alias("y1"), (at(r)["x"] + 1e-9).alias("x2"), at(r)["y"].alias("y2"))
+    return F.concat(edges, F.transform(F.filter("geom", lambda r: F.size(r["pts"]) == 1), dot))
 
 
 def related(targets: DataFrame, sources: DataFrame, keys: list[str], relation: str, distance: float = 0.0) -> DataFrame:
@@ -218,24 +240,120 @@ def related(targets: DataFrame, sources: DataFrame, keys: list[str], relation: s
     `intersects`, `contains` (the target contains a source), `within`, `dwithin`.
     Features with a geom_type may be polygons, lines or points, others are polygons.
     """
-    reach = distance if relation == "dwithin" else 0.0
-    mixed = lambda x: "geom_type" in x.columns
-    t, s = ((segments(x, keys).unionByName(_dots(x, keys)) if mixed(x) else segments(x, keys)).withColumn("sid", F.xxhash64("feature_id", "part", "ring", "seq")) for x in (targets, sources))
-    tp, sp = (segments(_spans(x), keys).withColumn("sid", F.xxhash64("feature_id", "part", "ring", "seq")) for x in (targets, sources))
     if relation in ("intersects", "dwithin"):
-        pairs = neighbours(t, s, keys, "sid", reach)
-        near = pairs.filter(segment_distance2(side("a"), side("b")) <= reach * reach + SNAP * SNAP).select(*keys, F.col("a_feature_id").alias("feature_id"))
-        inner = _first_inside(s, tp, keys).select(*keys, F.col("polygon").alias("feature_id"))
-        outer = _first_inside(t, sp, keys).select(*keys, F.col("point_id").alias("feature_id"))
-        return near.union(inner).union(outer).distinct()
-    # containing: every part of the inner one lies in the outer one, none properly outside
-    hold, held, thin = (tp, sp, s) if relation == "contains" else (sp, tp, t)
-    name = "outer" if relation == "contains" else "inner"
-    spots = _spots(held, hold, keys).select(*keys, F.col(name).alias("feature_id"))
-    if not mixed(sources if relation == "contains" else targets):
-        return spots.distinct()
-    flat = thin.join(held.select(*keys, "feature_id").distinct(), [*keys, "feature_id"], "left_anti")
-    return spots.union(_flat_spots(flat, hold, keys).select(*keys, F.col(name).alias("feature_id"))).distinct()
+        return _near(targets, sources, keys, distance if relation == "dwithin" else 0.0)
+    hold, held, name = (targets, sources, "outer") if relation == "contains" else (sources, targets, "inner")
+    return holding(hold, held, keys).select(*keys, F.col(name).alias("feature_id")).distinct()
+
+
+def _shapes(features: DataFrame, keys: list[str]) -> DataFrame:
+    """Features with `solid`, and a shape that equal geometries of a group share."""
+    kind = F.col("geom_type") if "geom_type" in features.columns else F.lit("Polygon")
+    return features.filter("geom is not null").select(*keys, "feature_id", "geom", kind.alias("geom_type"), F.struct(F.xxhash64("geom"), F.hash("geom")).alias("shape"))
+
+
+def _distinct_shapes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of `_shapes`, each shape once: keys, feature_id (the shape), solid and edges."""
+    each = rows.groupBy(*keys, F.col("shape").alias("feature_id")).agg(F.any_value("geom").alias("geom"), F.any_value("geom_type").alias("geom_type"))
+    return each.select(*keys, "feature_id", F.inline(F.array(F.struct(_spans(each).alias("solid"), _edges_and_dots(each).alias("edges")))))
+
+
+def _near(targets: DataFrame, sources: DataFrame, keys: list[str], reach: float) -> DataFrame:
+    """Targets that come within `reach` of a source, or lie in one, or have one in them.
+
+    Equal geometries are tested once, so that a heap of copies makes one pair.  Two features are
+    near if two of their edges are, or if a part of one begins inside the other; a polygon of one run
+    is tested where it meets, larger ones by strips.
+    """
+    shapes = [_shapes(x, keys) for x in (targets, sources)]
+    sides = [_distinct_shapes(x, keys) for x in shapes]
+    a, b = (meeting.edge_runs(x, keys, r, ["solid"]) for x, r in zip(sides, (reach, 0.0), strict=True))
+    known = [x.select(F.lit(k).alias("side"), "level", (F.col("solid") & ~F.col("whole")).alias("large")).distinct() for k, x in enumerate((a, b))]
+    found = known[0].union(known[1]).collect()
+    levels = [sorted({r["level"] for r in found if r["side"] == k}) for k in (0, 1)]
+    met = meeting.pairs(a, b, keys, levels)
+
+    def begins(outer: str, inner: str) -> Column:
+        """Whether a part of the inner one begins in the outer one; a run of one part only if its box lies in the outer box."""
+        wanted = F.get(F.col(f"{inner}_edges.part"), F.lit(0)) != F.element_at(f"{inner}_edges.part", -1)
+        bounds = [(F.col(f"{inner}_b{c}0") + 2 * reach >= F.col(f"{outer}_b{c}0")) & (F.col(f"{inner}_b{c}1") - 2 * reach <= F.col(f"{outer}_b{c}1")) for c in "xy"]
+        heads = F.filter(f"{inner}_edges", lambda e: (e["seq"] == 0) & (e["ring"] == 0))
+        test = F.exists(heads, lambda e: meeting.in_ring(F.col(f"{outer}_edges"), e["x1"], e["y1"]))
+        return F.when(F.col(f"{outer}_solid") & F.col(f"{outer}_whole") & (wanted | (bounds[0] & bounds[1])), test).otherwise(False)
+
+    inside = begins("a", "b") | begins("b", "a")
+    one = lambda c: F.when(F.col("inside"), F.slice(c, 1, 1)).otherwise(F.col(c))
+    box = [f"b_{c}" for c in meeting.BOX]
+    rows = met.select(*keys, "a_feature_id", "a_edges", "b_edges", *box, F.explode(F.array(inside)).alias("inside"))
+    rows = rows.select(*keys, "a_feature_id", "inside", *box, F.explode(one("a_edges")).alias("a"), one("b_edges").alias("b_edges"))
+    # only edges near the other run's box go on
+    beside_box = F.lit(True)
+    for c in "xy":
+        beside_box = beside_box & (F.least(f"a.{c}1", f"a.{c}2") <= F.col(f"b_b{c}1") + reach) & (F.greatest(f"a.{c}1", f"a.{c}2") >= F.col(f"b_b{c}0") - reach)
+    rows = rows.filter(F.col("inside") | beside_box)
+    rows = rows.select(*keys, "a_feature_id", "inside", "a", F.explode("b_edges").alias("b"))
+    rows = rows.select(*keys, "a_feature_id", "inside", *(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "ab" for c in ("x1", "y1", "x2", "y2")))
+    close = F.lit(True)
+    for c in "xy":
+        low, high = (lambda p, c=c: F.least(f"{p}_{c}1", f"{p}_{c}2")), (lambda p, c=c: F.greatest(f"{p}_{c}1", f"{p}_{c}2"))
+        close = close & (low("a") <= high("b") + (reach + SNAP)) & (low("b") <= high("a") + (reach + SNAP))
+    hits = rows.filter(F.col("inside") | close).filter(F.col("inside") | (segment_distance2(side("a"), side("b")) <= reach * reach + SNAP * SNAP)).select(*keys, F.col("a_feature_id").alias("shape"))
+    for k, mine in ((0, True), (1, False)):
+        # polygons of several runs: in which of them does a part of the other side begin?
+        if any(r["large"] for r in found if r["side"] == k):
+            large = sides[k].filter("solid").select(*keys, "feature_id", F.explode("edges").alias("e")).select(*keys, "feature_id", "e.*")
+            heads = sides[1 - k].select(*keys, F.col("feature_id").alias("of"), F.explode(F.filter("edges", lambda e: (e["seq"] == 0) & (e["ring"] == 0))).alias("e"))
+            heads = heads.select(*keys, F.struct("of", "e.part").alias("point_id"), F.col("e.x1").alias("x"), F.col("e.y1").alias("y"))
+            within = containing(heads, large, keys)
+            hits = hits.union(within.select(*keys, F.col("polygon" if mine else "point_id.of").alias("shape")))
+    return shapes[0].join(hits.distinct(), [*keys, "shape"], "left_semi").select(*keys, "feature_id")
+
+
+def holding(hold: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, outer, inner): polygons `hold` and the features `held` that they contain; stored.
+
+    Only pairs of boxes one in the other are looked at.  A polygon contains another if all edges of
+    the inner one, split where they meet, have their inner side in it, and none of its own edges,
+    split likewise, runs through the inner one (as a hole's would).  It contains a line or points if
+    all their pieces lie in or on it and one properly inside.
+    """
+    boxes = [meeting.boxes(x, keys) for x in (held, hold.filter(_spans(hold)))]
+    met, around = meeting.pairs(*boxes, keys), F.lit(True)
+    for c in "xy":
+        around = around & (F.col(f"a_b{c}0") >= F.col(f"b_b{c}0") - SNAP) & (F.col(f"a_b{c}1") <= F.col(f"b_b{c}1") + SNAP)
+    close = stored(met.filter(around).select(*keys, F.col("a_feature_id").alias("inner"), F.col("b_feature_id").alias("outer")))
+    wanted = lambda x, name: x.join(close.select(*keys, F.col(name).alias("feature_id")).distinct(), [*keys, "feature_id"], "left_semi")
+    numbered = lambda x: x.withColumn("sid", F.xxhash64("feature_id", "part", "ring", "seq"))
+    outer = stored(numbered(segments(wanted(hold.filter(_spans(hold)), "outer"), keys)))
+    solid = stored(numbered(segments(wanted(held.filter(_spans(held)), "inner"), keys)))
+    found = _solid_in(solid, outer, keys)
+    if "geom_type" in held.columns:
+        flat = wanted(held.filter(~_spans(held)), "inner")
+        pieces = flat.select(*keys, "feature_id", F.explode(_edges_and_dots(flat)).alias("e")).select(*keys, "feature_id", "e.*")
+        found = found.unionByName(_flat_spots(numbered(pieces), outer, keys))
+    out = stored(found.join(close, [*keys, "outer", "inner"], "left_semi"))
+    released(close, outer, solid)
+    return out
+
+
+def _solid_in(held: DataFrame, hold: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, outer, inner): polygons `hold` that contain polygons `held`, both as segments."""
+    pairs = neighbours(held, hold, keys, "sid")
+    cuts = lambda p, q: pairs.select(*keys, F.col(f"{p}_sid").alias("sid"), cut_places(side(p), side(q)).alias("places")).filter(F.size("places") > 0)
+    spots = lambda parts: parts.withColumn("s", F.explode(beside())).select(*keys, F.struct("feature_id", "x1", "y1", "x2", "y2", "s.side").alias("point_id"), F.col("s.x").alias("x"), F.col("s.y").alias("y"))
+    of = F.col("point_id.feature_id")
+    # the inner sides of the held edges: all must lie in the holder
+    sides = spots(split_edges(held, cuts("a", "b"), keys, "sid"))
+    own = containing(sides, held, keys).filter(of == F.col("polygon")).drop("polygon")
+    total = own.groupBy(*keys, of.alias("inner")).agg(F.count("*").alias("total"))
+    in_hold = containing(sides.join(own, [*keys, "point_id"], "left_semi"), hold, keys)
+    got = in_hold.groupBy(*keys, of.alias("inner"), F.col("polygon").alias("outer")).agg(F.count("*").alias("got"))
+    covered_ = got.join(total, [*keys, "inner"]).filter("got = total").select(*keys, "outer", "inner")
+    # the holder's edges: none may have both sides in the held polygon
+    through = containing(spots(split_edges(hold, cuts("b", "a"), keys, "sid")), held, keys)
+    edge = [F.col(f"point_id.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    pierced = through.groupBy(*keys, of.alias("outer"), F.col("polygon").alias("inner"), *edge).agg(F.count("*").alias("n")).filter("n = 2").select(*keys, "outer", "inner").distinct()
+    return covered_.join(pierced, [*keys, "outer", "inner"], "left_anti")
 
 
 def _flat_spots(held: DataFrame, hold: DataFrame, keys: list[str]) -> DataFrame:
@@ -272,30 +390,6 @@ def segment_distance2(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.when(properly_cross(a, b), F.lit(0.0)).otherwise(ends)
 
 
-def _first_inside(of: DataFrame, polygons: DataFrame, keys: list[str]) -> DataFrame:
-    """Features with their first vertex inside a polygon: candidates whose boundaries needn't meet."""
-    first = of.groupBy(*keys, F.col("feature_id").alias("point_id")).agg(F.min(F.struct("part", "ring", "seq", "x1", "y1")).alias("f")).select(*keys, "point_id", F.col("f.x1").alias("x"), F.col("f.y1").alias("y"))
-    return containing(first, polygons, keys)
-
-
-def _spots(held: DataFrame, hold: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, outer, inner): polygons `hold` that contain `held`: the midpoints of all its split edges, moved a
-    little inwards, lie inside."""
-    pairs = neighbours(held, hold, keys, "sid")
-    cuts = pairs.select(*keys, F.col("a_sid").alias("sid"), cut_places(side("a"), side("b")).alias("places")).filter(F.size("places") > 0)
-    parts = split_edges(held, cuts, keys, "sid")
-    size = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    step = F.least(F.lit(1e-4), size / 4)
-    nx, ny = -(F.col("y2") - F.col("y1")) / size * step, (F.col("x2") - F.col("x1")) / size * step
-    both = F.explode(F.array(F.struct(((F.col("x1") + F.col("x2")) / 2 + nx).alias("x"), ((F.col("y1") + F.col("y2")) / 2 + ny).alias("y")), F.struct(((F.col("x1") + F.col("x2")) / 2 - nx).alias("x"), ((F.col("y1") + F.col("y2")) / 2 - ny).alias("y"))))
-    spots = parts.withColumn("s", both).select(*keys, F.struct("feature_id", "x1", "y1", "x2", "y2", "s.x", "s.y").alias("point_id"), F.col("s.x").alias("x"), F.col("s.y").alias("y"))
-    own = containing(spots, held, keys).filter("point_id.feature_id = polygon").drop("polygon")
-    in_hold = containing(spots.join(own, [*keys, "point_id"], "left_semi"), hold, keys)
-    total = own.groupBy(*keys, F.col("point_id.feature_id").alias("inner")).agg(F.count("*").alias("total"))
-    got = in_hold.groupBy(*keys, F.col("point_id.feature_id").alias("inner"), F.col("polygon").alias("outer")).agg(F.count("*").alias("got"))
-    return got.join(total, [*keys, "inner"]).filter("got = total").drop("got", "total")
-
-
 def attribute_filter(features: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """Features whose attributes all equal the wanted ones: land_use by its column, others by their mapped text."""
     for key, value in wanted.items():

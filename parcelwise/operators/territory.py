@@ -186,13 +186,22 @@ INDICATORS = {
 }
 
 
-def project_warnings(features: DataFrame) -> DataFrame:
-    """(project_id, indicator_code, code): what a project's values leave out, where no single feature is to blame."""
-    rows = measured(features).groupBy("project_id").agg(
+def project_warnings(features: DataFrame, frontages: DataFrame | None = None) -> DataFrame:
+    """(project_id, indicator_code, code): what a project's values leave out, where no single feature is to blame.
+
+    Targets of walking distances are lots of any use but the residential (mixed ones too) and green
+    areas; with `frontages` (project_id, feature_id, value) only those that a street reaches.
+    """
+    target = F.lit(True)
+    rows = measured(features)
+    if frontages is not None:
+        rows = rows.join(frontages.select("project_id", "feature_id", F.col("value").alias("frontage")), ["project_id", "feature_id"], "left")
+        target = F.coalesce(F.col("frontage") > 0, F.lit(False))
+    rows = rows.groupBy("project_id").agg(
         F.sum(F.when(F.col("parcelavel"), F.col("area"))).alias("parcelable"),
         F.count_if((F.col("macroarea") == LOT) & F.col("land_use").isin(*NON_RESIDENTIAL) & (F.col("ca_max") >= 0)).alias("non_residential"),
-        F.count_if((F.col("macroarea") == LOT) & F.col("land_use").isin(*NON_RESIDENTIAL)).alias("non_residential_targets"),
-        F.count_if(F.col("macroarea") == "avl").alias("green_targets"),
+        F.count_if(target & (F.col("macroarea") == LOT) & F.col("land_use").isNotNull() & (F.col("land_use") != "residencial")).alias("non_residential_targets"),
+        F.count_if(target & (F.col("macroarea") == "avl")).alias("green_targets"),
     )
     cases = (
         (~F.coalesce(F.col("parcelable") > 0, F.lit(False)), "territorial.percent_by_category", "no_parcelavel_area"),

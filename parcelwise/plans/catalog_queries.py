@@ -81,7 +81,7 @@ def indicator_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_SMALL}, s as (select project_id, sum(case when parcelavel then area end) as parcelable, count(case when macroarea = 'lote' and land_use in ('comercial', 'servicos', 'institucional', 'industrial') and ca_max >= 0 then 1 end) as a,
-  count(case when macroarea = 'lote' and land_use in ('comercial', 'servicos', 'institucional', 'industrial') then 1 end) as b, count(case when macroarea = 'avl' then 1 end) as c from areas group by project_id),
+  count(case when macroarea = 'lote' and land_use <> 'residencial' then 1 end) as b, count(case when macroarea = 'avl' then 1 end) as c from areas group by project_id),
 u as (select project_id, land_use, sum(area) as v from areas where macroarea = 'lote' and land_use is not null group by all), t as (select project_id from (select *, max(v) over (partition by project_id) as m from u) where v = m group by project_id having count(*) > 1)
 select project_id, 'territorial.percent_by_category' as indicator_code, 'no_parcelavel_area' as code from s where not coalesce(parcelable > 0, false)
 union all select project_id, 'density.non_residential_ca', 'no_non_residential_lot' from s where a = 0 union all select project_id, 'lots.distance_to_non_residential_use', 'no_non_residential_target' from s where b = 0

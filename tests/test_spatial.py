@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelwise.functions import geometry
-from parcelwise.operators import blocks, catalog, overlay, territory, validity
+from parcelwise.operators import blocks, catalog, meeting, overlay, territory, validity
 
 
 def shapes(spark, rows):
@@ -38,13 +38,12 @@ def test_a_long_segment_meets_what_lies_along_it(spark):
     road = shapes(spark, [(1, "LineString", [[0, 0], [100_000, 70_000]])])
     near = shapes(spark, [(k, "LineString", [[x, 0.7 * x - 3], [x, 0.7 * x + 3]]) for k, x in enumerate(range(500, 100_000, 9_000))] + [(90, "LineString", [[500, 60_000], [520, 60_000]])])
     assert found(near, road, "intersects") == list(range(12))
-    segs = overlay.segments(road, ["project_id"])
-    assert overlay.with_cells(overlay.cut_long(segs)).count() < 40_000
+    runs = meeting.runs(road, ["project_id"])
+    assert runs.count() < 200 and runs.agg(F.max("level")).first()[0] <= 11
 
 
-@pytest.mark.parametrize(
-    ("kind", "xy", "fault"),
-    [
+def test_validity(spark):
+    cases = [
         ("Polygon", BOX, None),
         ("Polygon", [[[0, 0], [10, 10], [10, 0], [0, 12], [0, 0]]], "self_intersection"),
         ("Polygon", [[[0, 0], [10, 0], [10, 10], [0, 10], [0, 1]]], "unclosed_ring"),
@@ -53,11 +52,23 @@ def test_a_long_segment_meets_what_lies_along_it(spark):
         ("MultiPolygon", [BOX, [[[2, 2], [4, 2], [4, 4], [2, 4], [2, 2]]]], "overlapping_parts"),
         ("MultiPolygon", [BOX, [[[20, 2], [24, 2], [24, 4], [20, 4], [20, 2]]]], None),
         ("Polygon", None, "null"),
-    ],
-)
-def test_validity(spark, kind, xy, fault):
-    rows = validity.audited(shapes(spark, [(1, kind, xy)]), ["project_id"]).collect()
-    assert len(rows) == 1 and rows[0]["is_valid"] == (fault is None) and (rows[0]["faults"] or []) == ([fault] if fault else [])
+        ("MultiPolygon", [BOX, [[[10, 0], [20, 0], [20, 10], [10, 10], [10, 0]]]], "shared_edge"),
+        ("MultiPolygon", [BOX, [[[5, 0], [15, 0], [15, 10], [5, 10], [5, 0]]]], "overlapping_parts shared_edge"),
+        ("Polygon", [*BOX, [[0, 2], [0, 4], [4, 4], [4, 2], [0, 2]]], "shared_edge"),
+        ("Polygon", [*BOX, [[2, 2], [2, 8], [8, 8], [8, 2], [2, 2]], [[3, 3], [3, 4], [4, 4], [4, 3], [3, 3]]], "nested_holes"),
+        ("Polygon", [*BOX, [[0, 5], [5, 8], [5, 2], [0, 5]]], None),  # a hole that touches its shell in a point
+        ("MultiPolygon", [BOX, [[[10, 10], [20, 10], [20, 20], [10, 20], [10, 10]]]], None),  # parts that touch in a point
+        ("MultiPolygon", [[BOX[0], [[2, 2], [2, 8], [8, 8], [8, 2], [2, 2]]], [[[3, 3], [6, 3], [6, 6], [3, 6], [3, 3]]]], None),  # an island in a hole
+        ("MultiPolygon", [[BOX[0], [[2, 2], [2, 8], [8, 8], [8, 2], [2, 2]]], [[[2, 2], [8, 2], [8, 8], [2, 8], [2, 2]]]], "shared_edge"),  # a hole filled
+        ("MultiPolygon", [BOX, BOX], "shared_edge"),
+        ("Polygon", [*BOX, [[2, 2], [2, 12], [4, 12], [4, 2], [2, 2]]], "hole_outside self_intersection"),
+        ("Polygon", [[[0, 0], [6, 10], [10, 0], [0, 7], [10, 7], [0, 0]]], "self_intersection"),  # a star turns twice
+        ("Polygon", [[[0, 0], [10, 0], [10, 10], [5, 0], [0, 10], [0, 0]]], "self_intersection"),  # a corner on another edge
+    ]
+    rows = {r["feature_id"]: r for r in validity.audited(shapes(spark, [(k, kind, xy) for k, (kind, xy, _) in enumerate(cases)]), ["project_id"]).collect()}
+    assert len(rows) == len(cases)
+    for k, (_, _, faults) in enumerate(cases):
+        assert (rows[k]["is_valid"], rows[k]["faults"]) == (faults is None, faults.split() if faults else None), cases[k]
 
 
 def test_unions_leave_out_what_the_audit_rejects(spark):
@@ -114,3 +125,75 @@ def test_points_in_polygons_of_every_width(spark):
 
     assert found == {(p, i, k) for p, i, x, y in at for k, ring in rings.items() if (p == 1 or k == 2) and inside(x, y, ring)}
     assert {k for _, _, k in found} >= {1, 2} and len(found) > 60
+
+
+HOLE = [[2, 2], [2, 4], [4, 4], [4, 2], [2, 2]]
+
+
+def test_containment_sees_holes_and_parts(spark):
+    ring = lambda x0, y0, x1, y1: [[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]
+    holed = shapes(spark, [(1, "Polygon", [*BOX, HOLE]), (2, "MultiPolygon", [BOX, [ring(20, 0, 30, 10)]])])
+    held = shapes(
+        spark,
+        [
+            (10, "Polygon", [ring(1, 1, 6, 6)]),  # covers the hole
+            (11, "Polygon", [ring(2, 2, 4, 4)]),  # fills the hole
+            (12, "Polygon", [ring(5, 5, 9, 9)]),  # beside the hole
+            (13, "Polygon", [ring(4, 2, 6, 4)]),  # along the hole
+            (14, "Polygon", [ring(1, 1, 6, 6), HOLE]),  # around the hole, with the same hole
+            (15, "Polygon", [ring(1, 1, 6, 6), [[1.5, 1.5], [1.5, 5], [5, 5], [5, 1.5], [1.5, 1.5]]]),  # around it, with a larger hole
+            (16, "MultiPolygon", [[ring(5, 5, 9, 9)], [ring(22, 1, 24, 3)]]),  # in both parts of 2
+            (17, "Polygon", [ring(8, 1, 22, 3)]),  # over the gap of the parts
+            (18, "Polygon", [BOX[0], HOLE]),  # all of 1
+            (19, "LineString", [[1, 3], [5, 3]]),  # through the hole
+            (20, "LineString", [[5, 3], [9, 3]]),
+            (21, "Polygon", [ring(0, 0, 30, 10)]),
+        ],
+    )
+    pairs = {(r["outer"], r["inner"]) for r in overlay.holding(holed, held, ["project_id"]).collect()}
+    assert pairs == {(1, 12), (1, 13), (1, 14), (1, 15), (1, 18), (1, 20), (2, 10), (2, 11), (2, 12), (2, 13), (2, 14), (2, 15), (2, 16), (2, 18), (2, 19), (2, 20)}
+    assert found(holed, held, "contains") == [1, 2]
+    assert found(holed, held.filter("feature_id in (10, 11, 19)"), "contains") == [2]
+    assert found(held.filter("feature_id = 10"), holed.filter("feature_id = 1"), "within") == []
+
+
+def test_convex_rings_need_no_join(spark):
+    rows = shapes(spark, [(1, "Polygon", BOX), (2, "Polygon", [BOX[0][::-1]]), (3, "Polygon", [[[0, 0], [10, 0], [4, 1], [0, 10], [0, 0]]]), (4, "Polygon", [[[0, 0], [6, 10], [10, 0], [0, 7], [10, 7], [0, 0]]]), (5, "Polygon", [*BOX, HOLE]), (6, "Polygon", [[[0, 0], [5, 0], [10, 0], [10, 10], [0, 0]]]), (7, "Polygon", None), (8, "Polygon", [[[0, 0], [9, 0], [4, 0], [4, 9], [0, 0]]])])
+    assert {r["feature_id"] for r in rows.filter(validity.convex(F.col("geom"))).collect()} == {1, 2, 6}
+
+
+def test_boxes_of_all_sizes_meet_once(spark):
+    """Against all pairs: small boxes beside some that are a thousand times larger, a heap of equal ones, and boxes that touch."""
+    import random
+
+    draw = random.Random(6)
+    made = [(g, 1000 * s + k, *_box(draw)) for g in (1, 2) for s in (1, 2) for k in range(120)] + [(1, 3000 + k, 5.0, 5.0, 6.0, 6.0) for k in range(20)]
+    frame = spark.createDataFrame(made, "project_id bigint, feature_id bigint, bx0 double, by0 double, bx1 double, by1 double")
+    a, b = meeting.leveled(frame.filter("feature_id < 2000"), 0.5), meeting.leveled(frame.filter("feature_id >= 2000"))
+    got = [tuple(r) for r in meeting.pairs(a, b, ["project_id"]).select("project_id", "a_feature_id", "b_feature_id").collect()]
+    want = {(p[0], p[1], q[1]) for p in made if p[1] < 2000 for q in made if q[1] >= 2000 and p[0] == q[0] and p[2] - 0.5 <= q[4] and q[2] <= p[4] + 0.5 and p[3] - 0.5 <= q[5] and q[3] <= p[5] + 0.5}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+
+
+def _box(draw):
+    x, y, size = draw.randint(-40, 400) / 4, draw.randint(-40, 400) / 4, draw.choice([0.25, 1, 1, 2, 5, 60, 900])
+    return x, y, x + size, y + draw.choice([0, 1, size])
+
+
+def test_a_heap_of_copies_is_one_pair(spark):
+    heap = shapes(spark, [(k, "Polygon", BOX) for k in range(400)])
+    other = shapes(spark, [(k, "Polygon", [[[5, 5], [15, 5], [15, 15], [5, 15], [5, 5]]]) for k in range(400)])
+    assert found(heap, other, "intersects") == list(range(400))
+    a, b = (meeting.edge_runs(overlay._distinct_shapes(overlay._shapes(x, ["project_id"]), ["project_id"]), ["project_id"]) for x in (heap, other))
+    assert meeting.pairs(a, b, ["project_id"]).count() == 1
+
+
+def test_union_with_a_fast_way_and_a_slow_one(spark):
+    """Abutting polygons cancel their shared edges; overlapping and holed ones are covered side by side; both in one job."""
+    rows = [(1, 1, BOX), (1, 2, [[[10, 0], [20, 0], [20, 8], [10, 8], [10, 0]]]), (1, 3, [[[20, 8], [20, 0], [30, 0], [30, 8], [20, 8]]])]
+    rows += [(2, 1, BOX), (2, 2, [[[5, 5], [15, 5], [15, 15], [5, 15], [5, 5]]])]
+    rows += [(3, 1, [*BOX, HOLE]), (3, 2, [HOLE])]
+    made = spark.createDataFrame([(p, i, "Polygon", json.dumps(xy)) for p, i, xy in rows], "project_id bigint, feature_id bigint, geom_type string, c string")
+    made = made.withColumn("geom", geometry.from_geojson(F.col("geom_type"), F.col("c"))).drop("c")
+    got = {r["project_id"]: (r["area"], r["length"]) for r in overlay.dissolved(made, ["project_id"]).collect()}
+    assert got == {1: (260.0, 80.0), 2: (175.0, 60.0), 3: (100.0, 40.0)}
