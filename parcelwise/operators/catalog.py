@@ -46,6 +46,11 @@ territorial.perimeter m perimetro - - scalar
 territorial.total_area m2 perimetro - - scalar
 """
 
+# Results whose formula is newer than the catalog says, and the layers that results name in place of the required ones.
+RESULT_VERSIONS = dict.fromkeys(("territorial.percent_by_category", "land_use.percent_by_category", "land_use.predominant_use", "land_use.diversity_shannon"), "1.0.1")
+RESULT_LAYERS = {"land_use.": ["lote"], "green_areas.": ["avl"]}
+WITH_APP = "_with_app"
+
 #: The layer type whose features carry the key of an indicator's values.
 LAYER_OF_KEY = {"feature_id": "territorio", "quadra_id": "quadras"}
 
@@ -70,9 +75,22 @@ def catalog(spark: SparkSession, theme: str | None = None) -> DataFrame:
     return spark.createDataFrame([r for r in every if theme in (None, r[1])], kinds)
 
 
-def runnable(layers: DataFrame, theme: str | None = None) -> DataFrame:
-    """(project_id, layer_type) -> project_id, indicator_code, theme, missing: the required layers that the project lacks, none if it can run."""
+def result_layers(code: str, required: list[str], optional: list[str]) -> list[str]:
+    """The source layers that a result names: the kinds of features that it sums, where it sums only such."""
+    own = next((names for theme, names in RESULT_LAYERS.items() if code.startswith(theme)), None)
+    if own is None:
+        return required + optional
+    return own + ["app"] if code.endswith(WITH_APP) else own
+
+
+def runnable(layers: DataFrame, theme: str | None = None, projects: DataFrame | None = None) -> DataFrame:
+    """(project_id, layer_type) -> project_id, indicator_code, theme, missing: the required layers that the project lacks, none if it can run.
+
+    With `projects` (project_id) those without any layer have their rows too.
+    """
     has = layers.groupBy("project_id").agg(F.collect_set("layer_type").alias("has"))
+    if projects is not None:
+        has = projects.select("project_id").distinct().join(has, "project_id", "left").select("project_id", F.coalesce("has", F.array().cast("array<string>")).alias("has"))
     pairs = has.join(F.broadcast(catalog(layers.sparkSession, theme).select("indicator_code", "theme", "required_layers")), F.lit(True))
     return pairs.select("project_id", "indicator_code", "theme", F.array_except("required_layers", "has").alias("missing"))
 
@@ -86,7 +104,8 @@ def compatible(features: DataFrame) -> DataFrame:
 
 def result_rows(values: DataFrame, run_id: str, metric_crs: str | None = None) -> DataFrame:
     """Long values (project_id, indicator_code, key, value, label) as rows of a run: with theme, unit, version, layers read and the value as JSON."""
-    known = catalog(values.sparkSession).select("indicator_code", "theme", "unit", "formula_version", F.concat("required_layers", "optional_layers").alias("source_layers"))
+    each = [(code, theme, unit, RESULT_VERSIONS.get(code, version), result_layers(code, required, optional)) for code, theme, unit, version, required, optional, _, _ in rows()]
+    known = values.sparkSession.createDataFrame(each, "indicator_code string, theme string, unit string, formula_version string, source_layers array<string>")
     text = F.when(F.col("label").isNotNull(), F.to_json(F.struct("key", "label"))).otherwise(F.to_json(F.struct("key", "value"), {"ignoreNullFields": "false"}))
     out = values.join(F.broadcast(known), "indicator_code").withColumns({"run_id": F.lit(run_id), "metric_crs": F.lit(metric_crs).cast("string"), "value_json": text})
     return out.select("run_id", "project_id", "indicator_code", "theme", "unit", "formula_version", "metric_crs", "source_layers", "key", "value", "label", "value_json")

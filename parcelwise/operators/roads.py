@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from parcelwise.functions import geometry
 from parcelwise.operators import overlay
-from parcelwise.session import stored
+from parcelwise.session import released, stored
 
 TOLERANCE = 2.0
 EXISTING, PROPOSED = "existente", "proposta"
@@ -164,3 +164,55 @@ def connected_parts(edges: DataFrame) -> DataFrame:
     labels = components(links, ["project_id"])
     found = nodes(edges).withColumn("id", node("x", "y")).join(labels, ["project_id", "id"])
     return found.groupBy("project_id", "label").agg(F.count("*").alias("n_nodes"), F.max("existing").alias("existing"), F.max("proposed").alias("proposed"))
+
+
+#: Code of a warning -> its severity, where it is not `warning`.
+SEVERITY = {"road_status_missing": "info", "disconnected_road_network": "info"}
+
+
+def overlaps(lines: DataFrame) -> DataFrame:
+    """(project_id, feature_ids): pairs of lines that run along the same stretch."""
+    segs = lines.select("project_id", F.struct("line", "seq").alias("sid"), F.struct("feature_id", "line").alias("feature_id"), "x1", "y1", "x2", "y2")
+    a, b = overlay.side("a"), overlay.side("b")
+    pairs = overlay.neighbours(segs, segs, ["project_id"], "sid").filter("a_feature_id.line < b_feature_id.line")
+    dx, dy = a["x2"] - a["x1"], a["y2"] - a["y1"]
+    size = F.hypot(dx, dy)
+    off = lambda x, y: F.abs(overlay.cross(dx, dy, x - a["x1"], y - a["y1"])) / size
+    at = lambda x, y: (dx * (x - a["x1"]) + dy * (y - a["y1"])) / size
+    ends = [(b["x1"], b["y1"]), (b["x2"], b["y2"])]
+    along = F.least(size, F.greatest(*(at(*e) for e in ends))) - F.greatest(F.lit(0.0), F.least(*(at(*e) for e in ends)))
+    same = (off(*ends[0]) <= overlay.SNAP) & (off(*ends[1]) <= overlay.SNAP) & (along > overlay.SNAP)
+    ids = F.sort_array(F.array("a_feature_id.feature_id", "b_feature_id.feature_id"))
+    return pairs.filter(same).select("project_id", "a_feature_id.line", F.col("b_feature_id.line").alias("other"), ids.alias("feature_ids")).distinct().drop("line", "other")
+
+
+def network_warnings(roads: DataFrame, unlinks: DataFrame | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """(project_id, code, severity, feature_ids) of road networks.
+
+    invalid_road_geometry, road_status_missing: a feature each; invalid_road_unlink: a point that
+    doesn't match two lines; overlapping_road_centerlines: two lines each; disconnected_road_network:
+    all features of a network in several parts; proposed_roads_not_connected_to_existing: the
+    proposed features of a part without an existing road.
+    """
+    lines = stored(snap_ends(cluster_ends(parts(roads), tolerance), tolerance))
+    edges = stored(network(roads, unlinks, tolerance))
+    node = lambda x, y: F.xxhash64(x, y)
+    labels = components(edges.select("project_id", node("x1", "y1").alias("a"), node("x2", "y2").alias("b")), ["project_id"])
+    parts_ = edges.withColumn("id", node("x1", "y1")).join(labels, ["project_id", "id"])
+    ids = F.sort_array(F.collect_set("feature_id")).alias("feature_ids")
+    apart = parts_.groupBy("project_id").agg(F.min("label").alias("low"), F.max("label").alias("high"), ids).filter("low <> high")
+    proposed = F.sort_array(F.collect_set(F.when(F.col("road_status") == PROPOSED, F.col("feature_id")))).alias("feature_ids")
+    existing = F.max((F.coalesce("road_status", F.lit("")) == EXISTING).cast("int")).alias("existing")
+    new = parts_.groupBy("project_id", "label").agg(proposed, existing).filter("existing = 0 and size(feature_ids) > 0")
+    said = lambda rows, code: rows.select("project_id", F.lit(code).alias("code"), "feature_ids")
+    found = warnings(roads).select("project_id", "code", F.array("feature_id").alias("feature_ids"))
+    found = found.unionByName(said(overlaps(lines), "overlapping_road_centerlines")).unionByName(said(apart, "disconnected_road_network")).unionByName(said(new, "proposed_roads_not_connected_to_existing"))
+    if unlinks is not None:
+        _, bad = unlinked_pairs(lines, unlinks, tolerance)
+        found = found.unionByName(said(bad.select("project_id", F.array("feature_id").alias("feature_ids")), "invalid_road_unlink"))
+    severity = F.lit("warning")
+    for code, level in SEVERITY.items():
+        severity = F.when(F.col("code") == code, level).otherwise(severity)
+    out = stored(found.select("project_id", "code", severity.alias("severity"), "feature_ids"))
+    released(lines, edges)
+    return out

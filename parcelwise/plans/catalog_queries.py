@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from parcelwise.functions import geometry
 from parcelwise.operators import catalog, results, territory, validity
+from parcelwise.plans import attribute_queries
 from parcelwise.plans.derived import PARCELS_SQL, parcels
 from parcelwise.session import table
 from parcelwise.sources import layers
@@ -43,9 +44,10 @@ def _has(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("user_id").alias("project_id"), kind.alias("layer_type")).distinct()
 
 
-@query(f"with {_LAYERS}, {_CATALOG}, l as (select project_id, list(layer_type) as has from has group by 1) select project_id, indicator_code, theme, len(list_filter(required, lambda x: not list_contains(has, x)))::int as n_missing from l, catalog")
+@query(f"with {_LAYERS}, {_CATALOG}, l as (select project_id, coalesce(has, []) as has from (select distinct user_id as project_id from events union select -1) left join (select project_id, list(layer_type) as has from has group by 1) using (project_id)) select project_id, indicator_code, theme, len(list_filter(required, lambda x: not list_contains(has, x)))::int as n_missing from l, catalog")
 def runnable_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.runnable(_has(spark, sf_dir)).select("project_id", "indicator_code", "theme", F.size("missing").alias("n_missing"))
+    projects = table(spark, sf_dir, "events").select(F.col("user_id").alias("project_id")).union(spark.range(1).select((-F.col("id") - 1).alias("project_id")))
+    return catalog.runnable(_has(spark, sf_dir), projects=projects).select("project_id", "indicator_code", "theme", F.size("missing").alias("n_missing"))
 
 
 @query(f"with {_LAYERS}, {_CATALOG} select project_id, layer_type, indicator_code from has join catalog on layer_type = case feature_key when 'feature_id' then 'territorio' when 'quadra_id' then 'quadras' end")
@@ -53,11 +55,14 @@ def compatible_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.compatible(_has(spark, sf_dir)).select("project_id", "layer_type", "indicator_code")
 
 
-@query(f"{_P}, {_CATALOG}, v as (select project_id, coalesce(macroarea, 'nulo') as key, round(sum(area), 6) as value from areas group by all) select project_id, indicator_code, theme, unit, '1.0.0' as formula_version, array_to_string(required, ',') as layers, key, value from v, catalog where indicator_code = 'territorial.area_by_category'")
+_RESULTS = "known as (select * from (values " + ", ".join(f"('{code}', '{theme}', '{unit}', '{catalog.RESULT_VERSIONS.get(code, version)}', '{','.join(catalog.result_layers(code, required, optional))}')" for code, theme, unit, version, required, optional, _, _ in catalog.rows()) + ") as t(indicator_code, theme, unit, formula_version, layers))"
+
+
+@query(f"with {_RESULTS}, v as ({attribute_queries.oracle_sql()['indicator_values']}) select project_id, indicator_code, theme, unit, formula_version, layers, key, value, label from v join known using (indicator_code)")
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = territory.area_by_category(parcels(spark, sf_dir)).withColumn("value", F.round("value", 6))
-    rows = catalog.result_rows(values, "run")
-    return rows.select("project_id", "indicator_code", "theme", "unit", "formula_version", F.array_join("source_layers", ",").alias("layers"), "key", "value")
+    """The results of all indicators of territory features, each with its own version and layers."""
+    rows = catalog.result_rows(attribute_queries.indicator_values(spark, sf_dir), "run")
+    return rows.select("project_id", "indicator_code", "theme", "unit", "formula_version", F.array_join("source_layers", ",").alias("layers"), "key", "value", "label")
 
 
 @query(f"""{_P}, v as (select project_id, land_use as key, round(sum(area), 6) as value from areas where macroarea = 'lote' and land_use is not null group by all)

@@ -40,9 +40,34 @@ select project_id, (20 * m * n)::double as total_length, (10 * m * n + (n + 1) /
   round(n_edges / n_nodes, 6) as link_node_ratio, round((n - u) * 1e6 / (5 * (10 * n + 1)), 6) as intersection_density, n_edges, n_nodes, m * n - u as intersections, m * (n // 2) as proposed_connections from g"""
 
 
+def road_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lattices, each with one of five faults: a line without length, one along another, a lone proposed one, one without a status, an unlink off all lines."""
+    sizes = _sizes(spark, sf_dir)
+    kind, m = F.col("project_id") % 5, F.col("m") * 10 - 5
+    line = lambda x0, y0, x1, y1: geometry.line(geometry.point(F.lit(x0), F.lit(y0)), geometry.point(x1, F.lit(y1)))
+    extra = {0: ("Z", line(3, 3, F.lit(3), 3)), 1: ("O", line(-2.5, 0, F.lit(2.5), 0)), 2: ("P", line(1000, 1000, F.lit(1010), 1000)), 3: ("S", line(-5, -2.5, m, -2.5))}
+    name, geom = F.lit(None).cast("string"), F.lit(None).cast(geometry.GEOMETRY)
+    for k, (said, made) in extra.items():
+        name, geom = F.when(kind == k, said).otherwise(name), F.when(kind == k, made).otherwise(geom)
+    status = F.when(kind == 2, roads.PROPOSED).when(kind != 3, roads.EXISTING)
+    more = sizes.filter(kind < 4).select("project_id", name.alias("feature_id"), status.alias("road_status"), geom.alias("geom"))
+    unlinks = sizes.filter(kind == 4).select("project_id", F.lit("U").alias("feature_id"), F.lit(1000.0).alias("x"), F.lit(1000.0).alias("y"))
+    found = roads.network_warnings(lattice(spark, sf_dir).unionByName(more), unlinks)
+    return found.select("project_id", "code", "severity", F.array_join("feature_ids", ",").alias("features"))
+
+
+_WARNED = """with s as (select p_partkey as project_id, (1 + p_size % 4)::bigint as m, (1 + p_partkey % 3)::bigint as n, p_partkey % 5 as k from part)
+select project_id, 'invalid_road_geometry' as code, 'warning' as severity, 'Z' as features from s where k = 0
+union all select project_id, 'overlapping_road_centerlines', 'warning', 'E0,O' from s where k = 1
+union all select project_id, 'disconnected_road_network', 'info', array_to_string(list_concat(list_transform(range(n), lambda i: 'E' || i), list_concat(list_transform(range(m), lambda i: 'N' || i), ['P'])), ',') from s where k = 2
+union all select project_id, 'proposed_roads_not_connected_to_existing', 'warning', 'P' from s where k = 2
+union all select project_id, 'road_status_missing', 'info', 'S' from s where k = 3
+union all select project_id, 'invalid_road_unlink', 'warning', 'U' from s where k = 4"""
+
+
 def queries() -> dict:
-    return {"road_measures": road_measures}
+    return {"road_measures": road_measures, "road_warnings": road_warnings}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"road_measures": _SQL}
+    return {"road_measures": _SQL, "road_warnings": _WARNED}

@@ -135,6 +135,6 @@ def export_geojson(features: DataFrame) -> DataFrame:
 def drop_layer(features: DataFrame, layer_id) -> DataFrame:
     """The features without a layer; links to its features become unresolved, and the linked features stay."""
     gone = features.filter(F.col("layer_id") == layer_id).select(F.col("feature_id").alias("parent_feature_id"), F.lit(True).alias("gone"))
-    rows = features.filter(F.col("layer_id") != layer_id).join(gone, "parent_feature_id", "left")
+    rows = features.filter(~F.col("layer_id").eqNullSafe(layer_id)).join(gone, "parent_feature_id", "left")
     lost = F.col("gone").isNotNull()
     return rows.withColumn("relation_method", F.when(lost, "unresolved").otherwise(F.col("relation_method"))).withColumn("parent_feature_id", F.when(~lost, F.col("parent_feature_id"))).drop("gone")
