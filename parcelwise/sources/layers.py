@@ -1,8 +1,8 @@
-"""Layers in and out: GeoJSON files, attribute tables, their join and their contracts."""
+"""Layers: their contracts, their join with attribute tables, and their export."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.functions import geometry, text
@@ -22,27 +22,17 @@ CONTRACT = {
     "territorio": POLYGONS,
 }
 
-#: Properties are read as text, so that numbers stay as they are written.
-COLLECTION = "type string, features array<struct<id:string, geometry:struct<type:string, coordinates:string>, properties:map<string,string>>>"
 DELIMITERS = (",", ";", "\t")
 
 
-def read_geojson(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Feature collections, one file a layer: layer_id (the path), position, external_id, geom_type, geom, source (repaired)."""
-    files = spark.read.schema(COLLECTION).json(paths, multiLine=True).select(F.input_file_name().alias("layer_id"), F.posexplode("features").alias("position", "f"))
-    return files.select(
-        "layer_id",
-        "position",
-        F.col("f.id").alias("external_id"),
-        F.col("f.geometry.type").alias("geom_type"),
-        geometry.from_geojson(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("geom"),
-        text.repair_map(F.col("f.properties")).alias("source"),
-    )
+def contract_faults(features: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """Layers (layer_id, layer_type) whose features aren't of exactly one geometry type, or of none that the layer type may hold.
 
-
-def contract_faults(features: DataFrame) -> DataFrame:
-    """Layers (layer_id, layer_type) whose features aren't of exactly one geometry type, or of none that the layer type may hold."""
+    With `every` layer (layer_id, layer_type) those without features are found too.
+    """
     kinds = features.groupBy("layer_id", "layer_type").agg(F.sort_array(F.collect_set("geom_type")).alias("kinds"))
+    if every is not None:
+        kinds = every.select("layer_id", "layer_type").distinct().join(kinds, ["layer_id", "layer_type"], "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
     allowed = F.create_map(*(x for kind, names in CONTRACT.items() for x in (F.lit(kind), F.array(*map(F.lit, names)))))
     fault = F.when(F.size("kinds") == 0, "empty").when(F.size("kinds") > 1, "mixed_geometry").when(~F.coalesce(F.array_contains(F.try_element_at(allowed, F.col("layer_type")), F.get("kinds", F.lit(0))), F.lit(False)), "geometry_not_allowed")
     return kinds.withColumn("fault", fault).filter("fault is not null").select("layer_id", "layer_type", "kinds", "fault")
@@ -57,14 +47,6 @@ def delimiter(header: Column) -> Column:
     return F.when((most > 0) & (n == 1), winner)
 
 
-def read_attributes(spark: SparkSession, path: str) -> DataFrame:
-    """An attribute table: UTF-8 with or without a byte order mark, any of three delimiters; rows of another width fail the read."""
-    first = spark.read.text(path).filter(F.trim("value") != "").select(F.regexp_replace("value", "^﻿", "").alias("h")).select("h", delimiter(F.col("h")).alias("d")).first()
-    if first is None or first["d"] is None:
-        raise ValueError(f"no single delimiter in the header of {path}")
-    return spark.read.csv(path, sep=first["d"], header=True, mode="FAILFAST", multiLine=True, enforceSchema=False)
-
-
 def attribute_faults(lines: DataFrame, most_columns: int = 200, most_rows: int | None = None) -> DataFrame:
     """(table_id, row, cells) with row 1 the header -> faults: repeated or too many columns, too many rows, rows of another width."""
     header = lines.filter("row = 1").select("table_id", F.col("cells").alias("header"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.functions import crs, geometry, text
 from parcelwise.operators import blocks, mapping, metric, overlay
-from parcelwise.sources import layers
+from parcelwise.sources import layers, uploads
 
 
 def value(spark, column, **row):
@@ -46,7 +46,7 @@ def test_golden_square(spark, tmp_path):
     ring = [[r["p"]["x"], r["p"]["y"]] for r in back]
     feature = {"type": "Feature", "id": "perimeter-1", "geometry": {"type": "Polygon", "coordinates": [ring]}, "properties": {"% MÃ\x8dNIMO": "1", "a": 0.10}}
     (tmp_path / "layer.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [feature]}))
-    rows = layers.read_geojson(spark, str(tmp_path / "layer.geojson"))
+    rows = uploads.read_geojson(spark, str(tmp_path / "layer.geojson"))
     assert "% MÍNIMO" in rows.first()["source"]
     rows, failed = metric.to_metres(rows.withColumn("project_id", F.lit(1)).withColumn("feature_id", F.col("external_id")))
     found = blocks.perimeter(rows).first()
@@ -83,8 +83,8 @@ def test_mapping_leaves_other_columns(spark):
 
 def test_attribute_table(spark, tmp_path):
     (tmp_path / "t.csv").write_text("﻿Name;Area\nL-1;3\nL-2;4\n", encoding="utf-8")
-    rows = layers.read_attributes(spark, str(tmp_path / "t.csv"))
-    assert [tuple(r) for r in rows.collect()] == [("L-1", "3"), ("L-2", "4")]
+    rows, _ = uploads.read_tables(spark, str(tmp_path / "t.csv"))
+    assert [r["attributes"] for r in rows.orderBy("row").collect()] == [{"Name": "L-1", "Area": "3"}, {"Name": "L-2", "Area": "4"}]
     lines = spark.createDataFrame([(1, 1, ["a", "b", "a"]), (1, 2, ["x"]), (1, 3, ["x", "y", "z"])], "table_id int, row int, cells array<string>")
     assert {(r["fault"], r["where"]) for r in layers.attribute_faults(lines).collect()} == {("ragged_row", "2"), ("duplicate_column", "a")}
 
