@@ -130,6 +130,14 @@ def block_rectangles(features: DataFrame) -> DataFrame:
     return found.withColumn("face_score", score).withColumn("out_of_compliance", side > BAD)
 
 
+def warnings(features: DataFrame) -> DataFrame:
+    """(project_id, indicator_code, code, severity, quadra_id, feature_id): a row for each lot of a block whose long side is over the limit."""
+    lots = _lots(features).select("project_id", "quadra_id", "feature_id")
+    over = block_rectangles(features).filter("out_of_compliance").select("project_id", "quadra_id")
+    said = {"indicator_code": "quadras.face_length_score", "code": "block_face_out_of_compliance", "severity": "warning"}
+    return lots.join(over, ["project_id", "quadra_id"], "left_semi").withColumns({k: F.lit(v) for k, v in said.items()}).select("project_id", *said, "quadra_id", "feature_id")
+
+
 def parceling_efficiency(features: DataFrame) -> DataFrame:
     """Resolved lot area over the block's geometric area."""
     lots = territory.measured(_lots(features)).groupBy("project_id", "quadra_id").agg(F.sum("area").alias("lots"))

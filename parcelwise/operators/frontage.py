@@ -83,6 +83,31 @@ def frontage_length(lots: DataFrame, footprint: DataFrame, reach: float = REACH)
     return lots.select("project_id", "feature_id").join(sums, ["project_id", "feature_id"], "left").select("project_id", "feature_id", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
+#: The indicators that need a lot's frontage, and of these the ones that a lot without any is left out of.
+DISTANCES = ("lots.distance_to_green_area", "lots.distance_to_non_residential_use")
+FRONTAGE = "lots.frontage_length"
+
+
+def warnings(features: DataFrame, footprint: DataFrame, reach: float = REACH) -> DataFrame:
+    """(project_id, indicator_code, code, severity, feature_id), a row for each lot that a warning names.
+
+    no_road_footprint_for_frontage: all lots of a project without a usable footprint, and one row without
+    a lot where it has none; lot_without_street_frontage: lots that no street reaches, left out of distances.
+    Lots whose geometry can't be used are named by neither.
+    """
+    lots = features.filter((F.col("macroarea") == "lote") & overlay.usable(features))
+    footprint = footprint.filter(overlay.usable(footprint))
+    bare = features.select("project_id").distinct().join(footprint.select("project_id").distinct(), "project_id", "left_anti")
+    unserved = bare.join(lots.select("project_id", "feature_id"), "project_id", "left")
+    unreached = frontage_length(lots, footprint, reach).filter("value = 0")
+
+    def said(rows: DataFrame, code: str, indicators: tuple[str, ...]) -> DataFrame:
+        each = F.explode(F.array(*map(F.lit, indicators))).alias("indicator_code")
+        return rows.select("project_id", each, F.lit(code).alias("code"), F.lit("info").alias("severity"), "feature_id")
+
+    return said(unserved, "no_road_footprint_for_frontage", (FRONTAGE, *DISTANCES)).unionByName(said(unreached, "lot_without_street_frontage", DISTANCES))
+
+
 def frontage_midpoints(lots: DataFrame, footprint: DataFrame, reach: float = REACH) -> DataFrame:
     """project_id, feature_id, x, y: the middle of each lot's longest frontage; lots without one are left out."""
     best = frontage_parts(lots, footprint, reach).groupBy("project_id", "feature_id").agg(F.max(F.struct((F.col("to") - F.col("from")).alias("size"), (-F.col("from")).alias("back"), ((F.col("to") + F.col("from")) / 2).alias("middle"))).alias("b"))

@@ -94,6 +94,11 @@ def block_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("project_id", "quadra_id", *(F.round(c, 6).alias(c) for c in ("long_side", "short_side", "orientation", "face_score")), "out_of_compliance")
 
 
+@query("""select o_custkey // 8 as project_id, 'quadras.face_length_score' as indicator_code, 'block_face_out_of_compliance' as code, 'warning' as severity, 'B' || o_orderkey as quadra_id, o_orderkey as feature_id from orders where o_orderkey % 300 > 230""")
+def block_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.warnings(_boxes(spark, sf_dir))
+
+
 @query(f"""{_BLOCKS} select p.project_id, p.feature_id, case when b.n_lots is not null and p.macroarea = 'lote' then p.project_id || '/' || p.quadra_id end as parent_feature_id,
   case when b.n_lots is not null and p.macroarea = 'lote' then 'attribute' else 'unresolved' end as relation_method, case when p.macroarea = 'lote' then b.n_lots end as lots from parcels p left join b using (project_id, quadra_id)""")
 def derive_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

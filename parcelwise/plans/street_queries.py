@@ -40,6 +40,12 @@ def distance_green(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontage.green_distance(rows, footprint, roads.network(lines)).withColumn("value", F.round("value", 6))
 
 
+def frontage_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streets as above, but none in every fifth project."""
+    rows = parcels(spark, sf_dir)
+    return frontage.warnings(rows, _streets(rows)[0].filter("project_id % 5 <> 0"))
+
+
 _STREET = f"with {PARCELS_SQL}, f as (select *, 1 + project_id % 4 as gap, slot < 8 and project_id % 4 < 3 as faces from parcels), n as (select *, sqrt(power((3 - gap) / 2.0, 2) + power(gap + 1, 2)) as last_mile from f where faces)"
 
 
@@ -50,12 +56,15 @@ where o.macroarea = 'lote' and o.land_use in ('residencial', 'misto') group by a
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (frontage_length, distance_non_residential, distance_green)}
+    return {f.__name__: f for f in (frontage_length, frontage_warnings, distance_non_residential, distance_green)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "frontage_length": f"{_STREET} select project_id, feature_id, case when faces then 10.0 + 2 * (3 - gap) else 0 end::double as value from f where macroarea = 'lote'",
+        "frontage_warnings": f"""{_STREET}, l as (select * from f where macroarea = 'lote'), d as (select unnest(['lots.distance_to_green_area', 'lots.distance_to_non_residential_use']) as indicator_code), i as (select * from d union all select 'lots.frontage_length')
+select p.project_id, indicator_code, 'no_road_footprint_for_frontage' as code, 'info' as severity, l.feature_id from (select distinct project_id from f where project_id % 5 = 0) p cross join i left join l using (project_id)
+union all select project_id, indicator_code, 'lot_without_street_frontage', 'info', feature_id from l, d where project_id % 5 = 0 or not faces""",
         "distance_non_residential": _distance_sql("t.macroarea = 'lote' and t.land_use <> 'residencial'"),
         "distance_green": _distance_sql("t.macroarea = 'avl'"),
     }
