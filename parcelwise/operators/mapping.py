@@ -31,7 +31,18 @@ def unreadable_areas(features: DataFrame, source_name: str) -> DataFrame:
     return features.filter(text.area_unreadable(F.try_element_at("source", F.lit(source_name)))).select("feature_id", F.try_element_at("source", F.lit(source_name)).alias("raw"))
 
 
-def suggest_mapping(fields: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
+# The columns of known exports that hold each target, the first found wins.
+ALIASES = {
+    "macroarea": ("Comments", "TIPO DE MACROÁREA"),
+    "quadra_id": ("QUADRA",),
+    "parcelavel": ("P_Área de Projeto",),
+    "reference_area_m2": ("Area",),
+    "land_use": ("Uso do solo",),
+    "ca_max": ("07.COEFICIENTE DE APROVEITAMENTO",),
+}
+
+
+def suggest_mapping(fields: DataFrame, aliases: dict[str, tuple[str, ...]] = ALIASES) -> DataFrame:
     """(layer_id, field) -> layer_id, target, field: the first alias, by exact normalized key, that a layer has.
 
     Of two fields with the same key the later by name stands.

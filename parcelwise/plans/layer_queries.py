@@ -315,7 +315,12 @@ def missing_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.missing_layers(has.select("project_id").distinct(), has, ["territorio"])
 
 
-@query()
+@query(
+    _LOTS
+    + """, t as (select *, x0::double::varchar as a, y0::double::varchar as b, (x0 + w)::double::varchar as c, (y0 + d)::double::varchar as e from parcels)
+select project_id as layer_id, feature_id, '{"type":"Feature","id":"' || feature_id || '","geometry":{"type":"Polygon","coordinates":[[[' || a || ',' || b || '],[' || c || ',' || b || '],[' || c || ',' || e || '],[' || a || ',' || e || '],[' || a || ',' || b
+  || ']]]},"properties":{"macro":' || coalesce('"' || macroarea || '"', 'null') || ',"quadra":"' || quadra_id || '"}}' as feature from t"""
+)
 def export_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parcels(spark, sf_dir).withColumn("layer_id", F.col("project_id")).withColumn("source", F.create_map(F.lit("macro"), F.col("macroarea"), F.lit("quadra"), F.lit("?"))).withColumn("mapped", F.create_map(F.lit("quadra"), F.col("quadra_id")))
     return layers.export_geojson(rows)

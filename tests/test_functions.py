@@ -81,6 +81,23 @@ def test_mapping_leaves_other_columns(spark):
     assert found["macroarea"] == "avl" and float(found["reference_area_m2"]) == 5 and found["mapped"] == {"reference_area_m2": "5 m²"}
 
 
+def test_suggested_mapping(spark):
+    """The columns of the two known kinds of export."""
+    names = {1: ["Comments", "Area", "P_Área de Projeto", "QUADRA", "Name"], 2: ["TIPO DE MACROÁREA", "uso_do_solo", "07.COEFICIENTE DE APROVEITAMENTO"], 3: ["TIPO DE MACROÁREA", "Comments"], 4: ["Name"]}
+    fields = spark.createDataFrame([(k, n) for k, ns in names.items() for n in ns], "layer_id int, field string")
+    found = {(r["layer_id"], r["target"]): r["field"] for r in mapping.suggest_mapping(fields).collect()}
+    assert found == {
+        (1, "macroarea"): "Comments",
+        (1, "reference_area_m2"): "Area",
+        (1, "parcelavel"): "P_Área de Projeto",
+        (1, "quadra_id"): "QUADRA",
+        (2, "macroarea"): "TIPO DE MACROÁREA",
+        (2, "land_use"): "uso_do_solo",
+        (2, "ca_max"): "07.COEFICIENTE DE APROVEITAMENTO",
+        (3, "macroarea"): "Comments",
+    }
+
+
 def test_attribute_table(spark, tmp_path):
     (tmp_path / "t.csv").write_text("﻿Name;Area\nL-1;3\nL-2;4\n", encoding="utf-8")
     rows, _ = uploads.read_tables(spark, str(tmp_path / "t.csv"))
