@@ -138,10 +138,11 @@ def warnings(features: DataFrame) -> DataFrame:
     return lots.join(over, ["project_id", "quadra_id"], "left_semi").withColumns({k: F.lit(v) for k, v in said.items()}).select("project_id", *said, "quadra_id", "feature_id")
 
 
-def parceling_efficiency(features: DataFrame) -> DataFrame:
-    """Resolved lot area over the block's geometric area."""
+def parceling_efficiency(features: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """Resolved lot area over the block's geometric area (of `stats`, the block_stats, if at hand)."""
     lots = territory.measured(_lots(features)).groupBy("project_id", "quadra_id").agg(F.sum("area").alias("lots"))
-    return block_stats(features).join(lots, ["project_id", "quadra_id"]).select("project_id", "quadra_id", (F.col("lots") / F.col("area")).alias("value"))
+    stats = block_stats(features) if stats is None else stats
+    return stats.join(lots, ["project_id", "quadra_id"]).select("project_id", "quadra_id", (F.col("lots") / F.col("area")).alias("value"))
 
 
 def derive_blocks(features: DataFrame) -> tuple[DataFrame, DataFrame]:

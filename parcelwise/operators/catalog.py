@@ -103,12 +103,18 @@ def compatible(features: DataFrame) -> DataFrame:
 
 
 def result_rows(values: DataFrame, run_id: str, metric_crs: str | None = None) -> DataFrame:
-    """Long values (project_id, indicator_code, key, value, label) as rows of a run: with theme, unit, version, layers read and the value as JSON."""
+    """Long values (project_id, indicator_code, key, value, label) as rows of a run: with theme, unit, version, layers read and the value as JSON.
+
+    Values of several parts also have a `sub_field`, which then stays.
+    """
     each = [(code, theme, unit, RESULT_VERSIONS.get(code, version), result_layers(code, required, optional)) for code, theme, unit, version, required, optional, _, _ in rows()]
     known = values.sparkSession.createDataFrame(each, "indicator_code string, theme string, unit string, formula_version string, source_layers array<string>")
+    part = ["sub_field"] if "sub_field" in values.columns else []
     text = F.when(F.col("label").isNotNull(), F.to_json(F.struct("key", "label"))).otherwise(F.to_json(F.struct("key", "value"), {"ignoreNullFields": "false"}))
+    for name in part:
+        text = F.when(F.col(name).isNotNull(), F.to_json(F.struct("key", name, "value"), {"ignoreNullFields": "false"})).otherwise(text)
     out = values.join(F.broadcast(known), "indicator_code").withColumns({"run_id": F.lit(run_id), "metric_crs": F.lit(metric_crs).cast("string"), "value_json": text})
-    return out.select("run_id", "project_id", "indicator_code", "theme", "unit", "formula_version", "metric_crs", "source_layers", "key", "value", "label", "value_json")
+    return out.select("run_id", "project_id", "indicator_code", "theme", "unit", "formula_version", "metric_crs", "source_layers", "key", *part, "value", "label", "value_json")
 
 
 def save_results(values: DataFrame, run_id: str, path: str, metric_crs: str | None = None) -> None:

@@ -77,9 +77,13 @@ def frontage_parts(lots: DataFrame, footprint: DataFrame, reach: float = REACH)
     return marked.groupBy(*keys, "feature_id", "part", "ring", "island").agg(F.min("from").alias("from"), F.max("to").alias("to")).drop("island")
 
 
-def frontage_length(lots: DataFrame, footprint: DataFrame, reach: float = REACH) -> DataFrame:
-    """project_id, feature_id, value: 0 for lots that no street reaches, and for all where there is no footprint."""
-    sums = frontage_parts(lots, footprint, reach).groupBy("project_id", "feature_id").agg(F.sum(F.col("to") - F.col("from")).alias("value"))
+def frontage_length(lots: DataFrame, footprint: DataFrame, reach: float = REACH, parts: DataFrame | None = None) -> DataFrame:
+    """project_id, feature_id, value: 0 for lots that no street reaches, and for all where there is no footprint.
+
+    `parts`: the frontage_parts of these lots or more, if at hand.
+    """
+    parts = frontage_parts(lots, footprint, reach) if parts is None else parts
+    sums = parts.groupBy("project_id", "feature_id").agg(F.sum(F.col("to") - F.col("from")).alias("value"))
     return lots.select("project_id", "feature_id").join(sums, ["project_id", "feature_id"], "left").select("project_id", "feature_id", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
@@ -108,9 +112,10 @@ def warnings(features: DataFrame, footprint: DataFrame, reach: float = REACH) ->
     return said(unserved, "no_road_footprint_for_frontage", (FRONTAGE, *DISTANCES)).unionByName(said(unreached, "lot_without_street_frontage", DISTANCES))
 
 
-def frontage_midpoints(lots: DataFrame, footprint: DataFrame, reach: float = REACH) -> DataFrame:
+def frontage_midpoints(lots: DataFrame, footprint: DataFrame, reach: float = REACH, parts: DataFrame | None = None) -> DataFrame:
     """project_id, feature_id, x, y: the middle of each lot's longest frontage; lots without one are left out."""
-    best = frontage_parts(lots, footprint, reach).groupBy("project_id", "feature_id").agg(F.max(F.struct((F.col("to") - F.col("from")).alias("size"), (-F.col("from")).alias("back"), ((F.col("to") + F.col("from")) / 2).alias("middle"))).alias("b"))
+    parts = frontage_parts(lots, footprint, reach) if parts is None else parts
+    best = parts.groupBy("project_id", "feature_id").agg(F.max(F.struct((F.col("to") - F.col("from")).alias("size"), (-F.col("from")).alias("back"), ((F.col("to") + F.col("from")) / 2).alias("middle"))).alias("b"))
     outline = overlay.segments(lots, ["project_id"]).withColumn("size", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
     outline = outline.withColumn("start", F.sum("size").over(Window.partitionBy("project_id", "feature_id").orderBy("part", "ring", "seq")) - F.col("size"))
     rows = outline.join(best, ["project_id", "feature_id"]).filter((F.col("b.middle") >= F.col("start")) & (F.col("b.middle") <= F.col("start") + F.col("size")))
@@ -177,21 +182,29 @@ def _best_two(rows: DataFrame) -> DataFrame:
     return each.withColumn("rank", F.row_number().over(order)).filter("rank <= 2").drop("rank")
 
 
-def distances(lots: DataFrame, footprint: DataFrame, edges: DataFrame, is_target: Column, is_origin: Column) -> DataFrame:
-    """Walking distance from the frontage of each origin lot to that of the nearest target (project_id, feature_id, value)."""
-    spots = frontage_midpoints(lots, footprint)
+def access_points(lots: DataFrame, footprint: DataFrame, edges: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """The middle of each lot's frontage with the network's nearest node, as nearest_nodes gives them."""
+    spots = frontage_midpoints(lots, footprint, parts=parts)
     ends = edges.select("project_id", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("n")).select("project_id", "n.x", "n.y").distinct()
-    near = stored(nearest_nodes(spots, ends))
+    return nearest_nodes(spots, ends)
+
+
+def distances(lots: DataFrame, footprint: DataFrame, edges: DataFrame, is_target: Column, is_origin: Column, near: DataFrame | None = None) -> DataFrame:
+    """Walking distance from the frontage of each origin lot to that of the nearest target (project_id, feature_id, value).
+
+    `near`: the access_points of the lots, if at hand.
+    """
+    near = stored(access_points(lots, footprint, edges)) if near is None else near
     pick = lambda condition: near.join(lots.filter(condition).select("project_id", "feature_id"), ["project_id", "feature_id"], "left_semi")
     return network_distances(edges, pick(is_origin), pick(is_target))
 
 
-def non_residential_distance(lots: DataFrame, footprint: DataFrame, edges: DataFrame) -> DataFrame:
+def non_residential_distance(lots: DataFrame, footprint: DataFrame, edges: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """From residential and mixed lots to the nearest lot of another use; mixed lots count as targets, but never for themselves."""
     lot = F.col("macroarea") == "lote"
-    return distances(lots, footprint, edges, lot & F.col("land_use").isNotNull() & (F.col("land_use") != "residencial"), lot & F.col("land_use").isin("residencial", "misto"))
+    return distances(lots, footprint, edges, lot & F.col("land_use").isNotNull() & (F.col("land_use") != "residencial"), lot & F.col("land_use").isin("residencial", "misto"), near)
 
 
-def green_distance(lots: DataFrame, footprint: DataFrame, edges: DataFrame) -> DataFrame:
+def green_distance(lots: DataFrame, footprint: DataFrame, edges: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """From residential and mixed lots to the nearest green area's frontage."""
-    return distances(lots, footprint, edges, F.col("macroarea") == "avl", (F.col("macroarea") == "lote") & F.col("land_use").isin("residencial", "misto"))
+    return distances(lots, footprint, edges, F.col("macroarea") == "avl", (F.col("macroarea") == "lote") & F.col("land_use").isin("residencial", "misto"), near)

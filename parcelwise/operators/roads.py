@@ -136,9 +136,9 @@ def nodes(edges: DataFrame) -> DataFrame:
     return edges.select("project_id", "road_status", F.explode(both).alias("n")).groupBy("project_id", F.col("n.x").alias("x"), F.col("n.y").alias("y")).agg(F.count("*").alias("degree"), F.max((F.col("road_status") == EXISTING).cast("int")).alias("existing"), F.max((F.col("road_status") == PROPOSED).cast("int")).alias("proposed"))
 
 
-def measures(edges: DataFrame, perimeter: DataFrame | None = None) -> DataFrame:
+def measures(edges: DataFrame, perimeter: DataFrame | None = None, area: DataFrame | None = None) -> DataFrame:
     """One row per project: lengths, nodes, edges, intersections (degree 3 or more), link_node_ratio, proposed_connections,
-    and with a perimeter (features) the intersections it covers per square kilometre."""
+    and with a perimeter (features) the intersections it covers per square kilometre of its `area` (project_id, area)."""
     sums = edges.groupBy("project_id").agg(
         F.sum("length").alias("total_length"),
         F.coalesce(F.sum(F.when(F.col("road_status") == EXISTING, F.col("length"))), F.lit(0.0)).alias("existing_length"),
@@ -152,7 +152,7 @@ def measures(edges: DataFrame, perimeter: DataFrame | None = None) -> DataFrame:
         return out
     spots = found.filter("degree >= 3").select("project_id", F.struct("x", "y").alias("point_id"), "x", "y")
     inside = overlay.covered(spots, overlay.segments(perimeter, ["project_id"]), ["project_id"], on_edge=True).groupBy("project_id").agg(F.count("*").alias("inside"))
-    area = overlay.dissolved(perimeter, ["project_id"]).select("project_id", "area")
+    area = (overlay.dissolved(perimeter, ["project_id"]) if area is None else area).select("project_id", "area")
     density = F.when(F.col("area") > 0, F.coalesce("inside", F.lit(0)) * 1e6 / F.col("area")).otherwise(0.0)
     return out.join(area, "project_id", "left").join(inside, "project_id", "left").withColumn("intersection_density", density).drop("area", "inside")
 

@@ -60,18 +60,18 @@ def _green_share(spark: SparkSession, sf_dir: str, with_app: bool) -> DataFrame:
     return territory.green_share(rows, whole, with_app).select("project_id", F.round("value", 6).alias("value"))
 
 
-_BLOCKS = f"""with {PARCELS_SQL}, l as (select project_id, quadra_id, slot, d, area, geometric, lag(slot) over w as ps, lag(d) over w as pd from areas where macroarea = 'lote' window w as (partition by project_id, quadra_id order by slot)),
+BLOCKS_SQL = f"""with {PARCELS_SQL}, l as (select project_id, quadra_id, slot, d, area, geometric, lag(slot) over w as ps, lag(d) over w as pd from areas where macroarea = 'lote' window w as (partition by project_id, quadra_id order by slot)),
 b as (select project_id, quadra_id, count(*) as n_lots, sum(geometric) as area, sum(20 + 2 * d) - sum(case when ps = slot - 1 then 2 * least(d, pd) else 0 end) as length, sum(area) as lots,
   max(slot) - min(slot) + 1 as n, max(d) as deep from l group by all)"""
 
 
-@query(f"{_BLOCKS} select project_id, quadra_id, n_lots, round(area, 4) as area, round(length, 4) as length, round(4 * pi() * area / (length * length), 6) as compactness from b")
+@query(f"{BLOCKS_SQL} select project_id, quadra_id, n_lots, round(area, 4) as area, round(length, 4) as length, round(4 * pi() * area / (length * length), 6) as compactness from b")
 def block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = blocks.block_stats(parcels(spark, sf_dir))
     return rows.select("project_id", "quadra_id", "n_lots", F.round("area", 4).alias("area"), F.round("length", 4).alias("length"), F.round("compactness", 6).alias("compactness"))
 
 
-@query(f"{_BLOCKS} select project_id, quadra_id, round(lots / area, 6) as value from b")
+@query(f"{BLOCKS_SQL} select project_id, quadra_id, round(lots / area, 6) as value from b")
 def parceling_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.parceling_efficiency(parcels(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
@@ -99,7 +99,7 @@ def block_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.warnings(_boxes(spark, sf_dir))
 
 
-@query(f"""{_BLOCKS} select p.project_id, p.feature_id, case when b.n_lots is not null and p.macroarea = 'lote' then p.project_id || '/' || p.quadra_id end as parent_feature_id,
+@query(f"""{BLOCKS_SQL} select p.project_id, p.feature_id, case when b.n_lots is not null and p.macroarea = 'lote' then p.project_id || '/' || p.quadra_id end as parent_feature_id,
   case when b.n_lots is not null and p.macroarea = 'lote' then 'attribute' else 'unresolved' end as relation_method, case when p.macroarea = 'lote' then b.n_lots end as lots from parcels p left join b using (project_id, quadra_id)""")
 def derive_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     made, children = blocks.derive_blocks(parcels(spark, sf_dir))

@@ -10,7 +10,7 @@ from parcelwise.operators import frontage, roads
 from parcelwise.plans.derived import PARCELS_SQL, parcels
 
 
-def _streets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def streets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A street south of each project's first block, 1 to 4 m away: its footprint, and its centreline with eight side streets."""
     projects = rows.select("project_id").distinct().withColumn("gap", (1 + F.col("project_id") % 4).cast("double"))
     near, far = -F.col("gap"), -F.col("gap") - 2
@@ -24,26 +24,26 @@ def _streets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def frontage_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parcels(spark, sf_dir)
-    found = frontage.frontage_length(rows.filter("macroarea = 'lote'"), _streets(rows)[0])
+    found = frontage.frontage_length(rows.filter("macroarea = 'lote'"), streets(rows)[0])
     return found.withColumn("value", F.round("value", 6))
 
 
 def distance_non_residential(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parcels(spark, sf_dir)
-    footprint, lines = _streets(rows)
+    footprint, lines = streets(rows)
     return frontage.non_residential_distance(rows, footprint, roads.network(lines)).withColumn("value", F.round("value", 6))
 
 
 def distance_green(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parcels(spark, sf_dir)
-    footprint, lines = _streets(rows)
+    footprint, lines = streets(rows)
     return frontage.green_distance(rows, footprint, roads.network(lines)).withColumn("value", F.round("value", 6))
 
 
 def frontage_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streets as above, but none in every fifth project."""
     rows = parcels(spark, sf_dir)
-    return frontage.warnings(rows, _streets(rows)[0].filter("project_id % 5 <> 0"))
+    return frontage.warnings(rows, streets(rows)[0].filter("project_id % 5 <> 0"))
 
 
 _STREET = f"with {PARCELS_SQL}, f as (select *, 1 + project_id % 4 as gap, slot < 8 and project_id % 4 < 3 as faces from parcels), n as (select *, sqrt(power((3 - gap) / 2.0, 2) + power(gap + 1, 2)) as last_mile from f where faces)"

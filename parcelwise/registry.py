@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parcelwise.plans import attribute_queries, catalog_queries, layer_queries, road_queries, spatial_queries, street_queries, upload_queries
+from parcelwise.plans import attribute_queries, catalog_queries, layer_queries, road_queries, spatial_queries, street_queries, suite_queries, upload_queries
 
-MODULES = (attribute_queries, catalog_queries, layer_queries, road_queries, spatial_queries, street_queries, upload_queries)
+MODULES = (attribute_queries, catalog_queries, layer_queries, road_queries, spatial_queries, street_queries, suite_queries, upload_queries)
 
 FLAGSHIP = "indicator_values"
 
