@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.functions import geometry
-from parcelwise.operators import overlay, territory
+from parcelwise.operators import overlay, rings, territory
+from parcelwise.session import stored
 
 #: A face up to GOOD metres scores 1, one of BAD or more scores WORST.
 GOOD, BAD, WORST = 120.0, 250.0, 0.1
@@ -146,11 +147,14 @@ def parceling_efficiency(features: DataFrame, stats: DataFrame | None = None) ->
 
 
 def derive_blocks(features: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A feature for each block, with its lot count and its boundary edges, and the lots with their parent."""
+    """A feature for each block, with its lot count and the polygon of its lots' union, and the lots with their parent."""
     lots = _lots(features)
-    stats = block_stats(features).select("project_id", "quadra_id", F.col("n_lots").alias("quantidade_lotes"), F.concat_ws("/", F.col("project_id").cast("string"), "quadra_id").alias("block_id"))
-    edges = overlay.union_edges(lots, ["project_id", "quadra_id"]).groupBy("project_id", "quadra_id").agg(F.sort_array(F.collect_list(F.struct("x1", "y1", "x2", "y2"))).alias("boundary"))
-    linked = features.join(stats.select("project_id", "quadra_id", "block_id"), ["project_id", "quadra_id"], "left")
+    keys = ["project_id", "quadra_id"]
+    counts = lots.groupBy(*keys).agg(F.count("*").alias("quantidade_lotes"))
+    shapes = rings.polygons(overlay.union_edges(lots, keys), keys)
+    kind = F.when(F.element_at("geom", -1)["part"] > 0, "MultiPolygon").otherwise("Polygon")
+    made = stored(counts.join(shapes, keys).withColumns({"block_id": F.concat_ws("/", F.col("project_id").cast("string"), "quadra_id"), "geom_type": kind}))
+    linked = features.join(made.select(*keys, "block_id"), keys, "left")
     own = (F.col("macroarea") == territory.LOT) & F.col("block_id").isNotNull()
     children = linked.withColumn("parent_feature_id", F.when(own, F.col("block_id"))).withColumn("relation_method", F.when(own, "attribute").otherwise("unresolved")).drop("block_id")
-    return stats.join(edges, ["project_id", "quadra_id"]), children
+    return made, children

@@ -2,53 +2,22 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.operators import overlay
-
-_RING = "project_id bigint, ring int, seq int, x1 double, y1 double, x2 double, y2 double, start double, ring_length double"
-
-
-def _stitch(frame: pd.DataFrame) -> pd.DataFrame:
-    """One project's boundary edges, interior on the left, as closed rings."""
-    rows = frame[["x1", "y1", "x2", "y2"]].round(6).to_numpy()
-    leaving: dict[tuple[float, float], list[int]] = defaultdict(list)
-    for i, (x, y, _, _) in enumerate(rows):
-        leaving[x, y].append(i)
-    used, out, ring = [False] * len(rows), [], 0
-    for first in range(len(rows)):
-        if used[first]:
-            continue
-        walk, i = [], first
-        while i is not None and not used[i]:
-            used[i] = True
-            walk.append(i)
-            i = next((k for k in leaving[tuple(rows[i][2:])] if not used[k]), None)
-        at, length = 0.0, sum(((rows[k][2] - rows[k][0]) ** 2 + (rows[k][3] - rows[k][1]) ** 2) ** 0.5 for k in walk)
-        for seq, k in enumerate(walk):
-            x1, y1, x2, y2 = rows[k]
-            out.append((frame["project_id"].iloc[0], ring, seq, x1, y1, x2, y2, at, length))
-            at += ((x2 - x1) ** 2 + (y2 - y1) ** 2) ** 0.5
-        ring += 1
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _RING.split(", ")])
+from parcelwise.operators import rings as assembly
 
 
 def rings(perimeter: DataFrame) -> DataFrame:
-    """Shells and holes of each project's dissolved perimeter, edge by edge, with the metres from the ring's start.
-
-    A group is the boundary of one project's perimeter.
-    """
-    return overlay.union_edges(perimeter, ["project_id"]).groupBy("project_id").applyInPandas(_stitch, _RING)
+    """Shells and holes of each project's dissolved perimeter, edge by edge, with the metres from the ring's start."""
+    return assembly.rings(overlay.union_edges(perimeter, ["project_id"]), ["project_id"])
 
 
 def max_boundary_gap(perimeter: DataFrame, roads: DataFrame) -> DataFrame:
     """project_id, value: the largest stretch of a ring without a road across or along it; a ring without roads counts whole."""
     edges = rings(perimeter).withColumn("feature_id", F.col("ring")).withColumn("sid", F.struct("ring", "seq"))
-    lines = overlay.segments(roads, ["project_id"]).withColumn("sid", F.struct(F.col("part").alias("ring"), "seq"))
+    lines = overlay.segments(roads, ["project_id"]).withColumn("sid", F.struct(F.col("part").cast("bigint").alias("ring"), F.col("seq").cast("bigint").alias("seq")))
     pairs = overlay.neighbours(edges, lines, ["project_id"], "sid")
     cuts = pairs.select("project_id", "a_sid", F.explode(overlay.cut_places(overlay.side("a"), overlay.side("b"))).alias("t"), F.hypot(F.col("a_x2") - F.col("a_x1"), F.col("a_y2") - F.col("a_y1")).alias("size"))
     # ends of a perimeter edge that lie on a road: the two ends of an overlap

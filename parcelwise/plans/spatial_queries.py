@@ -107,6 +107,14 @@ def derive_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("project_id", "feature_id", "parent_feature_id", "relation_method", "lots")
 
 
+@query(f"{BLOCKS_SQL} select b.project_id, b.quadra_id, case when parts > 1 then 'MultiPolygon' else 'Polygon' end as geom_type, parts as n_parts, round(area, 4) as area, round(length, 4) as length, n_lots from b join (select project_id, quadra_id, count(case when ps is null or ps < slot - 1 then 1 end) as parts from l group by all) using (project_id, quadra_id)")
+def block_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived blocks as polygons: lots side by side make one part."""
+    made, _ = blocks.derive_blocks(parcels(spark, sf_dir))
+    parts = (F.element_at("geom", -1)["part"] + 1).cast("bigint").alias("n_parts")
+    return made.select("project_id", "quadra_id", "geom_type", parts, F.round(geometry.area(F.col("geom")), 4).alias("area"), F.round(geometry.length(F.col("geom")), 4).alias("length"), F.col("quantidade_lotes").alias("n_lots"))
+
+
 def _sources(rows: DataFrame, wide: bool) -> DataFrame:
     """A box for each parcel, in, over or beside it, or around it."""
     k, b = F.col("feature_id"), geometry.bounds(F.col("geom"))
