@@ -297,3 +297,15 @@ def test_exact_deviations():
     assert whitening.deviations(x, n, sums) == [t if t < 2**63 else None for t in true]
     x = np.array([[3, 2**28], [-5, -(2**28)]])
     assert whitening.deviations(x, 2, x.sum(0)) == [8**2 + (2**29) ** 2] * 2
+
+
+def test_a_languages_cut_is_drawn_to_the_common_one():
+    import numpy as np
+
+    from parcelwise.llm import toxicity
+
+    z, labels = np.array([9.0, 7.0, 1.0, 0.0]), np.array([1.0, 1.0, 0.0, 0.0])
+    assert toxicity.best_cut(z, labels) == 4.0
+    assert toxicity.shrunk_cut(z, labels, 1.0) == (2 * 4.0 + toxicity.SHRINK) / (2 + toxicity.SHRINK)
+    assert toxicity.shrunk_cut(z, np.zeros(4), 1.0) == 1.0  # no toxic text of its own
+    assert toxicity.shrunk_cut(np.zeros(0), np.zeros(0), 1.0) == 1.0
