@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from parcelwise.session import stored
+
 #: Distinct values up to which a field's values are listed, and categories are drawn.
 MOST_CATEGORIES = 32
+#: Bins of a round in the search for ranks, and intervals up to which they are broadcast.
+BINS, MOST_SPANS = 1024, 50_000
 NUMBER = r"^-?[0-9]+(\.[0-9]+)?$"
 
 
@@ -86,12 +90,51 @@ def class_domain(values: DataFrame, numeric: bool) -> DataFrame:
     return values.select("layer_id", "field", "value").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("layer_id", "field").orderBy("value")))
 
 
+def order_statistics(values: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(key, value), (key, rank from 0) -> key, rank, value: the value at a rank of its key's sorted values.
+
+    Each round counts the values of the open intervals in BINS bins and goes on with the bins in which
+    ranks lie, until such a bin holds one distinct value: no key's values are held or sorted.  Nulls and
+    values that aren't finite have no rank; a rank beyond the key's values has no row.
+    """
+    rows = values.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf"))).select("key", F.col("value").cast("double").alias("value"))
+    spans = rows.groupBy("key").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
+    todo = stored(ranks.select("key", "rank").distinct().join(spans, "key").filter("rank >= 0 and rank < n").select("key", "rank", F.col("rank").alias("left"), "low", "high"))
+    done = None
+    while True:
+        found = todo.filter("low = high").select("key", "rank", F.col("low").alias("value"))
+        done = found if done is None else done.unionByName(found)
+        spans = todo.filter("low < high").select("key", "low", "high").distinct()
+        n = spans.count()
+        if not n:
+            return done
+        # intervals of a key are apart, so that a value is in one at most
+        near = rows.join(F.broadcast(spans) if n <= MOST_SPANS else spans, "key").filter(F.col("value").between(F.col("low"), F.col("high")))
+        # halves, as the width of all doubles is none
+        place = (F.col("value") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+        bin_ = F.least(F.lit(BINS - 1), F.floor(place * BINS).cast("int")).alias("bin")
+        bins = near.groupBy("key", "low", "high", bin_).agg(F.count("*").alias("n"), F.min("value").alias("b_low"), F.max("value").alias("b_high"))
+        before = F.sum("n").over(Window.partitionBy("key", "low", "high").orderBy("bin")) - F.col("n")
+        met = todo.join(bins.withColumn("before", before), ["key", "low", "high"]).filter((F.col("left") >= F.col("before")) & (F.col("left") < F.col("before") + F.col("n")))
+        todo = stored(met.select("key", "rank", (F.col("left") - F.col("before")).alias("left"), F.col("b_low").alias("low"), F.col("b_high").alias("high")))
+
+
+def quantiles(values: DataFrame, n: int) -> DataFrame:
+    """(key, value) -> key, class, break: the n - 1 inner quantiles, between two values in proportion to the place."""
+    finite = values.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
+    counts = finite.groupBy("key").agg(F.count("*").alias("n"))
+    places = counts.select("key", F.explode(F.sequence(F.lit(1), F.lit(n - 1))).alias("class"), "n").withColumn("place", F.col("class") / n * (F.col("n") - 1))
+    ends = places.select("key", "class", "place", F.explode(F.array(F.floor("place"), F.ceil("place"))).alias("rank")).distinct()
+    found = order_statistics(values, ends).join(ends, ["key", "rank"])
+    low, high = F.min("value"), F.max("value")
+    return found.groupBy("key", "class", "place").agg((low + (high - low) * (F.col("place") - F.floor("place"))).alias("break")).select("key", "class", "break")
+
+
 def class_breaks(values: DataFrame, scale: str, n: int, thresholds: tuple[float, ...] = ()) -> DataFrame:
     """(key, value) -> key, class, break: the n - 1 inner breaks of a scale, by key."""
     low, high, k = F.col("low"), F.col("high"), F.col("class")
     if scale == "quantile":
-        found = values.groupBy("key").agg(F.percentile("value", F.array(*(F.lit(i / n) for i in range(1, n)))).alias("breaks"))
-        return found.select("key", F.posexplode("breaks").alias("class", "break")).withColumn("class", F.col("class") + 1)
+        return quantiles(values, n)
     if scale == "threshold":
         return values.select("key").distinct().select("key", F.posexplode(F.array(*map(F.lit, thresholds))).alias("class", "break")).withColumn("class", F.col("class") + 1)
     there, back = {"linear": (lambda x: x, lambda x: x), "quantize": (lambda x: x, lambda x: x), "sqrt": (F.sqrt, lambda x: x * x), "log": (F.ln, F.exp)}[scale]
