@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.functions import geometry
 from parcelwise.operators import overlay, rings, territory
-from parcelwise.session import stored
+from parcelwise.session import spread
 
 #: A face up to GOOD metres scores 1, one of BAD or more scores WORST.
 GOOD, BAD, WORST = 120.0, 250.0, 0.1
@@ -153,7 +153,7 @@ def derive_blocks(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = lots.groupBy(*keys).agg(F.count("*").alias("quantidade_lotes"))
     shapes = rings.polygons(overlay.union_edges(lots, keys), keys)
     kind = F.when(F.element_at("geom", -1)["part"] > 0, "MultiPolygon").otherwise("Polygon")
-    made = stored(counts.join(shapes, keys).withColumns({"block_id": F.concat_ws("/", F.col("project_id").cast("string"), "quadra_id"), "geom_type": kind}))
+    made = spread(counts.join(shapes, keys).withColumns({"block_id": F.concat_ws("/", F.col("project_id").cast("string"), "quadra_id"), "geom_type": kind}))
     linked = features.join(made.select(*keys, "block_id"), keys, "left")
     own = (F.col("macroarea") == territory.LOT) & F.col("block_id").isNotNull()
     children = linked.withColumn("parent_feature_id", F.when(own, F.col("block_id"))).withColumn("relation_method", F.when(own, "attribute").otherwise("unresolved")).drop("block_id")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parcelwise.operators import overlay
-from parcelwise.session import released, stored
+from parcelwise.session import released, spread
 
 ENDS = ("x1", "y1", "x2", "y2")
 
@@ -49,10 +49,10 @@ def _jumped(state: DataFrame, keys: list[str], joined: dict[str, Column]) -> Dat
 
 def _labels(links: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id, next, ring): the smallest id on an edge's closed way; edges on open ways are left out."""
-    state = stored(links.select(*keys, "id", F.col("next").alias("to"), F.col("id").alias("ring")))
+    state = spread(links.select(*keys, "id", F.col("next").alias("to"), F.col("id").alias("ring")))
     low = {"ring": F.least("ring", "n_ring")}
     while True:
-        new = stored(_jumped(_jumped(state, keys, low), keys, low))
+        new = spread(_jumped(_jumped(state, keys, low), keys, low))
         # where no window of edges has a smaller id than the one a quarter as long, all of a closed way agree
         moved = new.select(*keys, "id", "ring", "to").join(state.select(*keys, "id", F.col("ring").alias("old"), F.col("to").alias("was")), [*keys, "id"])
         going = moved.filter((F.col("ring") != F.col("old")) | (F.col("to").isNull() & F.col("was").isNotNull())).limit(1).count()
@@ -60,7 +60,7 @@ def _labels(links: DataFrame, keys: list[str]) -> DataFrame:
         state = new
         if not going:
             break
-    out = stored(links.join(state.filter("to is not null").select(*keys, "id", "ring"), [*keys, "id"]))
+    out = spread(links.join(state.filter("to is not null").select(*keys, "id", "ring"), [*keys, "id"]))
     released(state)
     return out
 
@@ -74,7 +74,7 @@ def rings(edges: DataFrame, keys: list[str]) -> DataFrame:
     """
     size = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     rows = edges.select(*keys, *(F.round(c, 6).alias(c) for c in ENDS)).filter("x1 <> x2 or y1 <> y2").distinct()
-    rows = stored(rows.select(*keys, *ENDS, F.struct(*ENDS).alias("id"), size.alias("size")))
+    rows = spread(rows.select(*keys, *ENDS, F.struct(*ENDS).alias("id"), size.alias("size")))
     # along the interior: from an arriving edge clockwise to the first that leaves
     found = _labels(_after(_places(rows, keys), keys, True), keys)
     spots = found.select(*keys, "id", "next", "ring", F.col("id.x2").alias("x"), F.col("id.y2").alias("y"))
@@ -89,17 +89,17 @@ def rings(edges: DataFrame, keys: list[str]) -> DataFrame:
         found = again
     # cut before the ring's least edge, pointers run to its end and sum what lies there
     open_ = found.join(rows.select(*keys, "id", "size"), [*keys, "id"])
-    state = stored(open_.select(*keys, "id", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("to"), F.lit(1).cast("bigint").alias("n"), F.col("size").alias("rest")))
+    state = spread(open_.select(*keys, "id", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("to"), F.lit(1).cast("bigint").alias("n"), F.col("size").alias("rest")))
     more = {"n": F.col("n") + F.coalesce("n_n", F.lit(0)), "rest": F.col("rest") + F.coalesce("n_rest", F.lit(0.0))}
     while state.filter("to is not null").limit(1).count():
-        new = stored(_jumped(_jumped(state, keys, more), keys, more))
+        new = spread(_jumped(_jumped(state, keys, more), keys, more))
         released(state)
         state = new
     ranked = found.select(*keys, "id", "ring").join(state.select(*keys, "id", "n", "rest"), [*keys, "id"])
     whole = ranked.filter("id = ring").select(*keys, "ring", F.col("n").alias("total"), F.col("rest").alias("ring_length"))
     out = ranked.join(whole, [*keys, "ring"])
     place = F.greatest(F.lit(0.0), F.col("ring_length") - F.col("rest"))
-    out = stored(out.select(*keys, F.xxhash64("ring").alias("ring"), (F.col("total") - F.col("n")).alias("seq"), "id.*", place.alias("start"), "ring_length"))
+    out = spread(out.select(*keys, F.xxhash64("ring").alias("ring"), (F.col("total") - F.col("n")).alias("seq"), "id.*", place.alias("start"), "ring_length"))
     released(rows, found, state)
     return out
 
@@ -116,7 +116,7 @@ def polygons(edges: DataFrame, keys: list[str]) -> DataFrame:
     around = overlay.cross(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("x2") - F.col("x0"), F.col("y2") - F.col("y0"))
     points = F.transform(F.sort_array(F.collect_list(F.struct("seq", F.col("x1").alias("x"), F.col("y1").alias("y")))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
     closed = F.concat(points, F.slice(points, 1, 1))
-    shapes = stored(every.join(first, [*keys, "ring"]).groupBy(*keys, "ring").agg((F.sum(around) / 2).alias("area"), closed.alias("pts")))
+    shapes = spread(every.join(first, [*keys, "ring"]).groupBy(*keys, "ring").agg((F.sum(around) / 2).alias("area"), closed.alias("pts")))
     shells, holes = shapes.filter("area > 0"), shapes.filter("area < 0")
     owned = shells.select(*keys, F.col("ring").alias("shell"), F.lit(0).alias("hole"), "ring", "pts")
     if holes.limit(1).count():
@@ -131,6 +131,6 @@ def polygons(edges: DataFrame, keys: list[str]) -> DataFrame:
     part = F.dense_rank().over(Window.partitionBy(*keys).orderBy("corner", "shell")) - 1
     ring = F.row_number().over(Window.partitionBy(*keys, "shell").orderBy("hole", F.array_min("pts"), "ring")) - 1
     numbered = rows.select(*keys, F.struct(part.alias("part"), ring.alias("ring"), "pts").alias("r"))
-    out = stored(numbered.groupBy(*keys).agg(F.sort_array(F.collect_list("r")).alias("geom")))
+    out = spread(numbered.groupBy(*keys).agg(F.sort_array(F.collect_list("r")).alias("geom")))
     released(every, shapes)
     return out

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from parcelwise.functions import geometry
 from parcelwise.operators import overlay
-from parcelwise.session import released, stored
+from parcelwise.session import released, spread
 
 TOLERANCE = 2.0
 EXISTING, PROPOSED = "existente", "proposta"
@@ -33,13 +33,13 @@ def warnings(roads: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, a, b) -> keys, id, label: the smallest id that each id is connected with; rounds are cut in the shared folder."""
-    both = stored(links.select(*keys, "a", "b").union(links.select(*keys, F.col("b"), F.col("a"))).distinct())
+    both = spread(links.select(*keys, "a", "b").union(links.select(*keys, F.col("b"), F.col("a"))).distinct())
     labels = both.groupBy(*keys, F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("label"))
     while True:
         near = both.join(labels.select(*keys, F.col("id").alias("b"), "label"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("id")).agg(F.min("label").alias("near"))
         nearer = labels.join(near, [*keys, "id"]).select(*keys, "id", F.least("label", "near").alias("to"), F.col("label").alias("old"))
         jump = labels.select(*keys, F.col("id").alias("to"), F.col("label").alias("next"))
-        found = stored(nearer.join(jump, [*keys, "to"]).select(*keys, "id", F.least("to", "next").alias("label"), "old"))
+        found = spread(nearer.join(jump, [*keys, "to"]).select(*keys, "id", F.least("to", "next").alias("label"), "old"))
         labels = found.drop("old")
         if not found.filter("label <> old").limit(1).count():
             return labels
@@ -56,19 +56,19 @@ def _moved(lines: DataFrame, moves: DataFrame) -> DataFrame:
     """Lines with ends (project_id, line, which, seq) at their new places x, y."""
     start = moves.filter("which = 's'").select("project_id", "line", "seq", F.col("x").alias("sx"), F.col("y").alias("sy"))
     stop = moves.filter("which = 't'").select("project_id", "line", "seq", F.col("x").alias("tx"), F.col("y").alias("ty"))
-    rows = lines.join(start, ["project_id", "line", "seq"], "left").join(stop, ["project_id", "line", "seq"], "left")
+    rows = lines.join(start.hint("merge"), ["project_id", "line", "seq"], "left").join(stop.hint("merge"), ["project_id", "line", "seq"], "left")
     new = {"x1": ("sx", "x1"), "y1": ("sy", "y1"), "x2": ("tx", "x2"), "y2": ("ty", "y2")}
     return rows.withColumns({k: F.coalesce(*v) for k, v in new.items()}).drop("sx", "sy", "tx", "ty").filter("x1 <> x2 or y1 <> y2")
 
 
 def cluster_ends(lines: DataFrame, tolerance: float) -> DataFrame:
     """Ends within the tolerance of each other, and all these lead to, move to their mean."""
-    every = stored(ends(lines))
+    every = spread(ends(lines))
     cell = lambda c, k: F.floor(F.col(c) / tolerance) + k
     here = every.withColumns({"cx": cell("x", 0), "cy": cell("y", 0)})
     around = every.withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
     around = around.select("project_id", F.col("end_id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), (cell("x", 0) + F.col("dx")).alias("cx"), (cell("y", 0) + F.col("dy")).alias("cy"))
-    near = here.join(around, ["project_id", "cx", "cy"]).filter((F.col("end_id") < F.col("other")) & (F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= tolerance))
+    near = here.join(around.hint("merge"), ["project_id", "cx", "cy"]).filter((F.col("end_id") < F.col("other")) & (F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= tolerance))
     labels = components(near.select("project_id", F.col("end_id").alias("a"), F.col("other").alias("b")), ["project_id"])
     named = every.join(labels.withColumnRenamed("id", "end_id"), ["project_id", "end_id"])
     mean = named.groupBy("project_id", "label").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
@@ -104,9 +104,9 @@ def unlinked_pairs(lines: DataFrame, unlinks: DataFrame, tolerance: float) -> tu
 def network(roads: DataFrame, unlinks: DataFrame | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """The edges of the noded graph: project_id, feature_id, road_status, x1, y1, x2, y2 and length, of whole pieces between nodes.
 
-    A piece that bends is one edge: `nodes` counts ends of pieces alone.
+    A piece that bends is one edge: `nodes` counts ends of pieces alone.  The edges are stored, as are the steps on the way.
     """
-    lines = stored(snap_ends(cluster_ends(parts(roads), tolerance), tolerance))
+    lines = spread(snap_ends(spread(cluster_ends(spread(parts(roads)), tolerance)), tolerance))
     rows = lines.withColumn("sid", F.struct("line", "seq"))
     segs = rows.select("project_id", F.col("line").alias("feature_id"), "sid", "x1", "y1", "x2", "y2")
     pairs = overlay.neighbours(segs, segs, ["project_id"], "sid").filter("a_feature_id <> b_feature_id")
@@ -116,9 +116,10 @@ def network(roads: DataFrame, unlinks: DataFrame | None = None, tolerance: float
         apart, _ = unlinked_pairs(lines, unlinks, tolerance)
         both = apart.select("project_id", "one", F.col("two").alias("other"), F.col("x").alias("ux"), F.col("y").alias("uy")).union(apart.select("project_id", "two", "one", "x", "y"))
         same = (places["project_id"] == both["project_id"]) & (places["sid"]["line"] == both["one"]) & (places["other"] == both["other"]) & (F.hypot(places["x"] - both["ux"], places["y"] - both["uy"]) <= tolerance)
-        places = places.join(both, same, "left_anti")
+        places = places.join(both.hint("merge"), same, "left_anti")
+    places = spread(places)
     cuts = places.groupBy("project_id", "sid").agg(F.collect_list("t").alias("places"))
-    pieces = overlay.split_edges(rows, cuts, ["project_id"], "sid")
+    pieces = spread(overlay.split_edges(rows, cuts, ["project_id"], "sid"))
     # the pieces of a line between its cuts: bends that are no cut don't end an edge
     nodes = places.select("project_id", F.col("sid.line").alias("line"), F.round("x", 6).alias("x1"), F.round("y", 6).alias("y1")).distinct().withColumn("cut", F.lit(1))
     order = Window.partitionBy("project_id", "line").orderBy("seq", F.hypot(F.col("x1") - F.col("ox"), F.col("y1") - F.col("oy")))
@@ -127,7 +128,9 @@ def network(roads: DataFrame, unlinks: DataFrame | None = None, tolerance: float
     marked = marked.withColumn("place", F.row_number().over(order)).withColumn("piece", F.sum(F.coalesce("cut", F.lit(0))).over(order))
     size = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     whole = marked.groupBy("project_id", "feature_id", "road_status", "line", "piece").agg(F.min(F.struct("place", "x1", "y1")).alias("s"), F.max(F.struct("place", "x2", "y2")).alias("t"), F.sum(size).alias("length"))
-    return whole.select("project_id", "feature_id", "road_status", F.col("s.x1").alias("x1"), F.col("s.y1").alias("y1"), F.col("t.x2").alias("x2"), F.col("t.y2").alias("y2"), "length")
+    out = spread(whole.select("project_id", "feature_id", "road_status", F.col("s.x1").alias("x1"), F.col("s.y1").alias("y1"), F.col("t.x2").alias("x2"), F.col("t.y2").alias("y2"), "length"))
+    released(lines, places, pieces)
+    return out
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -194,8 +197,8 @@ def network_warnings(roads: DataFrame, unlinks: DataFrame | None = None, toleran
     all features of a network in several parts; proposed_roads_not_connected_to_existing: the
     proposed features of a part without an existing road.
     """
-    lines = stored(snap_ends(cluster_ends(parts(roads), tolerance), tolerance))
-    edges = stored(network(roads, unlinks, tolerance))
+    lines = spread(snap_ends(spread(cluster_ends(spread(parts(roads)), tolerance)), tolerance))
+    edges = network(roads, unlinks, tolerance)
     node = lambda x, y: F.xxhash64(x, y)
     labels = components(edges.select("project_id", node("x1", "y1").alias("a"), node("x2", "y2").alias("b")), ["project_id"])
     parts_ = edges.withColumn("id", node("x1", "y1")).join(labels, ["project_id", "id"])
@@ -213,6 +216,6 @@ def network_warnings(roads: DataFrame, unlinks: DataFrame | None = None, toleran
     severity = F.lit("warning")
     for code, level in SEVERITY.items():
         severity = F.when(F.col("code") == code, level).otherwise(severity)
-    out = stored(found.select("project_id", "code", severity.alias("severity"), "feature_ids"))
+    out = spread(found.select("project_id", "code", severity.alias("severity"), "feature_ids"))
     released(lines, edges)
     return out

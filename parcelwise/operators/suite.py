@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.operators import blocks, boundary, frontage, overlay, roads, territory
-from parcelwise.session import released, stored
+from parcelwise.session import released, spread
 
 ROW = "array<struct<indicator_code:string,key:string,sub_field:string,value:double,label:string>>"
 
@@ -67,7 +67,7 @@ def _total(name: str, wanted=lambda x: F.lit(True)) -> Column:
 
 def territory_rows(features: DataFrame) -> DataFrame:
     """The thirteen indicators of territory features, from one pass over them."""
-    sums = stored(_sums(features))
+    sums = spread(_sums(features))
     none = F.array().cast(ROW)
 
     def each(code: str, name: str, whole: Column | None = None) -> Column:
@@ -117,7 +117,7 @@ def perimeter_rows(whole: DataFrame, territory_values: DataFrame) -> DataFrame:
 
 def block_rows(features: DataFrame) -> DataFrame:
     """Five indicators of blocks and the parceling efficiency, keyed by quadra_id."""
-    stats = stored(blocks.block_stats(features))
+    stats = spread(blocks.block_stats(features))
     q = F.col("quadra_id")
     found = _spread(stats, *(_row("quadras.stats", F.col(c), q, name) for name, c in (("area_m2", "area"), ("perimetro_m", "length"), ("quantidade_lotes", "n_lots"))), _row("quadras.compactness", F.col("compactness"), q))
     sides = _spread(blocks.block_rectangles(features), *(_row("quadras.min_rotated_rectangle", F.col(c), q, name) for name, c in (("comprimento_m", "long_side"), ("largura_m", "short_side"))), _row("quadras.orientation", F.col("orientation"), q), _row("quadras.face_length_score", F.col("face_score"), q))
@@ -127,7 +127,7 @@ def block_rows(features: DataFrame) -> DataFrame:
 def road_rows(edges: DataFrame, perimeter: DataFrame, whole: DataFrame, lines: DataFrame) -> DataFrame:
     """Eight indicators of the noded network; a project without a usable perimeter lacks the two that need one."""
     names = {"total_length": "total_length", "existing_length": "existing_length", "proposed_length": "proposed_length", "intersection_count": "intersections", "proposed_connection_count": "proposed_connections", "link_node_ratio": "link_node_ratio"}
-    found = stored(roads.measures(edges, perimeter, whole))
+    found = spread(roads.measures(edges, perimeter, whole))
     scalars = _spread(found, *(_row(f"road_network.{code}", F.col(c)) for code, c in names.items()))
     bounded = found.join(whole.filter("area > 0").select("project_id"), "project_id", "left_semi")
     gaps = boundary.max_boundary_gap(perimeter, lines).join(found.select("project_id"), "project_id", "left_semi")
@@ -136,8 +136,8 @@ def road_rows(edges: DataFrame, perimeter: DataFrame, whole: DataFrame, lines: D
 
 def lot_rows(features: DataFrame, footprint: DataFrame, edges: DataFrame) -> DataFrame:
     """Frontage and both walking distances, keyed by feature_id; frontages and nearest nodes are found once for the three."""
-    parts = stored(frontage.frontage_parts(features, footprint))
-    near = stored(frontage.access_points(features, footprint, edges, parts))
+    parts = frontage.frontage_parts(features, footprint)
+    near = spread(frontage.access_points(features, footprint, edges, parts))
     key = F.col("feature_id")
     found = {
         frontage.FRONTAGE: frontage.frontage_length(features.filter(F.col("macroarea") == territory.LOT), footprint, parts=parts),
@@ -149,10 +149,10 @@ def lot_rows(features: DataFrame, footprint: DataFrame, edges: DataFrame) -> Dat
 
 def values(features: DataFrame, perimeter: DataFrame, lines: DataFrame, footprint: DataFrame, unlinks: DataFrame | None = None) -> DataFrame:
     """All indicators of projects with these layers: territory features, perimeter polygons, road centrelines, road footprint."""
-    features = stored(features)
-    edges = stored(roads.network(lines, unlinks))
-    whole = stored(blocks.perimeter(perimeter.filter(overlay.usable(perimeter))))
+    features = spread(features)
+    edges = roads.network(lines, unlinks)
+    whole = spread(blocks.perimeter(perimeter.filter(overlay.usable(perimeter))))
     own = territory_rows(features)
-    out = stored(reduce(DataFrame.unionByName, (own, perimeter_rows(whole, own), block_rows(features), road_rows(edges, perimeter, whole, lines), lot_rows(features, footprint, edges))))
+    out = spread(reduce(DataFrame.unionByName, (own, perimeter_rows(whole, own), block_rows(features), road_rows(edges, perimeter, whole, lines), lot_rows(features, footprint, edges))))
     released(features, edges, whole)
     return out

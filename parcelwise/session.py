@@ -52,6 +52,15 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Stored rows that joins shuffle and never broadcast: Spark takes a frame for as small as its compressed files, where
+    coordinates repeat tens of times smaller than the rows that the driver would have to hold."""
+    kept = stored(df)
+    out = kept.hint("merge")
+    _PATHS[out] = _PATHS.pop(kept)
+    return out
+
+
 def released(*frames: DataFrame) -> None:
     """Deletes the files of stored frames that nothing reads any more."""
     for df in frames:
