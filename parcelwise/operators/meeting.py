@@ -14,7 +14,6 @@ pair of runs can be tested where it is made.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -59,7 +58,9 @@ def _placed(boxes: DataFrame, keys: list[str], prefix: str, above: list[int], fi
     own, x0, y0, x1, y1 = (F.col(f"{prefix}_{c}") for c in ("level", *BOX))
     higher = F.filter(F.array(*map(F.lit, above)).cast("array<int>"), lambda m: m > own)
     turns = lambda at, mine: F.struct(at.alias("at"), F.lit(mine).alias("turn"))
-    places = F.concat(F.array(turns(own, 0)), F.transform(higher, lambda m: turns(m, 1))) if first else F.concat(F.array(turns(own, 0), turns(own, 1)), F.transform(higher, lambda m: turns(m, 0)))
+    # of the second side only what is larger than some box of the first waits for those at its own size
+    lower = F.when(own > min(above, default=0), F.array(turns(own, 1))).otherwise(F.array().cast("array<struct<at:int,turn:int>>"))
+    places = F.concat(F.array(turns(own, 0)), F.transform(higher, lambda m: turns(m, 1))) if first else F.concat(F.array(turns(own, 0)), lower, F.transform(higher, lambda m: turns(m, 0)))
     rows = rows.withColumn("p", F.explode(places)).withColumns({"at": F.col("p.at"), "turn": F.col("p.turn")}).drop("p")
     size = F.pow(F.lit(2.0), F.col("at"))
     return rows.withColumn("cx", F.explode(F.sequence(F.floor(x0 / size), F.floor(x1 / size)))).withColumn("cy", F.explode(F.sequence(F.floor(y0 / size), F.floor(y1 / size))))
@@ -77,7 +78,8 @@ def pairs(a: DataFrame, b: DataFrame, keys: list[str], known: list[list[int]] |
     for c in ("x", "y"):
         met = met & (F.col(f"a_b{c}0") <= F.col(f"b_b{c}1")) & (F.col(f"b_b{c}0") <= F.col(f"a_b{c}1"))
         first = first & (F.col(f"c{c}") == F.floor(F.greatest(f"a_b{c}0", f"b_b{c}0") / size))
-    return one.join(two, [*keys, "at", "turn", "cx", "cy"]).filter(met & first).drop("at", "turn", "cx", "cy", "a_level", "b_level")
+    # what each box is exploded to is not in Spark's guess of a side's size: no side is broadcast
+    return one.join(two.hint("merge"), [*keys, "at", "turn", "cx", "cy"]).filter(met & first).drop("at", "turn", "cx", "cy", "a_level", "b_level")
 
 
 def _long(e: Column) -> Column:
@@ -122,9 +124,9 @@ def boxes(features: DataFrame, keys: list[str], reach: float = 0.0) -> DataFrame
 def segment_pairs(rows: DataFrame, other: DataFrame, keys: list[str], id_: str, reach: float = 0.0) -> DataFrame:
     """Pairs of segments (keys, `id_`, feature_id, x1, y1, x2, y2) whose boxes come within `reach`: a_* and b_* columns.
 
-    A pair comes once; one of long segments once for each pair of their pieces that meet.
+    A pair comes once; one of long segments once for each pair of their pieces that meet.  The levels
+    are looked up first, which reads both sides once more: a segment takes rows only for sizes that there are.
     """
-    top = max(FLOOR, math.ceil(math.log2(PIECE + 2 * reach + 1)))
     whole = F.struct(*(F.lit(0).alias(c) for c in ("part", "ring", "seq")), *("x1", "y1", "x2", "y2"))
     sides = []
     for side, by in ((rows, reach), (other, 0.0)):
@@ -132,8 +134,7 @@ def segment_pairs(rows: DataFrame, other: DataFrame, keys: list[str], id_: str,
         box = {c: (F.greatest if c.endswith("1") else F.least)(f"e.{c[1]}1", f"e.{c[1]}2").alias(c) for c in BOX}
         flat = pieces.select(*keys, id_, "feature_id", "x1", "y1", "x2", "y2", *box.values())
         sides.append(leveled(flat, by).withColumn("level", F.greatest("level", F.lit(FLOOR))))
-    every = list(range(FLOOR, top + 1))
-    return pairs(*sides, keys, [every, every]).drop(*(f"{p}_{c}" for p in "ab" for c in BOX))
+    return pairs(*sides, keys).drop(*(f"{p}_{c}" for p in "ab" for c in BOX))
 
 
 def in_ring(edges: Column, x: Column, y: Column) -> Column:

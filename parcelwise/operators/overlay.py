@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from parcelwise.functions import geometry
 from parcelwise.operators import meeting
-from parcelwise.session import released, stored
+from parcelwise.session import released, spread
 
 CELL = 32.0
 #: Cells of the point search: LEVELS sizes, each SPREAD times the one before.
@@ -52,6 +52,11 @@ def cut_places(a: dict[str, Column], b: dict[str, Column], tolerance: float = SN
     return F.array_compact(F.array(F.when(meets, t), end(b["x1"], b["y1"]), end(b["x2"], b["y2"])))
 
 
+def inner_cuts(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Those of `cut_places` that split segment a, its ends left out."""
+    return F.filter(cut_places(a, b), lambda t: (t > EPS) & (t < 1 - EPS))
+
+
 def side(prefix: str) -> dict[str, Column]:
     return {k: F.col(f"{prefix}_{k}") for k in ("x1", "y1", "x2", "y2")}
 
@@ -64,7 +69,7 @@ def neighbours(rows: DataFrame, other: DataFrame, keys: list[str], id_: str, rea
 def split_edges(rows: DataFrame, cuts: DataFrame, keys: list[str], id_: str) -> DataFrame:
     """Segments split at `places` (keys, id_, places: array) of `cuts`; ends are snapped to a grid of SNAP."""
     all_cuts = cuts.groupBy(*keys, id_).agg(F.flatten(F.collect_list("places")).alias("places"))
-    joined = rows.join(all_cuts, [*keys, id_], "left")
+    joined = rows.join(all_cuts.hint("merge"), [*keys, id_], "left")
     inner = F.filter(F.coalesce("places", F.array().cast("array<double>")), lambda t: (t > EPS) & (t < 1 - EPS))
     stops = F.sort_array(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), inner)))
     parts = F.transform(F.sequence(F.lit(0), F.size("stops") - 2), lambda i: F.struct(F.get("stops", i).alias("s"), F.get("stops", i + 1).alias("t")))
@@ -102,7 +107,7 @@ def containing(points: DataFrame, edges: DataFrame, keys: list[str], on_edge: bo
     """
     sizes = F.array(*(F.struct(F.lit(k).alias("level"), F.floor(F.col("x") / (CELL * SPREAD**k)).alias("cx")) for k in range(LEVELS)))
     spots = points.select(*keys, "point_id", "x", "y", F.floor(F.col("y") / CELL).alias("strip"), F.inline(sizes))
-    met = spots.join(_lanes(edges, keys), [*keys, "strip", "level", "cx"]).filter(F.col("x").between(F.col("low") - SNAP, F.col("high") + SNAP))
+    met = spots.join(_lanes(edges, keys).hint("merge"), [*keys, "strip", "level", "cx"]).filter(F.col("x").between(F.col("low") - SNAP, F.col("high") + SNAP))
     x, y = F.col("x"), F.col("y")
 
     def hit(e: Column) -> Column:
@@ -194,14 +199,17 @@ def union_edges(polygons: DataFrame, keys: list[str]) -> DataFrame:
     is covered.  The edges are stored.
     """
     good = polygons.filter(usable(polygons))
-    rows = stored(_oriented(good, keys).withColumn("sid", F.xxhash64("feature_id", "part", "ring", "seq")))
+    rows = spread(_oriented(good, keys).withColumn("sid", F.xxhash64("feature_id", "part", "ring", "seq")))
     pairs = neighbours(rows, rows, keys, "sid").filter("a_feature_id <> b_feature_id")
-    cuts = pairs.select(*keys, F.col("a_sid").alias("sid"), cut_places(side("a"), side("b")).alias("places")).filter(F.size("places") > 0)
-    parts = split_edges(rows, cuts, keys, "sid")
-    over = stored(_overlapping(good, keys))
-    apart = _odd_edges(parts.join(over, keys, "left_anti"), keys)
-    out = stored(apart.unionByName(_single_edges(parts.join(over, keys, "left_semi"), rows.join(over, keys, "left_semi"), keys)))
-    released(rows, over)
+    cuts = pairs.select(*keys, F.col("a_sid").alias("sid"), inner_cuts(side("a"), side("b")).alias("places")).filter(F.size("places") > 0)
+    parts = spread(split_edges(rows, cuts, keys, "sid"))
+    over = spread(_overlapping(good, keys))
+    if over.limit(1).count():
+        apart = _odd_edges(parts.join(over, keys, "left_anti"), keys)
+        out = spread(apart.unionByName(_single_edges(parts.join(over, keys, "left_semi"), rows.join(over, keys, "left_semi"), keys)))
+    else:
+        out = spread(_odd_edges(parts, keys))
+    released(rows, parts, over)
     return out
 
 
@@ -321,17 +329,17 @@ def holding(hold: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
     met, around = meeting.pairs(*boxes, keys), F.lit(True)
     for c in "xy":
         around = around & (F.col(f"a_b{c}0") >= F.col(f"b_b{c}0") - SNAP) & (F.col(f"a_b{c}1") <= F.col(f"b_b{c}1") + SNAP)
-    close = stored(met.filter(around).select(*keys, F.col("a_feature_id").alias("inner"), F.col("b_feature_id").alias("outer")))
+    close = spread(met.filter(around).select(*keys, F.col("a_feature_id").alias("inner"), F.col("b_feature_id").alias("outer")))
     wanted = lambda x, name: x.join(close.select(*keys, F.col(name).alias("feature_id")).distinct(), [*keys, "feature_id"], "left_semi")
     numbered = lambda x: x.withColumn("sid", F.xxhash64("feature_id", "part", "ring", "seq"))
-    outer = stored(numbered(segments(wanted(hold.filter(_spans(hold)), "outer"), keys)))
-    solid = stored(numbered(segments(wanted(held.filter(_spans(held)), "inner"), keys)))
+    outer = spread(numbered(segments(wanted(hold.filter(_spans(hold)), "outer"), keys)))
+    solid = spread(numbered(segments(wanted(held.filter(_spans(held)), "inner"), keys)))
     found = _solid_in(solid, outer, keys)
     if "geom_type" in held.columns:
         flat = wanted(held.filter(~_spans(held)), "inner")
         pieces = flat.select(*keys, "feature_id", F.explode(_edges_and_dots(flat)).alias("e")).select(*keys, "feature_id", "e.*")
         found = found.unionByName(_flat_spots(numbered(pieces), outer, keys))
-    out = stored(found.join(close, [*keys, "outer", "inner"], "left_semi"))
+    out = spread(found.join(close, [*keys, "outer", "inner"], "left_semi"))
     released(close, outer, solid)
     return out
 
@@ -339,7 +347,7 @@ def holding(hold: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
 def _solid_in(held: DataFrame, hold: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, outer, inner): polygons `hold` that contain polygons `held`, both as segments."""
     pairs = neighbours(held, hold, keys, "sid")
-    cuts = lambda p, q: pairs.select(*keys, F.col(f"{p}_sid").alias("sid"), cut_places(side(p), side(q)).alias("places")).filter(F.size("places") > 0)
+    cuts = lambda p, q: pairs.select(*keys, F.col(f"{p}_sid").alias("sid"), inner_cuts(side(p), side(q)).alias("places")).filter(F.size("places") > 0)
     spots = lambda parts: parts.withColumn("s", F.explode(beside())).select(*keys, F.struct("feature_id", "x1", "y1", "x2", "y2", "s.side").alias("point_id"), F.col("s.x").alias("x"), F.col("s.y").alias("y"))
     of = F.col("point_id.feature_id")
     # the inner sides of the held edges: all must lie in the holder
@@ -358,7 +366,7 @@ def _solid_in(held: DataFrame, hold: DataFrame, keys: list[str]) -> DataFrame:
 
 def _flat_spots(held: DataFrame, hold: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, outer, inner): polygons `hold` that contain lines or points: the middles of all their pieces lie in or on it, one properly inside."""
-    cuts = neighbours(held, hold, keys, "sid").select(*keys, F.col("a_sid").alias("sid"), cut_places(side("a"), side("b")).alias("places")).filter(F.size("places") > 0)
+    cuts = neighbours(held, hold, keys, "sid").select(*keys, F.col("a_sid").alias("sid"), inner_cuts(side("a"), side("b")).alias("places")).filter(F.size("places") > 0)
     dots = held.filter(F.abs(F.col("x2") - F.col("x1")) + F.abs(F.col("y2") - F.col("y1")) <= 2e-9)
     lines = split_edges(held.filter(F.abs(F.col("x2") - F.col("x1")) + F.abs(F.col("y2") - F.col("y1")) > 2e-9), cuts, keys, "sid")
     middle = lambda a, b: (F.col(a) + F.col(b)) / 2

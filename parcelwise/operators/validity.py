@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.functions import geometry
 from parcelwise.operators import overlay
-from parcelwise.session import released, stored
+from parcelwise.session import released, spread
 
 
 def convex(geom: Column) -> Column:
@@ -58,7 +58,7 @@ def faults(features: DataFrame, keys: list[str]) -> DataFrame:
     features = features.filter(~F.coalesce(convex(F.col("geom")), F.lit(False)))
     shape = _shape_faults(features, keys)
     own = [*keys, "of"]
-    edges = stored(overlay.segments(features, keys))
+    edges = spread(overlay.segments(features, keys))
     segs = edges.withColumn("of", F.col("feature_id")).withColumn("sid", F.struct("part", "ring", "seq"))
     pairs = overlay.neighbours(segs, segs, own, "sid").filter("a_sid <> b_sid")
     a, b = overlay.side("a"), overlay.side("b")
@@ -68,10 +68,10 @@ def faults(features: DataFrame, keys: list[str]) -> DataFrame:
     crossed = pairs.filter(overlay.properly_cross(a, b) | (same_ring & inner))
     found = [crossed.select(*keys, F.col("of").alias("feature_id"), F.lit("self_intersection").alias("fault"))]
 
-    cuts = pairs.select(*own, F.col("a_sid").alias("sid"), overlay.cut_places(a, b).alias("places")).filter(F.size("places") > 0)
+    cuts = pairs.select(*own, F.col("a_sid").alias("sid"), overlay.inner_cuts(a, b).alias("places")).filter(F.size("places") > 0)
     pieces = overlay.split_edges(segs, cuts, own, "sid")
     _, ends = overlay.canonical()
-    used = stored(pieces.select(*own, "sid.part", "sid.ring", *(v.alias(k) for k, v in ends.items())).groupBy(*own, *ends).agg(F.count("*").alias("n"), F.min(F.struct("part", "ring")).alias("r")))
+    used = spread(pieces.select(*own, "sid.part", "sid.ring", *(v.alias(k) for k, v in ends.items())).groupBy(*own, *ends).agg(F.count("*").alias("n"), F.min(F.struct("part", "ring")).alias("r")))
     found.append(used.filter("n > 1").select(*keys, F.col("of").alias("feature_id"), F.lit("shared_edge").alias("fault")))
 
     middle = lambda c: (F.col(f"{c}1") + F.col(f"{c}2")) / 2
@@ -92,7 +92,7 @@ def faults(features: DataFrame, keys: list[str]) -> DataFrame:
     every = found[0]
     for rows in found[1:]:
         every = every.union(rows)
-    out = stored(shape.union(every.distinct()))
+    out = spread(shape.union(every.distinct()))
     released(edges, used)
     return out
 
