@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parcelwise.operators import overlay
-from parcelwise.session import stored
+from parcelwise.operators import meeting, overlay
+from parcelwise.session import released, spread
 
 REACH = 3.0
 #: Largest side of a cell in the search for the nearest node.
@@ -53,12 +53,16 @@ def _within(ax: str, ay: str, bx: str, by: str, edge: dict[str, Column], reach:
 
 def frontage_parts(lots: DataFrame, footprint: DataFrame, reach: float = REACH) -> DataFrame:
     """The parts of each lot's outline within `reach` of the road footprint (polygons): project_id, feature_id, from and
-    to (metres along the outline), and the outline's corners for their midpoints."""
+    to (metres along the outline); stored.  Only lots whose boxes come near the footprint's are looked at."""
     keys = ["project_id"]
+    # what lies within reach of the footprint or in it has a box that comes as near
+    near_ = meeting.pairs(meeting.boxes(lots, keys, reach), meeting.boxes(footprint, keys), keys)
+    lots = lots.join(near_.select(*keys, F.col("a_feature_id").alias("feature_id")).distinct().hint("merge"), [*keys, "feature_id"], "left_semi")
     outline = overlay.segments(lots, keys).withColumn("size", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
     order = Window.partitionBy("project_id", "feature_id").orderBy("part", "ring", "seq")
     outline = outline.withColumn("start", F.sum("size").over(order) - F.col("size")).withColumn("sid", F.struct("feature_id", "part", "ring", "seq"))
-    roads = overlay.segments(footprint, keys).withColumn("sid", F.struct("feature_id", "part", "ring", "seq"))
+    outline = spread(outline)
+    roads = spread(overlay.segments(footprint, keys).withColumn("sid", F.struct("feature_id", "part", "ring", "seq")))
     pairs = overlay.neighbours(outline, roads, keys, "sid", reach)
     near = pairs.withColumn("i", _within("a_x1", "a_y1", "a_x2", "a_y2", overlay.side("b"), reach)).filter("i is not null").select(*keys, F.col("a_sid").alias("sid"), "i.s", "i.t")
     # what lies inside the footprint: pieces between the crossings whose middle is inside
@@ -74,7 +78,9 @@ def frontage_parts(lots: DataFrame, footprint: DataFrame, reach: float = REACH)
     run = Window.partitionBy(*keys, "feature_id", "part", "ring").orderBy("from", "to")
     reached = F.max("to").over(run.rowsBetween(Window.unboundedPreceding, -1))
     marked = metres.withColumn("new", F.when(F.col("from") <= reached + 1e-7, 0).otherwise(1)).withColumn("island", F.sum("new").over(run))
-    return marked.groupBy(*keys, "feature_id", "part", "ring", "island").agg(F.min("from").alias("from"), F.max("to").alias("to")).drop("island")
+    out = spread(marked.groupBy(*keys, "feature_id", "part", "ring", "island").agg(F.min("from").alias("from"), F.max("to").alias("to")).drop("island"))
+    released(outline, roads)
+    return out
 
 
 def frontage_length(lots: DataFrame, footprint: DataFrame, reach: float = REACH, parts: DataFrame | None = None) -> DataFrame:
@@ -139,8 +145,8 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, cell: float = NODE_CELL)
         around = [F.lit(k) for k in (-1, 0, 1)]
         here = todo.withColumn("i", F.explode(F.array(*around))).withColumn("j", F.explode(F.array(*around))).withColumn("cx", F.floor(F.col("x") / cell) + F.col("i")).withColumn("cy", F.floor(F.col("y") / cell) + F.col("j"))
         gap = F.hypot(F.col("nx") - F.col("x"), F.col("ny") - F.col("y"))
-        best = here.join(n, ["project_id", "cx", "cy"]).groupBy("project_id", "feature_id").agg(F.min(F.struct(gap.alias("gap"), "nx", "ny")).alias("b"))
-        found = stored(todo.join(best, ["project_id", "feature_id"], "left"))
+        best = here.join(n.hint("merge"), ["project_id", "cx", "cy"]).groupBy("project_id", "feature_id").agg(F.min(F.struct(gap.alias("gap"), "nx", "ny")).alias("b"))
+        found = spread(todo.join(best, ["project_id", "feature_id"], "left"))
         # within one cell's side all nodes have been seen
         sure = F.coalesce(F.col("b.gap") <= cell, F.lit(False)) | (F.col("most") <= cell)
         part = found.filter(sure & F.col("b").isNotNull()).select("project_id", "feature_id", "x", "y", "b.nx", "b.ny", F.col("b.gap").alias("last_mile"))
@@ -160,13 +166,13 @@ def network_distances(edges: DataFrame, origins: DataFrame, targets: DataFrame)
     nodes that changed, until none does, and are cut in the shared folder.
     """
     both = edges.select("project_id", "x1", "y1", "x2", "y2", "length").union(edges.select("project_id", "x2", "y2", "x1", "y1", "length"))
-    steps = stored(both.groupBy("project_id", "x1", "y1", "x2", "y2").agg(F.min("length").alias("length")))
-    state = stored(_best_two(targets.select("project_id", F.col("nx").alias("x"), F.col("ny").alias("y"), F.col("feature_id").alias("target"), F.col("last_mile").alias("distance"))))
+    steps = spread(both.groupBy("project_id", "x1", "y1", "x2", "y2").agg(F.min("length").alias("length")))
+    state = spread(_best_two(targets.select("project_id", F.col("nx").alias("x"), F.col("ny").alias("y"), F.col("feature_id").alias("target"), F.col("last_mile").alias("distance"))))
     front = state
     while True:
         moved = front.join(steps, (front["project_id"] == steps["project_id"]) & (F.col("x") == F.col("x1")) & (F.col("y") == F.col("y1"))).select(front["project_id"], F.col("x2").alias("x"), F.col("y2").alias("y"), "target", (F.col("distance") + F.col("length")).alias("distance"))
-        new = stored(_best_two(state.union(moved)))
-        front = stored(new.join(state.withColumnRenamed("distance", "before"), ["project_id", "x", "y", "target"], "left").filter("before is null or distance < before").drop("before"))
+        new = spread(_best_two(state.union(moved)))
+        front = spread(new.join(state.withColumnRenamed("distance", "before"), ["project_id", "x", "y", "target"], "left").filter("before is null or distance < before").drop("before"))
         state = new
         if not front.limit(1).count():
             break
@@ -194,7 +200,7 @@ def distances(lots: DataFrame, footprint: DataFrame, edges: DataFrame, is_target
 
     `near`: the access_points of the lots, if at hand.
     """
-    near = stored(access_points(lots, footprint, edges)) if near is None else near
+    near = spread(access_points(lots, footprint, edges)) if near is None else near
     pick = lambda condition: near.join(lots.filter(condition).select("project_id", "feature_id"), ["project_id", "feature_id"], "left_semi")
     return network_distances(edges, pick(is_origin), pick(is_target))
 
