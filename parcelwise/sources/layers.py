@@ -60,18 +60,32 @@ def attribute_faults(lines: DataFrame, most_columns: int = 200, most_rows: int |
     return out
 
 
+#: Times the tasks of a shuffle that count or join keys.
+KEY_TASKS = 4
+
+
+def _key_tasks(rows: DataFrame) -> int:
+    return KEY_TASKS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def join_faults(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Both (layer_id, key): every key that keeps a layer from a one-to-one join, with side and fault."""
-    out = None
-    for side, own, other in (("geometry", left, right), ("attribute", right, left)):
-        keys = own.groupBy("layer_id", "key").agg(F.count("*").alias("n"))
-        blank = keys.filter("key is null or trim(key) = ''").select("layer_id", "key", F.lit(side).alias("side"), F.lit("empty_key").alias("fault"))
-        real = keys.filter("trim(key) <> ''")
-        twice = real.filter("n > 1").select("layer_id", "key", F.lit(side).alias("side"), F.lit("duplicate_key").alias("fault"))
-        alone = real.join(other.select("layer_id", "key").distinct(), ["layer_id", "key"], "left_anti").select("layer_id", "key", F.lit(side).alias("side"), F.lit("unmatched_key").alias("fault"))
-        part = blank.union(twice).union(alone)
-        out = part if out is None else out.union(part)
-    return out
+    """Both (layer_id, key): every key that keeps a layer from a one-to-one join, with side and fault.
+
+    Both sides are counted at once by key, in KEY_TASKS times as many tasks as a shuffle has by default, so that
+    a task holds the counts of few keys and nothing else: nearly every key is a row of its own.
+    """
+    one = lambda rows, a, b: rows.select("layer_id", "key", F.lit(a).alias("geometry"), F.lit(b).alias("attribute"))
+    both = one(left, 1, 0).union(one(right, 0, 1)).repartition(_key_tasks(left), "layer_id", "key")
+    counts = both.groupBy("layer_id", "key").agg(F.sum("geometry").alias("geometry"), F.sum("attribute").alias("attribute"))
+    real = F.coalesce(F.trim("key") != "", F.lit(False))
+    found = []
+    for side, other in (("geometry", "attribute"), ("attribute", "geometry")):
+        n = F.col(side)
+        # a null layer meets no other
+        alone = (F.col(other) == 0) | F.col("layer_id").isNull()
+        for fault, wrong in (("empty_key", (n > 0) & ~real), ("duplicate_key", (n > 1) & real), ("unmatched_key", (n > 0) & real & alone)):
+            found.append(F.when(wrong, F.struct(F.lit(side).alias("side"), F.lit(fault).alias("fault"))))
+    return counts.select("layer_id", "key", F.explode(F.array_compact(F.array(*found))).alias("f")).select("layer_id", "key", "f.*")
 
 
 def join_attributes(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -80,7 +94,9 @@ def join_attributes(left: DataFrame, right: DataFrame) -> DataFrame:
     A layer with any fault of `join_faults` gives no row.
     """
     bad = join_faults(left.select("layer_id", "key"), right.select("layer_id", "key")).select("layer_id").distinct()
-    rows = left.join(right.select("layer_id", "key", "attributes"), ["layer_id", "key"]).join(bad, "layer_id", "left_anti")
+    tasks = _key_tasks(left)
+    sides = [x.repartition(tasks, "layer_id", "key") for x in (left, right.select("layer_id", "key", "attributes"))]
+    rows = sides[0].join(sides[1], ["layer_id", "key"]).repartition(tasks, "layer_id").join(bad, "layer_id", "left_anti")
     return rows.withColumn("source", text.merge_maps(F.col("source"), F.col("attributes"))).drop("attributes")
 
 

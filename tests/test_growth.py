@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.functions import geometry
 from parcelwise.operators import meeting, overlay, roads
+from parcelwise.sources import layers
 
 KEYS = ["project_id"]
 
@@ -48,3 +49,23 @@ def test_a_network_is_stored_once(spark):
     edges = roads.network(lines)
     assert edges.count() == 10
     assert "Exchange" not in plan(edges)
+
+
+def test_faulty_keys_are_counted_at_once(spark):
+    sides = [[(1, "a"), (1, "a"), (1, "b"), (1, " "), (1, None), (None, "a")], [(1, "a"), (1, "c"), (1, "c"), (None, "a")]]
+    left, right = (spark.createDataFrame(rows, "layer_id bigint, key string") for rows in sides)
+    faults = layers.join_faults(left, right)
+    assert plan(faults).count("Exchange") == 1 and "Join" not in plan(faults)
+    assert sorted(map(tuple, faults.collect()), key=str) == sorted(
+        [
+            (1, "a", "geometry", "duplicate_key"),
+            (1, "b", "geometry", "unmatched_key"),
+            (1, " ", "geometry", "empty_key"),
+            (1, None, "geometry", "empty_key"),
+            (1, "c", "attribute", "duplicate_key"),
+            (1, "c", "attribute", "unmatched_key"),
+            (None, "a", "geometry", "unmatched_key"),
+            (None, "a", "attribute", "unmatched_key"),
+        ],
+        key=str,
+    )
