@@ -135,13 +135,3 @@ def segment_pairs(rows: DataFrame, other: DataFrame, keys: list[str], id_: str,
         flat = pieces.select(*keys, id_, "feature_id", "x1", "y1", "x2", "y2", *box.values())
         sides.append(leveled(flat, by).withColumn("level", F.greatest("level", F.lit(FLOOR))))
     return pairs(*sides, keys).drop(*(f"{p}_{c}" for p in "ab" for c in BOX))
-
-
-def in_ring(edges: Column, x: Column, y: Column) -> Column:
-    """Whether a point lies inside a feature whose edges are all in one run, by the parity of edges to its right."""
-
-    def hit(e: Column) -> Column:
-        spans = (e["y1"] > y) != (e["y2"] > y)
-        return spans & (x < e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / F.when(spans, e["y2"] - e["y1"]))
-
-    return F.size(F.filter(edges, hit)) % 2 == 1

@@ -7,12 +7,14 @@ cut, so that their cells are those along the line and not those of its box.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parcelwise.functions import geometry
-from parcelwise.operators import meeting
+from parcelwise.operators import meeting, pairwise
 from parcelwise.session import released, spread
 
 CELL = 32.0
@@ -271,41 +273,17 @@ def _near(targets: DataFrame, sources: DataFrame, keys: list[str], reach: float)
 
     Equal geometries are tested once, so that a heap of copies makes one pair.  Two features are
     near if two of their edges are, or if a part of one begins inside the other; a polygon of one run
-    is tested where it meets, larger ones by strips.
+    is tested where it meets (in numpy, see `pairwise`), larger ones by strips.
     """
     shapes = [_shapes(x, keys) for x in (targets, sources)]
     sides = [_distinct_shapes(x, keys) for x in shapes]
-    a, b = (meeting.edge_runs(x, keys, r, ["solid"]) for x, r in zip(sides, (reach, 0.0), strict=True))
+    a, b = (spread(meeting.edge_runs(x, keys, r, ["solid"])) for x, r in zip(sides, (reach, 0.0), strict=True))
     known = [x.select(F.lit(k).alias("side"), "level", (F.col("solid") & ~F.col("whole")).alias("large")).distinct() for k, x in enumerate((a, b))]
     found = known[0].union(known[1]).collect()
     levels = [sorted({r["level"] for r in found if r["side"] == k}) for k in (0, 1)]
-    met = meeting.pairs(a, b, keys, levels)
-
-    def begins(outer: str, inner: str) -> Column:
-        """Whether a part of the inner one begins in the outer one; a run of one part only if its box lies in the outer box."""
-        wanted = F.get(F.col(f"{inner}_edges.part"), F.lit(0)) != F.element_at(f"{inner}_edges.part", -1)
-        bounds = [(F.col(f"{inner}_b{c}0") + 2 * reach >= F.col(f"{outer}_b{c}0")) & (F.col(f"{inner}_b{c}1") - 2 * reach <= F.col(f"{outer}_b{c}1")) for c in "xy"]
-        heads = F.filter(f"{inner}_edges", lambda e: (e["seq"] == 0) & (e["ring"] == 0))
-        test = F.exists(heads, lambda e: meeting.in_ring(F.col(f"{outer}_edges"), e["x1"], e["y1"]))
-        return F.when(F.col(f"{outer}_solid") & F.col(f"{outer}_whole") & (wanted | (bounds[0] & bounds[1])), test).otherwise(False)
-
-    inside = begins("a", "b") | begins("b", "a")
-    one = lambda c: F.when(F.col("inside"), F.slice(c, 1, 1)).otherwise(F.col(c))
-    box = [f"b_{c}" for c in meeting.BOX]
-    rows = met.select(*keys, "a_feature_id", "a_edges", "b_edges", *box, F.explode(F.array(inside)).alias("inside"))
-    rows = rows.select(*keys, "a_feature_id", "inside", *box, F.explode(one("a_edges")).alias("a"), one("b_edges").alias("b_edges"))
-    # only edges near the other run's box go on
-    beside_box = F.lit(True)
-    for c in "xy":
-        beside_box = beside_box & (F.least(f"a.{c}1", f"a.{c}2") <= F.col(f"b_b{c}1") + reach) & (F.greatest(f"a.{c}1", f"a.{c}2") >= F.col(f"b_b{c}0") - reach)
-    rows = rows.filter(F.col("inside") | beside_box)
-    rows = rows.select(*keys, "a_feature_id", "inside", "a", F.explode("b_edges").alias("b"))
-    rows = rows.select(*keys, "a_feature_id", "inside", *(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "ab" for c in ("x1", "y1", "x2", "y2")))
-    close = F.lit(True)
-    for c in "xy":
-        low, high = (lambda p, c=c: F.least(f"{p}_{c}1", f"{p}_{c}2")), (lambda p, c=c: F.greatest(f"{p}_{c}1", f"{p}_{c}2"))
-        close = close & (low("a") <= high("b") + (reach + SNAP)) & (low("b") <= high("a") + (reach + SNAP))
-    hits = rows.filter(F.col("inside") | close).filter(F.col("inside") | (segment_distance2(side("a"), side("b")) <= reach * reach + SNAP * SNAP)).select(*keys, F.col("a_feature_id").alias("shape"))
+    met = meeting.pairs(a, b, keys, levels).select(*keys, "a_feature_id", *(f"{p}_{c}" for p in "ab" for c in ("edges", "solid", "whole", *meeting.BOX)))
+    columns = [*keys, "a_feature_id"]
+    hits = met.mapInArrow(partial(pairwise.near, columns=columns, reach=reach), met.select(*columns).schema).select(*keys, F.col("a_feature_id").alias("shape"))
     for k, mine in ((0, True), (1, False)):
         # polygons of several runs: in which of them does a part of the other side begin?
         if any(r["large"] for r in found if r["side"] == k):

@@ -1,9 +1,11 @@
 """What must not grow with the tables: plans, the driver's share, and rows for sizes that no box has."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from parcelwise.functions import geometry
-from parcelwise.operators import meeting, overlay, roads
+from parcelwise.operators import meeting, overlay, pairwise, roads
 from parcelwise.sources import layers
 
 KEYS = ["project_id"]
@@ -69,3 +71,37 @@ def test_faulty_keys_are_counted_at_once(spark):
         ],
         key=str,
     )
+
+
+def test_pairs_of_edges_are_no_rows(spark):
+    features = boxes(spark)
+    found = overlay.related(features, features, KEYS, "dwithin", 5.0)
+    joined = plan(found)[plan(found).index("MapInArrow") :]
+    assert "Generate" not in joined[: joined.index("SortMergeJoin")]
+    assert found.count() == 8
+
+
+def test_distances_of_pairs_are_those_of_the_columns(spark):
+    draw = np.random.default_rng(1)
+    values = draw.integers(0, 6, (400, 8)).astype(float)
+    values = values[(values[:, 0] != values[:, 2]) & (values[:, 4] != values[:, 6])]
+    names = [f"{p}_{c}" for p in "ab" for c in ("x1", "y1", "x2", "y2")]
+    rows = spark.createDataFrame(values.tolist(), names)
+    there = [r[0] for r in rows.select(overlay.segment_distance2(overlay.side("a"), overlay.side("b"))).collect()]
+    a, b = ({c: values[:, k + j] for j, c in enumerate(("x1", "y1", "x2", "y2"))} for k in (0, 4))
+    assert there == pairwise.distance2(a, b).tolist()
+
+
+def test_products_come_in_chunks(monkeypatch):
+    monkeypatch.setattr(pairwise, "CHUNK", 7)
+    a, b = np.array([0, 0, 2, 2, 2, 5]), np.array([0, 1, 2, 2, 5, 5, 5])
+    found = [(r, i, j) for part in pairwise.product(a, b, 7) for r, i, j in zip(*part, strict=True)]
+    assert found == [(a[i], i, j) for i in range(len(a)) for j in range(len(b)) if a[i] == b[j]]
+
+
+def test_runs_of_a_sliced_batch_keep_their_rows():
+    edge = {"part": 0, "ring": 0, "seq": 0, "x1": 1.0, "y1": 0.0, "x2": None, "y2": 1.0}
+    kind = pa.struct([(c, pa.int32()) for c in ("part", "ring", "seq")] + [(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")])
+    column = pa.array([[edge] * n for n in (3, 1, 2)], pa.list_(kind)).slice(1)
+    runs = pairwise.Edges(column)
+    assert runs.row.tolist() == [0, 1, 1] and np.isnan(runs.fields["x2"]).all()
