@@ -53,8 +53,8 @@ def length(geom: Column) -> Column:
 
 def bounds(geom: Column) -> Column:
     """struct(x0, y0, x1, y1)."""
-    pts = F.flatten(F.transform(geom, lambda r: r["pts"]))
-    xs, ys = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"])
+    pts = F.flatten(geom["pts"])
+    xs, ys = pts["x"], pts["y"]
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 

@@ -16,6 +16,7 @@ from parcelwise.session import spread
 
 #: A face up to GOOD metres scores 1, one of BAD or more scores WORST.
 GOOD, BAD, WORST = 120.0, 250.0, 0.1
+KEYS = ["project_id", "quadra_id"]
 
 
 def compactness(area, length):
@@ -39,9 +40,11 @@ def _lots(features: DataFrame) -> DataFrame:
 def block_stats(features: DataFrame) -> DataFrame:
     """project_id, quadra_id, area, length, n_lots and compactness of the union of each block's lots."""
     lots = _lots(features)
-    counts = lots.groupBy("project_id", "quadra_id").agg(F.count("*").alias("n_lots"))
-    rows = overlay.dissolved(lots, ["project_id", "quadra_id"]).join(counts, ["project_id", "quadra_id"])
-    return rows.withColumn("compactness", compactness(F.col("area"), F.col("length")))
+    return _dissolved(lots, lots.groupBy(*KEYS).agg(F.count("*").alias("n_lots"))).withColumn("compactness", compactness(F.col("area"), F.col("length")))
+
+
+def _dissolved(lots: DataFrame, sums: DataFrame) -> DataFrame:
+    return overlay.dissolved(lots, KEYS).join(sums, KEYS)
 
 
 Points = list[tuple[float, float]]
@@ -141,9 +144,10 @@ def warnings(features: DataFrame) -> DataFrame:
 
 def parceling_efficiency(features: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Resolved lot area over the block's geometric area (of `stats`, the block_stats, if at hand)."""
-    lots = territory.measured(_lots(features)).groupBy("project_id", "quadra_id").agg(F.sum("area").alias("lots"))
-    stats = block_stats(features) if stats is None else stats
-    return stats.join(lots, ["project_id", "quadra_id"]).select("project_id", "quadra_id", (F.col("lots") / F.col("area")).alias("value"))
+    lots = _lots(features)
+    sums = territory.measured(lots).groupBy(*KEYS).agg(F.sum("area").alias("lots"))
+    rows = _dissolved(lots, sums) if stats is None else stats.join(sums, KEYS)
+    return rows.select(*KEYS, (F.col("lots") / F.col("area")).alias("value"))
 
 
 def derive_blocks(features: DataFrame) -> tuple[DataFrame, DataFrame]:

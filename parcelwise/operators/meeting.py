@@ -114,6 +114,24 @@ def edge_runs(rows: DataFrame, keys: list[str], reach: float = 0.0, also: list[s
     return leveled(cut.select("*", F.inline(F.array(around))), reach)
 
 
+def bundles(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with their edges (sid, x1, y1, x2, y2) as bundles: keys, feature_id, edges, box and level.
+
+    A bundle is a run of up to RUN edges, or one long edge, which comes once for each of its pieces in the piece's box.
+    """
+    short, long_ = F.filter("edges", lambda e: ~_long(e)), F.filter("edges", _long)
+    starts = F.when(F.size(short) > 0, F.sequence(F.lit(1), F.size(short), F.lit(RUN))).otherwise(F.array().cast("array<int>"))
+    runs_ = F.transform(starts, lambda k: F.struct(F.slice(short, k, RUN).alias("edges"), F.slice(short, k, RUN).alias("boxed")))
+    whole = lambda e: F.struct(F.lit(0).alias("part"), F.lit(0).alias("ring"), F.lit(0).alias("seq"), *(e[c].alias(c) for c in ("x1", "y1", "x2", "y2")))
+    piece = lambda e: F.transform(_pieces(whole(e)), lambda p: F.struct(F.array(e).alias("edges"), F.array(F.struct(e["sid"].alias("sid"), *(p[c].alias(c) for c in ("x1", "y1", "x2", "y2")))).alias("boxed")))
+    found = F.when(F.exists("edges", _long), F.concat(runs_, F.flatten(F.transform(long_, piece)))).otherwise(runs_)
+    cut = rows.select(*keys, "feature_id", F.inline(found))
+    ends = {c: (F.greatest, F.array_max) if c.endswith("1") else (F.least, F.array_min) for c in BOX}
+    around = F.struct(*(least(most(f"boxed.{c[1]}1"), most(f"boxed.{c[1]}2")).alias(c) for c, (least, most) in ends.items()))
+    flat = leveled(cut.select(*keys, "feature_id", "edges", F.inline(F.array(around))))
+    return flat.withColumn("level", F.greatest("level", F.lit(FLOOR)))
+
+
 def boxes(features: DataFrame, keys: list[str], reach: float = 0.0) -> DataFrame:
     """One leveled box for each feature with points: keys, feature_id, box and level."""
     # inline: a generator is not merged with what follows, so that the box is worked out once

@@ -11,6 +11,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from parcelwise.functions import geometry
@@ -72,10 +73,12 @@ def split_edges(rows: DataFrame, cuts: DataFrame, keys: list[str], id_: str) ->
     """Segments split at `places` (keys, id_, places: array) of `cuts`; ends are snapped to a grid of SNAP."""
     all_cuts = cuts.groupBy(*keys, id_).agg(F.flatten(F.collect_list("places")).alias("places"))
     joined = rows.join(all_cuts.hint("merge"), [*keys, id_], "left")
-    inner = F.filter(F.coalesce("places", F.array().cast("array<double>")), lambda t: (t > EPS) & (t < 1 - EPS))
+    inner = F.filter("places", lambda t: (t > EPS) & (t < 1 - EPS))
     stops = F.sort_array(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), inner)))
     parts = F.transform(F.sequence(F.lit(0), F.size("stops") - 2), lambda i: F.struct(F.get("stops", i).alias("s"), F.get("stops", i + 1).alias("t")))
     at = lambda a, b, t: F.round(F.when(t == 0, F.col(a)).when(t == 1, F.col(b)).otherwise(F.col(a) + (F.col(b) - F.col(a)) * t), 6)
+    # most edges are not cut
+    parts = F.when(F.col("places").isNull(), F.array(F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("t")))).otherwise(parts)
     out = joined.withColumn("stops", stops).withColumn("part_", F.explode(parts))
     s, t = F.col("part_.s"), F.col("part_.t")
     out = out.withColumns({"u1": at("x1", "x2", s), "v1": at("y1", "y2", s), "u2": at("x1", "x2", t), "v2": at("y1", "y2", t)})
@@ -136,14 +139,17 @@ def usable(polygons: DataFrame) -> Column:
     return area & F.col("is_valid") if "is_valid" in polygons.columns else area
 
 
-def _oriented(polygons: DataFrame, keys: list[str]) -> DataFrame:
-    """Segments of valid polygons with their interior on the left: shells run counter-clockwise, holes clockwise."""
-    ring = F.col("r")
-    rings = polygons.select(*keys, "feature_id", F.explode("geom").alias("r"))
-    turned = (geometry.ring_area(ring["pts"]) < 0) == (ring["ring"] == 0)
-    rows = rings.select(*keys, "feature_id", turned.alias("turned"), F.explode(geometry.edges(F.array(ring))).alias("e")).select(*keys, "feature_id", "turned", "e.*")
-    rows = rows.select(*keys, "feature_id", "part", "ring", "seq", *_reversed(F.col("turned")))
-    return rows.filter("x1 <> x2 or y1 <> y2")
+def _outlines(polygons: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, feature_id, edges and box of polygons, their interior on the left: shells run counter-clockwise, holes clockwise.
+
+    An edge is (sid, x1, y1, x2, y2); edges without length are left out.
+    """
+    turned = lambda r: (geometry.ring_area(r["pts"]) < 0) == (r["ring"] == 0)
+    rings = F.transform("geom", lambda r: F.struct(r["part"].alias("part"), r["ring"].alias("ring"), F.when(turned(r), F.reverse(r["pts"])).otherwise(r["pts"]).alias("pts")))
+    flat = polygons.select(*keys, "feature_id", F.inline(F.array(F.struct(geometry.edges(rings).alias("all"), geometry.bounds(F.col("geom")).alias("b")))))
+    real = F.filter("all", lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
+    named = F.transform(real, lambda e: F.struct(F.xxhash64("feature_id", e["part"], e["ring"], e["seq"]).alias("sid"), *(e[c].alias(c) for c in ("x1", "y1", "x2", "y2"))))
+    return flat.select(*keys, "feature_id", named.alias("edges"), *(F.col(f"b.{c[1:]}").alias(c) for c in meeting.BOX))
 
 
 def canonical() -> tuple[Column, dict[str, Column]]:
@@ -156,9 +162,9 @@ def _reversed(turn: Column) -> list[Column]:
     return [F.when(turn, F.col(o)).otherwise(F.col(c)).alias(c) for c, o in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))]
 
 
-def _overlapping(polygons: DataFrame, keys: list[str]) -> DataFrame:
+def _overlapping(outlines: DataFrame, keys: list[str]) -> DataFrame:
     """Groups in which the boxes of two polygons overlap by more than an edge: where none do, interiors are apart."""
-    boxes = meeting.boxes(polygons, keys)
+    boxes = meeting.leveled(outlines.select(*keys, "feature_id", *meeting.BOX))
     met = meeting.pairs(boxes, boxes, keys).filter("a_feature_id < b_feature_id")
     over = F.lit(True)
     for c in "xy":
@@ -200,18 +206,20 @@ def union_edges(polygons: DataFrame, keys: list[str]) -> DataFrame:
     cancel; in others a sub-edge is on the boundary if exactly one of its sides
     is covered.  The edges are stored.
     """
-    good = polygons.filter(usable(polygons))
-    rows = spread(_oriented(good, keys).withColumn("sid", F.xxhash64("feature_id", "part", "ring", "seq")))
-    pairs = neighbours(rows, rows, keys, "sid").filter("a_feature_id <> b_feature_id")
-    cuts = pairs.select(*keys, F.col("a_sid").alias("sid"), inner_cuts(side("a"), side("b")).alias("places")).filter(F.size("places") > 0)
+    outlines = spread(_outlines(polygons.filter(usable(polygons)), keys))
+    rows = outlines.select(*keys, "feature_id", F.inline("edges"))
+    bundles = meeting.bundles(outlines.select(*keys, "feature_id", "edges"), keys)
+    met = meeting.pairs(bundles, bundles, keys).filter("a_feature_id <> b_feature_id").select(*keys, "a_edges", "b_edges")
+    schema = T.StructType([*met.select(*keys).schema.fields, T.StructField("sid", T.LongType()), T.StructField("places", T.ArrayType(T.DoubleType()))])
+    cuts = met.mapInArrow(partial(pairwise.cuts, columns=keys), schema)
     parts = spread(split_edges(rows, cuts, keys, "sid"))
-    over = spread(_overlapping(good, keys))
+    over = spread(_overlapping(outlines, keys))
     if over.limit(1).count():
         apart = _odd_edges(parts.join(over, keys, "left_anti"), keys)
         out = spread(apart.unionByName(_single_edges(parts.join(over, keys, "left_semi"), rows.join(over, keys, "left_semi"), keys)))
     else:
         out = spread(_odd_edges(parts, keys))
-    released(rows, parts, over)
+    released(outlines, parts, over)
     return out
 
 

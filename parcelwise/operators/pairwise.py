@@ -16,6 +16,7 @@ import pyarrow as pa
 #: Pairs of edges looked at together.
 CHUNK = 1 << 18
 SNAP = 1e-6
+EPS = 1e-9
 
 Ends = dict[str, np.ndarray]
 
@@ -125,3 +126,34 @@ def near(batches: Iterator[pa.RecordBatch], columns: list[str], reach: float) ->
                 inside |= _begins(runs[outer], runs[inner], n, ~inside & fits & _flags(batch, f"{outer}_solid") & _flags(batch, f"{outer}_whole"))
             hits = inside | _near(runs["a"], runs["b"], n, ~inside, reach)
         yield batch.select(columns).filter(pa.array(hits))
+
+
+def inner_cuts(a: Ends, b: Ends) -> tuple[np.ndarray, np.ndarray]:
+    """(index, place) where segments b cross segments a or have an end on them, the ends of a left out; see `overlay.cut_places`."""
+    dx, dy, ex, ey = a["x2"] - a["x1"], a["y2"] - a["y1"], b["x2"] - b["x1"], b["y2"] - b["y1"]
+    wx, wy = b["x1"] - a["x1"], b["y1"] - a["y1"]
+    size2 = dx * dx + dy * dy
+    det = cross(dx, dy, ex, ey)
+    apart = np.abs(det) > EPS * np.sqrt(size2 * (ex * ex + ey * ey))
+    t, u = cross(wx, wy, ex, ey) / det, cross(wx, wy, dx, dy) / det
+    found = [(apart & (u >= -EPS) & (u <= 1 + EPS), t)]
+    for x, y in ((b["x1"], b["y1"]), (b["x2"], b["y2"])):
+        off = np.abs(cross(dx, dy, x - a["x1"], y - a["y1"])) / np.sqrt(size2)
+        found.append((off <= SNAP, ((x - a["x1"]) * dx + (y - a["y1"]) * dy) / size2))
+    kept = [np.flatnonzero(good & (place > EPS) & (place < 1 - EPS)) for good, place in found]
+    return np.concatenate(kept), np.concatenate([place[k] for k, (_, place) in zip(kept, found, strict=True)])
+
+
+def cuts(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """`columns`, sid and places: where edges of run a are cut by edges of run b."""
+    for batch in batches:
+        a, b = Edges(batch.column("a_edges")), Edges(batch.column("b_edges"))
+        for row, i, j in product(a.row, b.row, batch.num_rows):
+            close = np.flatnonzero(_boxes_meet(a.ends(i), b.ends(j), 2 * SNAP))
+            row, i, j = row[close], i[close], j[close]
+            with np.errstate(all="ignore"):
+                index, place = inner_cuts(a.ends(i), b.ends(j))
+            if len(index):
+                keys = batch.select(columns).take(pa.array(row[index]))
+                places = pa.ListArray.from_arrays(pa.array(np.arange(len(index) + 1), pa.int32()), pa.array(place))
+                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(a.fields["sid"][i[index]]), places], names=[*columns, "sid", "places"])

@@ -105,3 +105,28 @@ def test_runs_of_a_sliced_batch_keep_their_rows():
     column = pa.array([[edge] * n for n in (3, 1, 2)], pa.list_(kind)).slice(1)
     runs = pairwise.Edges(column)
     assert runs.row.tolist() == [0, 1, 1] and np.isnan(runs.fields["x2"]).all()
+
+
+def test_edges_of_a_union_meet_by_bundles(spark):
+    # a square of 10 m and one of 1,000 m beside it: the short edges are one bundle, a long one comes once for each piece
+    rows = spark.createDataFrame([(0, 1, 0.0, 10.0), (0, 2, 10.0, 1010.0)], "project_id bigint, feature_id bigint, x0 double, x1 double")
+    squares = rows.select(*KEYS, "feature_id", geometry.box(F.col("x0"), F.lit(0), F.col("x1"), F.col("x1") - F.col("x0")).alias("geom"))
+    outlines = overlay._outlines(squares, KEYS)
+    bundles = meeting.bundles(outlines.select(*KEYS, "feature_id", "edges"), KEYS)
+    sizes = sorted((r["feature_id"], r["n"], r["count"]) for r in bundles.groupBy("feature_id", F.size("edges").alias("n")).count().collect())
+    assert sizes == [(1, 4, 1), (2, 1, 64)]
+    whole = overlay.union_measures(overlay.union_edges(squares, KEYS), KEYS).first()
+    assert round(whole["area"], 6) == 1_000_100 and round(whole["length"], 6) == 4020
+
+
+def test_inner_cuts_are_those_of_the_columns(spark):
+    draw = np.random.default_rng(2)
+    values = draw.integers(0, 5, (400, 8)).astype(float)
+    values = values[((values[:, 0] != values[:, 2]) | (values[:, 1] != values[:, 3])) & ((values[:, 4] != values[:, 6]) | (values[:, 5] != values[:, 7]))]
+    names = [f"{p}_{c}" for p in "ab" for c in ("x1", "y1", "x2", "y2")]
+    rows = spark.createDataFrame([(k, *v) for k, v in enumerate(values.tolist())], ["k", *names])
+    there = rows.select("k", F.explode(overlay.inner_cuts(overlay.side("a"), overlay.side("b"))).alias("t")).collect()
+    a, b = ({c: values[:, k + j] for j, c in enumerate(("x1", "y1", "x2", "y2"))} for k in (0, 4))
+    with np.errstate(all="ignore"):
+        index, place = pairwise.inner_cuts(a, b)
+    assert len(there) > 50 and sorted(zip(index.tolist(), place.tolist(), strict=True)) == sorted(map(tuple, there))
