@@ -8,14 +8,22 @@ steps: within a split, and over the sums of the splits, which are few.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from parcelwise.functions import geometry, text
 from parcelwise.session import stored
 from parcelwise.sources.layers import DELIMITERS, attribute_faults, delimiter
 
+#: Splits whose sums are broadcast, at most: about 1 MB.
+SPLITS = 5000
 FEATURE = "type string, id string, geometry struct<type:string, coordinates:string>, properties map<string,string>"
 
 
@@ -44,17 +52,66 @@ def running(rows: DataFrame, **sums: Column) -> DataFrame:
     return out.withColumns({name: F.col(name) + F.col(f"_{name}_before") for name in sums}).drop(*(f"_{name}" for name in sums), *(f"_{name}_before" for name in sums))
 
 
+def _in_split(batches: Iterator[pa.RecordBatch], names: list[str], by: list[str]) -> Iterator[pa.RecordBatch]:
+    """The columns _<name> of a split's rows, which come in their order, as sums over the rows before."""
+    last, carried = None, dict.fromkeys(names, 0)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        places = [batch.column(c).dictionary_encode().indices.to_numpy() for c in by]
+        first = np.append(True, np.any([p[1:] != p[:-1] for p in places], axis=0))
+        start = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+        ends = [[batch.column(c)[k].as_py() for c in by] for k in (0, batch.num_rows - 1)]
+        for name in names:
+            step = batch.column(f"_{name}").to_numpy()
+            before = np.cumsum(step) - step
+            total = before - before[start] + np.where(start == 0, carried[name] if ends[0] == last else 0, 0)
+            carried[name] = int(total[-1] + step[-1])
+            batch = batch.append_column(name, pa.array(total))
+        last = ends[1]
+        yield batch
+
+
+def _local(rows: DataFrame, sums: dict[str, Column], by: list[str]) -> DataFrame:
+    """The sums over the rows before in a split.  Rows must come as a scan gives them: those of a split in one task, in their order, as they also leave here."""
+    rows = rows.withColumns({f"_{name}": F.coalesce(column.cast("bigint"), F.lit(0).cast("bigint")) for name, column in sums.items()})
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(name, T.LongType()) for name in sums)])
+    return rows.mapInArrow(partial(_in_split, names=list(sums), by=by), schema).drop(*(f"_{name}" for name in sums))
+
+
+def _ends(rows: DataFrame, sums: dict[str, Column], by: list[str]) -> DataFrame:
+    """(by, name_before, name_after): the sums before and after each split; stored."""
+    totals = rows.groupBy(*by).agg(*(F.coalesce(F.sum(column.cast("bigint")), F.lit(0).cast("bigint")).alias(name) for name, column in sums.items()))
+    after = [F.sum(name).over(Window.partitionBy("file").orderBy(*by[1:])).alias(f"{name}_after") for name in sums]
+    return stored(totals.select(*by, *sums, *after).select(*by, *(F.col(f"{name}_after") for name in sums), *((F.col(f"{name}_after") - F.col(name)).alias(f"{name}_before") for name in sums)))
+
+
+def _joined(rows: DataFrame, of_splits: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with what is stored of their split, in their order: up to SPLITS splits are broadcast, with more (small) ones rows are dealt anew and sorted."""
+    if of_splits.count() <= SPLITS:
+        return rows.join(F.broadcast(of_splits), by)
+    return rows.join(of_splits.hint("merge"), by).repartition("file", "split").sortWithinPartitions("file", "split", "place")
+
+
+def _lifted(local: DataFrame, ends: DataFrame, names: list[str], by: list[str]) -> DataFrame:
+    """The sums over the rows before in the file."""
+    out = _joined(local, ends.select(*by, *(f"{name}_before" for name in names)), by)
+    return out.withColumns({name: F.col(name) + F.col(f"{name}_before") for name in names}).drop(*(f"{name}_before" for name in names))
+
+
 def _count(string: Column, mark: str) -> Column:
     return F.length(string) - F.length(F.replace(string, F.lit(mark), F.lit("")))
 
 
 def _marked(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """The pieces of GeoJSON files up to each closing brace, with the depth in braces (curly) and brackets (square) before and after."""
+    """The pieces of GeoJSON files up to each closing brace, with the depth in braces (curly) and brackets (square) before them since their split began, and their steps; stored."""
     rows = _pieces(spark, paths, "}").withColumn("bare", F.regexp_replace("piece", r"(?s)\\.", ""))
-    rows = running(rows, quotes=_count(F.col("bare"), '"'), bytes=F.octet_length("piece") + 1)
+    by, sums = ["file", "split"], {"quotes": _count(F.col("bare"), '"'), "bytes": F.octet_length("piece") + 1}
+    ends = _ends(rows, sums, by)
+    rows = _lifted(_local(rows, sums, by), ends, list(sums), by)
     # the last piece of a file may lack its brace, which shows in the file's size; a byte order mark is not part of the piece
-    total = rows.groupBy("file").agg(F.max(F.col("bytes") + F.octet_length("piece") + 1).alias("total")).join(_files(spark, paths), "file")
-    rows = rows.join(total, "file")
+    total = stored(ends.groupBy("file").agg(F.max("bytes_after").alias("total")).join(_files(spark, paths), "file").join(ends.select("file", "split"), "file").select("file", "split", "total", "size"))
+    rows = _joined(rows, total, by)
     last = F.col("bytes") + F.octet_length("piece") + 1 == F.col("total")
     ended = ~(last & (F.col("size") - F.col("total")).isin(-1, 2))
     inside = F.col("quotes") % 2 == 1
@@ -62,14 +119,26 @@ def _marked(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     ends_inside = (F.col("quotes") + _count(F.col("bare"), '"')) % 2 == 1
     rows = rows.withColumns({"outside": outside, "ends_inside": ends_inside, "brace": ended & ~ends_inside})
     rows = rows.withColumns({"curly_step": _count(F.col("outside"), "{") - _count(F.col("outside"), "}") - F.col("brace").cast("int"), "square_step": _count(F.col("outside"), "[") - _count(F.col("outside"), "]")})
-    rows = stored(rows.select("file", "split", "place", "piece", "ends_inside", "brace", "curly_step", "square_step"))
-    return running(rows, curly=F.col("curly_step"), square=F.col("square_step")).withColumns({"curly_after": F.col("curly") + F.col("curly_step"), "square_after": F.col("square") + F.col("square_step")})
+    rows = rows.select("file", "split", "place", "piece", "ends_inside", "brace", "curly_step", "square_step")
+    return stored(_local(rows, {"curly": F.col("curly_step"), "square": F.col("square_step")}, by))
+
+
+def _depths(marked: DataFrame) -> DataFrame:
+    """The stored pieces with the depth in braces (curly) and brackets (square) in their file before and after."""
+    by = ["file", "split"]
+    rows = _lifted(marked, _ends(marked, {"curly": F.col("curly_step"), "square": F.col("square_step")}, by), ["curly", "square"], by)
+    return rows.withColumns({"curly_after": F.col("curly") + F.col("curly_step"), "square_after": F.col("square") + F.col("square_step")})
 
 
 def _feature_texts(marked: DataFrame) -> DataFrame:
     """file, position and body of each object in an array at the top of a file; a group is one object."""
     closes = F.col("brace") & (F.col("curly_after") == 1) & (F.col("square_after") == 1)
-    rows = running(marked.withColumn("closes", closes), position=F.col("closes")).filter("curly_after >= 1 and square_after >= 1")
+    # a stored file may be read by several tasks: their shares of a split, in its order
+    meta = F.col("_metadata")
+    share = F.concat_ws("/", meta["file_name"], F.lpad(meta["file_block_start"].cast("string"), 19, "0"))
+    by, sums = ["file", "split", "share"], {"position": F.col("closes")}
+    rows = _depths(marked.withColumn("share", share)).withColumn("closes", closes).filter("curly_after >= 1 and square_after >= 1")
+    rows = _lifted(_local(rows, sums, by), _ends(rows, sums, by), ["position"], by).drop("share")
     follows = (F.col("square") == 1) & F.col("piece").rlike(r"^\s*,?\s*\{")
     first = F.when(follows, F.regexp_replace("piece", r"^[\s,]+", "")).otherwise(F.regexp_extract("piece", r'(?s)"features"\s*:\s*\[\s*(\{.*)', 1))
     rows = rows.withColumn("piece", F.when(F.col("curly") <= 1, first).otherwise(F.col("piece")))
@@ -84,8 +153,8 @@ def _features(marked: DataFrame) -> DataFrame:
 
 def _file_faults(spark: SparkSession, paths: list[str] | str, marked: DataFrame) -> DataFrame:
     """file, fault of every file: null where it can be read and closes what it opens."""
-    ends = marked.groupBy("file").agg(F.max_by(F.struct("curly_after", "square_after", "ends_inside"), F.struct("split", "place")).alias("e"), F.bool_and(F.is_valid_utf8("piece")).alias("readable"))
-    open_ = (F.col("e.curly_after") != 0) | (F.col("e.square_after") != 0) | F.col("e.ends_inside")
+    ends = marked.groupBy("file").agg(F.sum("curly_step").alias("curly"), F.sum("square_step").alias("square"), F.max_by("ends_inside", F.struct("split", "place")).alias("inside"), F.bool_and(F.is_valid_utf8("piece")).alias("readable"))
+    open_ = (F.col("curly") != 0) | (F.col("square") != 0) | F.col("inside")
     return _files(spark, paths).join(ends, "file", "left").select("file", F.when(~F.col("readable"), "invalid_utf8").when(open_, "unbalanced").alias("fault"))
 
 

@@ -105,3 +105,20 @@ def test_tables_over_splits(spark, tmp_path, split):
     for r in faults.collect():
         seen.setdefault(name(r), set()).add((r["fault"], r["where"]))
     assert seen == {k: f for k, (_, f) in BAD.items()} | {"bytes": {("invalid_utf8", None)}}
+
+
+def test_pieces_are_not_shuffled(spark, tmp_path, split):
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": HARD}))
+    marked = uploads._marked(spark, str(tmp_path))
+    depths = uploads._depths(marked)
+    assert "Exchange" not in depths._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    assert depths.filter("curly_after = 0 and square_after = 0").count() == 1
+
+
+def test_more_splits_than_are_broadcast(spark, tmp_path, split, monkeypatch):
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": HARD}))
+    (tmp_path / "b.geojson").write_text(json.dumps({"features": HARD[:3]}, indent=1))
+    monkeypatch.setattr(uploads, "SPLITS", 0)
+    rows = uploads.read_geojson(spark, str(tmp_path)).collect()
+    found = sorted((r["layer_id"][-9], r["position"], r["external_id"]) for r in rows)
+    assert found == [("a", k, f"f{k}") for k in range(4)] + [("b", k, f"f{k}") for k in range(3)]
