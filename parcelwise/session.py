@@ -42,11 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN.setdefault(context.applicationId, f"file://{tempfile.mkdtemp(prefix='spark-')}")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: the rows as Parquet files in the shared folder, read again."""
+def stored(df: DataFrame, *by: str, **options: str) -> DataFrame:
+    """Cuts the lineage: the rows as Parquet files in the shared folder, by the columns `by` if any, read again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
