@@ -6,7 +6,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from parcelwise.session import spread
 #: A face up to GOOD metres scores 1, one of BAD or more scores WORST.
 GOOD, BAD, WORST = 120.0, 250.0, 0.1
 KEYS = ["project_id", "quadra_id"]
+#: Sets of points of one size that don't pay for going through at once, and products of corners and edges that are held at once.
+FEW, AT_ONCE = 8, 1 << 20
 
 
 def compactness(area, length):
@@ -69,54 +72,134 @@ def hull(points: Points) -> Points:
     return out
 
 
-def smallest_rectangle(points: np.ndarray | Points) -> tuple[float, float, float]:
-    """(long, short, degrees of the long edge from the north, 0 to 90) of the rectangle of least area around the points."""
-    corners = np.array(hull([(float(x), float(y)) for x, y in points]))
-    edges = np.roll(corners, -1, axis=0) - corners
-    size = np.hypot(edges[:, 0], edges[:, 1])
-    units = edges[size > 0] / size[size > 0][:, None]
-    if not len(units):
-        return 0.0, 0.0, 0.0
-    along, over = np.ptp(corners @ units.T, axis=0), np.ptp(corners @ np.stack([-units[:, 1], units[:, 0]]), axis=0)
-    best, least = 0, along[0] * over[0]
-    for k, area in enumerate((along * over).tolist()):
-        if area < least - 1e-9 * max(least, 1):
-            best, least = k, area
-    a, b, u = float(along[best]), float(over[best]), units[best]
-    axis = u if a > b + 1e-9 else np.array([-u[1], u[0]])
-    if abs(a - b) <= 1e-9 * max(a, b):  # a square: the edge nearer to east and west
-        axis = u if abs(u[0]) >= abs(u[1]) else axis
-    turn = math.degrees(math.atan2(axis[0], axis[1])) % 180
-    return max(a, b), min(a, b), min(turn, 180 - turn)
+def _chains(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's points in order, those on the chain that turns left, as indexes, and their number."""
+    rows, kept = np.arange(len(x)), np.zeros(x.shape, np.int64)
+    top = np.zeros(len(x), np.int64)
+    for k in range(x.shape[1]):
+        own = rows[top > 1]
+        while len(own):
+            a, b = kept[own, top[own] - 2], kept[own, top[own] - 1]
+            ax, ay = x[own, a], y[own, a]
+            own = own[~((x[own, b] - ax) * (y[own, k] - ay) - (y[own, b] - ay) * (x[own, k] - ax) > 0)]
+            top[own] -= 1
+            own = own[top[own] > 1]
+        kept[rows, top] = k
+        top += 1
+    return kept, top
 
 
-_HULL = "project_id bigint, quadra_id string, xs array<double>, ys array<double>"
+def hulls(x: np.ndarray, y: np.ndarray, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`hull` of each group's points (at least one): x and y of all corners, group by group, and the groups' numbers of them.
 
+    Groups of equally many points go through at once; a number that few have goes through alone.
+    """
+    order = np.lexsort((y, x, group))
+    x, y, group = x[order], y[order], group[order]
+    new = np.append(True, (np.diff(group) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0))[: len(x)]
+    x, y = x[new], y[new]
+    size = np.bincount(group[new], minlength=groups)
+    begin = np.cumsum(size) - size
+    count, picked, owner = size.copy(), [], []
+    for n in np.unique(size):
+        own = np.flatnonzero(size == n)
+        at = begin[own][:, None] + np.arange(n)
+        if n < 3:
+            picked.append(at.ravel())
+            owner.append(np.repeat(own, n))
+        elif len(own) < FEW:
+            for g, places in zip(own.tolist(), at, strict=True):
+                corners = hull(list(zip(x[places].tolist(), y[places].tolist(), strict=True)))
+                place = {p: k for p, k in zip(zip(x[places].tolist(), y[places].tolist(), strict=True), places.tolist(), strict=True)}
+                picked.append(np.array([place[p] for p in corners]))
+                owner.append(np.full(len(corners), g))
+                count[g] = len(corners)
+        else:
+            sides = []
+            for way in (at, at[:, ::-1]):
+                kept, top = _chains(x[way], y[way])
+                sides.append((np.take_along_axis(way, kept, axis=1), np.arange(n) < top[:, None] - 1))
+            both, real = (np.concatenate(side, axis=1) for side in zip(*sides, strict=True))
+            picked.append(both[real])
+            count[own] = real.sum(axis=1)
+            owner.append(np.repeat(own, count[own]))
+    if not picked:
+        return x, y, count
+    picked, owner = np.concatenate(picked), np.concatenate(owner)
+    picked = picked[np.argsort(owner, kind="stable")]
+    return x[picked], y[picked], count
+
+
+def _smallest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """`smallest_rectangle` of hulls of equally many corners, a row each."""
+    if x.shape[1] < 2:
+        return np.zeros((len(x), 3))
+    ex, ey = np.roll(x, -1, axis=1) - x, np.roll(y, -1, axis=1) - y
+    size = np.hypot(ex, ey)
+    ux, uy = ex / size, ey / size
+    along = np.ptp(x[:, None] * ux[:, :, None] + y[:, None] * uy[:, :, None], axis=2)
+    over = np.ptp(y[:, None] * ux[:, :, None] - x[:, None] * uy[:, :, None], axis=2)
+    area = along * over
+    best, least = np.zeros(len(x), np.int64), area[:, 0].copy()
+    for k in range(1, x.shape[1]):
+        less = area[:, k] < least - 1e-9 * np.maximum(least, 1)
+        best[less], least[less] = k, area[less, k]
+    a, b, ux, uy = (np.take_along_axis(v, best[:, None], axis=1)[:, 0] for v in (along, over, ux, uy))
+    square = np.abs(a - b) <= 1e-9 * np.maximum(a, b)  # a square: the edge nearer to east and west
+    own = (a > b + 1e-9) & ~square | square & ((np.abs(ux) >= np.abs(uy)) | (a > b + 1e-9))
+    turn = np.degrees(np.arctan2(np.where(own, ux, -uy), np.where(own, uy, ux))) % 180
+    return np.stack([np.maximum(a, b), np.minimum(a, b), np.minimum(turn, 180 - turn)], axis=1)
+
+
+def smallest_rectangles(x: np.ndarray, y: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """(long, short, degrees of the long edge from the north, 0 to 90) of the rectangle of least area around each hull."""
+    begin, out = np.cumsum(count) - count, np.zeros((len(count), 3))
+    for n in np.unique(count[count > 0]).tolist():
+        own = np.flatnonzero(count == n)
+        step = max(1, AT_ONCE // (n * n))
+        for some in (own[k : k + step] for k in range(0, len(own), step)):
+            at = begin[some][:, None] + np.arange(n)
+            out[some] = _smallest(x[at], y[at])
+    return out
 
-def _hulls(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The hull of each block's points among a batch."""
-    for frame in frames:
-        rows = []
-        for (project, quadra), x, y in zip(*_by_block(frame), strict=True):
-            corners = hull(list(zip(x.tolist(), y.tolist(), strict=True)))
-            rows.append((project, quadra, [p[0] for p in corners], [p[1] for p in corners]))
-        yield pd.DataFrame(rows, columns=["project_id", "quadra_id", "xs", "ys"])
 
+def smallest_rectangle(points: np.ndarray | Points) -> tuple[float, float, float]:
+    """`smallest_rectangles` of one set of points."""
+    x, y = np.array(points, float).reshape(-1, 2).T
+    return tuple(smallest_rectangles(*hulls(x, y, np.zeros(len(x), np.int64), 1))[0].tolist())
 
-def _by_block(frame: pd.DataFrame) -> tuple[list[tuple[int, str]], list[np.ndarray], list[np.ndarray]]:
-    codes, names = pd.factorize(pd.MultiIndex.from_frame(frame[["project_id", "quadra_id"]]))
-    order = np.argsort(codes, kind="stable")
-    cuts = np.flatnonzero(np.diff(codes[order])) + 1
-    if not len(order):
-        return [], [], []
-    return list(names), *(np.split(frame[c].to_numpy()[order], cuts) for c in ("x", "y"))
 
+_HULL = "project_id bigint, quadra_id string, xs array<double>, ys array<double>"
+_SIDES = "project_id bigint, quadra_id string, long_side double, short_side double, orientation double"
+
+
+def _points(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x and y of all points of a batch, and their row."""
+    size = pc.list_value_length(batch.column("xs")).to_numpy(zero_copy_only=False)
+    return *(pc.list_flatten(batch.column(c)).to_numpy(zero_copy_only=False) for c in ("xs", "ys")), np.repeat(np.arange(batch.num_rows), size)
 
-def _rectangles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        found = [smallest_rectangle(list(zip(x, y, strict=True))) for x, y in zip(frame["xs"], frame["ys"], strict=True)]
-        sides = pd.DataFrame(found, columns=["long_side", "short_side", "orientation"], index=frame.index, dtype=float)
-        yield pd.concat([frame[["project_id", "quadra_id"]], sides], axis=1)
+
+def _hulls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hull of each block's points among a batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        code = np.zeros(batch.num_rows, np.int64)
+        for c in KEYS:
+            found = pc.dictionary_encode(batch.column(c), null_encoding="encode")
+            code = code * len(found.dictionary) + found.indices.to_numpy()
+        _, first, group = np.unique(code, return_index=True, return_inverse=True)
+        x, y, row = _points(batch)
+        x, y, count = hulls(x, y, group[row], len(first))
+        ends = pa.array(np.append(0, np.cumsum(count)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (x, y)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(first)) for c in KEYS), *lists], names=[*KEYS, "xs", "ys"])
+
+
+def _rectangles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = smallest_rectangles(*hulls(*_points(batch), batch.num_rows))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEYS), *(pa.array(v) for v in found.T)], names=[*KEYS, "long_side", "short_side", "orientation"])
 
 
 def block_rectangles(features: DataFrame) -> DataFrame:
@@ -125,10 +208,10 @@ def block_rectangles(features: DataFrame) -> DataFrame:
     A hull of hulls is the hull: each batch sends only its blocks' corners, and
     batches of many blocks are measured at once.
     """
-    corners = overlay.segments(_lots(features), ["project_id", "quadra_id"]).select("project_id", "quadra_id", F.col("x1").alias("x"), F.col("y1").alias("y"))
-    partial_ = corners.mapInPandas(_hulls, _HULL)
-    whole = partial_.groupBy("project_id", "quadra_id").agg(F.flatten(F.collect_list("xs")).alias("xs"), F.flatten(F.collect_list("ys")).alias("ys"))
-    found = whole.mapInPandas(_rectangles, "project_id bigint, quadra_id string, long_side double, short_side double, orientation double")
+    xs, ys = F.flatten(F.transform("geom", lambda r: r["pts"]["x"])), F.flatten(F.transform("geom", lambda r: r["pts"]["y"]))
+    partial_ = _lots(features).select(*KEYS, xs.alias("xs"), ys.alias("ys")).mapInArrow(_hulls, _HULL)
+    whole = partial_.groupBy(*KEYS).agg(F.flatten(F.collect_list("xs")).alias("xs"), F.flatten(F.collect_list("ys")).alias("ys"))
+    found = whole.mapInArrow(_rectangles, _SIDES)
     side = F.col("long_side")
     score = F.when(side <= GOOD, 1.0).when(side >= BAD, WORST).otherwise(1 - (side - GOOD) / (BAD - GOOD) * (1 - WORST))
     return found.withColumn("face_score", score).withColumn("out_of_compliance", side > BAD)

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from parcelwise.functions import geometry
-from parcelwise.operators import meeting, overlay, pairwise, roads
+from parcelwise.operators import blocks, meeting, overlay, pairwise, roads
 from parcelwise.sources import layers
 
 KEYS = ["project_id"]
@@ -130,3 +130,30 @@ def test_inner_cuts_are_those_of_the_columns(spark):
     with np.errstate(all="ignore"):
         index, place = pairwise.inner_cuts(a, b)
     assert len(there) > 50 and sorted(zip(index.tolist(), place.tolist(), strict=True)) == sorted(map(tuple, there))
+
+
+def test_rectangles_of_many_blocks_are_measured_at_once(monkeypatch):
+    draw = np.random.default_rng(2)
+    group = np.repeat(np.arange(300), draw.integers(1, 14, 300))
+    x, y = draw.integers(0, 6, (2, len(group))).astype(float)
+    x[group % 3 == 0] *= 0.1
+    alone = []
+    one = blocks.hull
+    monkeypatch.setattr(blocks, "hull", lambda points: alone.append(1) or one(points))
+    cx, cy, count = blocks.hulls(x, y, group, 300)
+    assert len(alone) < 20  # each block went through Python by itself before
+    sides = blocks.smallest_rectangles(cx, cy, count)
+    for g, corners in enumerate(np.split(np.stack([cx, cy], axis=1), np.cumsum(count)[:-1])):
+        own = np.stack([x, y], axis=1)[group == g]
+        assert [tuple(p) for p in corners.tolist()] == one([tuple(p) for p in own.tolist()])
+        turns = [np.array([[c, s], [-s, c]]) for (dx, dy) in np.roll(corners, -1, axis=0) - corners if (size := np.hypot(dx, dy)) > 0 for c, s in [(dx / size, dy / size)]]
+        least = min((np.prod(np.ptp(own @ t.T, axis=0)) for t in turns), default=0)
+        assert abs(sides[g, 0] * sides[g, 1] - least) < 1e-9 and sides[g, 0] >= sides[g, 1] >= 0
+
+
+def test_lots_go_to_their_hulls_unexploded(spark):
+    lots = boxes(spark, 24).withColumns({"macroarea": F.lit("lote"), "quadra_id": F.floor(F.col("feature_id") / 2).cast("string")})
+    found = blocks.block_rectangles(lots)
+    assert "Generate" not in plan(found)
+    assert {(r["long_side"], r["short_side"], r["orientation"]) for r in found.collect()} == {(20.0, 10.0, 90.0)}
+    assert found.count() == 12
