@@ -235,12 +235,10 @@ def parceling_efficiency(features: DataFrame, stats: DataFrame | None = None) ->
 
 def derive_blocks(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A feature for each block, with its lot count and the polygon of its lots' union, and the lots with their parent."""
-    lots = _lots(features)
     keys = ["project_id", "quadra_id"]
-    counts = lots.groupBy(*keys).agg(F.count("*").alias("quantidade_lotes"))
-    shapes = rings.polygons(overlay.union_edges(lots, keys), keys)
+    shapes = rings.union_polygons(_lots(features), keys).withColumnRenamed("members", "quantidade_lotes")
     kind = F.when(F.element_at("geom", -1)["part"] > 0, "MultiPolygon").otherwise("Polygon")
-    made = spread(counts.join(shapes, keys).withColumns({"block_id": F.concat_ws("/", F.col("project_id").cast("string"), "quadra_id"), "geom_type": kind}))
+    made = spread(shapes.withColumns({"block_id": F.concat_ws("/", F.col("project_id").cast("string"), "quadra_id"), "geom_type": kind}))
     linked = features.join(made.select(*keys, "block_id"), keys, "left")
     own = (F.col("macroarea") == territory.LOT) & F.col("block_id").isNotNull()
     children = linked.withColumn("parent_feature_id", F.when(own, F.col("block_id"))).withColumn("relation_method", F.when(own, "attribute").otherwise("unresolved")).drop("block_id")

@@ -11,7 +11,7 @@ from parcelwise.operators import rings as assembly
 
 def rings(perimeter: DataFrame) -> DataFrame:
     """Shells and holes of each project's dissolved perimeter, edge by edge, with the metres from the ring's start."""
-    return assembly.rings(overlay.union_edges(perimeter, ["project_id"]), ["project_id"])
+    return assembly.union_rings(perimeter, ["project_id"])
 
 
 def max_boundary_gap(perimeter: DataFrame, roads: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ cut, so that their cells are those along the line and not those of its box.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from parcelwise.functions import geometry
-from parcelwise.operators import meeting, pairwise
+from parcelwise.operators import meeting, pairwise, small
 from parcelwise.session import released, spread
 
 CELL = 32.0
@@ -24,6 +24,9 @@ LEVELS, SPREAD = 3, 32
 #: Coordinates closer than this are the same point.
 SNAP = 1e-6
 EPS = 1e-9
+#: Columns of the forms of a union, see `united`.
+ENDS = "x1 double, y1 double, x2 double, y2 double"
+FORMS = {"edges": ENDS, "rings": f"ring bigint, seq bigint, start double, ring_length double, {ENDS}", "polygons": f"members bigint, shape {geometry.GEOMETRY}"}
 
 
 def segments(features: DataFrame, keys: list[str]) -> DataFrame:
@@ -198,15 +201,35 @@ def beside() -> Column:
     return F.array(F.struct(F.lit("left").alias("side"), (mx + nx).alias("x"), (my + ny).alias("y")), F.struct(F.lit("right").alias("side"), (mx - nx).alias("x"), (my - ny).alias("y")))
 
 
+def united(polygons: DataFrame, keys: list[str], form: str) -> tuple[DataFrame, DataFrame | None]:
+    """Unions of each group's polygons as edges, rings or polygons (columns of `small.FORMS`; stored), and the polygons of groups too large for one task, if any.
+
+    Groups of at most `small.LOCAL` points are done in numpy where they are dealt to; rows without a key are left out.
+    """
+    rows = polygons.filter(usable(polygons) & reduce(Column.__and__, (F.col(k).isNotNull() for k in keys)))
+    rows = rows.select(*keys, "feature_id", F.xxhash64("feature_id").alias("polygon"), F.col("geom").cast(geometry.GEOMETRY).alias("geom"))
+    same = [rows.schema[c] for c in ("feature_id", "geom")]
+    schema = T.StructType([*(rows.schema[k] for k in keys), *T.StructType.fromDDL(FORMS[form]).fields, *(T.StructField(f.name, f.dataType) for f in same)])
+    found = spread(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(partial(small.dissolve, keys=keys, form=form), schema))
+    large = found.filter("geom is not null").select(*keys, "feature_id", "geom")
+    return found.filter("geom is null").drop("feature_id", "geom"), large if large.limit(1).count() else None
+
+
 def union_edges(polygons: DataFrame, keys: list[str]) -> DataFrame:
-    """The boundary of the union of each group's polygons: edges with the interior on their left.
+    """The boundary of the union of each group's polygons: edges with the interior on their left; stored."""
+    done, large = united(polygons, keys, "edges")
+    return done if large is None else spread(done.unionByName(joined_edges(large, keys)))
+
+
+def joined_edges(polygons: DataFrame, keys: list[str]) -> DataFrame:
+    """`union_edges` of usable polygons of groups of any size, by joins.
 
     Edges are split where they meet those of other polygons of the group.  In a
     group whose polygons lie in boxes apart from each other, shared sub-edges
     cancel; in others a sub-edge is on the boundary if exactly one of its sides
     is covered.  The edges are stored.
     """
-    outlines = spread(_outlines(polygons.filter(usable(polygons)), keys))
+    outlines = spread(_outlines(polygons, keys))
     rows = outlines.select(*keys, "feature_id", F.inline("edges"))
     bundles = meeting.bundles(outlines.select(*keys, "feature_id", "edges"), keys)
     met = meeting.pairs(bundles, bundles, keys).filter("a_feature_id <> b_feature_id").select(*keys, "a_edges", "b_edges")

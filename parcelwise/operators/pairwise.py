@@ -72,7 +72,7 @@ def distance2(a: Ends, b: Ends) -> np.ndarray:
     return np.where((d1 * d2 < 0) & (d3 * d4 < 0), 0.0, ends)
 
 
-def _boxes_meet(a: Ends, b: Ends, by: float) -> np.ndarray:
+def boxes_meet(a: Ends, b: Ends, by: float) -> np.ndarray:
     met = True
     for c in "xy":
         low, high = (lambda s, c=c: np.fmin(s[f"{c}1"], s[f"{c}2"])), (lambda s, c=c: np.fmax(s[f"{c}1"], s[f"{c}2"]))
@@ -86,7 +86,7 @@ def _near(a: Edges, b: Edges, rows: int, wanted: np.ndarray, reach: float) -> np
     sides = [np.flatnonzero(wanted[x.row]) for x in (a, b)]
     for row, i, j in product(a.row[sides[0]], b.row[sides[1]], rows):
         i, j = sides[0][i], sides[1][j]
-        close = np.flatnonzero(_boxes_meet(a.ends(i), b.ends(j), reach + SNAP))
+        close = np.flatnonzero(boxes_meet(a.ends(i), b.ends(j), reach + SNAP))
         hit = distance2(a.ends(i[close]), b.ends(j[close])) <= reach * reach + SNAP * SNAP
         found[row[close[hit]]] = True
     return found
@@ -149,7 +149,7 @@ def cuts(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.R
     for batch in batches:
         a, b = Edges(batch.column("a_edges")), Edges(batch.column("b_edges"))
         for row, i, j in product(a.row, b.row, batch.num_rows):
-            close = np.flatnonzero(_boxes_meet(a.ends(i), b.ends(j), 2 * SNAP))
+            close = np.flatnonzero(boxes_meet(a.ends(i), b.ends(j), 2 * SNAP))
             row, i, j = row[close], i[close], j[close]
             with np.errstate(all="ignore"):
                 index, place = inner_cuts(a.ends(i), b.ends(j))

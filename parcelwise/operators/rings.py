@@ -104,6 +104,22 @@ def rings(edges: DataFrame, keys: list[str]) -> DataFrame:
     return out
 
 
+def union_rings(features: DataFrame, keys: list[str]) -> DataFrame:
+    """The rings of the union of each group's polygons: columns as in `rings`."""
+    done, large = overlay.united(features, keys, "rings")
+    return done if large is None else spread(done.unionByName(rings(overlay.joined_edges(large, keys), keys)))
+
+
+def union_polygons(features: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, members, geom): the union of each group's usable polygons, and their number."""
+    done, large = overlay.united(features, keys, "polygons")
+    done = done.withColumnRenamed("shape", "geom")
+    if large is None:
+        return done
+    counts = large.groupBy(*keys).agg(F.count("*").alias("members"))
+    return spread(done.unionByName(counts.join(polygons(overlay.joined_edges(large, keys), keys), keys)))
+
+
 def polygons(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, geom): the polygon, of one or several parts, that each group's boundary encloses.
 
