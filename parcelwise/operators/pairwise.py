@@ -128,22 +128,30 @@ def near(batches: Iterator[pa.RecordBatch], columns: list[str], reach: float) ->
         yield batch.select(columns).filter(pa.array(hits))
 
 
-def inner_cuts(a: Ends, b: Ends) -> tuple[np.ndarray, np.ndarray]:
-    """(index, place) where segments b cross segments a or have an end on them, the ends of a left out; see `overlay.cut_places`."""
+def cut_places(a: Ends, b: Ends) -> tuple[np.ndarray, np.ndarray]:
+    """(index, place) where segments b cross segments a or have an end on them; see `overlay.cut_places`."""
     dx, dy, ex, ey = a["x2"] - a["x1"], a["y2"] - a["y1"], b["x2"] - b["x1"], b["y2"] - b["y1"]
     wx, wy = b["x1"] - a["x1"], b["y1"] - a["y1"]
     size2 = dx * dx + dy * dy
     det = cross(dx, dy, ex, ey)
     apart = np.abs(det) > EPS * np.sqrt(size2 * (ex * ex + ey * ey))
     t, u = cross(wx, wy, ex, ey) / det, cross(wx, wy, dx, dy) / det
-    found = [(apart & (u >= -EPS) & (u <= 1 + EPS), t)]
+    found = [(apart & (t >= -EPS) & (t <= 1 + EPS) & (u >= -EPS) & (u <= 1 + EPS), t)]
     for x, y in ((b["x1"], b["y1"]), (b["x2"], b["y2"])):
         off = np.abs(cross(dx, dy, x - a["x1"], y - a["y1"])) / np.sqrt(size2)
-        found.append((off <= SNAP, ((x - a["x1"]) * dx + (y - a["y1"]) * dy) / size2))
-    kept = [np.flatnonzero(good & (place > EPS) & (place < 1 - EPS)) for good, place in found]
+        place = ((x - a["x1"]) * dx + (y - a["y1"]) * dy) / size2
+        found.append(((off <= SNAP) & (place >= 0) & (place <= 1), place))
+    kept = [np.flatnonzero(good) for good, _ in found]
     return np.concatenate(kept), np.concatenate([place[k] for k, (_, place) in zip(kept, found, strict=True)])
 
 
+def inner_cuts(a: Ends, b: Ends) -> tuple[np.ndarray, np.ndarray]:
+    """Those of `cut_places` that split segments a, their ends left out."""
+    index, place = cut_places(a, b)
+    inner = (place > EPS) & (place < 1 - EPS)
+    return index[inner], place[inner]
+
+
 def cuts(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
     """`columns`, sid and places: where edges of run a are cut by edges of run b."""
     for batch in batches:

@@ -7,16 +7,20 @@ the pieces are the edges of a multigraph whose nodes are their rounded ends.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from parcelwise.functions import geometry
-from parcelwise.operators import overlay
+from parcelwise.operators import overlay, small_roads
 from parcelwise.session import released, spread
 
 TOLERANCE = 2.0
-EXISTING, PROPOSED = "existente", "proposta"
+EXISTING, PROPOSED = small_roads.EXISTING, small_roads.PROPOSED
 
 
 def parts(roads: DataFrame) -> DataFrame:
@@ -101,12 +105,57 @@ def unlinked_pairs(lines: DataFrame, unlinks: DataFrame, tolerance: float) -> tu
     return good.select("project_id", F.get("lines", F.lit(0)).alias("one"), F.get("lines", F.lit(1)).alias("two"), "x", "y"), bad
 
 
+def _settled(roads: DataFrame, unlinks: DataFrame | None, tolerance: float, form: str) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """The edges or warnings of projects that one task goes through (stored), and roads and unlinks of larger ones, if there are any.
+
+    Small are projects of at most `small.LOCAL` points, see `small_roads`; rows without a project are left out.
+    """
+    of = {c: roads.schema[c].dataType for c in ("project_id", "feature_id")}
+    unlink_id = of["feature_id"] if unlinks is None else unlinks.schema["feature_id"].dataType
+    types = {"feature_id": of["feature_id"], "name": "bigint", "road_status": "string", "lines": "array<bigint>", "geom": geometry.GEOMETRY, "unlink_id": unlink_id, "x": "double", "y": "double", "spot": "boolean"}
+    name, number = F.xxhash64("feature_id"), F.transform("geom", lambda r: F.xxhash64("feature_id", r["part"]))
+    row = lambda rows, **has: rows.filter("project_id is not null").select(F.col("project_id").cast(of["project_id"]), *(has.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()))
+    rows = row(roads, feature_id=F.col("feature_id"), name=name, road_status=F.col("road_status"), lines=number, geom=F.col("geom"), spot=F.lit(False))
+    if unlinks is not None:
+        rows = rows.union(row(unlinks, name=name, unlink_id=F.col("feature_id"), x=F.col("x"), y=F.col("y"), spot=F.lit(True)))
+    field = lambda c, t: T.StructField(c, t if isinstance(t, T.DataType) else T.StructType.fromDDL(f"c {t}")["c"].dataType)
+    made = [field("made_id", of["feature_id"]), field("made_status", "string"), *(field(c, "double") for c in ("x1", "y1", "x2", "y2", "length"))]
+    if form == "warnings":
+        made = [field("code", "string"), field("feature_ids", T.ArrayType(of["feature_id"])), field("unlink", unlink_id)]
+    raw = [field(c, t) for c, t in types.items()]
+    arrow = [list(to_arrow_schema(T.StructType(x))) for x in (raw, made)]
+    schema = T.StructType([field("project_id", of["project_id"]), *made, *raw, field("large", "boolean")])
+    use = partial(small_roads.networks, form=form, tolerance=tolerance, raw=arrow[0], made=arrow[1])
+    found = spread(rows.repartition("project_id").sortWithinPartitions("project_id").mapInArrow(use, schema))
+    done, large = found.filter("not large").select("project_id", *(f.name for f in made)), found.filter("large")
+    if not large.limit(1).count():
+        return done, None, None
+    points = large.filter("spot").select("project_id", F.col("unlink_id").alias("feature_id"), "x", "y")
+    return done, large.filter("not spot").select("project_id", "feature_id", "road_status", "geom"), None if unlinks is None else points
+
+
 def network(roads: DataFrame, unlinks: DataFrame | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """The edges of the noded graph: project_id, feature_id, road_status, x1, y1, x2, y2 and length, of whole pieces between nodes.
 
-    A piece that bends is one edge: `nodes` counts ends of pieces alone.  The edges are stored, as are the steps on the way.
+    A piece that bends is one edge: `nodes` counts ends of pieces alone.  The edges are stored.
     """
-    lines = spread(snap_ends(spread(cluster_ends(spread(parts(roads)), tolerance)), tolerance))
+    done, large, points = _settled(roads, unlinks, tolerance, "edges")
+    done = done.withColumnsRenamed({"made_id": "feature_id", "made_status": "road_status"})
+    return done if large is None else spread(done.unionByName(joined_network(large, points, tolerance)))
+
+
+def _noded(roads: DataFrame, tolerance: float) -> DataFrame:
+    """Lines whose ends have moved onto each other; stored."""
+    steps = [spread(parts(roads))]
+    for move in (cluster_ends, snap_ends):
+        steps.append(spread(move(steps[-1], tolerance)))
+    released(*steps[:-1])
+    return steps[-1]
+
+
+def joined_network(roads: DataFrame, unlinks: DataFrame | None = None, tolerance: float = TOLERANCE, noded: DataFrame | None = None) -> DataFrame:
+    """`network` of projects of any size, by joins (of `noded` lines, if at hand); the edges are stored, as are the steps on the way."""
+    lines = _noded(roads, tolerance) if noded is None else noded
     rows = lines.withColumn("sid", F.struct("line", "seq"))
     segs = rows.select("project_id", F.col("line").alias("feature_id"), "sid", "x1", "y1", "x2", "y2")
     pairs = overlay.neighbours(segs, segs, ["project_id"], "sid").filter("a_feature_id <> b_feature_id")
@@ -129,7 +178,7 @@ def network(roads: DataFrame, unlinks: DataFrame | None = None, tolerance: float
     size = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     whole = marked.groupBy("project_id", "feature_id", "road_status", "line", "piece").agg(F.min(F.struct("place", "x1", "y1")).alias("s"), F.max(F.struct("place", "x2", "y2")).alias("t"), F.sum(size).alias("length"))
     out = spread(whole.select("project_id", "feature_id", "road_status", F.col("s.x1").alias("x1"), F.col("s.y1").alias("y1"), F.col("t.x2").alias("x2"), F.col("t.y2").alias("y2"), "length"))
-    released(lines, places, pieces)
+    released(places, pieces, *([lines] if noded is None else []))
     return out
 
 
@@ -197,8 +246,24 @@ def network_warnings(roads: DataFrame, unlinks: DataFrame | None = None, toleran
     all features of a network in several parts; proposed_roads_not_connected_to_existing: the
     proposed features of a part without an existing road.
     """
-    lines = spread(snap_ends(spread(cluster_ends(spread(parts(roads)), tolerance)), tolerance))
-    edges = network(roads, unlinks, tolerance)
+    done, large, points = _settled(roads, unlinks, tolerance, "warnings")
+    of_unlink = F.col("code") == "invalid_road_unlink"
+    found = warnings(roads).select("project_id", "code", F.array("feature_id").alias("feature_ids"))
+    found = found.unionByName(done.filter(~of_unlink).select("project_id", "code", F.sort_array("feature_ids").alias("feature_ids")))
+    if unlinks is not None:
+        found = found.unionByName(done.filter(of_unlink).select("project_id", "code", F.array("unlink").alias("feature_ids")))
+    if large is not None:
+        found = found.unionByName(joined_warnings(large, points, tolerance))
+    severity = F.lit("warning")
+    for code, level in SEVERITY.items():
+        severity = F.when(F.col("code") == code, level).otherwise(severity)
+    return spread(found.select("project_id", "code", severity.alias("severity"), "feature_ids"))
+
+
+def joined_warnings(roads: DataFrame, unlinks: DataFrame | None, tolerance: float = TOLERANCE) -> DataFrame:
+    """(project_id, code, feature_ids): the warnings of networks that no single road causes, by joins; stored."""
+    lines = _noded(roads, tolerance)
+    edges = joined_network(roads, unlinks, tolerance, lines)
     node = lambda x, y: F.xxhash64(x, y)
     labels = components(edges.select("project_id", node("x1", "y1").alias("a"), node("x2", "y2").alias("b")), ["project_id"])
     parts_ = edges.withColumn("id", node("x1", "y1")).join(labels, ["project_id", "id"])
@@ -208,14 +273,10 @@ def network_warnings(roads: DataFrame, unlinks: DataFrame | None = None, toleran
     existing = F.max((F.coalesce("road_status", F.lit("")) == EXISTING).cast("int")).alias("existing")
     new = parts_.groupBy("project_id", "label").agg(proposed, existing).filter("existing = 0 and size(feature_ids) > 0")
     said = lambda rows, code: rows.select("project_id", F.lit(code).alias("code"), "feature_ids")
-    found = warnings(roads).select("project_id", "code", F.array("feature_id").alias("feature_ids"))
-    found = found.unionByName(said(overlaps(lines), "overlapping_road_centerlines")).unionByName(said(apart, "disconnected_road_network")).unionByName(said(new, "proposed_roads_not_connected_to_existing"))
+    found = said(overlaps(lines), "overlapping_road_centerlines").unionByName(said(apart, "disconnected_road_network")).unionByName(said(new, "proposed_roads_not_connected_to_existing"))
     if unlinks is not None:
         _, bad = unlinked_pairs(lines, unlinks, tolerance)
         found = found.unionByName(said(bad.select("project_id", F.array("feature_id").alias("feature_ids")), "invalid_road_unlink"))
-    severity = F.lit("warning")
-    for code, level in SEVERITY.items():
-        severity = F.when(F.col("code") == code, level).otherwise(severity)
-    out = spread(found.select("project_id", "code", severity.alias("severity"), "feature_ids"))
+    out = spread(found)
     released(lines, edges)
     return out

@@ -31,7 +31,7 @@ def _new(rows: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     return new
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], weight: Callable[[pa.RecordBatch], np.ndarray], limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray | None]]:
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], weight: Callable[[pa.RecordBatch, np.ndarray], np.ndarray], limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray | None]]:
     """Rows sorted by `keys`: (rows of whole groups, the number of each row's group), and (rows, None) of groups that weigh more than `limit`."""
     # the group that may go on; of a large one, whose rows are given out already, its last row
     held, given = None, False
@@ -39,7 +39,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], weight: Cal
     def parted(rows: pa.RecordBatch, last: bool):
         new = _new(rows, keys)
         begin, group = np.flatnonzero(new), np.cumsum(new) - 1
-        large = np.bincount(group, weights=weight(rows)) > limit
+        large = np.bincount(group, weights=weight(rows, group)) > limit
         large[0] |= given
         done = len(begin) if last else len(begin) - 1
         out = []
@@ -71,17 +71,17 @@ def partners(begin: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray,
         first = last
 
 
-def _ranges(owner: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
+def ranges(owner: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
     """Begin and number of each owner's items, which lie in order."""
     count = np.bincount(owner, minlength=owners)
     return np.cumsum(count) - count, count
 
 
-def _joined(parts: list[np.ndarray], kind: type = np.int64) -> np.ndarray:
+def joined(parts: list[np.ndarray], kind: type = np.int64) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def _rounded(v: np.ndarray) -> np.ndarray:
+def rounded(v: np.ndarray) -> np.ndarray:
     return np.round(v, 6) + 0.0
 
 
@@ -92,36 +92,54 @@ def points(geom: pa.ListArray) -> np.ndarray:
     return np.diff(pts[at - at[0]])
 
 
-def outlines(geom: pa.ListArray) -> tuple[np.ndarray, Ends, np.ndarray]:
-    """Row and ends of every edge, interior on the left, in order of rows; and the rows' boxes (x0, y0, x1, y1)."""
+def _corners(geom: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each ring's row, whether it is a shell or line, and the place of its first point; each point's ring, x and y."""
     at = geom.offsets.to_numpy().astype(np.int64)
     rings = geom.values.slice(at[0], at[-1] - at[0])
-    row, shell = np.repeat(np.arange(len(geom)), np.diff(at)), rings.field("ring").to_numpy(zero_copy_only=False) == 0
     pts = rings.field("pts")
     of = pts.offsets.to_numpy().astype(np.int64)
     x, y = (pts.values.slice(of[0], of[-1] - of[0]).field(c).to_numpy(zero_copy_only=False) for c in "xy")
-    size, begin = np.diff(of), of[:-1] - of[0]
-    ring = np.repeat(np.arange(len(size)), size)
+    ring = np.repeat(np.arange(len(of) - 1), np.diff(of))
+    return np.repeat(np.arange(len(geom)), np.diff(at)), rings.field("ring").to_numpy(zero_copy_only=False) == 0, of[:-1] - of[0], ring, x, y
+
+
+def _real(e: Ends) -> np.ndarray:
+    """Edges that have a length."""
+    return ((e["x1"] != e["x2"]) | (e["y1"] != e["y2"])) & ~np.isnan(sum(e.values()))
+
+
+def lines(geom: pa.ListArray) -> tuple[np.ndarray, np.ndarray, Ends]:
+    """The row of each line (a ring), and the line and ends of every edge as they run."""
+    row, _, _, ring, x, y = _corners(geom)
+    i = np.flatnonzero(ring[:-1] == ring[1:])
+    ends = {"x1": x[i], "y1": y[i], "x2": x[i + 1], "y2": y[i + 1]}
+    real = _real(ends)
+    return row, ring[i][real], take(ends, real)
+
+
+def outlines(geom: pa.ListArray) -> tuple[np.ndarray, Ends, np.ndarray]:
+    """Row and ends of every edge, interior on the left, in order of rows; and the rows' boxes (x0, y0, x1, y1)."""
+    row, shell, begin, ring, x, y = _corners(geom)
     i = np.flatnonzero(ring[:-1] == ring[1:])
     # from the ring's first corner, for precision
     dx, dy = x - x[begin[ring]], y - y[begin[ring]]
-    area = np.bincount(ring[i], weights=dx[i] * dy[i + 1] - dx[i + 1] * dy[i], minlength=len(size))
-    area[size < 4] = 0
+    area = np.bincount(ring[i], weights=dx[i] * dy[i + 1] - dx[i + 1] * dy[i], minlength=len(row))
+    area[np.bincount(ring, minlength=len(row)) < 4] = 0
     flip = ((area < 0) == shell)[ring[i]]
     a, b = np.where(flip, i + 1, i), np.where(flip, i, i + 1)
     ends = {"x1": x[a], "y1": y[a], "x2": x[b], "y2": y[b]}
-    real = ((ends["x1"] != ends["x2"]) | (ends["y1"] != ends["y2"])) & ~np.isnan(sum(ends.values()))
+    real = _real(ends)
     box = np.tile(np.array([np.inf, np.inf, -np.inf, -np.inf]), (len(geom), 1))
     for k, (v, use) in enumerate(((x, np.fmin), (y, np.fmin), (x, np.fmax), (y, np.fmax))):
         use.at(box[:, k], row[ring], v)
-    return row[ring[i]][real], {c: v[real] for c, v in ends.items()}, box
+    return row[ring[i]][real], take(ends, real), box
 
 
-def _take(e: Ends, at: np.ndarray) -> Ends:
+def take(e: Ends, at: np.ndarray) -> Ends:
     return {c: v[at] for c, v in e.items()}
 
 
-def _split(e: Ends, edge: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, Ends]:
+def split(e: Ends, edge: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, Ends]:
     """The edges cut at their places: the edge that each piece is of, and its ends, snapped; see `overlay.split_edges`."""
     cut = np.unique(edge)
     edge, place = np.concatenate([edge, cut, cut]), np.concatenate([place, np.zeros(len(cut)), np.ones(len(cut))])
@@ -132,9 +150,9 @@ def _split(e: Ends, edge: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, En
     pieces = {"x1": at("x1", "x2", i), "y1": at("y1", "y2", i), "x2": at("x1", "x2", i + 1), "y2": at("y1", "y2", i + 1)}
     rest = np.setdiff1d(np.arange(len(e["x1"])), cut, assume_unique=True)
     of = np.concatenate([rest, edge[i]])
-    out = {c: _rounded(np.concatenate([e[c][rest], pieces[c]])) for c in ENDS}
+    out = {c: rounded(np.concatenate([e[c][rest], pieces[c]])) for c in ENDS}
     real = (out["x1"] != out["x2"]) | (out["y1"] != out["y2"])
-    return of[real], _take(out, real)
+    return of[real], take(out, real)
 
 
 def beside(e: Ends) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -155,7 +173,7 @@ def around(x: np.ndarray, y: np.ndarray, begin: np.ndarray, count: np.ndarray, e
         right = x[k] < e["x1"][j] + (y[k] - e["y1"][j]) * (e["x2"][j] - e["x1"][j]) / (e["y2"][j] - e["y1"][j])
         pair, n = np.unique(k[right] * base + polygon[j[right]], return_counts=True)
         found.append(pair[n % 2 == 1])
-    every = _joined(found)
+    every = joined(found)
     return every // base, every % base
 
 
@@ -163,8 +181,8 @@ def union(geom: pa.ListArray, polygon: np.ndarray, group: np.ndarray) -> tuple[n
     """Group and ends of the boundary edges of each group's union, interior on the left; see `overlay.union_edges`."""
     groups = int(group[-1]) + 1
     row, e, box = outlines(geom)
-    first, size = _ranges(group, groups)
-    begin, count = _ranges(row, len(group))
+    first, size = ranges(group, groups)
+    begin, count = ranges(row, len(group))
     over, some, other = np.zeros(groups, bool), [], []
     for i, j in partners(first[group], size[group]):
         gap = np.minimum(np.minimum(box[i, 2], box[j, 2]) - np.maximum(box[i, 0], box[j, 0]), np.minimum(box[i, 3], box[j, 3]) - np.maximum(box[i, 1], box[j, 1]))
@@ -173,7 +191,7 @@ def union(geom: pa.ListArray, polygon: np.ndarray, group: np.ndarray) -> tuple[n
         met = apart & (gap >= -2 * SNAP)
         some.append(i[met])
         other.append(j[met])
-    some, other = _joined(some), _joined(other)
+    some, other = joined(some), joined(other)
     # edges of one polygon that meet the other's box, then pairs of edges
     edge, of = [], []
     for k, a in partners(begin[some], count[some]):
@@ -181,33 +199,33 @@ def union(geom: pa.ListArray, polygon: np.ndarray, group: np.ndarray) -> tuple[n
         near = np.flatnonzero((np.minimum(e["x1"][a], e["x2"][a]) <= b[:, 2] + 2 * SNAP) & (np.maximum(e["x1"][a], e["x2"][a]) >= b[:, 0] - 2 * SNAP) & (np.minimum(e["y1"][a], e["y2"][a]) <= b[:, 3] + 2 * SNAP) & (np.maximum(e["y1"][a], e["y2"][a]) >= b[:, 1] - 2 * SNAP))
         edge.append(a[near])
         of.append(other[k[near]])
-    edge, of = _joined(edge), _joined(of)
+    edge, of = joined(edge), joined(of)
     cut, place = [], []
     for k, b in partners(begin[of], count[of]):
         a = edge[k]
-        close = np.flatnonzero(boxes_meet(_take(e, a), _take(e, b), 2 * SNAP))
+        close = np.flatnonzero(boxes_meet(take(e, a), take(e, b), 2 * SNAP))
         a, b = a[close], b[close]
-        index, at = inner_cuts(_take(e, a), _take(e, b))
+        index, at = inner_cuts(take(e, a), take(e, b))
         cut.append(a[index])
         place.append(at)
-    source, parts = _split(e, _joined(cut), _joined(place, np.float64))
+    source, parts = split(e, joined(cut), joined(place, np.float64))
     own = group[row[source]]
     flip = (parts["x1"] > parts["x2"]) | ((parts["x1"] == parts["x2"]) & (parts["y1"] > parts["y2"]))
     ends = {c: np.where(flip, parts[o], parts[c]) for c, o in zip(ENDS, ("x2", "y2", "x1", "y1"), strict=True)}
     order = np.lexsort((ends["y2"], ends["x2"], ends["y1"], ends["x1"], own))
-    ends, own = _take(ends, order), own[order]
+    ends, own = take(ends, order), own[order]
     new = np.append(True, np.logical_or.reduce([np.diff(v) != 0 for v in (own, *ends.values())]))[: len(own)]
     start = np.flatnonzero(new)
     net = np.add.reduceat(np.where(flip[order], -1, 1), start) if len(start) else start
-    ends, own = _take(ends, start), own[start]
+    ends, own = take(ends, start), own[start]
     kept, back = net != 0, net < 0
     mixed = np.flatnonzero(over[own])
     if len(mixed):
         edges_of = group[row]
-        at, n = _ranges(edges_of, groups)
+        at, n = ranges(edges_of, groups)
         _, code = np.unique(polygon, return_inverse=True)
         inside = np.zeros((2, len(mixed)), bool)
-        for k, (x, y) in enumerate(beside(_take(ends, mixed))):
+        for k, (x, y) in enumerate(beside(take(ends, mixed))):
             inside[k][around(x, y, at[own[mixed]], n[own[mixed]], e, code[row])[0]] = True
         kept[mixed], back[mixed] = inside[0] ^ inside[1], inside[1]
     return own[kept], {c: np.where(back, ends[o], ends[c])[kept] for c, o in zip(ENDS, ("x2", "y2", "x1", "y1"), strict=True)}
@@ -255,12 +273,12 @@ def _closed(after: np.ndarray) -> np.ndarray:
 
 def rings(group: np.ndarray, e: Ends) -> tuple[np.ndarray, Ends, dict[str, np.ndarray]]:
     """Group, ends and ring (its least edge), seq, start, ring_length of the edges on closed rings; see `rings.rings`."""
-    e = {c: _rounded(v) for c, v in e.items()}
+    e = {c: rounded(v) for c, v in e.items()}
     order = np.lexsort((e["y2"], e["x2"], e["y1"], e["x1"], group))
-    group, e = group[order], _take(e, order)
+    group, e = group[order], take(e, order)
     new = np.append(True, np.logical_or.reduce([np.diff(v) != 0 for v in (group, *e.values())]))[: len(group)]
     real = new & ((e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
-    group, e = group[real], _take(e, real)
+    group, e = group[real], take(e, real)
     after = _after(group, e, True)
     ring = _closed(after)
     on = np.flatnonzero(ring >= 0)
@@ -270,7 +288,7 @@ def rings(group: np.ndarray, e: Ends) -> tuple[np.ndarray, Ends, dict[str, np.nd
     twice = order[np.bincount(spot)[spot] > 1]
     if len(twice):
         other = np.full(len(after), -1)
-        own = _after(ring[on], _take(e, on), False)
+        own = _after(ring[on], take(e, on), False)
         other[on] = np.where(own >= 0, on[own], -1)
         twice = twice[other[twice] >= 0]
         after[twice] = other[twice]
@@ -285,14 +303,14 @@ def rings(group: np.ndarray, e: Ends) -> tuple[np.ndarray, Ends, dict[str, np.nd
         n2, rest2, there = n[to[k]], rest[to[k]], to[to[k]]
         n[k], rest[k], to[k] = n[k] + n2, rest[k] + rest2, there
     lead = ring[on]
-    return group[on], _take(e, on), {"ring": lead, "seq": n[lead] - n[on], "start": np.maximum(0.0, rest[lead] - rest[on]), "ring_length": rest[lead]}
+    return group[on], take(e, on), {"ring": lead, "seq": n[lead] - n[on], "start": np.maximum(0.0, rest[lead] - rest[on]), "ring_length": rest[lead]}
 
 
 def polygons(group: np.ndarray, e: Ends) -> tuple[np.ndarray, pa.ListArray]:
     """Groups and the polygons that their boundaries enclose; see `rings.polygons`."""
     group, e, at = rings(group, e)
     order = np.lexsort((at["seq"], at["ring"]))
-    group, e, ring = group[order], _take(e, order), at["ring"][order]
+    group, e, ring = group[order], take(e, order), at["ring"][order]
     _, begin, of, size = np.unique(ring, return_index=True, return_inverse=True, return_counts=True)
     x0, y0 = e["x1"][begin][of], e["y1"][begin][of]
     area = np.bincount(of, weights=(e["x1"] - x0) * (e["y2"] - y0) - (e["y1"] - y0) * (e["x2"] - x0), minlength=len(begin)) / 2
@@ -301,10 +319,10 @@ def polygons(group: np.ndarray, e: Ends) -> tuple[np.ndarray, pa.ListArray]:
     if len(holes):
         # edges of shells lie by group, as rings do
         outer = np.flatnonzero(area[of] > 0)
-        first, count = _ranges(group[outer], int(group[-1]) + 1)
-        x, y = beside(_take(e, begin[holes]))[0]
+        first, count = ranges(group[outer], int(group[-1]) + 1)
+        x, y = beside(take(e, begin[holes]))[0]
         own = group[begin[holes]]
-        k, shell = around(x, y, first[own], count[own], _take(e, outer), of[outer])
+        k, shell = around(x, y, first[own], count[own], take(e, outer), of[outer])
         order = np.lexsort((area[shell], k))
         k, shell = k[order], shell[order]
         k, nearest = np.unique(k, return_index=True)
@@ -334,7 +352,7 @@ def dissolve(batches: Iterator[pa.RecordBatch], keys: list[str], form: str) -> I
 
     Rows of groups over LOCAL points come out as they were, in feature_id and geom, which are null elsewhere.
     """
-    for rows, group in whole_groups(batches, keys, lambda r: points(r.column("geom")), LOCAL):
+    for rows, group in whole_groups(batches, keys, lambda r, _: points(r.column("geom")), LOCAL):
         n, empty = rows.num_rows, {c: rows.column(c).type for c in ("feature_id", "geom")}
         if group is None:
             made = {c: pa.nulls(n, kind) for c, kind in FORMS[form].items()}

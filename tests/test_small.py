@@ -87,7 +87,7 @@ def test_whole_groups(size):
     rows = pa.RecordBatch.from_pydict({"k": pa.array(keys, pa.int64()), "v": list(range(len(keys)))})
     batches = [rows.slice(k, size) for k in range(0, len(keys), size)]
     done, large = [], []
-    for some, group in small.whole_groups(iter(batches), ["k"], lambda r: np.ones(r.num_rows), 3):
+    for some, group in small.whole_groups(iter(batches), ["k"], lambda r, _: np.ones(r.num_rows), 3):
         assert group is None or (group[0] == 0 and len(set(zip(group.tolist(), some["k"].to_pylist(), strict=True))) == group[-1] + 1)
         (large if group is None else done).extend(zip(some["k"].to_pylist(), some["v"].to_pylist(), strict=True))
     every = list(zip(keys, range(len(keys)), strict=True))
