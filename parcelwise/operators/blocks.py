@@ -36,8 +36,12 @@ def skipped(features: DataFrame) -> DataFrame:
     return features.filter(~overlay.usable(features)).select("project_id", "feature_id", F.lit("perimeter_feature_skipped").alias("code"))
 
 
+def _in_blocks(features: DataFrame) -> DataFrame:
+    return features.filter((F.col("macroarea") == territory.LOT) & F.col("quadra_id").isNotNull())
+
+
 def _lots(features: DataFrame) -> DataFrame:
-    return features.filter((F.col("macroarea") == territory.LOT) & F.col("quadra_id").isNotNull() & overlay.usable(features))
+    return _in_blocks(features).filter(overlay.usable(features))
 
 
 def block_stats(features: DataFrame) -> DataFrame:
@@ -236,7 +240,7 @@ def parceling_efficiency(features: DataFrame, stats: DataFrame | None = None) ->
 def derive_blocks(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A feature for each block, with its lot count and the polygon of its lots' union, and the lots with their parent."""
     keys = ["project_id", "quadra_id"]
-    shapes = rings.union_polygons(_lots(features), keys).withColumnRenamed("members", "quantidade_lotes")
+    shapes = rings.union_polygons(_in_blocks(features), keys).withColumnRenamed("members", "quantidade_lotes")
     kind = F.when(F.element_at("geom", -1)["part"] > 0, "MultiPolygon").otherwise("Polygon")
     made = spread(shapes.withColumns({"block_id": F.concat_ws("/", F.col("project_id").cast("string"), "quadra_id"), "geom_type": kind}))
     linked = features.join(made.select(*keys, "block_id"), keys, "left")

@@ -206,8 +206,9 @@ def united(polygons: DataFrame, keys: list[str], form: str) -> tuple[DataFrame,
 
     Groups of at most `small.LOCAL` points are done in numpy where they are dealt to; rows without a key are left out.
     """
-    rows = polygons.filter(usable(polygons) & reduce(Column.__and__, (F.col(k).isNotNull() for k in keys)))
-    rows = rows.select(*keys, "feature_id", F.xxhash64("feature_id").alias("polygon"), F.col("geom").cast(geometry.GEOMETRY).alias("geom"))
+    # whether a polygon is `usable` by its area is seen in numpy
+    rows = polygons.filter(reduce(Column.__and__, (F.col(k).isNotNull() for k in (*keys, "geom")), F.col("is_valid") if "is_valid" in polygons.columns else F.lit(True)))
+    rows = rows.select(*keys, "feature_id", F.xxhash64("feature_id").alias("polygon"), F.col("geom").cast(geometry.GEOMETRY).alias("geom"), F.lit(True).alias("judged"))
     same = [rows.schema[c] for c in ("feature_id", "geom")]
     schema = T.StructType([*(rows.schema[k] for k in keys), *T.StructType.fromDDL(FORMS[form]).fields, *(T.StructField(f.name, f.dataType) for f in same)])
     found = spread(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(partial(small.dissolve, keys=keys, form=form), schema))
@@ -329,6 +330,37 @@ def _near(targets: DataFrame, sources: DataFrame, keys: list[str], reach: float)
 def holding(hold: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, outer, inner): polygons `hold` and the features `held` that they contain; stored.
 
+    Groups of polygons of at most `small.LOCAL_PAIRS` points are looked at in numpy where they are dealt
+    to, others by joins; rows without a key are left out.
+    """
+    ids = {"outer_id": hold.schema["feature_id"].dataType, "inner_id": held.schema["feature_id"].dataType}
+    none = lambda kind: F.lit(None).cast(kind)
+    typed = "geom_type" in held.columns
+
+    def side(rows: DataFrame, holds: bool) -> DataFrame:
+        id_ = {"outer_id" if holds else "inner_id": F.col("feature_id")}
+        kind, flat = (F.col("geom_type"), ~_spans(rows)) if typed and not holds else (none("string"), F.lit(False))
+        # without a geom_type polygons are told by their area, in numpy
+        by_type = holds and "geom_type" in rows.columns
+        judged = F.lit("geom_type" not in rows.columns)
+        rows = rows.filter(reduce(Column.__and__, (F.col(k).isNotNull() for k in (*keys, "geom")), _spans(rows) if by_type else F.lit(True)))
+        return rows.select(*(F.col(k).cast(hold.schema[k].dataType) for k in keys), *(id_.get(c, none(t)).cast(t).alias(c) for c, t in ids.items()), F.xxhash64("feature_id").alias("name"), F.col("geom").cast(geometry.GEOMETRY).alias("geom"), kind.alias("geom_type"), F.coalesce(flat, F.lit(True)).alias("flat"), F.lit(holds).alias("holds"), judged.alias("judged"))
+
+    rows = side(hold, True).union(side(held, False))
+    raw = ["outer_id", "inner_id", "geom", "geom_type", "holds"]
+    made = [T.StructField(c.removesuffix("_id"), t) for c, t in ids.items()]
+    schema = T.StructType([*(rows.schema[k] for k in keys), *made, *(T.StructField(c, rows.schema[c].dataType) for c in raw), T.StructField("large", T.BooleanType())])
+    found = spread(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(partial(small.hold, keys=keys, raw=raw), schema))
+    done, large = found.filter("not large").select(*keys, "outer", "inner"), found.filter("large")
+    if not large.limit(1).count():
+        return done
+    sides = [large.filter(F.col("holds") == holds).select(*keys, F.col(c).alias("feature_id"), "geom", *kind) for holds, c, kind in ((True, "outer_id", []), (False, "inner_id", ["geom_type"] if typed else []))]
+    return spread(done.unionByName(joined_holding(*sides, keys)))
+
+
+def joined_holding(hold: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    """`holding` of groups of any size, by joins; stored.
+
     Only pairs of boxes one in the other are looked at.  A polygon contains another if all edges of
     the inner one, split where they meet, have their inner side in it, and none of its own edges,
     split likewise, runs through the inner one (as a hole's would).  It contains a line or points if

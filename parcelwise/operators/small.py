@@ -17,6 +17,8 @@ from parcelwise.operators.pairwise import CHUNK, SNAP, Ends, boxes_meet, inner_c
 
 #: Points of a group that one task goes through at once.
 LOCAL = 1024
+#: The same for containment, where only boxes that lie in each other are looked at closer.
+LOCAL_PAIRS = 4096
 ENDS = ("x1", "y1", "x2", "y2")
 
 
@@ -108,6 +110,36 @@ def _real(e: Ends) -> np.ndarray:
     return ((e["x1"] != e["x2"]) | (e["y1"] != e["y2"])) & ~np.isnan(sum(e.values()))
 
 
+def _doubled(row: np.ndarray, begin: np.ndarray, ring: np.ndarray, x: np.ndarray, y: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Twice the signed area of each ring with at least four points, over its edges i; from its first corner, for precision."""
+    dx, dy = x - x[begin[ring]], y - y[begin[ring]]
+    area = np.bincount(ring[i], weights=dx[i] * dy[i + 1] - dx[i + 1] * dy[i], minlength=len(row))
+    area[np.bincount(ring, minlength=len(row)) < 4] = 0
+    return area
+
+
+def solid(geom: pa.ListArray) -> np.ndarray:
+    """Whether a geometry has an area, as in `geometry.area`: shells less holes, none where a coordinate is missing."""
+    row, shell, begin, ring, x, y = _corners(geom)
+    i = np.flatnonzero(ring[:-1] == ring[1:])
+    size = np.abs(_doubled(row, begin, ring, x, y, i))
+    total = np.bincount(row, weights=np.where(shell, size, -size), minlength=len(geom))
+    found = ~(total <= 0)
+    if geom.flatten().field("pts").flatten().field("x").null_count + geom.flatten().field("pts").flatten().field("y").null_count:
+        points_ = geom.flatten().field("pts").flatten()
+        missing = ~np.logical_and.reduce([points_.field(c).is_valid().to_numpy(zero_copy_only=False) for c in "xy"])
+        found[row[ring[missing]]] = False
+    return found
+
+
+def with_area(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows but those that are `judged` by their area and have none."""
+    for batch in batches:
+        with np.errstate(all="ignore"):
+            kept = ~batch.column("judged").to_numpy(zero_copy_only=False) | solid(batch.column("geom"))
+        yield batch if kept.all() else batch.filter(pa.array(kept))
+
+
 def lines(geom: pa.ListArray) -> tuple[np.ndarray, np.ndarray, Ends]:
     """The row of each line (a ring), and the line and ends of every edge as they run."""
     row, _, _, ring, x, y = _corners(geom)
@@ -121,10 +153,7 @@ def outlines(geom: pa.ListArray) -> tuple[np.ndarray, Ends, np.ndarray]:
     """Row and ends of every edge, interior on the left, in order of rows; and the rows' boxes (x0, y0, x1, y1)."""
     row, shell, begin, ring, x, y = _corners(geom)
     i = np.flatnonzero(ring[:-1] == ring[1:])
-    # from the ring's first corner, for precision
-    dx, dy = x - x[begin[ring]], y - y[begin[ring]]
-    area = np.bincount(ring[i], weights=dx[i] * dy[i + 1] - dx[i + 1] * dy[i], minlength=len(row))
-    area[np.bincount(ring, minlength=len(row)) < 4] = 0
+    area = _doubled(row, begin, ring, x, y, i)
     flip = ((area < 0) == shell)[ring[i]]
     a, b = np.where(flip, i + 1, i), np.where(flip, i, i + 1)
     ends = {"x1": x[a], "y1": y[a], "x2": x[b], "y2": y[b]}
@@ -348,11 +377,11 @@ def polygons(group: np.ndarray, e: Ends) -> tuple[np.ndarray, pa.ListArray]:
 
 
 def dissolve(batches: Iterator[pa.RecordBatch], keys: list[str], form: str) -> Iterator[pa.RecordBatch]:
-    """Polygons (keys, feature_id, polygon, geom) sorted by keys -> their unions in the form that is asked for: edges, rings or polygons.
+    """Polygons (keys, feature_id, polygon, geom, judged) sorted by keys -> their unions in the form that is asked for: edges, rings or polygons.
 
     Rows of groups over LOCAL points come out as they were, in feature_id and geom, which are null elsewhere.
     """
-    for rows, group in whole_groups(batches, keys, lambda r, _: points(r.column("geom")), LOCAL):
+    for rows, group in whole_groups(with_area(batches), keys, lambda r, _: points(r.column("geom")), LOCAL):
         n, empty = rows.num_rows, {c: rows.column(c).type for c in ("feature_id", "geom")}
         if group is None:
             made = {c: pa.nulls(n, kind) for c, kind in FORMS[form].items()}
@@ -372,6 +401,87 @@ def dissolve(batches: Iterator[pa.RecordBatch], keys: list[str], form: str) -> I
         yield pa.RecordBatch.from_arrays([*(rows.column(c).take(pa.array(first[own])) for c in keys), *cells, *(pa.nulls(len(own), kind) for kind in empty.values())], names=[*keys, *made, *empty])
 
 
+def _expanded(of: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(k, edge) of all edges of each shape in `of`."""
+    n = count[of]
+    return np.repeat(np.arange(len(of)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin[of], n)
+
+
+def _pieces_beside(one: np.ndarray, other: np.ndarray, e: Ends, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Of each pair of shapes the edges of `one`, cut where they meet those of `other`: the pair of each piece, and the spots at its sides."""
+    pair, edge = _expanded(one, begin, count)
+    cut, place = [], []
+    of = other[pair]
+    for k, j in partners(begin[of], count[of]):
+        close = np.flatnonzero(boxes_meet(take(e, edge[k]), take(e, j), 2 * SNAP))
+        k, j = k[close], j[close]
+        index, at = inner_cuts(take(e, edge[k]), take(e, j))
+        cut.append(k[index])
+        place.append(at)
+    source, parts = split(take(e, edge), joined(cut), joined(place, np.float64))
+    return pair[source], list(beside(parts))
+
+
+def _in(spots: tuple[np.ndarray, np.ndarray], shape: np.ndarray, e: Ends, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Whether each spot lies in its shape."""
+    found = np.zeros(len(shape), bool)
+    found[around(*spots, begin[shape], count[shape], e, np.zeros(len(e["x1"]), np.int64))[0]] = True
+    return found
+
+
+def contained(inner: np.ndarray, outer: np.ndarray, e: Ends, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of pairs of polygons, in which the outer one contains the inner; see `overlay.holding`."""
+    pair, sides = _pieces_beside(inner, outer, e, begin, count)
+    pair, spots = np.tile(pair, 2), tuple(np.concatenate(v) for v in zip(*sides, strict=True))
+    own = _in(spots, inner[pair], e, begin, count)
+    pair, spots = pair[own], tuple(v[own] for v in spots)
+    good = np.bincount(pair, minlength=len(inner)) > 0
+    good[pair[~_in(spots, outer[pair], e, begin, count)]] = False
+    left = np.flatnonzero(good)
+    # the holder's edges: none may have both sides in the held polygon
+    pair, sides = _pieces_beside(outer[left], inner[left], e, begin, count)
+    through = np.logical_and.reduce([_in(spots, inner[left][pair], e, begin, count) for spots in sides])
+    good[left[pair[through]]] = False
+    return good
+
+
+def _hold_weight(rows: pa.RecordBatch, group: np.ndarray) -> np.ndarray:
+    """Points of each row; a group with a line or points to be held, or with several rows of a feature, is never small."""
+    out = np.maximum(1, points(rows.column("geom")))
+    out[rows.column("flat").to_numpy(zero_copy_only=False)] = LOCAL_PAIRS + 1
+    sides = (group, rows.column("holds").to_numpy(zero_copy_only=False).astype(np.int64), rows.column("name").to_numpy())
+    order = np.lexsort(sides[::-1])
+    again = np.append(False, np.logical_and.reduce([np.diff(v[order]) == 0 for v in sides]))[: len(order)]
+    out[order[again]] = LOCAL_PAIRS + 1
+    return out
+
+
+def hold(batches: Iterator[pa.RecordBatch], keys: list[str], raw: list[str]) -> Iterator[pa.RecordBatch]:
+    """Polygons to hold (outer_id) and to be held (inner_id) sorted by keys -> keys, outer, inner; rows of large groups come out as they were."""
+    for rows, group in whole_groups(with_area(batches), keys, _hold_weight, LOCAL_PAIRS):
+        n, ids = rows.num_rows, [rows.column(c) for c in ("outer_id", "inner_id")]
+        names = [*keys, "outer", "inner", *raw, "large"]
+        if group is None:
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keys), *(pa.nulls(n, c.type) for c in ids), *(rows.column(c) for c in raw), pa.array(np.ones(n, bool))], names=names)
+            continue
+        holds = rows.column("holds").to_numpy(zero_copy_only=False)
+        row, e, box = outlines(rows.column("geom"))
+        begin, count = ranges(row, n)
+        sides = [np.flatnonzero(v) for v in (holds, ~holds)]
+        first, size = ranges(group[sides[0]], int(group[-1]) + 1)
+        of = group[sides[1]]
+        with np.errstate(all="ignore"):
+            for k, j in partners(first[of], size[of]):
+                i, o = sides[1][k], sides[0][j]
+                fits = np.logical_and.reduce([box[i, 0] >= box[o, 0] - SNAP, box[i, 1] >= box[o, 1] - SNAP, box[i, 2] <= box[o, 2] + SNAP, box[i, 3] <= box[o, 3] + SNAP])
+                i, o = i[fits], o[fits]
+                step = np.cumsum(count[i] + count[o]) // CHUNK
+                for some in np.split(np.arange(len(i)), np.flatnonzero(np.diff(step)) + 1):
+                    good = some[contained(i[some], o[some], e, begin, count)]
+                    kept = [pa.nulls(len(good), rows.column(c).type) for c in raw]
+                    yield pa.RecordBatch.from_arrays([*(rows.column(c).take(pa.array(o[good])) for c in keys), ids[0].take(pa.array(o[good])), ids[1].take(pa.array(i[good])), *kept, pa.array(np.zeros(len(good), bool))], names=names)
+
+
 _GEOMETRY = pa.list_(pa.struct([("part", pa.int32()), ("ring", pa.int32()), ("pts", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))]))
 #: Form -> the columns that it gives.
 FORMS = {

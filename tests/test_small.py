@@ -95,6 +95,53 @@ def test_whole_groups(size):
     assert sorted(done, key=repr) == sorted((r for r in every if r[0] not in (3, 6)), key=repr)
 
 
+HELD = {
+    "a": [_box(1, 1, 4, 4)],
+    "b": [_box(0, 0, 10, 10)],
+    "c": [_box(2, 2, 8, 8)],
+    "d": [_box(0, 0, 20, 5)],
+    "e": [_box(5, 5, 12, 9)],
+    "f": [_box(1, 1, 9, 9), _box(2, 2, 8, 8, number=1)],
+    "g": [_box(1, 1, 2, 2), _box(20, 20, 22, 23, part=1)],
+    "h": [_ring(0, 0, [(16, 20), (20, 16), (24, 20), (20, 24)])],
+    "i": [_ring(0, 0, [(3, 3), (5, 3), (3, 3)])],
+}
+
+
+@pytest.fixture(scope="module")
+def held(spark, shapes):
+    rows = spark.createDataFrame(list(HELD.items()), f"feature_id string, geom {geometry.GEOMETRY}")
+    return shapes.select("project_id").distinct().crossJoin(rows)
+
+
+def test_containment_is_that_of_the_joins(spark, shapes, held):
+    found, joined = ({tuple(r) for r in made(shapes, held, KEYS).select("project_id", "outer", "inner").collect()} for made in (overlay.holding, overlay.joined_holding))
+    assert found == joined and len(found) > 30
+    assert {(3, "a", "f"), (4, "a", "f"), (5, "b", "b"), (8, "a", "h"), (2, "a", "c")} <= found
+    assert not {(3, "a", "a"), (4, "a", "c"), (7, "a", "a")} & found
+
+
+def test_containment_of_lines_is_that_of_the_joins(spark, shapes, held):
+    typed = held.withColumn("geom_type", F.when(F.col("feature_id") == "i", "LineString").otherwise("Polygon"))
+    typed = typed.filter("project_id not in (8, 9) and (project_id < 4 or feature_id <> 'i')")
+    found, joined = ({tuple(r) for r in made(shapes, typed, KEYS).select("project_id", "outer", "inner").collect()} for made in (overlay.holding, overlay.joined_holding))
+    assert found == joined and {(1, "a", "i"), (2, "a", "i")} <= found
+
+
+def test_small_groups_are_not_joined_for_containment(spark, shapes, held, monkeypatch):
+    monkeypatch.setattr(overlay, "joined_holding", None)
+    assert overlay.related(shapes, held, KEYS, "contains").count() > 5
+    assert overlay.related(shapes, held, KEYS, "within").count() > 3
+
+
+def test_areas(spark):
+    geoms = [r for case in CASES.values() for r in case.values()] + list(HELD.values()) + [[], None, [(0, 0, [(0.0, 0.0), (1.0, None), (1.0, 1.0), (0.0, 0.0)])], [_box(0, 0, 2, 2, number=1)]]
+    rows = spark.createDataFrame([(g,) for g in geoms], f"geom {geometry.GEOMETRY}")
+    expected = [r[0] for r in rows.select(geometry.area(F.col("geom")).isNotNull()).collect()]
+    found = pa.array([None if g is None else [dict(zip(("part", "ring", "pts"), (p, k, [dict(zip("xy", v, strict=True)) for v in pts]), strict=True)) for p, k, pts in g] for g in geoms], small._GEOMETRY)
+    assert small.solid(found).tolist() == expected and small.solid(found.slice(3, 4)).tolist() == expected[3:7]
+
+
 def test_small_blocks_take_no_rounds_of_pointers(spark, shapes, monkeypatch):
     def never(*_):
         raise AssertionError("a join for small groups")
