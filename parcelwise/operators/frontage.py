@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from parcelwise.operators import meeting, overlay
+from parcelwise.functions import geometry
+from parcelwise.operators import meeting, overlay, small_frontage
 from parcelwise.session import released, spread
 
 REACH = 3.0
@@ -52,8 +56,32 @@ def _within(ax: str, ay: str, bx: str, by: str, edge: dict[str, Column], reach:
 
 
 def frontage_parts(lots: DataFrame, footprint: DataFrame, reach: float = REACH) -> DataFrame:
-    """The parts of each lot's outline within `reach` of the road footprint (polygons): project_id, feature_id, from and
-    to (metres along the outline); stored.  Only lots whose boxes come near the footprint's are looked at."""
+    """The parts of each lot's outline within `reach` of the road footprint (polygons): project_id, feature_id, part, ring, from
+    and to (metres along the outline); stored.
+
+    Projects of at most `small.LOCAL_PAIRS` points are done in numpy where they are dealt to, others by joins; rows without a project are left out.
+    """
+    of = {c: lots.schema[c].dataType for c in ("project_id", "feature_id")}
+    types = {"feature_id": of["feature_id"], "road_id": footprint.schema["feature_id"].dataType, "geom": geometry.GEOMETRY, "road": "boolean"}
+
+    def side(rows: DataFrame, road: bool) -> DataFrame:
+        has = {"road_id" if road else "feature_id": F.col("feature_id"), "geom": F.col("geom"), "road": F.lit(road)}
+        return rows.filter("project_id is not null and geom is not null").select(F.col("project_id").cast(of["project_id"]), *(has.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()), F.xxhash64("feature_id").alias("name"))
+
+    rows = side(lots, False).union(side(footprint, True))
+    made = [T.StructField("made_id", of["feature_id"]), *T.StructType.fromDDL("part int, ring int, `from` double, `to` double").fields]
+    schema = T.StructType([rows.schema["project_id"], *made, *(T.StructField(c, rows.schema[c].dataType) for c in types), T.StructField("large", T.BooleanType())])
+    found = spread(rows.repartition("project_id").sortWithinPartitions("project_id").mapInArrow(partial(small_frontage.frontages, reach=reach), schema))
+    done = found.filter("not large").select("project_id", F.col("made_id").alias("feature_id"), "part", "ring", "from", "to")
+    large = found.filter("large")
+    if not large.limit(1).count():
+        return done
+    sides = [large.filter(F.col("road") == road).select("project_id", F.col(c).alias("feature_id"), "geom") for road, c in ((False, "feature_id"), (True, "road_id"))]
+    return spread(done.unionByName(joined_frontage_parts(*sides, reach)))
+
+
+def joined_frontage_parts(lots: DataFrame, footprint: DataFrame, reach: float = REACH) -> DataFrame:
+    """`frontage_parts` of projects of any size, by joins; stored.  Only lots whose boxes come near the footprint's are looked at."""
     keys = ["project_id"]
     # what lies within reach of the footprint or in it has a box that comes as near
     near_ = meeting.pairs(meeting.boxes(lots, keys, reach), meeting.boxes(footprint, keys), keys)
@@ -122,7 +150,8 @@ def frontage_midpoints(lots: DataFrame, footprint: DataFrame, reach: float = REA
     """project_id, feature_id, x, y: the middle of each lot's longest frontage; lots without one are left out."""
     parts = frontage_parts(lots, footprint, reach) if parts is None else parts
     best = parts.groupBy("project_id", "feature_id").agg(F.max(F.struct((F.col("to") - F.col("from")).alias("size"), (-F.col("from")).alias("back"), ((F.col("to") + F.col("from")) / 2).alias("middle"))).alias("b"))
-    outline = overlay.segments(lots, ["project_id"]).withColumn("size", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
+    fronting = lots.join(best.select("project_id", "feature_id").hint("merge"), ["project_id", "feature_id"], "left_semi")
+    outline = overlay.segments(fronting, ["project_id"]).withColumn("size", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
     outline = outline.withColumn("start", F.sum("size").over(Window.partitionBy("project_id", "feature_id").orderBy("part", "ring", "seq")) - F.col("size"))
     rows = outline.join(best, ["project_id", "feature_id"]).filter((F.col("b.middle") >= F.col("start")) & (F.col("b.middle") <= F.col("start") + F.col("size")))
     t = (F.col("b.middle") - F.col("start")) / F.col("size")

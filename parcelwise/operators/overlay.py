@@ -137,8 +137,8 @@ def covered(points: DataFrame, edges: DataFrame, keys: list[str], on_edge: bool
 
 
 def usable(polygons: DataFrame) -> Column:
-    """Polygons with an area, and if they have been audited (`is_valid`), only valid ones."""
-    area = geometry.area(F.col("geom")).isNotNull()
+    """Polygons with an area (`geometric`, if it is at hand), and if they have been audited (`is_valid`), only valid ones."""
+    area = (F.col("geometric") if "geometric" in polygons.columns else geometry.area(F.col("geom"))).isNotNull()
     return area & F.col("is_valid") if "is_valid" in polygons.columns else area
 
 

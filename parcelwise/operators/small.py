@@ -401,7 +401,7 @@ def dissolve(batches: Iterator[pa.RecordBatch], keys: list[str], form: str) -> I
         yield pa.RecordBatch.from_arrays([*(rows.column(c).take(pa.array(first[own])) for c in keys), *cells, *(pa.nulls(len(own), kind) for kind in empty.values())], names=[*keys, *made, *empty])
 
 
-def _expanded(of: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def expanded(of: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(k, edge) of all edges of each shape in `of`."""
     n = count[of]
     return np.repeat(np.arange(len(of)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin[of], n)
@@ -409,7 +409,7 @@ def _expanded(of: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.
 
 def _pieces_beside(one: np.ndarray, other: np.ndarray, e: Ends, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Of each pair of shapes the edges of `one`, cut where they meet those of `other`: the pair of each piece, and the spots at its sides."""
-    pair, edge = _expanded(one, begin, count)
+    pair, edge = expanded(one, begin, count)
     cut, place = [], []
     of = other[pair]
     for k, j in partners(begin[of], count[of]):

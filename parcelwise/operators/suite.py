@@ -149,10 +149,11 @@ def lot_rows(features: DataFrame, footprint: DataFrame, edges: DataFrame) -> Dat
 
 def values(features: DataFrame, perimeter: DataFrame, lines: DataFrame, footprint: DataFrame, unlinks: DataFrame | None = None) -> DataFrame:
     """All indicators of projects with these layers: territory features, perimeter polygons, road centrelines, road footprint."""
-    features = spread(features)
+    # each layer is read several times
+    features, perimeter, lines, footprint = (spread(x) for x in (territory.with_geometric(features), perimeter, lines, footprint))
     edges = roads.network(lines, unlinks)
     whole = spread(blocks.perimeter(perimeter.filter(overlay.usable(perimeter))))
     own = territory_rows(features)
     out = spread(reduce(DataFrame.unionByName, (own, perimeter_rows(whole, own), block_rows(features), road_rows(edges, perimeter, whole, lines), lot_rows(features, footprint, edges))))
-    released(features, edges, whole)
+    released(features, perimeter, lines, footprint, edges, whole)
     return out

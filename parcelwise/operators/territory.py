@@ -32,10 +32,15 @@ def diverges(reference: Column, geometric: Column) -> Column:
     return F.coalesce(share >= DIVERGENCE, F.lit(False))
 
 
+def with_geometric(features: DataFrame) -> DataFrame:
+    """Adds geometric, the area of the geometry, which `measured` and `overlay.usable` then need not work out again."""
+    return features if "geometric" in features.columns else features.withColumn("geometric", geometry.area(F.col("geom")))
+
+
 def measured(features: DataFrame) -> DataFrame:
-    """Adds geometric, area (resolved) and lot_area (resolved, where a negative reference counts as none)."""
+    """Adds geometric (unless it is there already), area (resolved) and lot_area (resolved, where a negative reference counts as none)."""
     reference = F.col("reference_area_m2").cast("double")
-    rows = features.withColumn("geometric", geometry.area(F.col("geom")))
+    rows = with_geometric(features)
     return rows.withColumn("area", resolved_area(reference, F.col("geometric"))).withColumn("lot_area", resolved_area(F.when(reference >= 0, reference), F.col("geometric")))
 
 
