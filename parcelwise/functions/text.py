@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import cache, reduce
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,8 +68,9 @@ def merge_maps(under: Column, over: Column) -> Column:
 
 def resolve(text: Column, vocabulary: dict[str, str]) -> Column:
     """The vocabulary's value of a raw text by its normalized key; null if unknown."""
-    key = normalize_key(text)
-    return reduce(lambda so_far, item: so_far.when(key == item[0], F.lit(item[1])), list(vocabulary.items())[1:], F.when(key == next(iter(vocabulary)), F.lit(next(iter(vocabulary.values())))))
+    # looked up: a key compared with each word would be worked out for each
+    words = F.create_map(*(F.lit(v) for item in vocabulary.items() for v in item))
+    return F.try_element_at(words, normalize_key(text))
 
 
 def keyed(values: tuple[str, ...]) -> dict[str, str]:
